@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 # Exact decimal image of a measure for the co-moment sums (cents precision).
 MOMENT_TYPE = "decimal(20,2)"
+# Aggregates per pass: whole-stage codegen of one aggregate with ~36 wide
+# DECIMAL buffers fails and falls back to slow interpreted execution.
+MOMENTS_PER_PASS = 16
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -17,41 +20,58 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     (col_a, col_b, corr, is_lower), ``is_lower`` marks the strict lower
     triangle.  Rows with a NULL in any of ``cols`` are dropped first.
 
-    One aggregation pass computes n, the sums, the sums of squares and the
-    cross-product sums in exact DECIMAL arithmetic, so the result does not
-    depend on partitioning or row order; the final formula
+    n, the sums, the sums of squares and the cross-product sums are exact
+    DECIMAL aggregates, so the result does not depend on partitioning or row
+    order.  They are computed in a few codegen-sized global aggregates over
+    the same column-pruned input and folded into one row; that row is
+    unpivoted to one row per pair and the formula
     ``(n*Sab - Sa*Sb) / sqrt((n*Saa - Sa^2) * (n*Sbb - Sb^2))`` runs in
-    DOUBLE on the single result row.  A constant column gives NULL.
+    DOUBLE.  A constant column gives NULL.  The plan is generated as one SQL
+    text, so it is parsed and analysed by a single JVM call.
     """
     cols = list(cols)
-    data = df.select(*[F.col(c).cast(MOMENT_TYPE).alias(c) for c in cols]).dropna(how="any")
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for c in cols:
-        aggs.append(F.sum(c).alias(f"s_{c}"))
-        aggs.append(F.sum(F.col(c) * F.col(c)).alias(f"ss_{c}"))
-    for a, b in combinations(cols, 2):
-        aggs.append(F.sum(F.col(a) * F.col(b)).alias(f"sp_{a}__{b}"))
-    moments = data.agg(*aggs)
-
-    def d(name: str):
-        return F.col(name).cast("double")
-
-    n = d("n")
-    entries = []
+    q = {c: f"`{c}`" for c in cols}
+    named = [("n", "COUNT(1)")]
+    named += [(f"s_{c}", f"SUM({q[c]})") for c in cols]
+    named += [(f"p_{a}__{a}", f"SUM({q[a]} * {q[a]})") for a in cols]
+    named += [(f"p_{a}__{b}", f"SUM({q[a]} * {q[b]})") for a, b in combinations(cols, 2)]
+    names = [k for k, _ in named]
+    passes = []
+    for i in range(0, len(named), MOMENTS_PER_PASS):
+        chunk = dict(named[i:i + MOMENTS_PER_PASS])
+        items = ", ".join(f"CAST({chunk[k]} AS DOUBLE) AS {k}" if k in chunk
+                          else f"CAST(NULL AS DOUBLE) AS {k}" for k in names)
+        passes.append(f"SELECT {items} FROM data")
+    pairs = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
-            if a == b:
-                sp = f"ss_{a}"
-            else:
-                sp = f"sp_{a}__{b}" if i < j else f"sp_{b}__{a}"
-            num = n * d(sp) - d(f"s_{a}") * d(f"s_{b}")
-            var_a = n * d(f"ss_{a}") - d(f"s_{a}") * d(f"s_{a}")
-            var_b = n * d(f"ss_{b}") - d(f"s_{b}") * d(f"s_{b}")
-            den = F.sqrt(var_a * var_b)
-            corr = F.when((var_a > 0) & (var_b > 0) & (den > 0), num / den)
-            entries.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                                    corr.alias("corr"), F.lit(i > j).alias("is_lower")))
-    return moments.select(F.inline(F.array(*entries)))
+            sp = f"p_{a}__{b}" if i <= j else f"p_{b}__{a}"
+            pairs.append(f"struct('{a}' AS col_a, '{b}' AS col_b, {str(i > j).lower()} AS is_lower, "
+                         f"n, s_{a} AS sa, s_{b} AS sb, {sp} AS sab, "
+                         f"p_{a}__{a} AS saa, p_{b}__{b} AS sbb)")
+    text = f"""
+    WITH data AS (
+        SELECT {", ".join(f"CAST({q[c]} AS {MOMENT_TYPE}) AS {q[c]}" for c in cols)}
+        FROM {{src}}
+        WHERE {" AND ".join(f"{q[c]} IS NOT NULL" for c in cols)}
+    ),
+    moments AS (
+        SELECT {", ".join(f"MAX({k}) AS {k}" for k in names)}
+        FROM ({" UNION ALL ".join(passes)})
+    ),
+    pairs AS (SELECT inline(array({", ".join(pairs)})) FROM moments),
+    terms AS (
+        SELECT col_a, col_b, is_lower, n * sab - sa * sb AS cov,
+               n * saa - sa * sa AS var_a, n * sbb - sb * sb AS var_b
+        FROM pairs
+    )
+    SELECT col_a, col_b,
+           CASE WHEN var_a > 0 AND var_b > 0 AND sqrt(var_a * var_b) > 0
+                THEN cov / sqrt(var_a * var_b) END AS corr,
+           is_lower
+    FROM terms
+    """
+    return df.sparkSession.sql(text, src=df)
 
 
 def null_profile(df: DataFrame) -> DataFrame:

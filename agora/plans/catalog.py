@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from functools import partial
 
@@ -10,23 +11,35 @@ from pyspark.sql import functions as F
 
 from agora.plans import (customers, delivery, payments, products, profile, revenue, reviews,
                          rfm, sellers, sql_queries)
-from agora.plans.master import build_master, delivered, with_delivery_data
+from agora.plans.master import (build_master, delivered, materialize_master,
+                                with_delivery_data)
 from agora.sources.tpch_fixture import tpch_marketplace
 from agora.tables import MarketplaceTables
 
 
 class Workspace:
-    """Lazy plans shared by the analyses of one table set."""
+    """Plans shared by the analyses of one table set.
 
-    def __init__(self, spark: SparkSession, tables: MarketplaceTables):
+    With ``materialize_key`` the master frame is written once per Spark
+    application and key (see :func:`agora.plans.master.materialize_master`)
+    and every analysis scans that table; without it each analysis plans the
+    joins itself.
+    """
+
+    def __init__(self, spark: SparkSession, tables: MarketplaceTables,
+                 materialize_key: str | None = None):
         self.spark = spark
         self.tables = tables
+        self.materialize_key = materialize_key
         self._master: DataFrame | None = None
 
     @property
     def master(self) -> DataFrame:
         if self._master is None:
-            self._master = build_master(self.tables)
+            if self.materialize_key is None:
+                self._master = build_master(self.tables)
+            else:
+                self._master = materialize_master(self.spark, self.tables, self.materialize_key)
         return self._master
 
     @property
@@ -89,8 +102,19 @@ SQL_ANALYSES: dict[str, Analysis] = {
 ALL_ANALYSES: dict[str, Analysis] = {**PY_ANALYSES, **SQL_ANALYSES}
 
 
-def tpch_workspace(spark: SparkSession, sf_dir: str) -> Workspace:
-    return Workspace(spark, tpch_marketplace(spark, sf_dir))
+# (application id, folder) -> Workspace.  A workspace holds lazy plans only
+# (and the location of the written master); no data is cached in memory.
+_WORKSPACES: dict[tuple[str, str], Workspace] = {}
+
+
+def tpch_workspace(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Workspace:
+    folder = os.path.abspath(sf_dir)
+    if not materialize:
+        return Workspace(spark, tpch_marketplace(spark, folder))
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _WORKSPACES:
+        _WORKSPACES[key] = Workspace(spark, tpch_marketplace(spark, folder), "tpch:" + folder)
+    return _WORKSPACES[key]
 
 
 def _run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
