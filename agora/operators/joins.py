@@ -20,11 +20,15 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
     return F.broadcast(df) if n <= max_rows else df
 
 
-def distinct_by_key(df: DataFrame, key: str) -> DataFrame:
-    """Full-row DISTINCT that lands hash-partitioned on ``key``.
-
-    Hash partitioning on one of the grouping columns already clusters every
-    group, so the de-duplicating aggregate adds no exchange of its own and the
-    following join on ``key`` reuses the partitioning.
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """Full-row DISTINCT, hashed on all columns.
+
+    Duplicates are first removed inside each input partition (partial
+    aggregate), then rows are exchanged on the hash of the whole row.  A join
+    key shared by a third of all rows (a very large customer, a best-selling
+    product) is therefore still spread over all tasks; pre-partitioning on the
+    join key would save one exchange but put that whole group in one task.
+    The following join re-partitions on its key, where AQE's skew-join
+    handling splits oversized partitions of the preserved side.
     """
-    return df.repartition(key).dropDuplicates()
+    return df.dropDuplicates()

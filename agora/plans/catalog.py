@@ -9,8 +9,8 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.plans import (customers, delivery, payments, products, profile, revenue, reviews,
-                         rfm, sellers, sql_queries)
+from agora.plans import (customers, delivery, findings, payments, products, profile, revenue,
+                         reviews, rfm, sellers, sql_queries)
 from agora.plans.master import (build_master, delivered, materialize_master,
                                 with_delivery_data)
 from agora.sources.tpch_fixture import tpch_marketplace
@@ -91,12 +91,19 @@ PY_ANALYSES: dict[str, Analysis] = {
     "py_seller_performance": lambda w: sellers.seller_performance(w.delivered),
     "py_seller_concentration": lambda w: sellers.seller_concentration(w.delivered),
     "py_mom_growth": lambda w: revenue.mom_growth(w.delivered),
+    # figures the workload reports without code of their own
+    "py_top_category_share": lambda w: findings.top_category_share(w.delivered),
+    "py_peak_hour_share": lambda w: findings.peak_hour_share(w.delivered),
+    "py_yearly_revenue": lambda w: findings.yearly_revenue(w.delivered),
+    "py_revenue_pivot": lambda w: findings.revenue_pivot(w.delivered),
+    "py_state_delivery_days": lambda w: findings.state_delivery_days(w.delivery),
 }
 
 SQL_ANALYSES: dict[str, Analysis] = {
     **{name: (lambda text: lambda w: sql_queries.run_sql(w.spark, w.tables, text))(text)
        for name, text in sql_queries.PLAIN_QUERIES.items()},
     "sql_rfm": lambda w: sql_queries.rfm_segments_sql(w.spark, w.tables),
+    "sql_payment_share": lambda w: findings.payment_share_sql(w.spark, w.tables),
 }
 
 ALL_ANALYSES: dict[str, Analysis] = {**PY_ANALYSES, **SQL_ANALYSES}

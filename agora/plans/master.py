@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agora.functions import elapsed_days, month_period, weekday_name
-from agora.operators.joins import checked_broadcast, distinct_by_key
+from agora.operators.joins import checked_broadcast, distinct_rows
 from agora.session import checkpoint_dir
 from agora.tables import MarketplaceTables
 
@@ -61,12 +61,12 @@ def with_order_attributes(orders: DataFrame) -> DataFrame:
 def build_master(t: MarketplaceTables) -> DataFrame:
     """All orders joined with their items, products, customer, payments,
     category translation and reviews; de-duplicated; derived columns added."""
-    orders = distinct_by_key(t.orders, "customer_id")
-    customers = distinct_by_key(t.customers, "customer_id")
-    items = distinct_by_key(t.order_items, "product_id")
-    products = distinct_by_key(t.products, "product_id")
-    payments = distinct_by_key(t.payments, "order_id")
-    reviews = distinct_by_key(t.reviews.select("order_id", "review_score"), "order_id")
+    orders = distinct_rows(t.orders)
+    customers = distinct_rows(t.customers)
+    items = distinct_rows(t.order_items)
+    products = distinct_rows(t.products)
+    payments = distinct_rows(t.payments)
+    reviews = distinct_rows(t.reviews.select("order_id", "review_score"))
     translation = checked_broadcast(t.category_translation.dropDuplicates())
 
     order_side = with_order_attributes(orders).join(customers, "customer_id", "left")

@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The workload this package re-implements is batch only: every input is a
+complete table read once, and no result depends on arrival time, watermarks
+or incremental state ("late" in the analyses means a late *delivery*, not
+late data).  No streaming operator is provided, so none is advertised; the
+batch plans in ``agora.plans`` read whatever the tables contain when they run.
+"""
