@@ -60,12 +60,17 @@ def rfm_scored(d: DataFrame) -> DataFrame:
     r_edges = quantiles_percentile(base, "recency", QUINTILES)
     m_edges = quantiles_by_rank(base.withColumn("_m", F.col("monetary_exact").cast("double")),
                                 "_m", QUINTILES, tie_break="customer_unique_id")
-    scored = base.withColumns({
-        "R_score": qcut(F.col("recency").cast("double"), r_edges, [5, 4, 3, 2, 1]),
-        "F_score": bin_by_edges(F.col("frequency").cast("double"), FREQUENCY_EDGES,
-                                FREQUENCY_LABELS),
-        "M_score": qcut(F.col("monetary_exact").cast("double"), m_edges, [1, 2, 3, 4, 5]),
-    })
+    # bind each edge array once; the scores then refer to the column, so the
+    # quantile subqueries appear once in the plan however often they are used
+    scored = (base.withColumns({"_r_edges": r_edges, "_m_edges": m_edges})
+              .withColumns({
+                  "R_score": qcut(F.col("recency").cast("double"), F.col("_r_edges"), [5, 4, 3, 2, 1]),
+                  "F_score": bin_by_edges(F.col("frequency").cast("double"), FREQUENCY_EDGES,
+                                          FREQUENCY_LABELS),
+                  "M_score": qcut(F.col("monetary_exact").cast("double"), F.col("_m_edges"),
+                                  [1, 2, 3, 4, 5]),
+              })
+              .drop("_r_edges", "_m_edges"))
     return scored.withColumns({
         "RFM_score": F.col("R_score") + F.col("F_score") + F.col("M_score"),
         "segment": segment_of(F.col("R_score"), F.col("F_score"), F.col("M_score")),
