@@ -44,18 +44,22 @@ def qcut(x: Column, edges: Column, labels: Sequence[int]) -> Column:
         F.raise_error(F.lit("quantile bin edges must be unique")).cast("bigint"))
 
 
-def equal_width_histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
+def equal_width_histogram(df: DataFrame, col: str, bins: int = 50,
+                          weight: str | None = None) -> DataFrame:
     """``bins`` equal-width bins over [min, max] of ``col``: (bin, lower, upper, n).
 
     Bin i holds lower_i <= x < upper_i; the last bin also holds x == max.
     Edges are ``min + i * (max - min) / bins`` (the last edge is max itself);
     a constant column is widened to [v - 0.5, v + 0.5]; an empty input uses
-    [0, 1].  Every bin is reported, empty ones with n = 0.
+    [0, 1].  Every bin is reported, empty ones with n = 0.  With ``weight``
+    each row counts that many times (rows standing for several identical rows).
 
     Plan: one global min/max aggregate (a scalar subquery, computed once and
     reused), one partial/final count per bin, and a ``bins``-row domain.
     """
-    values = df.select(F.col(col).cast("double").alias("_h_x")).where(F.col("_h_x").isNotNull())
+    w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    values = (df.select(F.col(col).cast("double").alias("_h_x"), w.alias("_h_w"))
+              .where(F.col("_h_x").isNotNull()))
     stats = values.agg(F.min("_h_x").alias("lo0"), F.max("_h_x").alias("hi0"))
     lo0, hi0 = F.col("lo0"), F.col("hi0")
     bounds = stats.select(F.struct(
@@ -76,7 +80,7 @@ def equal_width_histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
                                          F.col("_h_g") - 1).otherwise(F.col("_h_g")))
               .withColumn("bin", F.when((x >= edge(F.col("_h_d") + 1)) & (F.col("_h_d") < bins - 1),
                                         F.col("_h_d") + 1).otherwise(F.col("_h_d"))))
-    counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    counts = binned.groupBy("bin").agg(F.sum("_h_w").alias("n"))
 
     domain = (df.sparkSession.range(bins).withColumnRenamed("id", "bin")  # fixed size
               .withColumn("_h_b", bounds))

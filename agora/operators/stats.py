@@ -15,33 +15,19 @@ MOMENT_TYPE = "decimal(20,2)"
 MOMENTS_PER_PASS = 16
 
 
-def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every ordered pair of ``cols`` in long form:
-    (col_a, col_b, corr, is_lower), ``is_lower`` marks the strict lower
-    triangle.  Rows with a NULL in any of ``cols`` are dropped first.
+def moment_names(cols: Sequence[str]) -> list[str]:
+    """Names of the co-moments a correlation matrix needs: n, s_<c>,
+    p_<a>__<b> (a before b in ``cols``, squares included)."""
+    cols = list(cols)
+    return (["n"] + [f"s_{c}" for c in cols] + [f"p_{a}__{a}" for a in cols]
+            + [f"p_{a}__{b}" for a, b in combinations(cols, 2)])
 
-    n, the sums, the sums of squares and the cross-product sums are exact
-    DECIMAL aggregates, so the result does not depend on partitioning or row
-    order.  They are computed in a few codegen-sized global aggregates over
-    the same column-pruned input and folded into one row; that row is
-    unpivoted to one row per pair and the formula
-    ``(n*Sab - Sa*Sb) / sqrt((n*Saa - Sa^2) * (n*Sbb - Sb^2))`` runs in
-    DOUBLE.  A constant column gives NULL.  The plan is generated as one SQL
-    text, so it is parsed and analysed by a single JVM call.
-    """
+
+def correlation_from_moments(moments: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Long-form Pearson matrix from a one-row frame of DOUBLE co-moments
+    (columns :func:`moment_names`): ``(n*Sab - Sa*Sb) / sqrt((n*Saa - Sa^2) *
+    (n*Sbb - Sb^2))``, NULL for a constant column."""
     cols = list(cols)
-    q = {c: f"`{c}`" for c in cols}
-    named = [("n", "COUNT(1)")]
-    named += [(f"s_{c}", f"SUM({q[c]})") for c in cols]
-    named += [(f"p_{a}__{a}", f"SUM({q[a]} * {q[a]})") for a in cols]
-    named += [(f"p_{a}__{b}", f"SUM({q[a]} * {q[b]})") for a, b in combinations(cols, 2)]
-    names = [k for k, _ in named]
-    passes = []
-    for i in range(0, len(named), MOMENTS_PER_PASS):
-        chunk = dict(named[i:i + MOMENTS_PER_PASS])
-        items = ", ".join(f"CAST({chunk[k]} AS DOUBLE) AS {k}" if k in chunk
-                          else f"CAST(NULL AS DOUBLE) AS {k}" for k in names)
-        passes.append(f"SELECT {items} FROM data")
     pairs = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
@@ -50,16 +36,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                          f"n, s_{a} AS sa, s_{b} AS sb, {sp} AS sab, "
                          f"p_{a}__{a} AS saa, p_{b}__{b} AS sbb)")
     text = f"""
-    WITH data AS (
-        SELECT {", ".join(f"CAST({q[c]} AS {MOMENT_TYPE}) AS {q[c]}" for c in cols)}
-        FROM {{src}}
-        WHERE {" AND ".join(f"{q[c]} IS NOT NULL" for c in cols)}
-    ),
-    moments AS (
-        SELECT {", ".join(f"MAX({k}) AS {k}" for k in names)}
-        FROM ({" UNION ALL ".join(passes)})
-    ),
-    pairs AS (SELECT inline(array({", ".join(pairs)})) FROM moments),
+    WITH pairs AS (SELECT inline(array({", ".join(pairs)})) FROM {{moments}}),
     terms AS (
         SELECT col_a, col_b, is_lower, n * sab - sa * sb AS cov,
                n * saa - sa * sa AS var_a, n * sbb - sb * sb AS var_b
@@ -71,7 +48,44 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
            is_lower
     FROM terms
     """
-    return df.sparkSession.sql(text, src=df)
+    return moments.sparkSession.sql(text, moments=moments)
+
+
+def fold_moments(data: DataFrame, exprs: dict[str, str]) -> DataFrame:
+    """One row of DOUBLE moments from SQL aggregate ``exprs`` (name -> SQL),
+    evaluated in passes of at most MOMENTS_PER_PASS exact DECIMAL sums."""
+    names = list(exprs)
+    passes = []
+    for i in range(0, len(names), MOMENTS_PER_PASS):
+        chunk = names[i:i + MOMENTS_PER_PASS]
+        items = ", ".join(f"CAST({exprs[k]} AS DOUBLE) AS {k}" if k in chunk
+                          else f"CAST(NULL AS DOUBLE) AS {k}" for k in names)
+        passes.append(f"SELECT {items} FROM {{data}}")
+    text = (f"SELECT {', '.join(f'MAX({k}) AS {k}' for k in names)} "
+            f"FROM ({' UNION ALL '.join(passes)})")
+    return data.sparkSession.sql(text, data=data)
+
+
+def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Pearson correlation of every ordered pair of ``cols`` in long form:
+    (col_a, col_b, corr, is_lower), ``is_lower`` marks the strict lower
+    triangle.  Rows with a NULL in any of ``cols`` are dropped first.
+
+    n, the sums, the sums of squares and the cross-product sums are exact
+    DECIMAL aggregates, so the result does not depend on partitioning or row
+    order.  They are computed in a few codegen-sized global aggregates over
+    the same column-pruned input and folded into one row; the formula runs in
+    DOUBLE on that row.  The plan is generated as SQL text, so it is parsed
+    and analysed by a few JVM calls.
+    """
+    cols = list(cols)
+    q = {c: f"`{c}`" for c in cols}
+    data = df.select(*[F.col(c).cast(MOMENT_TYPE).alias(c) for c in cols]).dropna(how="any")
+    exprs = {"n": "COUNT(1)"}
+    exprs.update({f"s_{c}": f"SUM({q[c]})" for c in cols})
+    exprs.update({f"p_{a}__{a}": f"SUM({q[a]} * {q[a]})" for a in cols})
+    exprs.update({f"p_{a}__{b}": f"SUM({q[a]} * {q[b]})" for a, b in combinations(cols, 2)})
+    return correlation_from_moments(fold_moments(data, exprs), cols)
 
 
 def null_profile(df: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from agora.plans import (customers, delivery, findings, payments, products, profile, revenue,
                          reviews, rfm, sellers, sql_queries)
-from agora.plans.master import (build_master, delivered, materialize_master,
-                                with_delivery_data)
+from agora.plans.fanout import Fanout, build_fanout, materialize_fanout
+from agora.plans.master import build_master
 from agora.sources.tpch_fixture import tpch_marketplace
 from agora.tables import MarketplaceTables
 
@@ -20,10 +20,11 @@ from agora.tables import MarketplaceTables
 class Workspace:
     """Plans shared by the analyses of one table set.
 
-    With ``materialize_key`` the master frame is written once per Spark
-    application and key (see :func:`agora.plans.master.materialize_master`)
-    and every analysis scans that table; without it each analysis plans the
-    joins itself.
+    ``fanout`` is the factorised master frame (``plans.fanout``).  With
+    ``materialize_key`` its four sides are written once per Spark application
+    and key and every analysis scans them; without it each analysis plans the
+    joins itself.  ``master`` is the literal joined frame (only the query
+    that returns it needs it).
     """
 
     def __init__(self, spark: SparkSession, tables: MarketplaceTables,
@@ -31,24 +32,28 @@ class Workspace:
         self.spark = spark
         self.tables = tables
         self.materialize_key = materialize_key
-        self._master: DataFrame | None = None
+        self._fanout: Fanout | None = None
 
     @property
     def master(self) -> DataFrame:
-        if self._master is None:
+        return build_master(self.tables)
+
+    @property
+    def fanout(self) -> Fanout:
+        if self._fanout is None:
             if self.materialize_key is None:
-                self._master = build_master(self.tables)
+                self._fanout = build_fanout(self.tables)
             else:
-                self._master = materialize_master(self.spark, self.tables, self.materialize_key)
-        return self._master
+                self._fanout = materialize_fanout(self.spark, self.tables, self.materialize_key)
+        return self._fanout
 
     @property
-    def delivered(self) -> DataFrame:
-        return delivered(self.master)
+    def delivered(self) -> Fanout:
+        return self.fanout.delivered()
 
     @property
     def delivery(self) -> DataFrame:
-        return with_delivery_data(self.delivered)
+        return self.delivered.delivery_rows()
 
 
 Analysis = Callable[[Workspace], DataFrame]
@@ -62,8 +67,8 @@ def master_report(master: DataFrame) -> DataFrame:
 
 PY_ANALYSES: dict[str, Analysis] = {
     "py_master": lambda w: master_report(w.master),
-    "py_dataset_counts": lambda w: profile.dataset_counts(w.tables, w.master, w.delivered),
-    "py_missing_values": lambda w: profile.missing_values(w.master),
+    "py_dataset_counts": lambda w: profile.dataset_counts(w.tables, w.fanout),
+    "py_missing_values": lambda w: profile.missing_values(w.fanout),
     "py_kpis": lambda w: revenue.kpis(w.delivered),
     "py_monthly_revenue": lambda w: revenue.monthly_revenue(w.delivered),
     "py_revenue_by_weekday": lambda w: revenue.revenue_by_weekday(w.delivered),

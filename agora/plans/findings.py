@@ -6,18 +6,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from agora.functions import exact_mean, money_sum, null_if_zero, pct_of
-from agora.plans.products import CATEGORY
+from agora.functions import null_if_zero, pct_of
+from agora.plans.fanout import (CATEGORY, Fanout, fan_sum, pay_on_items, pay_on_orders,
+                                pay_rows_on_orders, w_orders, weighted_mean)
 from agora.plans.sql_queries import PAYMENT_METHODS
 from agora.tables import MarketplaceTables
 
 MONTHS = list(range(1, 13))
 
 
-def top_category_share(d: DataFrame, k: int = 5) -> DataFrame:
+def top_category_share(fd: Fanout, k: int = 5) -> DataFrame:
     """Revenue of the ``k`` largest categories and their share of all revenue."""
-    per_cat = d.groupBy(CATEGORY).agg(F.coalesce(F.sum("payment_value"), F.lit(0)).alias("rev"))
-    total = d.select(F.coalesce(F.sum("payment_value"), F.lit(0))).scalar()
+    per_cat = fd.items.groupBy(CATEGORY).agg(
+        F.coalesce(F.sum(pay_on_items()), F.lit(0)).alias("rev"))
+    total = fd.orders.select(F.coalesce(F.sum(pay_on_orders()), F.lit(0))).scalar()
     top = per_cat.orderBy(F.desc("rev"), F.asc(CATEGORY)).limit(k)  # k rows at most
     return top.agg(F.count(F.lit(1)).alias("categories"),
                    F.sum("rev").alias("_top")).select(
@@ -27,21 +29,23 @@ def top_category_share(d: DataFrame, k: int = 5) -> DataFrame:
         pct_of(F.col("_top"), total).alias("share_pct"))
 
 
-def peak_hour_share(d: DataFrame, start: int = 10, end: int = 22) -> DataFrame:
+def peak_hour_share(fd: Fanout, start: int = 10, end: int = 22) -> DataFrame:
     """Share of payment rows (the hourly report's order count) placed in
     hours ``start`` .. ``end - 1``."""
-    in_band = F.col("order_hour").between(start, end - 1) & F.col("payment_value").isNotNull()
-    return d.agg(F.count_if(in_band).alias("peak_orders"),
-                 F.count("payment_value").alias("total_orders")).select(
+    in_band = F.col("order_hour").between(start, end - 1)
+    rows = pay_rows_on_orders()
+    return fd.orders.agg(
+        F.coalesce(F.sum(F.when(in_band, rows)), F.lit(0)).alias("peak_orders"),
+        F.coalesce(F.sum(rows), F.lit(0)).alias("total_orders")).select(
         "peak_orders", "total_orders", pct_of(F.col("peak_orders"), F.col("total_orders"))
         .alias("share_pct"))
 
 
-def yearly_revenue(d: DataFrame) -> DataFrame:
+def yearly_revenue(fd: Fanout) -> DataFrame:
     """Revenue and distinct orders per year, with the ratio to the previous year."""
-    per_year = (d.where(F.col("order_year").isNotNull())
+    per_year = (fd.orders.where(F.col("order_year").isNotNull())
                 .groupBy("order_year")
-                .agg(money_sum("payment_value").alias("revenue"),
+                .agg(fan_sum(pay_on_orders()).alias("revenue"),
                      F.countDistinct("order_id").alias("orders")))
     w = Window.orderBy("order_year")  # one row per year
     return per_year.withColumn(
@@ -49,13 +53,13 @@ def yearly_revenue(d: DataFrame) -> DataFrame:
     ).orderBy("order_year")
 
 
-def revenue_pivot(d: DataFrame) -> DataFrame:
+def revenue_pivot(fd: Fanout) -> DataFrame:
     """Revenue per year (rows) and month (columns m01 .. m12); 0 for a month
     without rows.  The month list is fixed, so the pivot needs no extra pass."""
-    pivot = (d.where(F.col("order_year").isNotNull())
+    pivot = (fd.orders.where(F.col("order_year").isNotNull())
              .groupBy("order_year")
              .pivot("order_month", MONTHS)
-             .agg(money_sum("payment_value")))
+             .agg(fan_sum(pay_on_orders())))
     return pivot.select("order_year", *[F.coalesce(F.col(str(m)), F.lit(0.0)).alias(f"m{m:02d}")
                                         for m in MONTHS]).orderBy("order_year")
 
@@ -64,8 +68,9 @@ def state_delivery_days(dd: DataFrame) -> DataFrame:
     """Mean delivery days and rows for every customer state (slowest first)."""
     return (dd.where(F.col("customer_state").isNotNull())
             .groupBy("customer_state")
-            .agg(exact_mean("delivery_days").alias("avg_delivery_days"),
-                 F.count(F.lit(1)).alias("rows"))
+            .agg(weighted_mean(F.col("delivery_days") * w_orders(), w_orders())
+                 .alias("avg_delivery_days"),
+                 F.sum(w_orders()).alias("rows"))
             .orderBy(F.desc("avg_delivery_days"), "customer_state"))
 
 

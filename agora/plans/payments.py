@@ -1,20 +1,22 @@
-"""Payment methods over delivered rows."""
+"""Payment methods over delivered rows (payment side of the fan-out)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.functions import exact_mean, money_sum
 from agora.operators.reshape import with_share
+from agora.plans.fanout import Fanout, fan_sum, w_pays, weighted_mean
 
 
-def payment_methods(d: DataFrame) -> DataFrame:
+def payment_methods(fd: Fanout) -> DataFrame:
     """Per payment type: distinct orders (``count``), total_value, avg_value
     (mean per master row) and share_pct of ``count``."""
-    per_type = (d.where(F.col("payment_type").isNotNull())
+    value = F.col("payment_value")
+    per_type = (fd.payments.where(F.col("payment_type").isNotNull())
                 .groupBy("payment_type")
                 .agg(F.countDistinct("order_id").alias("count"),
-                     money_sum("payment_value").alias("total_value"),
-                     exact_mean("payment_value").alias("avg_value")))
+                     fan_sum(value * w_pays()).alias("total_value"),
+                     weighted_mean(value * w_pays(), F.when(value.isNotNull(), w_pays())
+                                   .otherwise(0)).alias("avg_value")))
     return with_share(per_type, "count").orderBy(F.desc("count"), "payment_type")

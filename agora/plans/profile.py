@@ -1,36 +1,98 @@
-"""Data profiling: row counts and missing values."""
+"""Data profiling (row counts, missing values) and the correlation study."""
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.operators.stats import correlation_matrix, null_profile
+from agora.operators.stats import MOMENT_TYPE, correlation_from_moments, fold_moments
+from agora.plans.fanout import Fanout, w_items, w_orders, w_pays, w_revs
 from agora.tables import MarketplaceTables
 
-# Measures of the correlation study, in report order.
+# Measures of the correlation study, in report order, with the side each lives on.
 CORRELATION_COLUMNS = ["price", "freight_value", "payment_value", "review_score",
                        "delivery_days", "product_weight_g", "product_length_cm"]
+_SIDE_OF = {"price": "i", "freight_value": "i", "product_weight_g": "i", "product_length_cm": "i",
+            "payment_value": "p", "review_score": "r", "delivery_days": "o"}
 
+# Bookkeeping columns of the factorised sides (not master columns).
+HELPER_COLUMNS = {"n_oc", "n_oc_del", "dd_sum_del", "dd_cnt_del", "n_items", "n_pays", "n_revs",
+                  "pay_sum", "pay_cnt", "rev_sum", "rev_cnt", "has_delivered"}
 
-def dataset_counts(t: MarketplaceTables, master: DataFrame, delivered: DataFrame) -> DataFrame:
-    """(dataset, rows) for six raw tables, the master frame and its delivered part."""
+
+def dataset_counts(t: MarketplaceTables, fa: Fanout) -> DataFrame:
+    """(dataset, rows) for six raw tables, the master frame and its delivered
+    part; master rows are counted from the factorised sides."""
     named = [("orders", t.orders), ("order_items", t.order_items), ("products", t.products),
-             ("customers", t.customers), ("payments", t.payments), ("reviews", t.reviews),
-             ("master", master), ("delivered", delivered)]
+             ("customers", t.customers), ("payments", t.payments), ("reviews", t.reviews)]
     counts = [df.agg(F.count(F.lit(1)).alias("rows"))
                 .select(F.lit(name).alias("dataset"), F.col("rows").cast("bigint"))
               for name, df in named]
+    for name, side in (("master", fa.orders), ("delivered", fa.delivered().orders)):
+        counts.append(side.agg(F.coalesce(F.sum(w_orders()), F.lit(0)).alias("rows"))
+                      .select(F.lit(name).alias("dataset"), F.col("rows").cast("bigint")))
     return reduce(DataFrame.unionByName, counts)
 
 
-def missing_values(master: DataFrame) -> DataFrame:
-    """(column, nulls) for master columns with at least one NULL."""
-    return null_profile(master)
+def missing_values(fa: Fanout) -> DataFrame:
+    """(column, nulls) for master columns with at least one NULL: each
+    side row with a NULL stands for as many master rows as its weight."""
+    parts = []
+    for side, weight, skip in ((fa.orders, w_orders(), set()),
+                               (fa.items, w_items(), {"order_id"}),
+                               (fa.payments, w_pays(), {"order_id"}),
+                               (fa.reviews, w_revs(), {"order_id"})):
+        cols = [c for c in side.columns if c not in HELPER_COLUMNS and c not in skip]
+        sums = side.agg(*[F.coalesce(F.sum(F.when(F.col(c).isNull(), weight)), F.lit(0))
+                          .cast("bigint").alias(c) for c in cols])
+        parts.append(sums.unpivot([], cols, "column", "nulls"))
+    return (reduce(DataFrame.unionByName, parts)
+            .where(F.col("nulls") > 0)
+            .select("column", F.col("nulls").cast("bigint").alias("nulls")))
+
+
+def correlation(fd: Fanout) -> DataFrame:
+    """Pearson matrix of the seven measures over delivered master rows with
+    no NULL among them (listwise), long form.
+
+    A master row combines one row of each side, and the row survives iff
+    each side's own measures are non-NULL, so per order the co-moments are
+    products of per-side sums: e.g. sum(price * payment) =
+    sum_items(price) * sum_pays(payment) * rows_reviews * rows_orders.  Per-side
+    sums are exact DECIMALs; nothing of size items x payments is formed.
+    """
+    spark = fd.orders.sparkSession
+    cols = CORRELATION_COLUMNS
+    by_side = {s: [c for c in cols if _SIDE_OF[c] == s] for s in "iopr"}
+    frames = {"i": fd.items, "o": fd.orders, "p": fd.payments, "r": fd.reviews}
+    per_order = []
+    for s, measures in by_side.items():
+        src = frames[s].select("order_id", *[F.col(c).cast(MOMENT_TYPE).alias(c) for c in measures])
+        src = src.dropna(subset=measures)
+        aggs = [F.count(F.lit(1)).alias(f"c_{s}")]
+        aggs += [F.sum(c).alias(f"s_{c}") for c in measures]
+        aggs += [F.sum(F.col(a) * F.col(b)).alias(f"p_{a}__{b}")
+                 for a, b in [(m, m) for m in measures] + list(combinations(measures, 2))]
+        per_order.append(src.groupBy("order_id").agg(*aggs))
+    # one row per order on every side: inner joins drop orders with no complete row
+    orders = reduce(lambda a, b: a.join(b, "order_id"), per_order)
 
+    def others(*sides: str) -> str:
+        return " * ".join(f"c_{s}" for s in "iopr" if s not in sides) or "1"
 
-def correlation(d: DataFrame) -> DataFrame:
-    """Pearson matrix of the seven measures (listwise NULL removal), long form."""
-    return correlation_matrix(d, CORRELATION_COLUMNS)
+    exprs = {"n": f"SUM(c_i * c_o * c_p * c_r)"}
+    for c in cols:
+        exprs[f"s_{c}"] = f"SUM(s_{c} * {others(_SIDE_OF[c])})"
+    pairs = [(a, a) for a in cols] + list(combinations(cols, 2))
+    for a, b in pairs:
+        sa, sb = _SIDE_OF[a], _SIDE_OF[b]
+        if sa == sb:
+            inner = f"p_{a}__{b}" if f"p_{a}__{b}" in orders.columns else f"p_{b}__{a}"
+            exprs[f"p_{a}__{b}"] = f"SUM({inner} * {others(sa)})"
+        else:
+            exprs[f"p_{a}__{b}"] = f"SUM(s_{a} * s_{b} * {others(sa, sb)})"
+    del spark
+    return correlation_from_moments(fold_moments(orders, exprs), cols)

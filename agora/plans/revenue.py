@@ -2,7 +2,8 @@
 
 Revenue here is the sum of ``payment_value`` over master rows, i.e. over the
 item x payment x review fan-out (the workload's own definition, kept on
-purpose); the SQL-style queries in ``sql_queries`` use payment grain.
+purpose), computed from the factorised sides (``plans.fanout``); the
+SQL-style queries in ``sql_queries`` use payment grain.
 """
 
 from __future__ import annotations
@@ -10,71 +11,73 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agora.functions import exact_mean, money_sum, null_if_zero
+from agora.functions import null_if_zero
 from agora.operators.reshape import reindex
+from agora.plans.fanout import (Fanout, fan_sum, pay_on_orders, pay_rows_on_orders,
+                                rev_on_orders, rev_rows_on_orders, weighted_mean)
 
 # Weekday order of the weekday report.
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
 
-def kpis(d: DataFrame) -> DataFrame:
+def kpis(fd: Fanout) -> DataFrame:
     """One row: total_revenue, total_orders, total_customers (distinct
     customer_unique_id), avg_order_value (revenue / orders),
     avg_review_score, total_products_sold (distinct products)."""
-    row = d.agg(
-        money_sum("payment_value").alias("total_revenue"),
+    products = fd.items.select(F.countDistinct("product_id")).scalar()
+    row = fd.orders.agg(
+        fan_sum(pay_on_orders()).alias("total_revenue"),
         F.countDistinct("order_id").alias("total_orders"),
         F.countDistinct("customer_unique_id").alias("total_customers"),
-        exact_mean("review_score").alias("avg_review_score"),
-        F.countDistinct("product_id").alias("total_products_sold"),
+        weighted_mean(rev_on_orders(), rev_rows_on_orders()).alias("avg_review_score"),
     )
     return row.select(
         "total_revenue", "total_orders", "total_customers",
         (F.col("total_revenue") / null_if_zero(F.col("total_orders"))).alias("avg_order_value"),
-        "avg_review_score", "total_products_sold")
+        "avg_review_score", products.alias("total_products_sold"))
 
 
-def monthly_revenue(d: DataFrame) -> DataFrame:
+def monthly_revenue(fd: Fanout) -> DataFrame:
     """Per ``yyyy-MM``: revenue, distinct orders, distinct customers."""
-    return (d.where(F.col("order_year_month").isNotNull())
+    return (fd.orders.where(F.col("order_year_month").isNotNull())
             .groupBy("order_year_month")
-            .agg(money_sum("payment_value").alias("revenue"),
+            .agg(fan_sum(pay_on_orders()).alias("revenue"),
                  F.countDistinct("order_id").alias("orders"),
                  F.countDistinct("customer_unique_id").alias("customers"))
             .orderBy("order_year_month"))
 
 
-def revenue_by_weekday(d: DataFrame) -> DataFrame:
+def revenue_by_weekday(fd: Fanout) -> DataFrame:
     """Seven rows Monday..Sunday: revenue and payment rows ("orders" counts
-    non-NULL payment values).  A weekday without rows has NULL measures."""
-    per_day = (d.where(F.col("order_day_of_week").isNotNull())
+    master rows with a payment value).  A weekday without rows has NULLs."""
+    per_day = (fd.orders.where(F.col("order_day_of_week").isNotNull())
                .groupBy(F.col("order_day_of_week").alias("day"))
-               .agg(money_sum("payment_value").alias("revenue"),
-                    F.count("payment_value").alias("orders")))
+               .agg(fan_sum(pay_on_orders()).alias("revenue"),
+                    F.sum(pay_rows_on_orders()).alias("orders")))
     return (reindex(per_day, "day", WEEKDAYS)
             .orderBy("_order").select("day", "revenue", "orders"))
 
 
-def revenue_by_hour(d: DataFrame) -> DataFrame:
-    """Per purchase hour: revenue and non-NULL payment rows."""
-    return (d.where(F.col("order_hour").isNotNull())
+def revenue_by_hour(fd: Fanout) -> DataFrame:
+    """Per purchase hour: revenue and master rows with a payment value."""
+    return (fd.orders.where(F.col("order_hour").isNotNull())
             .groupBy(F.col("order_hour").alias("hour"))
-            .agg(money_sum("payment_value").alias("revenue"),
-                 F.count("payment_value").alias("orders"))
+            .agg(fan_sum(pay_on_orders()).alias("revenue"),
+                 F.sum(pay_rows_on_orders()).alias("orders"))
             .orderBy("hour"))
 
 
-def revenue_by_state(d: DataFrame) -> DataFrame:
+def revenue_by_state(fd: Fanout) -> DataFrame:
     """Per customer state: distinct customers, revenue, distinct orders."""
-    return (d.where(F.col("customer_state").isNotNull())
+    return (fd.orders.where(F.col("customer_state").isNotNull())
             .groupBy("customer_state")
             .agg(F.countDistinct("customer_unique_id").alias("customers"),
-                 money_sum("payment_value").alias("revenue"),
+                 fan_sum(pay_on_orders()).alias("revenue"),
                  F.countDistinct("order_id").alias("orders"))
             .orderBy(F.desc("revenue"), "customer_state"))
 
 
-def mom_growth(d: DataFrame) -> DataFrame:
+def mom_growth(fd: Fanout) -> DataFrame:
     """Monthly revenue with month-over-month change in percent.
 
     Growth is relative to the previous *row* (previous month with data); the
@@ -88,8 +91,7 @@ def mom_growth(d: DataFrame) -> DataFrame:
         prev = F.lag(F.col(c).cast("double")).over(w)
         return (F.col(c).cast("double") / null_if_zero(prev) - 1) * 100
 
-    monthly = monthly_revenue(d)
-    return (monthly
+    return (monthly_revenue(fd)
             .withColumns({"revenue_growth": change("revenue"), "orders_growth": change("orders")})
             .withColumn("growth_direction",
                         F.when(F.coalesce(F.col("revenue_growth"), F.lit(0.0)) >= 0, "positive")

@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.functions import exact_mean
+from agora.plans.fanout import Fanout, rev_on_orders, rev_rows_on_orders, w_revs, weighted_mean
 
 
-def review_distribution(d: DataFrame) -> DataFrame:
+def review_distribution(fd: Fanout) -> DataFrame:
     """Master rows per review score (fan-out rows, NULL scores skipped)."""
-    return (d.where(F.col("review_score").isNotNull())
+    return (fd.reviews.where(F.col("review_score").isNotNull())
             .groupBy(F.col("review_score").cast("bigint").alias("review_score"))
-            .agg(F.count(F.lit(1)).alias("rows"))
+            .agg(F.sum(w_revs()).alias("rows"))
             .orderBy("review_score"))
 
 
-def monthly_review(d: DataFrame) -> DataFrame:
+def monthly_review(fd: Fanout) -> DataFrame:
     """Mean review score per ``yyyy-MM`` (NULL for a month without scores)."""
-    return (d.where(F.col("order_year_month").isNotNull())
+    return (fd.orders.where(F.col("order_year_month").isNotNull())
             .groupBy("order_year_month")
-            .agg(exact_mean("review_score").alias("avg_review_score"))
+            .agg(weighted_mean(rev_on_orders(), rev_rows_on_orders()).alias("avg_review_score"))
             .orderBy("order_year_month"))

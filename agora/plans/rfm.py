@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from agora.functions import elapsed_days, exact_mean
 from agora.operators.binning import bin_by_edges, qcut
 from agora.operators.quantiles import quantiles_by_rank, quantiles_percentile
+from agora.plans.fanout import Fanout, pay_on_orders
 from agora.session import checkpoint_dir
 
 QUINTILES = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
@@ -42,8 +43,10 @@ def segment_of(r: Column, f: Column, m: Column) -> Column:
             .otherwise("Need Attention"))
 
 
-def rfm_scored(d: DataFrame) -> DataFrame:
-    """Per-customer RFM table; ``monetary_exact`` keeps the exact DECIMAL sum."""
+def rfm_scored(fd: Fanout) -> DataFrame:
+    """Per-customer RFM table; ``monetary_exact`` keeps the exact DECIMAL sum
+    (payments of the customer's order rows times their item and review fan-out)."""
+    d = fd.orders
     checkpoint_dir(d.sparkSession)
     ts = F.col("order_purchase_timestamp")
     reference = d.select(F.max(ts) + F.make_dt_interval(F.lit(1))).scalar()
@@ -51,7 +54,7 @@ def rfm_scored(d: DataFrame) -> DataFrame:
             .groupBy("customer_unique_id")
             .agg(F.max(ts).alias("last_purchase"),
                  F.countDistinct("order_id").alias("frequency"),
-                 F.coalesce(F.sum("payment_value"), F.lit(0)).alias("monetary_exact"))
+                 F.coalesce(F.sum(pay_on_orders()), F.lit(0)).alias("monetary_exact"))
             .select("customer_unique_id",
                     elapsed_days(reference, F.col("last_purchase")).alias("recency"),
                     "frequency", "monetary_exact")
@@ -77,18 +80,18 @@ def rfm_scored(d: DataFrame) -> DataFrame:
     })
 
 
-def rfm(d: DataFrame) -> DataFrame:
+def rfm(fd: Fanout) -> DataFrame:
     """customer_unique_id, recency, frequency, monetary, R/F/M scores,
     RFM_score, segment."""
-    return rfm_scored(d).select(
+    return rfm_scored(fd).select(
         "customer_unique_id", "recency", "frequency",
         F.col("monetary_exact").cast("double").alias("monetary"),
         "R_score", "F_score", "M_score", "RFM_score", "segment")
 
 
-def rfm_segments(d: DataFrame) -> DataFrame:
+def rfm_segments(fd: Fanout) -> DataFrame:
     """Per segment: customers and mean recency / frequency / monetary."""
-    return (rfm_scored(d).groupBy("segment")
+    return (rfm_scored(fd).groupBy("segment")
             .agg(F.count("customer_unique_id").alias("count"),
                  exact_mean("recency").alias("avg_recency"),
                  exact_mean("frequency").alias("avg_frequency"),
@@ -96,8 +99,8 @@ def rfm_segments(d: DataFrame) -> DataFrame:
             .orderBy(F.desc("count"), "segment"))
 
 
-def segment_spend(d: DataFrame) -> DataFrame:
+def segment_spend(fd: Fanout) -> DataFrame:
     """Mean monetary value per segment, ascending."""
-    return (rfm_scored(d).groupBy("segment")
+    return (rfm_scored(fd).groupBy("segment")
             .agg(exact_mean("monetary_exact").alias("avg_monetary"))
             .orderBy("avg_monetary", "segment"))

@@ -1,29 +1,33 @@
-"""Seller performance and revenue concentration."""
+"""Seller performance and revenue concentration (item side of the fan-out)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.functions import exact_mean, money_sum, pct_of
+from agora.functions import pct_of
 from agora.operators.ranking import global_rank
+from agora.plans.fanout import (Fanout, fan_sum, pay_on_items, rev_on_items, rev_rows_on_items,
+                                weighted_mean)
 from agora.session import checkpoint_dir
 
 
-def seller_performance(d: DataFrame) -> DataFrame:
+def seller_performance(fd: Fanout) -> DataFrame:
     """Per seller: total_revenue, distinct orders, avg_review,
     avg_delivery_days, distinct products; by revenue descending."""
-    return (d.where(F.col("seller_id").isNotNull())
+    pr = F.col("n_pays") * F.col("n_revs")
+    return (fd.items.where(F.col("seller_id").isNotNull())
             .groupBy("seller_id")
-            .agg(money_sum("payment_value").alias("total_revenue"),
+            .agg(fan_sum(pay_on_items()).alias("total_revenue"),
                  F.countDistinct("order_id").alias("total_orders"),
-                 exact_mean("review_score").alias("avg_review"),
-                 exact_mean("delivery_days").alias("avg_delivery_days"),
+                 weighted_mean(rev_on_items(), rev_rows_on_items()).alias("avg_review"),
+                 weighted_mean(F.col("dd_sum_del") * pr, F.col("dd_cnt_del") * pr)
+                 .alias("avg_delivery_days"),
                  F.countDistinct("product_id").alias("products_sold"))
             .orderBy(F.desc("total_revenue"), "seller_id"))
 
 
-def seller_concentration(d: DataFrame, top_fraction: float = 0.1) -> DataFrame:
+def seller_concentration(fd: Fanout, top_fraction: float = 0.1) -> DataFrame:
     """One row: sellers, top_seller_revenue, top_decile_revenue (sum over the
     first ``floor(sellers * top_fraction)`` sellers by revenue) and
     top_decile_pct of the KPI revenue (which includes rows without seller).
@@ -31,9 +35,9 @@ def seller_concentration(d: DataFrame, top_fraction: float = 0.1) -> DataFrame:
     The top-k sum is tie-independent; k grows with the data, so the sellers
     are ranked with the scalable global rank, not a single-partition sort.
     """
-    checkpoint_dir(d.sparkSession)
-    per_seller = (d.groupBy("seller_id")
-                  .agg(F.coalesce(F.sum("payment_value"), F.lit(0)).alias("revenue"))
+    checkpoint_dir(fd.items.sparkSession)
+    per_seller = (fd.items.groupBy("seller_id")
+                  .agg(F.coalesce(F.sum(pay_on_items()), F.lit(0)).alias("revenue"))
                   .checkpoint(eager=True))
     total = per_seller.select(F.sum("revenue")).scalar()
     ranked = global_rank(per_seller.where(F.col("seller_id").isNotNull()),

@@ -13,6 +13,7 @@ import os
 from pyspark.sql import DataFrame
 
 from agora.plans import payments, products, revenue, rfm, sellers
+from agora.plans.fanout import Fanout
 
 # Summary names and row limits of the summary export.
 SUMMARY_SHEETS = {
@@ -27,7 +28,7 @@ TOP_CATEGORIES = 15
 TOP_SELLERS = 50
 
 
-def summary_frames(delivered: DataFrame) -> dict[str, DataFrame]:
+def summary_frames(delivered: Fanout) -> dict[str, DataFrame]:
     """The six summaries (monthly revenue carries the growth columns)."""
     return {
         "monthly_revenue": revenue.mom_growth(delivered).drop("growth_direction"),
@@ -44,14 +45,14 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def export_rfm(delivered: DataFrame, out_dir: str, mode: str = "overwrite") -> str:
+def export_rfm(delivered: Fanout, out_dir: str, mode: str = "overwrite") -> str:
     """Write the per-customer RFM table as CSV under ``out_dir/rfm_customer_segments``."""
     path = os.path.join(out_dir, "rfm_customer_segments")
     write_csv(rfm.rfm(delivered), path, mode)
     return path
 
 
-def export_summaries(delivered: DataFrame, out_dir: str, fmt: str = "parquet",
+def export_summaries(delivered: Fanout, out_dir: str, fmt: str = "parquet",
                      mode: str = "overwrite") -> dict[str, str]:
     """Write each summary to ``out_dir/<name>`` as Parquet (default) or CSV."""
     paths = {}

@@ -1,8 +1,12 @@
 import pytest
 
-from agora.plans import customers, delivery, products, revenue, rfm, sellers, sql_queries
-from agora.plans.master import build_master, delivered, with_delivery_data
+from pyspark.sql import functions as F
+
+from agora.plans import (customers, delivery, payments, products, profile, revenue, reviews, rfm,
+                         sellers, sql_queries)
 from agora.plans.catalog import tpch_workspace
+from agora.plans.fanout import build_fanout
+from agora.plans.master import build_master, delivered, with_delivery_data
 from tests.conftest import SF001
 from tests.handmade import money, order, tables
 
@@ -26,7 +30,7 @@ def small(spark):
         reviews=[("o1", 5), ("o2", 2), ("o3", 4)],
         sellers=[("s1", "city1", "SP"), ("s2", "city2", "RJ")],
         translation=[("cat_a", "alpha"), ("cat_b", "beta")])
-    return t, delivered(build_master(t))
+    return t, build_fanout(t).delivered()
 
 
 def test_null_state_dropped_in_script_kept_in_sql(spark, small):
@@ -70,7 +74,7 @@ def test_few_sellers_and_categories(spark, small):
 
 def test_delivery_and_loyalty(spark, small):
     _, d = small
-    dd = with_delivery_data(d)
+    dd = d.delivery_rows()
     # o4 is delivered the same day (0 days) and is left out
     assert sorted(r.delivery_days for r in dd.select("delivery_days").collect()) == [2, 3, 31]
     k = delivery.delivery_kpis(dd).first()
@@ -86,3 +90,40 @@ def test_rfm_golden_segment_counts(spark):
     assert got == {"Loyal Customers": 292, "At Risk": 272, "Champions": 254, "Lost": 231,
                    "Potential Loyalists": 139, "New Customers": 104, "Need Attention": 81,
                    "Cant Lose Them": 56}
+
+
+def test_factorised_sums_equal_fan_out_rows(spark):
+    """A heavy order (3 items x 2 payments x 2 reviews = 12 master rows) next to
+    an order without items, payments or reviews: every factorised aggregate
+    equals the same aggregate over the literal master rows."""
+    t = tables(
+        spark,
+        orders=[order("o1", "c1", "delivered", "2018-01-01 10:00:00", "2018-01-05 09:00:00"),
+                order("o2", "c2", "delivered", "2018-01-02 10:00:00", "2018-01-09 09:00:00")],
+        items=[("o1", i, f"p{i}", f"s{i % 2}", money(10 * i), money(i)) for i in (1, 2, 3)],
+        products=[("p1", "cat_a", 100.0, 10.0), ("p2", "cat_b", 50.0, 5.0),
+                  ("p3", "cat_a", 70.0, 7.0)],
+        customers=[("c1", "u1", "SP"), ("c2", "u2", "RJ")],
+        payments=[("o1", 1, "credit_card", 2, money(31.5)), ("o1", 2, "voucher", 1, money(4.25))],
+        reviews=[("o1", 5), ("o1", 2)],
+        translation=[("cat_a", "alpha"), ("cat_b", "beta")])
+    fd = build_fanout(t).delivered()
+    rows = delivered(build_master(t))
+    assert rows.count() == 13
+    k = revenue.kpis(fd).first()
+    assert k.total_revenue == float(rows.agg(F.sum("payment_value")).first()[0])
+    assert k.avg_review_score == rows.agg(F.avg("review_score")).first()[0]
+    cats = {r.product_category_name_english: r.revenue for r in products.top_categories(fd).collect()}
+    expect = {r[0]: float(r[1] or 0) for r in
+              rows.groupBy("product_category_name_english").agg(F.sum("payment_value")).collect()}
+    assert cats == expect
+    dist = {r.review_score: r.rows for r in reviews.review_distribution(fd).collect()}
+    assert dist == {2: 6, 5: 6}
+    pay = {r.payment_type: (r.total_value, r.avg_value) for r in payments.payment_methods(fd).collect()}
+    assert pay["credit_card"] == (31.5 * 6, 31.5) and pay["voucher"] == (4.25 * 6, 4.25)
+    rows_dd = with_delivery_data(rows)
+    kp = delivery.delivery_kpis(fd.delivery_rows()).first()
+    assert kp.avg_days == rows_dd.agg(F.avg("delivery_days")).first()[0]
+    assert kp.median_days == rows_dd.agg(F.median("delivery_days")).first()[0]
+    counts = {r.dataset: r.rows for r in profile.dataset_counts(t, build_fanout(t)).collect()}
+    assert counts["master"] == 13 and counts["delivered"] == 13

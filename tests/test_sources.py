@@ -62,7 +62,7 @@ def test_parquet_roundtrip_and_sinks(spark):
     t = read_marketplace_parquet(spark, folder)
     assert t.orders.count() == w.tables.orders.count()
     out = tempfile.mkdtemp(prefix="agora-out-")
-    paths = export_summaries(w.delivered, out)
+    paths = export_summaries(w.delivered, out)  # factorised delivered view
     assert set(paths) == set(SUMMARY_SHEETS)
     assert spark.read.parquet(paths["top_sellers"]).count() == 50
     assert spark.read.parquet(paths["category_revenue"]).count() == 15
