@@ -66,7 +66,7 @@ class Fanout:
             return side.where(F.col("has_delivered")).withColumn("n_oc", F.col("n_oc_del"))
 
         return Fanout(
-            orders=self.orders.where(F.col("order_status") == "delivered"),
+            orders=self.orders.where(F.col("has_delivered")),
             items=keep(self.items), payments=keep(self.payments), reviews=keep(self.reviews))
 
     def delivery_rows(self) -> DataFrame:
@@ -143,58 +143,79 @@ def _at_least_one(c: str) -> Column:
     return F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(1)).cast("bigint")
 
 
-def build_fanout(t: MarketplaceTables) -> Fanout:
-    """The four sides with per-order multiplicities and sums (lazy plan)."""
+@dataclass(frozen=True)
+class _Rows:
+    orders: DataFrame
+    items: DataFrame
+    payments: DataFrame
+    reviews: DataFrame
+
+
+def _side_rows(t: MarketplaceTables) -> _Rows:
+    """De-duplicated rows of each side (lazy)."""
     orders = with_order_attributes(distinct_rows(t.orders)).join(
         distinct_rows(t.customers), "customer_id", "left")
     translation = checked_broadcast(t.category_translation.dropDuplicates())
-    item_rows = (distinct_rows(t.order_items)
-                 .join(distinct_rows(t.products), "product_id", "left")
-                 .join(translation, "product_category_name", "left"))
-    pay_rows = distinct_rows(t.payments)
-    rev_rows = distinct_rows(t.reviews.select("order_id", "review_score"))
+    items = (distinct_rows(t.order_items)
+             .join(distinct_rows(t.products), "product_id", "left")
+             .join(translation, "product_category_name", "left"))
+    return _Rows(orders, items, distinct_rows(t.payments),
+                 distinct_rows(t.reviews.select("order_id", "review_score")))
 
+
+def _order_stats(rows: _Rows) -> DataFrame:
+    """One row per order id: side row counts (NULL-extended: at least 1) and
+    the per-order sums the analyses weight with."""
     delivered = F.col("order_status") == "delivered"
-    oc_stats = orders.groupBy("order_id").agg(
+    oc_stats = rows.orders.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("n_oc"),
         F.count_if(delivered).alias("n_oc_del"),
         F.sum(F.when(delivered, F.col("delivery_days"))).alias("dd_sum_del"),
         F.count(F.when(delivered, F.col("delivery_days"))).alias("dd_cnt_del"))
-    item_stats = item_rows.groupBy("order_id").agg(F.count(F.lit(1)).alias("_ni"))
-    pay_stats = pay_rows.groupBy("order_id").agg(
+    item_stats = rows.items.groupBy("order_id").agg(F.count(F.lit(1)).alias("_ni"))
+    pay_stats = rows.payments.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("_np"), F.sum("payment_value").alias("pay_sum"),
         F.count("payment_value").alias("pay_cnt"))
-    rev_stats = rev_rows.groupBy("order_id").agg(
+    rev_stats = rows.reviews.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("_nr"), F.sum("review_score").alias("rev_sum"),
         F.count("review_score").alias("rev_cnt"))
-    # one row per order id: every join below is 1:1 or 1:N on order_id
-    stats = (oc_stats.join(item_stats, "order_id", "left")
-             .join(pay_stats, "order_id", "left")
-             .join(rev_stats, "order_id", "left")
-             .select("order_id", "n_oc", "n_oc_del", "dd_sum_del", "dd_cnt_del",
-                     _at_least_one("_ni").alias("n_items"), _at_least_one("_np").alias("n_pays"),
-                     _at_least_one("_nr").alias("n_revs"),
-                     "pay_sum", F.coalesce("pay_cnt", F.lit(0)).alias("pay_cnt"),
-                     "rev_sum", F.coalesce("rev_cnt", F.lit(0)).alias("rev_cnt")))
-
-    def side(rows: DataFrame, keep: list[str]) -> DataFrame:
+    # every input is one row per order id, so these joins are 1:1
+    return (oc_stats.join(item_stats, "order_id", "left")
+            .join(pay_stats, "order_id", "left")
+            .join(rev_stats, "order_id", "left")
+            .select("order_id", "n_oc", "n_oc_del", "dd_sum_del", "dd_cnt_del",
+                    _at_least_one("_ni").alias("n_items"), _at_least_one("_np").alias("n_pays"),
+                    _at_least_one("_nr").alias("n_revs"),
+                    "pay_sum", F.coalesce("pay_cnt", F.lit(0)).alias("pay_cnt"),
+                    "rev_sum", F.coalesce("rev_cnt", F.lit(0)).alias("rev_cnt")))
+
+
+def _assemble(rows: _Rows, stats: DataFrame) -> Fanout:
+    def side(side_rows: DataFrame, keep: list[str]) -> DataFrame:
         # orders without rows on this side keep one NULL row (LEFT join);
         # rows of order ids absent from ``orders`` never reach the master
-        return (stats.select("order_id", *keep).join(rows, "order_id", "left")
+        return (stats.select("order_id", *keep).join(side_rows, "order_id", "left")
                 .withColumn("has_delivered", F.col("n_oc_del") > 0))
 
-    items = side(item_rows, ["n_oc", "n_oc_del", "n_pays", "n_revs", "pay_sum", "pay_cnt",
-                             "rev_sum", "rev_cnt", "dd_sum_del", "dd_cnt_del"])
+    items = side(rows.items, ["n_oc", "n_oc_del", "n_pays", "n_revs", "pay_sum", "pay_cnt",
+                              "rev_sum", "rev_cnt", "dd_sum_del", "dd_cnt_del"])
     items = items.withColumn(CATEGORY, F.coalesce(F.col(CATEGORY), F.lit("unknown")))
     return Fanout(
-        orders=orders.join(stats.select("order_id", "n_items", "n_pays", "n_revs", "pay_sum",
-                                        "pay_cnt", "rev_sum", "rev_cnt"), "order_id"),
+        orders=rows.orders.join(stats.select("order_id", "n_items", "n_pays", "n_revs", "pay_sum",
+                                             "pay_cnt", "rev_sum", "rev_cnt"), "order_id")
+        .withColumn("has_delivered", F.coalesce(F.col("order_status") == "delivered", F.lit(False))),
         items=items,
-        payments=side(pay_rows, ["n_oc", "n_oc_del", "n_items", "n_revs"]),
-        reviews=side(rev_rows, ["n_oc", "n_oc_del", "n_items", "n_pays"]),
+        payments=side(rows.payments, ["n_oc", "n_oc_del", "n_items", "n_revs"]),
+        reviews=side(rows.reviews, ["n_oc", "n_oc_del", "n_items", "n_pays"]),
     )
 
 
+def build_fanout(t: MarketplaceTables) -> Fanout:
+    """The four sides with per-order multiplicities and sums (lazy plan)."""
+    rows = _side_rows(t)
+    return _assemble(rows, _order_stats(rows))
+
+
 # --------------------------------------------------------- materialisation
 
 _MATERIALIZED: dict[tuple[str, str], dict[str, tuple[str, object, list[str]]]] = {}
@@ -214,21 +235,22 @@ def materialize_fanout(spark: SparkSession, t: MarketplaceTables, key: str) -> F
     cache_key = (spark.sparkContext.applicationId, key)
     with _LOCK:
         if cache_key not in _MATERIALIZED:
+            path = f"{checkpoint_dir(spark).rstrip('/')}/agora-fanout-{uuid.uuid4().hex}"
             fan = build_fanout(t)
-            base = f"{checkpoint_dir(spark).rstrip('/')}/agora-fanout-{uuid.uuid4().hex}"
-            written = {}
-            for name in ("orders", "items", "payments", "reviews"):
-                df = getattr(fan, name)
-                path = f"{base}/{name}"
-                part = "order_status" if name == "orders" else "has_delivered"
-                df.write.partitionBy(part).parquet(path)
-                written[name] = (path, df.schema)
-            _MATERIALIZED[cache_key] = written
-        written = _MATERIALIZED[cache_key]
-
-    def scan(name: str) -> DataFrame:
-        path, schema = written[name]
-        # the declared schema keeps the partition column's type and column order
-        return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
-
-    return Fanout(**{name: scan(name) for name in written})
+            names = ("orders", "items", "payments", "reviews")
+            # one job writes all four sides as one table: the sides share the
+            # de-duplicated inputs and the per-order statistics, and inside one
+            # plan Spark computes each shared exchange once and reuses it
+            tagged = [getattr(fan, n).withColumn("_side", F.lit(n)) for n in names]
+            union = tagged[0]
+            for df in tagged[1:]:
+                union = union.unionByName(df, allowMissingColumns=True)
+            union.write.partitionBy("_side", "has_delivered").parquet(path)
+            _MATERIALIZED[cache_key] = (path, union.schema,
+                                        {n: getattr(fan, n).columns for n in names})
+        path, schema, columns = _MATERIALIZED[cache_key]
+
+    table = spark.read.schema(schema).parquet(path)
+    # partition pruning on the side (and on has_delivered in the delivered view)
+    return Fanout(**{n: table.where(F.col("_side") == n).select(*cols)
+                     for n, cols in columns.items()})
