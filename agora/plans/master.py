@@ -1,5 +1,10 @@
 """The order-level master frame (#1) and its delivered / delivery subsets.
 
+This module builds the literal joined frame, which is the output of the
+``py_master`` query.  The analyses do not scan it: they use the factorised
+form in ``plans.fanout``, which gives the same aggregates without forming
+the item x payment x review rows of an order.
+
 Semantics kept from the workload definition:
 
 * six LEFT joins from orders: items, products, customers, payments, the
@@ -22,15 +27,11 @@ reviews are joined on ``order_id`` with one co-partitioned shuffle each.
 
 from __future__ import annotations
 
-import threading
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agora.functions import elapsed_days, month_period, weekday_name
 from agora.operators.joins import checked_broadcast, distinct_rows
-from agora.session import checkpoint_dir
 from agora.tables import MarketplaceTables
 
 DERIVED_COLUMNS = (
@@ -103,29 +104,3 @@ def with_delivery_data(delivered_rows: DataFrame) -> DataFrame:
             .dropna(subset=["delivery_days", "estimated_delivery_days"])
             .where(F.col("delivery_days") > 0))
 
-
-# (application id, key) -> (path, schema) of a written master table
-_MATERIALIZED: dict[tuple[str, str], tuple[str, object]] = {}
-_LOCK = threading.Lock()
-
-
-def materialize_master(spark: SparkSession, t: MarketplaceTables, key: str) -> DataFrame:
-    """Write the master frame once per application and ``key``; return a scan.
-
-    Some thirty analyses read the same fan-out join; joining six tables for
-    each of them would shuffle every input thirty times.  The frame is
-    written as Parquet under the shared ``spark.checkpoint.dir`` (it survives
-    executor loss and cuts the lineage), partitioned by ``order_status`` so
-    the ``delivered`` filter of the analyses becomes partition pruning; each
-    analysis then reads only the columns it needs.
-    """
-    cache_key = (spark.sparkContext.applicationId, key)
-    with _LOCK:
-        if cache_key not in _MATERIALIZED:
-            master = build_master(t)
-            path = f"{checkpoint_dir(spark).rstrip('/')}/agora-master-{uuid.uuid4().hex}"
-            master.write.partitionBy("order_status").parquet(path)
-            _MATERIALIZED[cache_key] = (path, master.schema)
-        path, schema = _MATERIALIZED[cache_key]
-    # the declared schema keeps the partition column's type and the column order
-    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
