@@ -9,8 +9,9 @@ pieces that all scale out:
    over many range partitions;
 2. ``sortWithinPartitions`` and the position inside the partition (the low 33
    bits of ``monotonically_increasing_id``);
-3. a reliable checkpoint in the shared ``spark.checkpoint.dir`` so the
-   partition assignment and positions are fixed even if executors are lost;
+3. the result is written once to the shared ``spark.checkpoint.dir``
+   (``session.stage``), so partition ids and positions are stored values,
+   fixed even if executors are lost and tasks re-run;
 4. rows per partition (one row per partition, a bounded table), their
    running total as the partition offset, broadcast back.
 
@@ -24,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agora.session import checkpoint_dir
+from agora.session import checkpoint_dir, stage
 
 _PART, _POS, _MID, _OFFSET, _TOTAL = "_rk_part", "_rk_pos", "_rk_mid", "_rk_offset", "_rk_total"
 
@@ -41,8 +42,9 @@ def global_rank(df: DataFrame, order_by: Sequence[Column], rank_col: str = "rank
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = (df.repartitionByRange(n_parts, *order_by)
                .sortWithinPartitions(*order_by)
-               .withColumn(_MID, F.monotonically_increasing_id())
-               .checkpoint(eager=True))
+               .withColumn(_MID, F.monotonically_increasing_id()))
+    # written once: partition ids and positions become plain stored values
+    ordered = stage(ordered)
     part = F.shiftright(F.col(_MID), 33)
     ordered = ordered.withColumns({_PART: part, _POS: F.col(_MID) - F.shiftleft(part, 33)})
 

@@ -22,7 +22,7 @@ from agora.functions import elapsed_days, exact_mean
 from agora.operators.binning import bin_by_edges, qcut
 from agora.operators.quantiles import quantiles_by_rank, quantiles_percentile
 from agora.plans.fanout import Fanout, pay_on_orders
-from agora.session import checkpoint_dir
+from agora.session import checkpoint_dir, stage
 
 QUINTILES = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
 # Frequency score edges (right-closed) and their scores.
@@ -57,8 +57,8 @@ def rfm_scored(fd: Fanout) -> DataFrame:
                  F.coalesce(F.sum(pay_on_orders()), F.lit(0)).alias("monetary_exact"))
             .select("customer_unique_id",
                     elapsed_days(reference, F.col("last_purchase")).alias("recency"),
-                    "frequency", "monetary_exact")
-            .checkpoint(eager=True))
+                    "frequency", "monetary_exact"))
+    base = stage(base)  # read by three passes
 
     r_edges = quantiles_percentile(base, "recency", QUINTILES)
     m_edges = quantiles_by_rank(base.withColumn("_m", F.col("monetary_exact").cast("double")),

@@ -9,7 +9,7 @@ from agora.functions import pct_of
 from agora.operators.ranking import global_rank
 from agora.plans.fanout import (Fanout, fan_sum, pay_on_items, rev_on_items, rev_rows_on_items,
                                 weighted_mean)
-from agora.session import checkpoint_dir
+from agora.session import checkpoint_dir, stage
 
 
 def seller_performance(fd: Fanout) -> DataFrame:
@@ -37,8 +37,8 @@ def seller_concentration(fd: Fanout, top_fraction: float = 0.1) -> DataFrame:
     """
     checkpoint_dir(fd.items.sparkSession)
     per_seller = (fd.items.groupBy("seller_id")
-                  .agg(F.coalesce(F.sum(pay_on_items()), F.lit(0)).alias("revenue"))
-                  .checkpoint(eager=True))
+                  .agg(F.coalesce(F.sum(pay_on_items()), F.lit(0)).alias("revenue")))
+    per_seller = stage(per_seller)  # read by the total and by the ranking
     total = per_seller.select(F.sum("revenue")).scalar()
     ranked = global_rank(per_seller.where(F.col("seller_id").isNotNull()),
                          [F.desc("revenue"), F.asc("seller_id")], "rank0", "sellers_n")
