@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from agora.plans import (customers, delivery, findings, payments, products, profile, revenue,
                          reviews, rfm, sellers, sql_queries)
-from agora.plans.fanout import Fanout, build_fanout, materialize_fanout
-from agora.plans.master import build_master
+from agora.plans.fanout import Fanout, build_fanout, master_rows, materialize_fanout
 from agora.sources.tpch_fixture import tpch_marketplace
 from agora.tables import MarketplaceTables
 
@@ -23,8 +22,8 @@ class Workspace:
     ``fanout`` is the factorised master frame (``plans.fanout``).  With
     ``materialize_key`` its four sides are written once per Spark application
     and key and every analysis scans them; without it each analysis plans the
-    joins itself.  ``master`` is the literal joined frame (only the query
-    that returns it needs it).
+    joins itself.  ``master`` is the literal joined frame, assembled from the
+    sides (only the query that returns it needs it).
     """
 
     def __init__(self, spark: SparkSession, tables: MarketplaceTables,
@@ -36,7 +35,7 @@ class Workspace:
 
     @property
     def master(self) -> DataFrame:
-        return build_master(self.tables)
+        return master_rows(self.fanout, self.tables)
 
     @property
     def fanout(self) -> Fanout:

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agora.operators.joins import checked_broadcast, distinct_rows
-from agora.plans.master import with_order_attributes
+from agora.plans.master import DERIVED_COLUMNS, with_order_attributes
 from agora.session import checkpoint_dir
 from agora.tables import MarketplaceTables
 
@@ -216,6 +216,25 @@ def build_fanout(t: MarketplaceTables) -> Fanout:
     return _assemble(rows, _order_stats(rows))
 
 
+def master_rows(fan: Fanout, t: MarketplaceTables) -> DataFrame:
+    """The literal master frame from the sides: every side already holds its
+    NULL row for an order without rows there, so inner joins on ``order_id``
+    give exactly the LEFT-join fan-out (orders x items x payments x reviews).
+    Only the query that returns the master frame itself uses this."""
+    def rest(df: DataFrame, *keys: str) -> list[str]:
+        return [c for c in df.columns if c not in keys]
+
+    items = fan.items.select("order_id", *rest(t.order_items, "order_id"),
+                             *rest(t.products, "product_id"), CATEGORY)
+    pays = fan.payments.select("order_id", *rest(t.payments, "order_id"))
+    revs = fan.reviews.select("order_id", "review_score")
+    joined = fan.orders.join(items, "order_id").join(pays, "order_id").join(revs, "order_id")
+    columns = (t.orders.columns + rest(t.order_items, "order_id") + rest(t.products, "product_id")
+               + rest(t.customers, "customer_id") + rest(t.payments, "order_id")
+               + rest(t.category_translation, "product_category_name") + ["review_score"])
+    return joined.select(*columns, *DERIVED_COLUMNS)
+
+
 # --------------------------------------------------------- materialisation
 
 _MATERIALIZED: dict[tuple[str, str], dict[str, tuple[str, object, list[str]]]] = {}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from agora.operators.stats import MOMENT_TYPE, correlation_from_moments, fold_moments
 from agora.plans.fanout import Fanout, w_items, w_orders, w_pays, w_revs
+from agora.session import stage
 from agora.tables import MarketplaceTables
 
 # Measures of the correlation study, in report order, with the side each lives on.
@@ -64,7 +65,6 @@ def correlation(fd: Fanout) -> DataFrame:
     sum_items(price) * sum_pays(payment) * rows_reviews * rows_orders.  Per-side
     sums are exact DECIMALs; nothing of size items x payments is formed.
     """
-    spark = fd.orders.sparkSession
     cols = CORRELATION_COLUMNS
     by_side = {s: [c for c in cols if _SIDE_OF[c] == s] for s in "iopr"}
     frames = {"i": fd.items, "o": fd.orders, "p": fd.payments, "r": fd.reviews}
@@ -77,8 +77,9 @@ def correlation(fd: Fanout) -> DataFrame:
         aggs += [F.sum(F.col(a) * F.col(b)).alias(f"p_{a}__{b}")
                  for a, b in [(m, m) for m in measures] + list(combinations(measures, 2))]
         per_order.append(src.groupBy("order_id").agg(*aggs))
-    # one row per order on every side: inner joins drop orders with no complete row
-    orders = reduce(lambda a, b: a.join(b, "order_id"), per_order)
+    # one row per order on every side: inner joins drop orders with no complete row;
+    # the per-order table is written once and read by every moment pass
+    orders = stage(reduce(lambda a, b: a.join(b, "order_id"), per_order))
 
     def others(*sides: str) -> str:
         return " * ".join(f"c_{s}" for s in "iopr" if s not in sides) or "1"
@@ -94,5 +95,4 @@ def correlation(fd: Fanout) -> DataFrame:
             exprs[f"p_{a}__{b}"] = f"SUM({inner} * {others(sa)})"
         else:
             exprs[f"p_{a}__{b}"] = f"SUM(s_{a} * s_{b} * {others(sa, sb)})"
-    del spark
     return correlation_from_moments(fold_moments(orders, exprs), cols)

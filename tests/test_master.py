@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from agora.plans.fanout import build_fanout, master_rows
 from agora.plans.master import build_master, delivered
 from agora.sources import tpch_marketplace
 from tests.conftest import SF0001
@@ -28,6 +29,8 @@ def test_distinct_below_joins_equals_naive_form(spark):
     a, b = ours.select(*cols), naive.select(*cols)
     assert a.count() == b.count()
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    c = master_rows(build_fanout(t), t).select(*cols)
+    assert c.exceptAll(b).count() == 0 and b.exceptAll(c).count() == 0
 
 
 def test_master_semantics(spark):
