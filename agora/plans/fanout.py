@@ -179,7 +179,7 @@ def _order_stats(rows: _Rows) -> DataFrame:
     rev_stats = rows.reviews.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("_nr"), F.sum("review_score").alias("rev_sum"),
         F.count("review_score").alias("rev_cnt"))
-    # every input is one row per order id, so these joins are 1:1
+    # every input is one row per order id, so these joins are 1:1 (no skew)
     return (oc_stats.join(item_stats, "order_id", "left")
             .join(pay_stats, "order_id", "left")
             .join(rev_stats, "order_id", "left")
@@ -187,26 +187,35 @@ def _order_stats(rows: _Rows) -> DataFrame:
                     _at_least_one("_ni").alias("n_items"), _at_least_one("_np").alias("n_pays"),
                     _at_least_one("_nr").alias("n_revs"),
                     "pay_sum", F.coalesce("pay_cnt", F.lit(0)).alias("pay_cnt"),
-                    "rev_sum", F.coalesce("rev_cnt", F.lit(0)).alias("rev_cnt")))
+                    "rev_sum", F.coalesce("rev_cnt", F.lit(0)).alias("rev_cnt"),
+                    F.col("_ni").isNotNull().alias("has_items"),
+                    F.col("_np").isNotNull().alias("has_pays"),
+                    F.col("_nr").isNotNull().alias("has_revs")))
 
 
 def _assemble(rows: _Rows, stats: DataFrame) -> Fanout:
-    def side(side_rows: DataFrame, keep: list[str]) -> DataFrame:
-        # orders without rows on this side keep one NULL row (LEFT join);
-        # rows of order ids absent from ``orders`` never reach the master
-        return (stats.select("order_id", *keep).join(side_rows, "order_id", "left")
+    def side(side_rows: DataFrame, keep: list[str], has_rows: str) -> DataFrame:
+        # rows of order ids absent from ``orders`` never reach the master, so the
+        # match is an INNER join: AQE may split a skewed key on either side of
+        # it (an order holding a third of all items is spread over tasks),
+        # which a LEFT join from the per-order table would not allow.  Orders
+        # without rows on this side get their one NULL row from a union.
+        per_order = stats.select("order_id", has_rows, *keep)
+        matched = per_order.join(side_rows, "order_id")
+        empty = per_order.where(~F.col(has_rows))
+        return (matched.unionByName(empty, allowMissingColumns=True).drop(has_rows)
                 .withColumn("has_delivered", F.col("n_oc_del") > 0))
 
     items = side(rows.items, ["n_oc", "n_oc_del", "n_pays", "n_revs", "pay_sum", "pay_cnt",
-                              "rev_sum", "rev_cnt", "dd_sum_del", "dd_cnt_del"])
+                              "rev_sum", "rev_cnt", "dd_sum_del", "dd_cnt_del"], "has_items")
     items = items.withColumn(CATEGORY, F.coalesce(F.col(CATEGORY), F.lit("unknown")))
     return Fanout(
         orders=rows.orders.join(stats.select("order_id", "n_items", "n_pays", "n_revs", "pay_sum",
                                              "pay_cnt", "rev_sum", "rev_cnt"), "order_id")
         .withColumn("has_delivered", F.coalesce(F.col("order_status") == "delivered", F.lit(False))),
         items=items,
-        payments=side(rows.payments, ["n_oc", "n_oc_del", "n_items", "n_revs"]),
-        reviews=side(rows.reviews, ["n_oc", "n_oc_del", "n_items", "n_pays"]),
+        payments=side(rows.payments, ["n_oc", "n_oc_del", "n_items", "n_revs"], "has_pays"),
+        reviews=side(rows.reviews, ["n_oc", "n_oc_del", "n_items", "n_pays"], "has_revs"),
     )
 
 
