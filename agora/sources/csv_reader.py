@@ -3,8 +3,13 @@
 Every column is first read as a string (no ``inferSchema`` pass over the
 data), then the known columns are cast to their types.  Casting runs under
 ANSI mode, so a malformed date or number fails the job instead of turning
-into NULL.  ``multiLine`` keeps quoted newlines inside one record; Spark's
-CSV reader drops a UTF-8 byte-order mark on the header.
+into NULL.  Spark's CSV reader drops a UTF-8 byte-order mark on the header.
+
+``multiline=True`` (the default) keeps quoted newlines (free-text fields)
+inside one record.  A multi-line CSV file cannot be split, so each file is
+parsed by one task: exports should then come as many files.  For large
+exports known to have no embedded newlines, ``multiline=False`` lets Spark
+split every file into many tasks.
 """
 
 from __future__ import annotations
@@ -18,10 +23,11 @@ from agora.sources.schemas import COLUMN_TYPES
 from agora.tables import MarketplaceTables
 
 
-def read_typed_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
+def read_typed_csv(spark: SparkSession, path: str, table: str,
+                   multiline: bool = True) -> DataFrame:
     raw = (spark.read
            .option("header", True)
-           .option("multiLine", True)
+           .option("multiLine", multiline)
            .option("escape", '"')
            .option("mode", "FAILFAST")
            .csv(path))
@@ -39,7 +45,8 @@ def read_typed_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
 
 
 def read_marketplace_csv(spark: SparkSession, folder: str,
-                         files: dict[str, str] | None = None) -> MarketplaceTables:
+                         files: dict[str, str] | None = None,
+                         multiline: bool = True) -> MarketplaceTables:
     """Read the eight tables from ``folder``.
 
     ``files`` maps a table name (``orders``, ``order_items``, ``products``,
@@ -48,5 +55,6 @@ def read_marketplace_csv(spark: SparkSession, folder: str,
     ``<table>.csv``.
     """
     names = {t: (files or {}).get(t, f"{t}.csv") for t in COLUMN_TYPES}
-    frames = {t: read_typed_csv(spark, os.path.join(folder, f), t) for t, f in names.items()}
+    frames = {t: read_typed_csv(spark, os.path.join(folder, f), t, multiline)
+              for t, f in names.items()}
     return MarketplaceTables(**frames)
