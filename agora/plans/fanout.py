@@ -246,7 +246,8 @@ def master_rows(fan: Fanout, t: MarketplaceTables) -> DataFrame:
 
 # --------------------------------------------------------- materialisation
 
-_MATERIALIZED: dict[tuple[str, str], dict[str, tuple[str, object, list[str]]]] = {}
+# (application id, key) -> (path, schema, columns of each side)
+_MATERIALIZED: dict[tuple[str, str], tuple[str, object, dict[str, list[str]]]] = {}
 _LOCK = threading.Lock()
 
 
@@ -256,9 +257,9 @@ def materialize_fanout(spark: SparkSession, t: MarketplaceTables, key: str) -> F
     About thirty analyses read these sides; planning the joins for each would
     shuffle every input thirty times.  The sides are written as Parquet under
     the shared ``spark.checkpoint.dir`` (surviving executor loss and cutting
-    the lineage).  ``orders`` is partitioned by ``order_status`` and the other
-    sides by whether the order has a delivered row, so the ``delivered``
-    filters of the analyses become partition pruning.
+    the lineage).  All four go into one table partitioned by ``_side`` and
+    ``has_delivered``, so reading a side and the ``delivered`` filter of the
+    analyses are partition pruning, and each analysis reads only its columns.
     """
     cache_key = (spark.sparkContext.applicationId, key)
     with _LOCK:
@@ -267,8 +268,8 @@ def materialize_fanout(spark: SparkSession, t: MarketplaceTables, key: str) -> F
             fan = build_fanout(t)
             names = ("orders", "items", "payments", "reviews")
             # one job writes all four sides as one table: the sides share the
-            # de-duplicated inputs and the per-order statistics, and inside one
-            # plan Spark computes each shared exchange once and reuses it
+            # de-duplicated inputs and the per-order statistics, and within one
+            # plan Spark can reuse the exchanges they have in common
             tagged = [getattr(fan, n).withColumn("_side", F.lit(n)) for n in names]
             union = tagged[0]
             for df in tagged[1:]:
