@@ -7,10 +7,12 @@
   F = fixed edges 0,1,2,3,5,inf; M = equal-frequency quintile of monetary;
 * the first matching segment rule wins.
 
-Plan: one shuffle by customer builds the per-customer table, which is
-checkpointed (it is read by several passes); recency quintiles use Spark's
-exact ``percentile`` (day counts: bounded number of distinct values),
-monetary quintiles use the scalable rank-based quantile operator.
+Plan: one shuffle by customer over the order side of the factorised master
+builds the per-customer table (monetary = sum of pay_sum * n_items * n_revs),
+which is written once (``session.stage``) because several passes read it;
+recency quintiles use Spark's exact ``percentile`` (day counts: a bounded
+number of distinct values), monetary quintiles use the scalable rank-based
+quantile operator.  The edge arrays are scalar subqueries bound once.
 """
 
 from __future__ import annotations
