@@ -113,16 +113,16 @@ SQL_ANALYSES: dict[str, Analysis] = {
 ALL_ANALYSES: dict[str, Analysis] = {**PY_ANALYSES, **SQL_ANALYSES}
 
 
-# (application id, folder) -> Workspace.  A workspace holds lazy plans only
-# (and the location of the written master); no data is cached in memory.
-_WORKSPACES: dict[tuple[str, str], Workspace] = {}
+# (application id, session, folder) -> Workspace.  A workspace holds lazy plans
+# only (and the location of the written sides); no data is cached in memory.
+_WORKSPACES: dict[tuple[str, int, str], Workspace] = {}
 
 
 def tpch_workspace(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Workspace:
     folder = os.path.abspath(sf_dir)
     if not materialize:
         return Workspace(spark, tpch_marketplace(spark, folder))
-    key = (spark.sparkContext.applicationId, folder)
+    key = (spark.sparkContext.applicationId, id(spark), folder)
     if key not in _WORKSPACES:
         _WORKSPACES[key] = Workspace(spark, tpch_marketplace(spark, folder), "tpch:" + folder)
     return _WORKSPACES[key]
