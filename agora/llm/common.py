@@ -6,6 +6,7 @@ operator names are read, so extra columns never clash; an empty table gives an e
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,12 +14,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.session import stage  # noqa: F401  (re-exported for the operators)
+from agora.session import checkpoint_dir
 
 #: Chunks of this many bytes are worked on at once in numpy, so that temporaries stay small.
 CHUNK_BYTES = 1 << 20
 
 
+def shared_folder(spark: SparkSession) -> str:
+    return checkpoint_dir(spark).rstrip("/")
+
+
+def stage(df: DataFrame, compression: str | None = None) -> DataFrame:
+    """Write ``df`` below the shared checkpoint folder and return a scan of it (cuts the lineage)."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/agora-llm-{uuid.uuid4().hex}"
+    writer = df.write if compression is None else df.write.option("compression", compression)
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -102,3 +116,17 @@ def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends (exclusive) of the maximal runs of true values."""
     edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
     return edge[0::2], edge[1::2]
+
+
+def segments(kind: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the maximal stretches of one non-zero kind that cross no cut."""
+    if not len(kind):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    new = np.empty(len(kind), bool)
+    new[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=new[1:])
+    new[cuts[cuts < len(kind)]] = True
+    starts = np.flatnonzero(new)
+    lengths = np.diff(np.append(starts, len(kind)))
+    some = kind[starts] > 0
+    return starts[some], lengths[some]

@@ -18,11 +18,12 @@ lines that this document keeps), whatever their texts.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from agora.llm.common import map_batches, stage, texts
 
@@ -96,6 +97,20 @@ def _row_key() -> list[Column]:
     return [F.coalesce("doc_id", F.lit(_NO_DOC)).alias("doc"), F.xxhash64("text").alias("text_hash")]
 
 
+@F.pandas_udf(T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()),
+                            T.StructField("kept", T.StringType())]))
+def _cut(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
+    """Texts without the lines numbered in ``gone``."""
+    rows = []
+    for whole, numbers in zip(text, gone):
+        if numbers is None:
+            rows.append((whole.count("\n") + 1, 0, whole))
+        else:
+            lines, out = whole.split("\n"), set(numbers.tolist())
+            rows.append((len(lines), len(out), "\n".join([x for i, x in enumerate(lines) if i not in out])))
+    return pd.DataFrame(rows, columns=["n_lines", "n_dropped", "kept"])
+
+
 def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc, text_hash, hi, lo, line_nos) for each row and each key of it."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -121,8 +136,10 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
-                        batches: int = 4) -> DataFrame:
-    """``doc_id, n_lines, n_dropped, kept`` (the text that stays) for every row of ``docs``.
+                        batches: int = 4, carry: bool = False) -> DataFrame:
+    """``doc_id, n_lines, n_dropped, kept`` (the text that stays) for every row of ``docs``; with
+    ``carry`` instead the columns of ``docs``, with what stays as ``text`` (null stays null) and
+    its length as ``n_chars`` if there is such a column.
 
     ``batches``: so many doc_id ranges of about equal size are added one after the other.
     """
@@ -142,20 +159,12 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
     dropped = (lines.join(repeated, KEY).where(F.col("doc") != F.col("keeper"))
                .select("doc", "text_hash", F.explode("line_nos").alias("line_no")).distinct()
                .groupBy("doc", "text_hash").agg(F.collect_list("line_no").alias("gone")))
-    rows = texts(docs).select("doc_id", *_row_key(), "text")
-
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n_lines, n_dropped, kept = [], [], []
-        for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            parts = text.split("\n")
-            gone = set(gone or ())
-            n_lines.append(len(parts))
-            n_dropped.append(len(gone))
-            kept.append("\n".join(p for i, p in enumerate(parts) if i not in gone) if gone else text)
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()),
-             pa.array(kept, pa.large_string()).cast(batch.column(1).type)],
-            ["doc_id", "n_lines", "n_dropped", "kept"])
-
-    joined = rows.join(dropped, ["doc", "text_hash"], "left").select("doc_id", "text", "gone")
-    return map_batches(joined, cut, "doc_id bigint, n_lines bigint, n_dropped bigint, kept string")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).select(
+        "row", F.col("row.doc_id").cast("bigint").alias("doc_id"), F.coalesce("row.text", F.lit("")).alias("text"))
+    rows = rows.select("row", "doc_id", "text", *_row_key())
+    done = rows.join(dropped, ["doc", "text_hash"], "left").select("row", "doc_id", _cut("text", "gone").alias("cut"))
+    if not carry:
+        return done.select("doc_id", "cut.*")
+    kept = F.when(F.col("row.text").isNotNull(), F.col("cut.kept"))
+    new = {"text": kept, "n_chars": F.length(kept).cast("bigint")}
+    return done.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agora.llm.common import groups_of_rows, hash_tokens, runs_of, texts, utf8
+from agora.llm.common import groups_of_rows, hash_tokens, segments, texts, utf8
 
 ROWS, DIM, ACTIVE, WINDOW = 8192, 32, 2, 2
 STRIPE = 512  # rows of the table in one record while it is summed
@@ -39,17 +39,13 @@ _CLASS = np.full(256, 2, np.uint8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
 _CLASS[48:58] = _CLASS[65:91] = _CLASS[97:123] = 1
 _CLASS[128:] = 1
-_UPPER = np.zeros(256, np.uint8)
-_UPPER[65:91] = 1
 
 
-def token_rows(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Table row and start of every token: runs of word bytes and runs of punctuation."""
+def token_rows(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Table row and start of every token (a run of word bytes or of punctuation); ``cuts`` are
+    the texts' first bytes, which no token crosses."""
     kind = _CLASS[data]
-    change = np.flatnonzero(np.diff(np.concatenate(([0], kind)))) if len(kind) else np.empty(0, int)
-    ends = np.append(change[1:], len(data))
-    word = kind[change] > 0 if len(change) else np.empty(0, bool)
-    starts, lengths = change[word], (ends - change)[word]
+    starts, lengths = segments(kind, cuts)
     return (hash_tokens(data[kind > 0], lengths) & np.uint64(ROWS - 1)).astype(np.int64), starts
 
 
@@ -65,7 +61,7 @@ def _context_table(columns: Iterator[pa.Array]) -> np.ndarray:
     for column in columns:
         data, at = utf8(column)
         for a, b in groups_of_rows(at):
-            rows, starts = token_rows(data[at[a]:at[b]])
+            rows, starts = token_rows(data[at[a]:at[b]], at[a:b] - at[a])
             doc = np.searchsorted(at[a:b + 1] - at[a], starts, "right")
             for gap in range(1, WINDOW + 1):
                 near = doc[gap:] == doc[:-gap]
@@ -112,7 +108,7 @@ def pool(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
     data, at = utf8(column)
     out = np.zeros((len(column), FEATURES), np.float32)
     for a, b in groups_of_rows(at):
-        rows, starts = token_rows(data[at[a]:at[b]])
+        rows, starts = token_rows(data[at[a]:at[b]], at[a:b] - at[a])
         first = np.searchsorted(starts, at[a:b + 1] - at[a])
         count = np.diff(first)
         some = np.flatnonzero(count)

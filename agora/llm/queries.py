@@ -5,28 +5,84 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.llm.common import read_table, texts
+from agora.llm import bpe, decontaminate, digest, html, huffman, pii, substrings
+from agora.llm.common import read_table
 from agora.llm.linededup import drop_repeated_lines
 from agora.llm.quality import fit_quality, fold
 from agora.llm.simhash import near_duplicates
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = digest.fingerprints(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
+                      "edited_fingerprint", "near_edited", "near_next")
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+                        F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"),
+                        "spans", "n_added")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def bpe_digests(docs: DataFrame, encoder: bpe.BytePairEncoder) -> DataFrame:
+    """Number and hash of each document's ids, and the hash of the text decoded from them."""
+    tokens = bpe.decode(bpe.encode(docs, encoder), encoder)
+    return tokens.select("doc_id", F.expr("octet_length(ids) div 4").cast("bigint").alias("n_tokens"),
+                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
+    encoder = bpe.BytePairEncoder.load(tokenizer_path(tokenizer))
+    return bpe_digests(read_table(spark, sf_dir, "documents"), encoder)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_repeated_lines(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
     model = fit_quality(docs, labels, train=fold(F.col("doc_id")) != 0)
     return model.score(docs).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash, op6_line_dedup, op8_quality)}
+def op9_huffman(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
+    folder = huffman.new_folder(spark)
+    encoder = huffman.LibraryEncoder.load(tokenizer_path(tokenizer))
+    huffman.write_ids(read_table(spark, sf_dir, "documents"), encoder, folder, end=1)
+    return huffman.read_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(read_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_digest, op2_decontaminate, op3_pii, op4_simhash, op5_bpe, op6_line_dedup,
+                                   op7_substrings, op8_quality, op9_huffman, op10_html)}
 
 #: DuckDB SQL over the same tables, where SQL can express the result.
 ORACLE_SQL: dict[str, str] = {}
