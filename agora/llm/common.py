@@ -43,6 +43,15 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
                        F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def cut_points(df: DataFrame, column: str, parts: int, error: float) -> list[int]:
+    """At most ``parts - 1`` ascending values that cut the integer ``column`` into parts of
+    about equal size."""
+    if parts < 2:
+        return []
+    found = df.approxQuantile(column, [i / parts for i in range(1, parts)], error)
+    return sorted({min(int(x), (1 << 63) - 1) for x in found})
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None],
                 schema: str) -> DataFrame:
     """``mapInArrow`` with one result batch per non-empty input batch."""

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.llm.common import groups_of_rows, mix, texts, utf8
+from agora.llm.common import cut_points, groups_of_rows, mix, texts, utf8
 
 WINDOW, POINTS, BINS = 64, 16, 1001
 BITS, HASHES, FILL = 2048, 5, 160
@@ -186,12 +186,11 @@ def _in_order(docs: DataFrame) -> DataFrame:
     every text is followed by the next one; after the last part comes the first."""
     base = texts(docs).select(F.coalesce("doc_id", F.lit(_NO_DOC)).alias("key"), "doc_id", "text")
     parts = min(MAX_PARTS, base.count() // ROWS_PER_PART + 1)
-    cuts = sorted(set(base.approxQuantile("key", [i / parts for i in range(1, parts)], 0.0005))) if parts > 1 else []
-    edges = np.array(cuts)
+    edges = np.array(cut_points(base, "key", parts, 0.0005), np.int64)
 
     @F.pandas_udf("int")
     def part_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, key.to_numpy(np.float64), "right").astype(np.int32))
+        return pd.Series(np.searchsorted(edges, key.to_numpy(np.int64), "right").astype(np.int32))
 
     numbered = base.select("key", part_of("key").alias("part"))
     heads = sorted((r["part"], r["head"]) for r in numbered.groupBy("part").agg(F.min("key").alias("head")).collect())

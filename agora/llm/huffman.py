@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.llm.common import shared_folder, stage, texts
+from agora.llm.common import cut_points, shared_folder, stage, texts
 
 LIMIT = 16
 STRIDE = 256
@@ -202,11 +202,11 @@ def _in_order(docs: DataFrame, encoder: LibraryEncoder, end: int) -> DataFrame:
     """Blocks of raw ids (part, block, doc_ids, sizes, n_ids, ids) in ascending doc_id order."""
     base = texts(docs).select(F.coalesce("doc_id", F.lit(_NO_DOC)).alias("key"), "doc_id", "text")
     parts = min(MAX_PARTS, base.count() // ROWS_PER_PART + 1)
-    cuts = np.array(sorted(set(base.approxQuantile("key", [i / parts for i in range(1, parts)], 0.0005))) if parts > 1 else [])
+    cuts = np.array(cut_points(base, "key", parts, 0.0005), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = pa.array(np.searchsorted(cuts, batch.column(0).to_numpy().astype(np.float64), "right"), pa.int32())
+            part = pa.array(np.searchsorted(cuts, batch.column(0).to_numpy(), "right"), pa.int32())
             for a in range(0, batch.num_rows, STEP_TEXTS):
                 rows = batch.slice(a, STEP_TEXTS)
                 yield pa.RecordBatch.from_arrays(

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agora.llm.common import map_batches, stage, texts
+from agora.llm.common import cut_points, map_batches, stage, texts
 
 #: White space stripped from a line for its key.
 STRIP = " \t\n\r\x0b\x0c"
@@ -144,8 +144,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
     ``batches``: so many doc_id ranges of about equal size are added one after the other.
     """
     lines = stage(line_hashes(docs, min_chars))
-    cuts = sorted({x for x in lines.approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01)})
-    edges = [None, *[int(c) for c in cuts], None]
+    edges = [None, *cut_points(lines, "doc", batches, 0.01), None]
     pairs = lines.select(*KEY, "doc").distinct()
     runs = SortedRuns()
     for low, high in reversed(list(zip(edges[:-1], edges[1:]))):

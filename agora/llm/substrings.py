@@ -135,7 +135,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _united(doc: np.ndarray, text_hash: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
     """Stretches of the same text that touch become one."""
-    order = np.lexsort((start, text_hash, doc))
+    order = np.lexsort((end, start, text_hash, doc))
     doc, text_hash, start, end = doc[order], text_hash[order], start[order], end[order]
     same = np.zeros(len(doc), bool)
     same[1:] = (doc[1:] == doc[:-1]) & (text_hash[1:] == text_hash[:-1]) & (start[1:] <= end[:-1])
