@@ -1,11 +1,11 @@
 """Column expressions shared by the analyses (all JVM-side, codegen friendly)."""
 
 from agora.functions.scalar import (
-    calendar_days, elapsed_days, exact_mean, field_position, month_period,
-    money_sum, null_if_zero, pct_of, round_half_up, weekday_name,
+    calendar_days, elapsed_days, exact_mean, field_position, half_up, month_period,
+    null_if_zero, pct_of, weekday_name,
 )
 
 __all__ = [
-    "calendar_days", "elapsed_days", "exact_mean", "field_position", "month_period",
-    "money_sum", "null_if_zero", "pct_of", "round_half_up", "weekday_name",
+    "calendar_days", "elapsed_days", "exact_mean", "field_position", "half_up", "month_period",
+    "null_if_zero", "pct_of", "weekday_name",
 ]

@@ -6,7 +6,7 @@ Determinism rules used throughout the package:
   independent of partitioning; results are converted to ``DOUBLE`` once;
 * a mean is ``CAST(SUM(x) AS DOUBLE) / COUNT(x)`` over an exact sum (one
   correctly rounded division), never a running floating-point average;
-* rounding is half-up on a decimal image of the value;
+* rounding of a ratio is half-up, once, in integer arithmetic;
 * day arithmetic on ``TIMESTAMP_NTZ`` is wall-clock (time-zone free).
 """
 
@@ -53,9 +53,23 @@ def null_if_zero(c: Column) -> Column:
     return F.when(c != 0, c)
 
 
-def round_half_up(c: Column | str, digits: int) -> Column:
-    """Half-up rounding on a decimal image of ``c``, returned as DOUBLE."""
-    return F.round(_col(c).cast("decimal(38,10)"), digits).cast("double")
+def half_up(total: Column | str, count: Column | str, digits: int) -> Column:
+    """``total / count`` rounded half up (away from zero) to ``digits`` decimals, as DOUBLE.
+
+    ``total`` is an exact integer or DECIMAL with at most ``digits`` decimals and ``count`` an
+    exact number; the ratio is rounded once, in integer arithmetic.  NULL for a NULL or zero
+    ``count``."""
+    total, count = _col(total), _col(count)
+    unit = 10 ** digits
+    down = (total.cast("decimal(38,2)") * F.lit(unit).cast("decimal(9,0)")).cast("decimal(38,0)")
+    over = count.cast("decimal(38,2)")
+    # the same factor above and below makes both whole numbers
+    n = (F.abs(down) * 100).cast("decimal(38,0)")
+    d = F.abs((over * 100).cast("decimal(38,0)"))
+    twice, room = (n * 2 + d).cast("decimal(38,0)"), (d * 2).cast("decimal(38,0)")
+    whole = ((twice - F.pmod(twice, room)) / room).cast("decimal(38,0)").cast("double")
+    sign = F.when((down < 0) != (over < 0), -1.0).otherwise(1.0)
+    return F.when(over != 0, sign * whole / F.lit(float(unit)))
 
 
 def exact_mean(c: Column | str) -> Column:
@@ -67,11 +81,6 @@ def exact_mean(c: Column | str) -> Column:
     return F.sum(c).cast("double") / null_if_zero(F.count(c))
 
 
-def money_sum(c: Column | str) -> Column:
-    """Sum that is 0 for a group with no values (pandas ``sum`` semantics)."""
-    return F.coalesce(F.sum(_col(c)), F.lit(0)).cast("double")
-
-
 def pct_of(part: Column | str, whole: Column | str) -> Column:
     """``part / whole * 100`` in DOUBLE, NULL for a zero ``whole``."""
     return _col(part).cast("double") / null_if_zero(_col(whole).cast("double")) * 100

@@ -62,19 +62,22 @@ def global_rank(df: DataFrame, order_by: Sequence[Column], rank_col: str = "rank
     return ranked.drop(_MID, _PART, _POS, _OFFSET, _TOTAL)
 
 
-def ntile_of_rank(rank0: Column, total: Column, tiles: int) -> Column:
-    """SQL NTILE(tiles) for a 0-based rank among ``total`` rows: the first
-    ``total % tiles`` tiles hold one row more than the others."""
-    q = F.floor(total / tiles)
-    r = total - q * tiles
-    big = r * (q + 1)
-    return F.when(rank0 < big, F.floor(rank0 / (q + 1)) + 1) \
-            .otherwise(F.floor((rank0 - big) / q) + r + 1).cast("bigint")
-
-
-def global_ntile(df: DataFrame, tiles: int, order_by: Sequence[Column], out_col: str,
-                 partitions: int | None = None) -> DataFrame:
-    """``NTILE(tiles) OVER (ORDER BY order_by)`` as a scalable operator."""
-    ranked = global_rank(df, order_by, "_nt_rank", "_nt_total", partitions)
-    return (ranked.withColumn(out_col, ntile_of_rank(F.col("_nt_rank"), F.col("_nt_total"), tiles))
-            .drop("_nt_rank", "_nt_total"))
+def ntile_cuts(df: DataFrame, value: Column, id_col: str, tiles: int) -> list[tuple[Column, Column]]:
+    """The (value, id) literals where tiles 2 .. ``tiles`` of ``NTILE(tiles) OVER (ORDER BY value,
+    id)`` begin.  Only the two columns are ranked; at most ``tiles - 1`` rows reach the driver."""
+    narrow = df.select(value.alias("_v"), F.col(id_col).alias("_id"))
+    ranked = global_rank(narrow, [F.asc("_v"), F.asc("_id")], "_rank", "_total")
+    size, rest = F.floor(F.col("_total") / tiles), F.col("_total") % tiles
+    starts = F.array(*[F.lit(k) * size + F.least(F.lit(k), rest) for k in range(1, tiles)])
+    rows = ranked.where(F.array_contains(starts, F.col("_rank"))).collect()
+    types = narrow.schema["_v"].dataType, narrow.schema["_id"].dataType
+    return [(F.lit(r["_v"]).cast(types[0]), F.lit(r["_id"]).cast(types[1])) for r in sorted(rows, key=lambda r: r["_rank"])]
+
+
+def tile_of(value: Column, row_id: Column, cuts: list[tuple[Column, Column]]) -> Column:
+    """The tile of a row, from the cuts that :func:`ntile_cuts` gives (NULL sorts first)."""
+    own = F.struct(value.alias("v"), row_id.alias("i"))
+    tile = F.lit(1).cast("bigint")
+    for v, i in cuts:
+        tile = tile + F.when(own >= F.struct(v.alias("v"), i.alias("i")), 1).otherwise(0)
+    return tile

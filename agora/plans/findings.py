@@ -3,13 +3,14 @@ from the same delivered master rows (script grain) or payment grain (SQL)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.functions import null_if_zero, pct_of
+from agora.operators.reshape import with_share
 from agora.plans.fanout import (CATEGORY, Fanout, fan_sum, pay_on_items, pay_on_orders,
                                 pay_rows_on_orders, w_orders, weighted_mean)
-from agora.plans.sql_queries import PAYMENT_METHODS
+from agora.plans.payment_grain import payment_methods
 from agora.tables import MarketplaceTables
 
 MONTHS = list(range(1, 13))
@@ -74,14 +75,6 @@ def state_delivery_days(dd: DataFrame) -> DataFrame:
             .orderBy(F.desc("avg_delivery_days"), "customer_state"))
 
 
-PAYMENT_SHARE = f"""
-SELECT *, CAST(total_orders AS DOUBLE) / NULLIF(CAST(SUM(total_orders) OVER () AS DOUBLE), 0) * 100
-          AS share_pct
-FROM ({PAYMENT_METHODS.replace("ORDER BY total_orders DESC", "")})
-ORDER BY total_orders DESC
-"""
-
-
-def payment_share_sql(spark: SparkSession, t: MarketplaceTables) -> DataFrame:
+def payment_share(t: MarketplaceTables) -> DataFrame:
     """Payment methods at payment grain with each type's share of orders."""
-    return spark.sql(PAYMENT_SHARE, **t.sql_args())
+    return with_share(payment_methods(t), "total_orders").orderBy(F.desc("total_orders"), "payment_type")

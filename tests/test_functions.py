@@ -3,7 +3,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from agora.functions import (calendar_days, elapsed_days, exact_mean, field_position,
-                             month_period, pct_of, round_half_up, weekday_name)
+                             half_up, month_period, pct_of, weekday_name)
 
 
 def test_elapsed_days_floors_like_timedelta_days(spark):
@@ -37,10 +37,13 @@ def test_calendar_labels(spark):
     assert tuple(row) == ("2017-11", "Friday", 20)
 
 
-def test_round_half_up(spark):
-    df = spark.createDataFrame([(1.005,), (2.675,), (-1.005,), (0.125,), (None,)], "x double")
-    got = [r[0] for r in df.select(round_half_up("x", 2)).collect()]
-    assert got == [1.01, 2.68, -1.01, 0.13, None]
+def test_half_up_rounds_an_exact_ratio_once(spark):
+    rows = [("10.05", 2, 5.03), ("0.05", 2, 0.03), ("-10.05", 2, -5.03), ("1.00", 3, 0.33), ("2.00", 3, 0.67), ("7", 0, None),
+            (None, 1, None), ("2.99", -2, -1.5), ("99999999999999.99", 7, 14285714285714.28)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(rows)], "i int, a string, b bigint")
+    got = [r[0] for r in df.orderBy("i").select(half_up(F.col("a").cast("decimal(38,2)"), "b", 2)).collect()]
+    assert got == [r[2] for r in rows]
+    assert spark.range(1).select(half_up(F.lit(5), F.lit(2), 0), half_up(F.lit(1), F.lit(20), 1)).first()[:] == (3.0, 0.1)
 
 
 def test_exact_mean_and_pct(spark):

@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from agora.operators.binning import bin_by_edges, equal_width_histogram, qcut
 from agora.operators.quantiles import quantiles_by_rank, quantiles_percentile
-from agora.operators.ranking import global_ntile, global_rank
+from agora.operators.ranking import global_rank, ntile_cuts, tile_of
 from agora.operators.reshape import reindex, with_share
-from agora.operators.stats import correlation_matrix, null_profile
 
 
 def skewed(spark, n=3000):
@@ -34,7 +33,7 @@ def test_global_rank_total_order_with_hot_key(spark):
 @pytest.mark.parametrize("n_rows", [3000, 4, 13])
 def test_global_ntile_matches_window_ntile(spark, n_rows):
     df, _ = skewed(spark, n_rows)
-    got = global_ntile(df, 5, [F.asc("k"), F.asc("id")], "t", partitions=5)
+    got = df.select("id", tile_of(F.col("k"), F.col("id"), ntile_cuts(df, F.col("k"), "id", 5)).alias("t"))
     ref = df.withColumn("t_ref", F.ntile(5).over(Window.orderBy("k", "id")))
     joined = got.join(ref, "id")
     assert joined.where(F.col("t") != F.col("t_ref")).count() == 0
@@ -91,31 +90,35 @@ def test_histogram_matches_numpy(spark, values):
     assert np.allclose(got["upper"], edges[1:], rtol=0, atol=1e-12)
 
 
-def test_correlation_matches_pandas(spark):
-    rng = np.random.default_rng(3)
-    pdf = pd.DataFrame({"a": rng.normal(50, 10, 500).round(2), "b": rng.integers(1, 6, 500)})
-    pdf["c"] = (pdf["a"] * 0.5 + rng.normal(0, 3, 500)).round(2)
-    pdf["k"] = 7.0  # constant column
-    pdf.loc[3, "b"] = None  # listwise deletion
-    df = spark.createDataFrame(pdf.astype({"b": "float"}))
-    got = correlation_matrix(df, ["a", "b", "c", "k"]).toPandas()
-    expect = pdf.dropna().corr()
-    for r in got.itertuples():
-        e = expect.loc[r.col_a, r.col_b]
-        if "k" in (r.col_a, r.col_b):
-            assert r.corr is None or np.isnan(r.corr)
-        else:
-            assert abs(r.corr - e) < 1e-9
-        assert r.is_lower == (["a", "b", "c", "k"].index(r.col_a) > ["a", "b", "c", "k"].index(r.col_b))
-    assert len(got) == 16
-
-
-def test_null_profile_share_reindex(spark):
+def test_share_and_reindex(spark):
     df = spark.createDataFrame([("x", None, 1), ("y", None, None), ("y", "z", 3)],
                                "k string, s string, n int")
-    assert sorted(map(tuple, null_profile(df).collect())) == [("n", 1), ("s", 2)]
     counts = df.groupBy("k").count()
     shares = dict((r.k, r.share_pct) for r in with_share(counts, "count").collect())
     assert shares["y"] == pytest.approx(200 / 3)
     full = reindex(counts, "k", ["x", "y", "w"]).orderBy("_order").collect()
     assert [(r.k, r["count"]) for r in full] == [("x", 1), ("y", 2), ("w", None)]
+
+
+def test_ntile_cuts_equal_the_window(spark):
+    rows = [(i, None if i % 17 == 0 else (i * 7) % 13 if i % 3 else 5) for i in range(101)]
+    for n in (101, 7, 3, 1, 0):
+        df = spark.createDataFrame(rows[:n], "id bigint, v int")
+        want = {r["id"]: r["t"] for r in df.selectExpr("id", "ntile(5) over (order by v, id) t").collect()}
+        cuts = ntile_cuts(df, F.col("v"), "id", 5)
+        assert len(cuts) <= 4
+        got = {r["id"]: r["t"] for r in df.select("id", tile_of(F.col("v"), F.col("id"), cuts).alias("t")).collect()}
+        assert got == want
+
+
+def test_salted_product_equals_the_join(spark):
+    from agora.operators.joins import salted_product
+
+    sides = [[("hot", f"{n}{i}") for i in range(40)] + [(f"k{i}", f"{n}{i}") for i in range(5)] + [(None, f"{n}x")] for n in "abc"]
+    counts = {"hot": 40, None: 1, **{f"k{i}": 1 for i in range(5)}}
+    frames = [(spark.createDataFrame([(k, v, *[counts[k]] * 3) for k, v in rows], f"k string, {n} string, na int, nb int, nc int"), f"n{n}")
+              for n, rows in zip("abc", sides)]
+    got = salted_product("k", frames, cell=8)
+    assert got.count() == 40 ** 3 + 5 + 1 and got.distinct().count() == got.count()
+    # the hot key's product is spread over many cells
+    assert sorted(got.columns) == ["a", "b", "c", "k"]
