@@ -13,10 +13,9 @@ except the one-row KPI summary printed at the end.
 from __future__ import annotations
 
 import argparse
-import os
 
-from agora.plans.catalog import ALL_ANALYSES, Workspace
-from agora.session import build_session
+from agora.plans.catalog import ALL_ANALYSES, EXPORTS, Workspace
+from agora.session import build_session, release_staged
 from agora.sources import read_marketplace_csv, read_marketplace_parquet, tpch_marketplace
 from agora.sources.sinks import export_rfm, export_summaries
 
@@ -29,6 +28,8 @@ def main(argv: list[str] | None = None) -> None:
     src.add_argument("--tpch", help="folder with the TPC-H-like test tables")
     ap.add_argument("--file", action="append", default=[],
                     help="TABLE=FILENAME for a CSV file not named <table>.csv")
+    ap.add_argument("--single-line", action="store_true",
+                    help="no CSV field holds a line break: files are split and read by many tasks")
     ap.add_argument("--out", required=True, help="output folder")
     ap.add_argument("--format", choices=["parquet", "csv"], default="parquet")
     ap.add_argument("--skip-master", action="store_true",
@@ -38,26 +39,28 @@ def main(argv: list[str] | None = None) -> None:
     spark = build_session()
     if args.csv:
         files = dict(f.split("=", 1) for f in args.file)
-        tables, folder = read_marketplace_csv(spark, args.csv, files), args.csv
+        tables = read_marketplace_csv(spark, args.csv, files, multiline=not args.single_line)
     elif args.parquet:
-        tables, folder = read_marketplace_parquet(spark, args.parquet), args.parquet
+        tables = read_marketplace_parquet(spark, args.parquet)
     else:
-        tables, folder = tpch_marketplace(spark, args.tpch), args.tpch
-    ws = Workspace(spark, tables, materialize_key=os.path.abspath(folder))
-
-    for name, analysis in ALL_ANALYSES.items():
-        if name == "py_master" and args.skip_master:
-            continue
-        writer = analysis(ws).write.mode("overwrite")
-        path = os.path.join(args.out, name)
-        if args.format == "csv":
-            writer.option("header", True).csv(path)
-        else:
-            writer.parquet(path)
-    export_rfm(ws.delivered, os.path.join(args.out, "export"))
-    export_summaries(ws.delivered, os.path.join(args.out, "export"), fmt=args.format)
-    kpis = ALL_ANALYSES["py_kpis"](ws).first()  # one row
-    print({k: kpis[k] for k in kpis.asDict()})
+        tables = tpch_marketplace(spark, args.tpch)
+    out = args.out.rstrip("/")
+    try:
+        with Workspace(spark, tables, materialize=True) as ws:
+            for name, analysis in ALL_ANALYSES.items():
+                if name == "py_master" and args.skip_master or name in EXPORTS:
+                    continue
+                writer = analysis(ws).write.mode("overwrite")
+                if args.format == "csv":
+                    writer.option("header", True).csv(f"{out}/{name}")
+                else:
+                    writer.parquet(f"{out}/{name}")
+            export_rfm(ws.rfm, f"{out}/export")
+            export_summaries(ws.delivered, ws.rfm, f"{out}/export", fmt=args.format)
+            kpis = ALL_ANALYSES["py_kpis"](ws).first()  # one row
+            print({k: kpis[k] for k in kpis.asDict()})
+    finally:
+        release_staged(spark)
 
 
 if __name__ == "__main__":

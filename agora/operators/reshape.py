@@ -24,13 +24,11 @@ def with_share(df: DataFrame, value_col: str, out_col: str = "share_pct") -> Dat
 def reindex(df: DataFrame, key: str, domain: Sequence[str]) -> DataFrame:
     """Rows for exactly the values in ``domain`` (a fixed, small list), with
     the domain position in ``_order``; keys missing from ``df`` get NULL
-    measures.  ``df`` is a grouped result keyed by ``key``; only its rows
-    whose key is in the domain survive, so it is broadcast (bounded by the
-    number of distinct keys) while the literal domain stays the preserved side.
+    measures.  Only the rows of ``df`` whose key is in the domain are joined.
     """
     spark = df.sparkSession
     dom = spark.createDataFrame([(v, i) for i, v in enumerate(domain)], f"{key} string, _order int")
-    return dom.join(F.broadcast(df), key, "left")
+    return dom.join(df.where(F.col(key).isin(list(domain))), key, "left")
 
 
 def top_n(df: DataFrame, n: int, *order: Column) -> DataFrame:

@@ -1,96 +1,30 @@
-"""Column statistics: Pearson correlation matrix and a NULL profile."""
+"""Pearson correlation from centred co-moments."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Exact decimal image of a measure for the co-moment sums (cents precision).
-MOMENT_TYPE = "decimal(20,2)"
-# Aggregates per pass: whole-stage codegen of one aggregate with ~36 wide
-# DECIMAL buffers fails and falls back to slow interpreted execution.
-MOMENTS_PER_PASS = 16
 
+def pearson(n: Column, sum_a: Column, sum_b: Column, ab: Column, aa: Column, bb: Column) -> Column:
+    """Correlation from co-moments about any centre close to the means; the sums of the deviations
+    take out what the centre misses.  NULL for a constant column or without rows."""
+    cov, var_a, var_b = ab - sum_a * sum_b / n, aa - sum_a * sum_a / n, bb - sum_b * sum_b / n
+    return F.when((n > 0) & (var_a > 0) & (var_b > 0), cov / (F.sqrt(var_a) * F.sqrt(var_b)))
 
-def moment_names(cols: Sequence[str]) -> list[str]:
-    """Names of the co-moments a correlation matrix needs: n, s_<c>,
-    p_<a>__<b> (a before b in ``cols``, squares included)."""
-    cols = list(cols)
-    return (["n"] + [f"s_{c}" for c in cols] + [f"p_{a}__{a}" for a in cols]
-            + [f"p_{a}__{b}" for a, b in combinations(cols, 2)])
 
-
-def correlation_from_moments(moments: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Long-form Pearson matrix from a one-row frame of DOUBLE co-moments
-    (columns :func:`moment_names`): ``(n*Sab - Sa*Sb) / sqrt((n*Saa - Sa^2) *
-    (n*Sbb - Sb^2))``, NULL for a constant column."""
-    cols = list(cols)
-    pairs = []
+def correlation_from_moments(moments: DataFrame, cols: Sequence[str], digits: int | None = None) -> DataFrame:
+    """Long-form Pearson matrix (col_a, col_b, corr, is_lower) from a one-row frame with the
+    columns n, s_<c> and p_<a>__<b> (a before b in ``cols``, squares included), rounded to
+    ``digits`` decimals if given."""
+    rows = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
-            sp = f"p_{a}__{b}" if i <= j else f"p_{b}__{a}"
-            pairs.append(f"struct('{a}' AS col_a, '{b}' AS col_b, {str(i > j).lower()} AS is_lower, "
-                         f"n, s_{a} AS sa, s_{b} AS sb, {sp} AS sab, "
-                         f"p_{a}__{a} AS saa, p_{b}__{b} AS sbb)")
-    text = f"""
-    WITH pairs AS (SELECT inline(array({", ".join(pairs)})) FROM {{moments}}),
-    terms AS (
-        SELECT col_a, col_b, is_lower, n * sab - sa * sb AS cov,
-               n * saa - sa * sa AS var_a, n * sbb - sb * sb AS var_b
-        FROM pairs
-    )
-    SELECT col_a, col_b,
-           CASE WHEN var_a > 0 AND var_b > 0 AND sqrt(var_a * var_b) > 0
-                THEN cov / sqrt(var_a * var_b) END AS corr,
-           is_lower
-    FROM terms
-    """
-    return moments.sparkSession.sql(text, moments=moments)
-
-
-def fold_moments(data: DataFrame, exprs: dict[str, str]) -> DataFrame:
-    """One row of DOUBLE moments from SQL aggregate ``exprs`` (name -> SQL),
-    evaluated in passes of at most MOMENTS_PER_PASS exact DECIMAL sums."""
-    names = list(exprs)
-    passes = []
-    for i in range(0, len(names), MOMENTS_PER_PASS):
-        chunk = names[i:i + MOMENTS_PER_PASS]
-        items = ", ".join(f"CAST({exprs[k]} AS DOUBLE) AS {k}" if k in chunk
-                          else f"CAST(NULL AS DOUBLE) AS {k}" for k in names)
-        passes.append(f"SELECT {items} FROM {{data}}")
-    text = (f"SELECT {', '.join(f'MAX({k}) AS {k}' for k in names)} "
-            f"FROM ({' UNION ALL '.join(passes)})")
-    return data.sparkSession.sql(text, data=data)
-
-
-def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every ordered pair of ``cols`` in long form:
-    (col_a, col_b, corr, is_lower), ``is_lower`` marks the strict lower
-    triangle.  Rows with a NULL in any of ``cols`` are dropped first.
-
-    n, the sums, the sums of squares and the cross-product sums are exact
-    DECIMAL aggregates, so the result does not depend on partitioning or row
-    order.  They are computed in a few codegen-sized global aggregates over
-    the same column-pruned input and folded into one row; the formula runs in
-    DOUBLE on that row.  The plan is generated as SQL text, so it is parsed
-    and analysed by a few JVM calls.
-    """
-    cols = list(cols)
-    q = {c: f"`{c}`" for c in cols}
-    data = df.select(*[F.col(c).cast(MOMENT_TYPE).alias(c) for c in cols]).dropna(how="any")
-    exprs = {"n": "COUNT(1)"}
-    exprs.update({f"s_{c}": f"SUM({q[c]})" for c in cols})
-    exprs.update({f"p_{a}__{a}": f"SUM({q[a]} * {q[a]})" for a in cols})
-    exprs.update({f"p_{a}__{b}": f"SUM({q[a]} * {q[b]})" for a, b in combinations(cols, 2)})
-    return correlation_from_moments(fold_moments(data, exprs), cols)
-
-
-def null_profile(df: DataFrame) -> DataFrame:
-    """(column, nulls) for every column with at least one NULL, in one pass."""
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
-    return (counts.unpivot([], df.columns, "column", "nulls")
-            .where(F.col("nulls") > 0)
-            .select("column", F.col("nulls").cast("bigint").alias("nulls")))
+            ab = f"p_{a}__{b}" if i <= j else f"p_{b}__{a}"
+            corr = pearson(*[F.col(c).cast("double") for c in ("n", f"s_{a}", f"s_{b}", ab, f"p_{a}__{a}", f"p_{b}__{b}")])
+            rows.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
+                                 (corr if digits is None else F.round(corr, digits)).alias("corr"),
+                                 F.lit(i > j).alias("is_lower")))
+    return moments.select(F.inline(F.array(*rows)))

@@ -2,36 +2,51 @@
 
 from __future__ import annotations
 
-import os
+import threading
 from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.plans import (customers, delivery, findings, payments, products, profile, revenue,
-                         reviews, rfm, sellers, sql_queries)
+from agora.plans import (customers, delivery, findings, payment_grain, payments, products, profile, revenue,
+                         reviews, rfm, sellers)
 from agora.plans.fanout import Fanout, build_fanout, master_rows, materialize_fanout
+from agora.session import Scratch
+from agora.sources import sinks
 from agora.sources.tpch_fixture import tpch_marketplace
 from agora.tables import MarketplaceTables
 
 
 class Workspace:
-    """Plans shared by the analyses of one table set.
+    """Plans shared by the analyses of one table set, and owner of what they write.
 
     ``fanout`` is the factorised master frame (``plans.fanout``).  With
-    ``materialize_key`` its four sides are written once per Spark application
-    and key and every analysis scans them; without it each analysis plans the
-    joins itself.  ``master`` is the literal joined frame, assembled from the
-    sides (only the query that returns it needs it).
+    ``materialize`` its four sides are written once per workspace and every
+    analysis scans them; without it each analysis plans the joins itself.
+    ``master`` is the literal joined frame, assembled from the sides (only the
+    query that returns it needs it).  :meth:`close` deletes the written data.
     """
 
-    def __init__(self, spark: SparkSession, tables: MarketplaceTables,
-                 materialize_key: str | None = None):
+    def __init__(self, spark: SparkSession, tables: MarketplaceTables, materialize: bool = False):
         self.spark = spark
         self.tables = tables
-        self.materialize_key = materialize_key
+        self.materialize = materialize
+        self.scratch = Scratch(spark)
+        self._lock = threading.Lock()
         self._fanout: Fanout | None = None
+        self._rfm: DataFrame | None = None
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def close(self) -> None:
+        with self._lock:
+            self._fanout = self._rfm = None
+            self.scratch.close()
 
     @property
     def master(self) -> DataFrame:
@@ -39,12 +54,11 @@ class Workspace:
 
     @property
     def fanout(self) -> Fanout:
-        if self._fanout is None:
-            if self.materialize_key is None:
-                self._fanout = build_fanout(self.tables)
-            else:
-                self._fanout = materialize_fanout(self.spark, self.tables, self.materialize_key)
-        return self._fanout
+        with self._lock:
+            if self._fanout is None:
+                self._fanout = (materialize_fanout(self.tables, self.scratch) if self.materialize
+                                else build_fanout(self.tables, self.scratch))
+            return self._fanout
 
     @property
     def delivered(self) -> Fanout:
@@ -54,6 +68,15 @@ class Workspace:
     def delivery(self) -> DataFrame:
         return self.delivered.delivery_rows()
 
+    @property
+    def rfm(self) -> DataFrame:
+        """The scored customers, computed and written once."""
+        delivered = self.delivered
+        with self._lock:
+            if self._rfm is None:
+                self._rfm = self.scratch.stage(rfm.rfm_scored(delivered))
+            return self._rfm
+
 
 Analysis = Callable[[Workspace], DataFrame]
 
@@ -80,9 +103,9 @@ PY_ANALYSES: dict[str, Analysis] = {
     "py_customer_loyalty": lambda w: customers.customer_loyalty(w.delivered),
     "py_repeat_rate": lambda w: customers.repeat_rate(w.delivered),
     "py_order_frequency": lambda w: customers.order_frequency(w.delivered),
-    "py_rfm": lambda w: rfm.rfm(w.delivered),
-    "py_rfm_segments": lambda w: rfm.rfm_segments(w.delivered),
-    "py_segment_spend": lambda w: rfm.segment_spend(w.delivered),
+    "py_rfm": lambda w: rfm.rfm(w.rfm),
+    "py_rfm_segments": lambda w: rfm.rfm_segments(w.rfm),
+    "py_segment_spend": lambda w: rfm.segment_spend(w.rfm),
     "py_delivery_kpis": lambda w: delivery.delivery_kpis(w.delivery),
     "py_delivery_histogram": lambda w: delivery.delivery_histogram(w.delivery),
     "py_delivery_status_share": lambda w: delivery.delivery_status_share(w.delivery),
@@ -93,6 +116,7 @@ PY_ANALYSES: dict[str, Analysis] = {
     "py_payment_methods": lambda w: payments.payment_methods(w.delivered),
     "py_correlation": lambda w: profile.correlation(w.delivered),
     "py_seller_performance": lambda w: sellers.seller_performance(w.delivered),
+    "py_top_sellers": lambda w: sellers.top_sellers(w.delivered),
     "py_seller_concentration": lambda w: sellers.seller_concentration(w.delivered),
     "py_mom_growth": lambda w: revenue.mom_growth(w.delivered),
     # figures the workload reports without code of their own
@@ -103,29 +127,73 @@ PY_ANALYSES: dict[str, Analysis] = {
     "py_state_delivery_days": lambda w: findings.state_delivery_days(w.delivery),
 }
 
+def _on_tables(query: Callable[[MarketplaceTables], DataFrame], w: Workspace) -> DataFrame:
+    return query(w.tables)
+
+
 SQL_ANALYSES: dict[str, Analysis] = {
-    **{name: (lambda text: lambda w: sql_queries.run_sql(w.spark, w.tables, text))(text)
-       for name, text in sql_queries.PLAIN_QUERIES.items()},
-    "sql_rfm": lambda w: sql_queries.rfm_segments_sql(w.spark, w.tables),
-    "sql_payment_share": lambda w: findings.payment_share_sql(w.spark, w.tables),
+    **{name: partial(_on_tables, query) for name, query in payment_grain.QUERIES.items()},
+    "sql_payment_share": lambda w: findings.payment_share(w.tables),
 }
 
-ALL_ANALYSES: dict[str, Analysis] = {**PY_ANALYSES, **SQL_ANALYSES}
+
+def _exported(name: str, w: Workspace) -> DataFrame:
+    """A summary as it is read back after its export."""
+    frame = sinks.summary_frames(w.delivered, w.rfm)[name]
+    path = w.scratch.new_path(f"export-{name}")
+    frame.write.parquet(path)
+    return w.spark.read.parquet(path)
+
+
+def _exported_rfm(w: Workspace) -> DataFrame:
+    """The RFM table as it is read back after its CSV export."""
+    frame = rfm.rfm(w.rfm)
+    path = sinks.export_rfm(w.rfm, w.scratch.new_path("export"))
+    return w.spark.read.schema(frame.schema).option("header", True).csv(path)
+
+
+EXPORTS: dict[str, Analysis] = {
+    "export_rfm_csv": _exported_rfm,
+    **{f"export_{name}": partial(_exported, name) for name in sinks.SUMMARY_SHEETS}}
+
+ALL_ANALYSES: dict[str, Analysis] = {**PY_ANALYSES, **SQL_ANALYSES, **EXPORTS}
+
+
+# (application id, session, folder) -> (state of the folder, its workspace).  A workspace holds
+# lazy plans only (and the location of what it wrote); no data is cached in memory.
+_WORKSPACES: dict[tuple, tuple[tuple, Workspace]] = {}
+_LOCK = threading.Lock()
 
 
-# (application id, session, folder) -> Workspace.  A workspace holds lazy plans
-# only (and the location of the written sides); no data is cached in memory.
-_WORKSPACES: dict[tuple[str, int, str], Workspace] = {}
+def _folder_state(spark: SparkSession, folder: str) -> tuple:
+    """Size and modification time of the folder's entries, whatever its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
 
 
 def tpch_workspace(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Workspace:
-    folder = os.path.abspath(sf_dir)
+    """The workspace of a folder (a path or URI); a changed folder gets a new one."""
+    folder = sf_dir.rstrip("/")
     if not materialize:
         return Workspace(spark, tpch_marketplace(spark, folder))
     key = (spark.sparkContext.applicationId, id(spark), folder)
-    if key not in _WORKSPACES:
-        _WORKSPACES[key] = Workspace(spark, tpch_marketplace(spark, folder), "tpch:" + folder)
-    return _WORKSPACES[key]
+    state = _folder_state(spark, folder)
+    with _LOCK:
+        known = _WORKSPACES.get(key)
+        if known is None or known[0] != state:
+            if known is not None:
+                known[1].close()
+            known = _WORKSPACES[key] = (state, Workspace(spark, tpch_marketplace(spark, folder), True))
+        return known[1]
+
+
+def close_workspaces() -> None:
+    """Delete what the workspaces of :func:`tpch_workspace` have written."""
+    with _LOCK:
+        for _, workspace in _WORKSPACES.values():
+            workspace.close()
+        _WORKSPACES.clear()
 
 
 def _run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:

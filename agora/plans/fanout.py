@@ -16,9 +16,9 @@ quantile, so it can be computed from the sides instead:
 
 Each side is restricted to orders present in ``orders`` and holds one
 NULL row for an order without rows on that side (the LEFT-join rule).  Every
-side row carries the row counts of the *other* sides of its order
-(``n_oc``, ``n_items``, ``n_pays``, ``n_revs``, each >= 1) and their per-order
-sums where an analysis needs them.  A master row is one combination of side
+side row carries the row counts of the four sides of its order (``n_oc``,
+``n_items``, ``n_pays``, ``n_revs``, each >= 1) and the per-order sums of the
+others where an analysis needs them.  A master row is one combination of side
 rows of an order, so
 
     sum over master rows of payment_value  =  sum over order rows of
@@ -27,22 +27,25 @@ rows of an order, so
 all in exact DECIMAL arithmetic, hence bit-identical to the row-level sum.
 The four sides are O(input) in size whatever the fan-out is.
 
-Full-row de-duplication is applied to every input before the split (see
-``master.build_master`` for why that equals de-duplicating the joined frame).
+Full-row de-duplication is applied to every input before the split.  Because
+every input column survives into the master frame, a join of duplicate-free
+inputs is duplicate-free, so this equals de-duplicating the joined frame
+without shuffling the fan-out on all of its columns.
+
+Keys follow the merge rule of the workload: NULL matches NULL, so an order
+without an id keeps its master row.
 """
 
 from __future__ import annotations
 
-import threading
-import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agora.operators.joins import checked_broadcast, distinct_rows
+from agora.operators.joins import distinct_rows, join_on_key, salted_product
 from agora.plans.master import DERIVED_COLUMNS, with_order_attributes
-from agora.session import checkpoint_dir
+from agora.session import Scratch, stage
 from agora.tables import MarketplaceTables
 
 CATEGORY = "product_category_name_english"
@@ -153,19 +156,17 @@ class _Rows:
 
 def _side_rows(t: MarketplaceTables) -> _Rows:
     """De-duplicated rows of each side (lazy)."""
-    orders = with_order_attributes(distinct_rows(t.orders)).join(
-        distinct_rows(t.customers), "customer_id", "left")
-    translation = checked_broadcast(t.category_translation.dropDuplicates())
-    items = (distinct_rows(t.order_items)
-             .join(distinct_rows(t.products), "product_id", "left")
-             .join(translation, "product_category_name", "left"))
+    orders = join_on_key(with_order_attributes(distinct_rows(t.orders)),
+                         distinct_rows(t.customers), "customer_id", "left")
+    items = join_on_key(distinct_rows(t.order_items), distinct_rows(t.products), "product_id", "left")
+    items = join_on_key(items, distinct_rows(t.category_translation), "product_category_name", "left")
     return _Rows(orders, items, distinct_rows(t.payments),
                  distinct_rows(t.reviews.select("order_id", "review_score")))
 
 
 def _order_stats(rows: _Rows) -> DataFrame:
-    """One row per order id: side row counts (NULL-extended: at least 1) and
-    the per-order sums the analyses weight with."""
+    """One row per order id (NULL is an id of its own): side row counts (NULL-extended: at
+    least 1) and the per-order sums the analyses weight with."""
     delivered = F.col("order_status") == "delivered"
     oc_stats = rows.orders.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("n_oc"),
@@ -180,64 +181,72 @@ def _order_stats(rows: _Rows) -> DataFrame:
         F.count(F.lit(1)).alias("_nr"), F.sum("review_score").alias("rev_sum"),
         F.count("review_score").alias("rev_cnt"))
     # every input is one row per order id, so these joins are 1:1 (no skew)
-    return (oc_stats.join(item_stats, "order_id", "left")
-            .join(pay_stats, "order_id", "left")
-            .join(rev_stats, "order_id", "left")
-            .select("order_id", "n_oc", "n_oc_del", "dd_sum_del", "dd_cnt_del",
-                    _at_least_one("_ni").alias("n_items"), _at_least_one("_np").alias("n_pays"),
-                    _at_least_one("_nr").alias("n_revs"),
-                    "pay_sum", F.coalesce("pay_cnt", F.lit(0)).alias("pay_cnt"),
-                    "rev_sum", F.coalesce("rev_cnt", F.lit(0)).alias("rev_cnt"),
-                    F.col("_ni").isNotNull().alias("has_items"),
-                    F.col("_np").isNotNull().alias("has_pays"),
-                    F.col("_nr").isNotNull().alias("has_revs")))
+    stats = oc_stats
+    for other in (item_stats, pay_stats, rev_stats):
+        stats = join_on_key(stats, other, "order_id", "left")
+    return stats.select(
+        "order_id", "n_oc", "n_oc_del", "dd_sum_del", "dd_cnt_del",
+        _at_least_one("_ni").alias("n_items"), _at_least_one("_np").alias("n_pays"),
+        _at_least_one("_nr").alias("n_revs"),
+        "pay_sum", F.coalesce("pay_cnt", F.lit(0)).alias("pay_cnt"),
+        "rev_sum", F.coalesce("rev_cnt", F.lit(0)).alias("rev_cnt"),
+        F.col("_ni").isNotNull().alias("has_items"),
+        F.col("_np").isNotNull().alias("has_pays"),
+        F.col("_nr").isNotNull().alias("has_revs"))
+
+
+SIDE_COUNTS = ["n_oc", "n_items", "n_pays", "n_revs"]
 
 
 def _assemble(rows: _Rows, stats: DataFrame) -> Fanout:
+    """``stats`` should be a written table: a join of two scans is one that AQE can split."""
     def side(side_rows: DataFrame, keep: list[str], has_rows: str) -> DataFrame:
-        # rows of order ids absent from ``orders`` never reach the master, so the
-        # match is an INNER join: AQE may split a skewed key on either side of
-        # it (an order holding a third of all items is spread over tasks),
-        # which a LEFT join from the per-order table would not allow.  Orders
-        # without rows on this side get their one NULL row from a union.
-        per_order = stats.select("order_id", has_rows, *keep)
-        matched = per_order.join(side_rows, "order_id")
+        # rows of order ids absent from ``orders`` never reach the master, so the match is an
+        # INNER join of this side with the per-order table.  Orders without rows on this side
+        # get their one NULL row from a union.
+        per_order = stats.select("order_id", has_rows, *SIDE_COUNTS, "n_oc_del", *keep)
+        matched = join_on_key(side_rows, per_order, "order_id")
         empty = per_order.where(~F.col(has_rows))
         return (matched.unionByName(empty, allowMissingColumns=True).drop(has_rows)
                 .withColumn("has_delivered", F.col("n_oc_del") > 0))
 
-    items = side(rows.items, ["n_oc", "n_oc_del", "n_pays", "n_revs", "pay_sum", "pay_cnt",
-                              "rev_sum", "rev_cnt", "dd_sum_del", "dd_cnt_del"], "has_items")
+    items = side(rows.items, ["pay_sum", "pay_cnt", "rev_sum", "rev_cnt", "dd_sum_del", "dd_cnt_del"], "has_items")
     items = items.withColumn(CATEGORY, F.coalesce(F.col(CATEGORY), F.lit("unknown")))
+    orders = join_on_key(rows.orders, stats.select("order_id", *SIDE_COUNTS, "pay_sum", "pay_cnt", "rev_sum", "rev_cnt"), "order_id")
     return Fanout(
-        orders=rows.orders.join(stats.select("order_id", "n_items", "n_pays", "n_revs", "pay_sum",
-                                             "pay_cnt", "rev_sum", "rev_cnt"), "order_id")
-        .withColumn("has_delivered", F.coalesce(F.col("order_status") == "delivered", F.lit(False))),
+        orders=orders.withColumn("has_delivered", F.coalesce(F.col("order_status") == "delivered", F.lit(False))),
         items=items,
-        payments=side(rows.payments, ["n_oc", "n_oc_del", "n_items", "n_revs"], "has_pays"),
-        reviews=side(rows.reviews, ["n_oc", "n_oc_del", "n_items", "n_pays"], "has_revs"),
-    )
+        payments=side(rows.payments, [], "has_pays"),
+        reviews=side(rows.reviews, [], "has_revs"))
 
 
-def build_fanout(t: MarketplaceTables) -> Fanout:
-    """The four sides with per-order multiplicities and sums (lazy plan)."""
+def build_fanout(t: MarketplaceTables, scratch: Scratch | None = None) -> Fanout:
+    """The four sides with per-order multiplicities and sums.
+
+    The narrow per-order statistics are written once (to ``scratch``, else to the application's
+    scratch folder), so that each side's match is a join of its rows with a scan: AQE splits an
+    order that holds a large part of a side's rows."""
     rows = _side_rows(t)
-    return _assemble(rows, _order_stats(rows))
+    written = (scratch.stage if scratch else stage)(_order_stats(rows))
+    return _assemble(rows, written)
 
 
 def master_rows(fan: Fanout, t: MarketplaceTables) -> DataFrame:
     """The literal master frame from the sides: every side already holds its
     NULL row for an order without rows there, so inner joins on ``order_id``
     give exactly the LEFT-join fan-out (orders x items x payments x reviews).
-    Only the query that returns the master frame itself uses this."""
+    Only the query that returns the master frame itself uses this; an order
+    with many rows is formed in cells (``salted_product``)."""
     def rest(df: DataFrame, *keys: str) -> list[str]:
         return [c for c in df.columns if c not in keys]
 
-    items = fan.items.select("order_id", *rest(t.order_items, "order_id"),
+    items = fan.items.select("order_id", *SIDE_COUNTS, *rest(t.order_items, "order_id"),
                              *rest(t.products, "product_id"), CATEGORY)
-    pays = fan.payments.select("order_id", *rest(t.payments, "order_id"))
-    revs = fan.reviews.select("order_id", "review_score")
-    joined = fan.orders.join(items, "order_id").join(pays, "order_id").join(revs, "order_id")
+    pays = fan.payments.select("order_id", *SIDE_COUNTS, *rest(t.payments, "order_id"))
+    revs = fan.reviews.select("order_id", *SIDE_COUNTS, "review_score")
+    orders = fan.orders.select("order_id", *SIDE_COUNTS, *rest(t.orders, "order_id"),
+                               *rest(t.customers, "customer_id"), *DERIVED_COLUMNS)
+    joined = salted_product("order_id", [(orders, "n_oc"), (items, "n_items"), (pays, "n_pays"), (revs, "n_revs")])
     columns = (t.orders.columns + rest(t.order_items, "order_id") + rest(t.products, "product_id")
                + rest(t.customers, "customer_id") + rest(t.payments, "order_id")
                + rest(t.category_translation, "product_category_name") + ["review_score"])
@@ -246,41 +255,25 @@ def master_rows(fan: Fanout, t: MarketplaceTables) -> DataFrame:
 
 # --------------------------------------------------------- materialisation
 
-# (application id, key) -> (path, schema, columns of each side)
-_MATERIALIZED: dict[tuple[str, str], tuple[str, object, dict[str, list[str]]]] = {}
-_LOCK = threading.Lock()
-
-
-def materialize_fanout(spark: SparkSession, t: MarketplaceTables, key: str) -> Fanout:
-    """Write the four sides once per application and ``key``; return scans.
+def materialize_fanout(t: MarketplaceTables, scratch: Scratch) -> Fanout:
+    """Write the four sides to ``scratch`` and return scans of them.
 
     About thirty analyses read these sides; planning the joins for each would
     shuffle every input thirty times.  The sides are written as Parquet under
-    the shared ``spark.checkpoint.dir`` (surviving executor loss and cutting
-    the lineage).  All four go into one table partitioned by ``_side`` and
+    the shared checkpoint folder (surviving executor loss and cutting the
+    lineage).  All four go into one table partitioned by ``_side`` and
     ``has_delivered``, so reading a side and the ``delivered`` filter of the
     analyses are partition pruning, and each analysis reads only its columns.
     """
-    cache_key = (spark.sparkContext.applicationId, key)
-    with _LOCK:
-        if cache_key not in _MATERIALIZED:
-            path = f"{checkpoint_dir(spark).rstrip('/')}/agora-fanout-{uuid.uuid4().hex}"
-            fan = build_fanout(t)
-            names = ("orders", "items", "payments", "reviews")
-            # one job writes all four sides as one table: the sides share the
-            # de-duplicated inputs and the per-order statistics, and within one
-            # plan AQE reuses the exchanges they have in common (the final plan
-            # at sf0.1 shows 30 reused exchanges)
-            tagged = [getattr(fan, n).withColumn("_side", F.lit(n)) for n in names]
-            union = tagged[0]
-            for df in tagged[1:]:
-                union = union.unionByName(df, allowMissingColumns=True)
-            union.write.partitionBy("_side", "has_delivered").parquet(path)
-            _MATERIALIZED[cache_key] = (path, union.schema,
-                                        {n: getattr(fan, n).columns for n in names})
-        path, schema, columns = _MATERIALIZED[cache_key]
-
-    table = spark.read.schema(schema).parquet(path)
+    fan = build_fanout(t, scratch)
+    names = ("orders", "items", "payments", "reviews")
+    # one job writes all four sides as one table, so AQE reuses the exchanges they share
+    union = None
+    for n in names:
+        tagged = getattr(fan, n).withColumn("_side", F.lit(n))
+        union = tagged if union is None else union.unionByName(tagged, allowMissingColumns=True)
+    path = scratch.new_path("sides")
+    union.write.partitionBy("_side", "has_delivered").parquet(path)
+    table = t.orders.sparkSession.read.schema(union.schema).parquet(path)
     # partition pruning on the side (and on has_delivered in the delivered view)
-    return Fanout(**{n: table.where(F.col("_side") == n).select(*cols)
-                     for n, cols in columns.items()})
+    return Fanout(**{n: table.where(F.col("_side") == n).select(*getattr(fan, n).columns) for n in names})

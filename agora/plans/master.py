@@ -1,28 +1,8 @@
-"""The order-level master frame (#1) and its delivered / delivery subsets.
+"""Derived columns of the order-level master frame.
 
-This module builds the literal joined frame, which is the output of the
-``py_master`` query.  The analyses do not scan it: they use the factorised
-form in ``plans.fanout``, which gives the same aggregates without forming
-the item x payment x review rows of an order.
-
-Semantics kept from the workload definition:
-
-* six LEFT joins from orders: items, products, customers, payments, the
-  category translation and the reviews (``order_id``, ``review_score`` only);
-  an order with two items, two payments and two reviews gives 8 rows, and the
-  analyses aggregate over that fan-out on purpose;
-* full-row DISTINCT of the joined frame, then ``unknown`` for a missing
-  English category name;
-* derived calendar and delivery columns.
-
-Physical plan: the DISTINCT is applied to every input instead of the joined
-frame.  Because every input column survives into the output, a join of
-duplicate-free inputs is duplicate-free, so the result is the same while the
-big fan-out frame is never shuffled on all of its columns and column pruning
-still reaches the scans.  Joins are grouped by key: orders meet customers on
-``customer_id``; items meet products (AQE decides broadcast from real sizes)
-and the size-checked translation broadcast; then orders, items, payments and
-reviews are joined on ``order_id`` with one co-partitioned shuffle each.
+The frame itself (orders LEFT JOIN items, products, customers, payments,
+category translation and reviews, de-duplicated) is kept in factorised form;
+see ``plans.fanout``, whose ``master_rows`` returns its literal rows.
 """
 
 from __future__ import annotations
@@ -31,9 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agora.functions import elapsed_days, month_period, weekday_name
-from agora.operators.joins import checked_broadcast, distinct_rows
-from agora.tables import MarketplaceTables
-
+# Names of the derived columns.
 DERIVED_COLUMNS = (
     "order_year", "order_month", "order_year_month", "order_day_of_week",
     "order_hour", "delivery_days", "estimated_delivery_days", "delivery_status",
@@ -57,50 +35,3 @@ def with_order_attributes(orders: DataFrame) -> DataFrame:
         # a NULL comparison is not true, so an undelivered order is 'Late'
         "delivery_status": F.when(delivered <= estimated, "On Time").otherwise("Late"),
     })
-
-
-def build_master(t: MarketplaceTables) -> DataFrame:
-    """All orders joined with their items, products, customer, payments,
-    category translation and reviews; de-duplicated; derived columns added."""
-    orders = distinct_rows(t.orders)
-    customers = distinct_rows(t.customers)
-    items = distinct_rows(t.order_items)
-    products = distinct_rows(t.products)
-    payments = distinct_rows(t.payments)
-    reviews = distinct_rows(t.reviews.select("order_id", "review_score"))
-    translation = checked_broadcast(t.category_translation.dropDuplicates())
-
-    order_side = with_order_attributes(orders).join(customers, "customer_id", "left")
-    item_side = (items.join(products, "product_id", "left")
-                 .join(translation, "product_category_name", "left"))
-    joined = (order_side.join(item_side, "order_id", "left")
-              .join(payments, "order_id", "left")
-              .join(reviews, "order_id", "left"))
-
-    def rest(df: DataFrame, *keys: str) -> list[str]:
-        return [c for c in df.columns if c not in keys]
-
-    columns = (t.orders.columns
-               + rest(t.order_items, "order_id")
-               + rest(t.products, "product_id")
-               + rest(t.customers, "customer_id")
-               + rest(t.payments, "order_id")
-               + rest(t.category_translation, "product_category_name")
-               + ["review_score"])
-    return joined.select(
-        *[F.coalesce(F.col(c), F.lit("unknown")).alias(c)
-          if c == "product_category_name_english" else F.col(c) for c in columns],
-        *DERIVED_COLUMNS)
-
-
-def delivered(master: DataFrame) -> DataFrame:
-    """Rows of delivered orders (the population of every ``py_*`` analysis)."""
-    return master.where(F.col("order_status") == "delivered")
-
-
-def with_delivery_data(delivered_rows: DataFrame) -> DataFrame:
-    """Delivered rows with both day counts present and a positive delivery time."""
-    return (delivered_rows
-            .dropna(subset=["delivery_days", "estimated_delivery_days"])
-            .where(F.col("delivery_days") > 0))
-

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
+from itertools import combinations_with_replacement
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agora.operators.stats import MOMENT_TYPE, correlation_from_moments, fold_moments
+from agora.operators.joins import join_on_key
+from agora.operators.stats import correlation_from_moments
 from agora.plans.fanout import Fanout, w_items, w_orders, w_pays, w_revs
-from agora.session import stage
 from agora.tables import MarketplaceTables
 
-# Measures of the correlation study, in report order, with the side each lives on.
+# Measures of the correlation study, in report order; the side each lives on.
 CORRELATION_COLUMNS = ["price", "freight_value", "payment_value", "review_score",
                        "delivery_days", "product_weight_g", "product_length_cm"]
 _SIDE_OF = {"price": "i", "freight_value": "i", "product_weight_g": "i", "product_length_cm": "i",
@@ -55,44 +55,53 @@ def missing_values(fa: Fanout) -> DataFrame:
             .select("column", F.col("nulls").cast("bigint").alias("nulls")))
 
 
-def correlation(fd: Fanout) -> DataFrame:
+def _per_order(fd: Fanout, centre: Column | None) -> DataFrame:
+    """One row per order that has complete rows on every side: rows (c_<side>), sums of the
+    measures less their centre (s_<measure>) and, with a centre, of their products."""
+    frames = {"i": fd.items, "o": fd.orders, "p": fd.payments, "r": fd.reviews}
+    parts = []
+    for s, side in frames.items():
+        measures = [c for c in CORRELATION_COLUMNS if _SIDE_OF[c] == s]
+        src = side.dropna(subset=measures).select("order_id", *[
+            (F.col(c).cast("double") - (centre[c] if centre is not None else F.lit(0.0))).alias(c) for c in measures])
+        aggs = [F.count(F.lit(1)).alias(f"c_{s}"), *[F.sum(c).alias(f"s_{c}") for c in measures]]
+        if centre is not None:
+            aggs += [F.sum(F.col(a) * F.col(b)).alias(f"p_{a}__{b}")
+                     for a, b in combinations_with_replacement(measures, 2)]
+        parts.append(src.groupBy("order_id").agg(*aggs))
+    return reduce(lambda a, b: join_on_key(a, b, "order_id"), parts)
+
+
+def _others(*sides: str) -> Column:
+    """Rows that the remaining sides multiply a combination by."""
+    return reduce(lambda a, b: a * b, [F.col(f"c_{s}").cast("double") for s in "iopr" if s not in sides], F.lit(1.0))
+
+
+def correlation(fd: Fanout, digits: int | None = 10) -> DataFrame:
     """Pearson matrix of the seven measures over delivered master rows with
-    no NULL among them (listwise), long form.
+    no NULL among them (listwise), long form, to ``digits`` decimals (None: unrounded).
 
     A master row combines one row of each side, and the row survives iff
     each side's own measures are non-NULL, so per order the co-moments are
     products of per-side sums: e.g. sum(price * payment) =
-    sum_items(price) * sum_pays(payment) * rows_reviews * rows_orders.  Per-side
-    sums are exact DECIMALs; nothing of size items x payments is formed.
+    sum_items(price) * sum_pays(payment) * rows_reviews * rows_orders; nothing
+    of size items x payments is formed.  A first pass gives the means; the
+    co-moments are taken about them in DOUBLE, so neither large values nor
+    small differences cancel.  The last bits depend on the order of summation,
+    which is why the reported figures are rounded.
     """
     cols = CORRELATION_COLUMNS
-    by_side = {s: [c for c in cols if _SIDE_OF[c] == s] for s in "iopr"}
-    frames = {"i": fd.items, "o": fd.orders, "p": fd.payments, "r": fd.reviews}
-    per_order = []
-    for s, measures in by_side.items():
-        src = frames[s].select("order_id", *[F.col(c).cast(MOMENT_TYPE).alias(c) for c in measures])
-        src = src.dropna(subset=measures)
-        aggs = [F.count(F.lit(1)).alias(f"c_{s}")]
-        aggs += [F.sum(c).alias(f"s_{c}") for c in measures]
-        aggs += [F.sum(F.col(a) * F.col(b)).alias(f"p_{a}__{b}")
-                 for a, b in [(m, m) for m in measures] + list(combinations(measures, 2))]
-        per_order.append(src.groupBy("order_id").agg(*aggs))
-    # one row per order on every side: inner joins drop orders with no complete row;
-    # the per-order table is written once and read by every moment pass
-    orders = stage(reduce(lambda a, b: a.join(b, "order_id"), per_order))
-
-    def others(*sides: str) -> str:
-        return " * ".join(f"c_{s}" for s in "iopr" if s not in sides) or "1"
-
-    exprs = {"n": f"SUM(c_i * c_o * c_p * c_r)"}
-    for c in cols:
-        exprs[f"s_{c}"] = f"SUM(s_{c} * {others(_SIDE_OF[c])})"
-    pairs = [(a, a) for a in cols] + list(combinations(cols, 2))
-    for a, b in pairs:
+    rows = F.sum(_others())
+    means = _per_order(fd, None).agg(F.struct(*[
+        F.coalesce(F.sum(F.col(f"s_{c}") * _others(_SIDE_OF[c])) / F.when(rows != 0, rows), F.lit(0.0)).alias(c)
+        for c in cols]).alias("means")).scalar()
+    sums = [rows.alias("n"), *[F.sum(F.col(f"s_{c}") * _others(_SIDE_OF[c])).alias(f"s_{c}") for c in cols]]
+    centred = _per_order(fd, means)
+    for a, b in combinations_with_replacement(cols, 2):
         sa, sb = _SIDE_OF[a], _SIDE_OF[b]
         if sa == sb:
-            inner = f"p_{a}__{b}" if f"p_{a}__{b}" in orders.columns else f"p_{b}__{a}"
-            exprs[f"p_{a}__{b}"] = f"SUM({inner} * {others(sa)})"
+            product = F.col(f"p_{a}__{b}") * _others(sa)
         else:
-            exprs[f"p_{a}__{b}"] = f"SUM(s_{a} * s_{b} * {others(sa, sb)})"
-    return correlation_from_moments(fold_moments(orders, exprs), cols)
+            product = F.col(f"s_{a}") * F.col(f"s_{b}") * _others(sa, sb)
+        sums.append(F.sum(product).alias(f"p_{a}__{b}"))
+    return correlation_from_moments(centred.agg(*sums), cols, digits)

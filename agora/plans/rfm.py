@@ -82,18 +82,18 @@ def rfm_scored(fd: Fanout) -> DataFrame:
     })
 
 
-def rfm(fd: Fanout) -> DataFrame:
+def rfm(scored: DataFrame) -> DataFrame:
     """customer_unique_id, recency, frequency, monetary, R/F/M scores,
-    RFM_score, segment."""
-    return rfm_scored(fd).select(
+    RFM_score, segment of the table that :func:`rfm_scored` gives."""
+    return scored.select(
         "customer_unique_id", "recency", "frequency",
         F.col("monetary_exact").cast("double").alias("monetary"),
         "R_score", "F_score", "M_score", "RFM_score", "segment")
 
 
-def rfm_segments(fd: Fanout) -> DataFrame:
+def rfm_segments(scored: DataFrame) -> DataFrame:
     """Per segment: customers and mean recency / frequency / monetary."""
-    return (rfm_scored(fd).groupBy("segment")
+    return (scored.groupBy("segment")
             .agg(F.count("customer_unique_id").alias("count"),
                  exact_mean("recency").alias("avg_recency"),
                  exact_mean("frequency").alias("avg_frequency"),
@@ -101,8 +101,8 @@ def rfm_segments(fd: Fanout) -> DataFrame:
             .orderBy(F.desc("count"), "segment"))
 
 
-def segment_spend(fd: Fanout) -> DataFrame:
+def segment_spend(scored: DataFrame) -> DataFrame:
     """Mean monetary value per segment, ascending."""
-    return (rfm_scored(fd).groupBy("segment")
+    return (scored.groupBy("segment")
             .agg(exact_mean("monetary_exact").alias("avg_monetary"))
             .orderBy("avg_monetary", "segment"))

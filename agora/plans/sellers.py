@@ -12,19 +12,33 @@ from agora.plans.fanout import (Fanout, fan_sum, pay_on_items, rev_on_items, rev
 from agora.session import checkpoint_dir, stage
 
 
+TOP_SELLERS = 50  # fixed value: rows of the top-seller summary
+
+
 def seller_performance(fd: Fanout) -> DataFrame:
     """Per seller: total_revenue, distinct orders, avg_review,
-    avg_delivery_days, distinct products; by revenue descending."""
+    avg_delivery_days, distinct products; by revenue descending.
+
+    Item rows are first reduced to one row per (seller, order) and one per (seller, product);
+    the distinct counts are then plain counts, and no row is expanded."""
     pr = F.col("n_pays") * F.col("n_revs")
-    return (fd.items.where(F.col("seller_id").isNotNull())
-            .groupBy("seller_id")
-            .agg(fan_sum(pay_on_items()).alias("total_revenue"),
-                 F.countDistinct("order_id").alias("total_orders"),
-                 weighted_mean(rev_on_items(), rev_rows_on_items()).alias("avg_review"),
-                 weighted_mean(F.col("dd_sum_del") * pr, F.col("dd_cnt_del") * pr)
-                 .alias("avg_delivery_days"),
-                 F.countDistinct("product_id").alias("products_sold"))
-            .orderBy(F.desc("total_revenue"), "seller_id"))
+    items = fd.items.where(F.col("seller_id").isNotNull())
+    per_order = items.groupBy("seller_id", "order_id").agg(
+        F.sum(pay_on_items()).alias("pay"),
+        F.sum(rev_on_items()).alias("rev"), F.sum(rev_rows_on_items()).alias("rev_rows"),
+        F.sum(F.col("dd_sum_del") * pr).alias("days"), F.sum(F.col("dd_cnt_del") * pr).alias("day_rows"))
+    sums = per_order.groupBy("seller_id").agg(
+        fan_sum(F.col("pay")).alias("total_revenue"), F.count("order_id").alias("total_orders"),
+        weighted_mean(F.col("rev"), F.col("rev_rows")).alias("avg_review"),
+        weighted_mean(F.col("days"), F.col("day_rows")).alias("avg_delivery_days"))
+    products = (items.select("seller_id", "product_id").distinct()
+                .groupBy("seller_id").agg(F.count("product_id").alias("products_sold")))
+    return sums.join(products, "seller_id").orderBy(F.desc("total_revenue"), "seller_id")
+
+
+def top_sellers(fd: Fanout, n: int = TOP_SELLERS) -> DataFrame:
+    """The first ``n`` rows of :func:`seller_performance`."""
+    return seller_performance(fd).limit(n)
 
 
 def seller_concentration(fd: Fanout, top_fraction: float = 0.1) -> DataFrame:

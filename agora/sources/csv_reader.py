@@ -14,17 +14,23 @@ split every file into many tasks.
 
 from __future__ import annotations
 
-import os
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.sources.schemas import COLUMN_TYPES
+from agora.sources.schemas import COLUMN_TYPES, typed
 from agora.tables import MarketplaceTables
 
 
+# The strings that a data-frame CSV reader takes for a missing value by default.
+MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+           "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
 def read_typed_csv(spark: SparkSession, path: str, table: str,
-                   multiline: bool = True) -> DataFrame:
+                   multiline: bool = True, missing_values: Sequence[str] = MISSING) -> DataFrame:
+    """One table; a field that equals one of ``missing_values`` is NULL in every column."""
     raw = (spark.read
            .option("header", True)
            .option("multiLine", multiline)
@@ -32,21 +38,20 @@ def read_typed_csv(spark: SparkSession, path: str, table: str,
            .option("mode", "FAILFAST")
            .csv(path))
     types = COLUMN_TYPES[table]
-    missing = [c for c in types if c not in raw.columns and table != "reviews"]
+    missing = [c for c in types if c not in raw.columns]
     if missing:
         raise ValueError(f"{path}: missing columns {missing}")
-    casts = {}
+    values = {c: F.when(~F.col(c).isin(list(missing_values)), F.col(c)) for c in raw.columns}
     for name, dtype in types.items():
-        if name in raw.columns:
-            # Empty fields are NULL; strings are trimmed before the cast only.
-            src = F.col(name)
-            casts[name] = src if dtype.typeName() == "string" else F.trim(src).cast(dtype)
-    return raw.withColumns(casts)
+        if dtype.typeName() != "string":  # strings keep their white space
+            values[name] = typed(F.trim(values[name]), dtype)
+    return raw.withColumns(values)
 
 
 def read_marketplace_csv(spark: SparkSession, folder: str,
                          files: dict[str, str] | None = None,
-                         multiline: bool = True) -> MarketplaceTables:
+                         multiline: bool = True,
+                         missing_values: Sequence[str] = MISSING) -> MarketplaceTables:
     """Read the eight tables from ``folder``.
 
     ``files`` maps a table name (``orders``, ``order_items``, ``products``,
@@ -55,6 +60,6 @@ def read_marketplace_csv(spark: SparkSession, folder: str,
     ``<table>.csv``.
     """
     names = {t: (files or {}).get(t, f"{t}.csv") for t in COLUMN_TYPES}
-    frames = {t: read_typed_csv(spark, os.path.join(folder, f), t, multiline)
+    frames = {t: read_typed_csv(spark, f"{folder.rstrip('/')}/{f}", t, multiline, missing_values)
               for t, f in names.items()}
     return MarketplaceTables(**frames)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from agora.sources.schemas import COLUMN_TYPES
+from agora.sources.schemas import COLUMN_TYPES, typed
 from agora.tables import MarketplaceTables
 
 
@@ -16,7 +14,7 @@ def read_marketplace_parquet(spark: SparkSession, folder: str) -> MarketplaceTab
     their declared types (a no-op when the files already carry them)."""
     frames = {}
     for table, types in COLUMN_TYPES.items():
-        df = spark.read.parquet(os.path.join(folder, table))
+        df = spark.read.parquet(f"{folder.rstrip('/')}/{table}")
         frames[table] = df.withColumns(
-            {c: F.col(c).cast(t) for c, t in types.items() if c in df.columns})
+            {c: typed(F.col(c), t) for c, t in types.items() if c in df.columns})
     return MarketplaceTables(**frames)

@@ -6,10 +6,13 @@ full-row de-duplication of the master frame but are never computed on.
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(18, 2)
 
+# Column names of the workload's tables.
 TIMESTAMP_COLUMNS = (
     "order_purchase_timestamp",
     "order_approved_at",
@@ -66,5 +69,12 @@ COLUMN_TYPES: dict[str, dict[str, T.DataType]] = {
     },
 }
 
-# The review table joins the master frame through these two columns only.
-REVIEW_JOIN_COLUMNS = ("order_id", "review_score")
+
+def typed(column: Column, dtype: T.DataType) -> Column:
+    """Cast to a declared type.  A money value that has more than two decimals or too many digits
+    raises an error; it is never rounded."""
+    if dtype != MONEY:
+        return column.cast(dtype)
+    money, whole = column.cast(MONEY), column.cast("decimal(38,18)")
+    wrong = F.raise_error(F.concat(F.lit("not an amount with two decimals: "), column.cast("string")))
+    return F.when(whole.isNull() | (whole == money), money).otherwise(wrong.cast(MONEY))

@@ -8,8 +8,6 @@ round trip).
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame
 
 from agora.plans import payments, products, revenue, rfm, sellers
@@ -25,18 +23,17 @@ SUMMARY_SHEETS = {
     "top_sellers": "Top Sellers",
 }
 TOP_CATEGORIES = 15
-TOP_SELLERS = 50
 
 
-def summary_frames(delivered: Fanout) -> dict[str, DataFrame]:
+def summary_frames(delivered: Fanout, scored: DataFrame) -> dict[str, DataFrame]:
     """The six summaries (monthly revenue carries the growth columns)."""
     return {
         "monthly_revenue": revenue.mom_growth(delivered).drop("growth_direction"),
         "category_revenue": products.top_categories(delivered, TOP_CATEGORIES),
         "state_revenue": revenue.revenue_by_state(delivered),
-        "rfm_segments": rfm.rfm_segments(delivered),
+        "rfm_segments": rfm.rfm_segments(scored),
         "payment_methods": payments.payment_methods(delivered).drop("share_pct"),
-        "top_sellers": sellers.seller_performance(delivered).limit(TOP_SELLERS),
+        "top_sellers": sellers.top_sellers(delivered),
     }
 
 
@@ -45,19 +42,19 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def export_rfm(delivered: Fanout, out_dir: str, mode: str = "overwrite") -> str:
+def export_rfm(scored: DataFrame, out_dir: str, mode: str = "overwrite") -> str:
     """Write the per-customer RFM table as CSV under ``out_dir/rfm_customer_segments``."""
-    path = os.path.join(out_dir, "rfm_customer_segments")
-    write_csv(rfm.rfm(delivered), path, mode)
+    path = f"{out_dir.rstrip('/')}/rfm_customer_segments"
+    write_csv(rfm.rfm(scored), path, mode)
     return path
 
 
-def export_summaries(delivered: Fanout, out_dir: str, fmt: str = "parquet",
+def export_summaries(delivered: Fanout, scored: DataFrame, out_dir: str, fmt: str = "parquet",
                      mode: str = "overwrite") -> dict[str, str]:
     """Write each summary to ``out_dir/<name>`` as Parquet (default) or CSV."""
     paths = {}
-    for name, df in summary_frames(delivered).items():
-        path = os.path.join(out_dir, name)
+    for name, df in summary_frames(delivered, scored).items():
+        path = f"{out_dir.rstrip('/')}/{name}"
         if fmt == "csv":
             write_csv(df, path, mode)
         else:

@@ -6,22 +6,18 @@ each marketplace column is one deterministic expression of TPC-H columns
 SQL for the DuckDB oracle in ``checks/oracle.py``.
 
 Scale notes: every view is a narrow projection of one scan except
-``customers`` and ``sellers``, which join ``nation`` (25 rows in every TPC-H
-scale factor, so broadcasting it has a fixed bound).
+``customers`` and ``sellers``, which join ``nation``; Spark picks the join from
+its size.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agora.sources.schemas import MONEY
 from agora.tables import MarketplaceTables
 
-NATION_ROWS = 25  # TPC-H nation has 25 rows at every scale factor
-
 
 def _hours(n: Column) -> Column:
     return F.make_dt_interval(F.lit(0), n.cast("int"))
@@ -32,7 +28,7 @@ def _days(n: Column) -> Column:
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def map_orders(orders: DataFrame) -> DataFrame:
@@ -54,7 +50,7 @@ def map_orders(orders: DataFrame) -> DataFrame:
 
 def map_customers(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> DataFrame:
     cust = customer.select("c_custkey", "c_nationkey").join(
-        F.broadcast(nation.select("n_nationkey", "n_name")),
+        nation.select("n_nationkey", "n_name"),
         F.col("c_nationkey") == F.col("n_nationkey"))
     return (orders.select("o_orderkey", "o_custkey")
             .join(cust, F.col("o_custkey") == F.col("c_custkey"))
@@ -126,7 +122,7 @@ def map_category_translation(part: DataFrame) -> DataFrame:
 
 
 def map_sellers(supplier: DataFrame, nation: DataFrame) -> DataFrame:
-    return (supplier.join(F.broadcast(nation.select("n_nationkey", "n_name")),
+    return (supplier.join(nation.select("n_nationkey", "n_name"),
                           F.col("s_nationkey") == F.col("n_nationkey"))
             .select(F.col("s_suppkey").alias("seller_id"),
                     F.col("s_name").alias("seller_city"),

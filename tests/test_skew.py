@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from agora.plans import payments, products, revenue, reviews
 from agora.plans.fanout import build_fanout
-from agora.plans.master import build_master, delivered
+from agora.plans.fanout import master_rows
 from tests.handmade import money, order, tables
+from tests.reference import literal_rows
 
 
 def hot_tables(spark):
@@ -29,7 +30,7 @@ def test_hot_order_sides_are_linear_and_exact(spark):
     t = hot_tables(spark)
     fan = build_fanout(t)
     fd = fan.delivered()
-    rows = delivered(build_master(t))
+    rows = literal_rows(spark, t).where("order_status = 'delivered'")
     # 300 x 20 x 5 rows for the hot order alone, while the sides stay linear
     assert rows.count() == 300 * 20 * 5 + 39
     assert fan.items.count() == 339 and fan.payments.count() == 59 and fan.reviews.count() == 44
@@ -47,8 +48,39 @@ def test_hot_order_sides_are_linear_and_exact(spark):
                    .agg(F.sum("payment_value")).collect()}
 
 
-def test_side_assembly_uses_inner_joins(spark):
-    fan = build_fanout(hot_tables(spark))
-    plan = fan.items._jdf.queryExecution().optimizedPlan().toString()
-    assert "Join Inner" in plan
-    assert "LeftOuter, ((order_id" not in plan
+def test_a_hot_order_is_split_by_the_plan_that_runs(spark):
+    """Two thirds of the items belong to one order; with small thresholds the executed plan of
+    the item side has a skew join, and no join of the side's rows is without a split."""
+    rows = 30_000
+    items = spark.range(rows).selectExpr(
+        "if(id % 3 < 2, 'hot', concat('o', id)) order_id", "cast(id as int) order_item_id", "concat('p', id % 7) product_id",
+        "concat('s', id % 5) seller_id", "cast(10 as decimal(18,2)) price", "cast(1 as decimal(18,2)) freight_value").repartition(8)
+    orders = items.select("order_id").distinct().selectExpr(
+        "order_id", "'c0' customer_id", "'delivered' order_status", "timestamp_ntz'2018-01-01 10:00:00' order_purchase_timestamp",
+        "timestamp_ntz'2018-01-01 10:00:00' order_approved_at", "timestamp_ntz'2018-01-01 10:00:00' order_delivered_carrier_date",
+        "timestamp_ntz'2018-01-04 10:00:00' order_delivered_customer_date", "timestamp_ntz'2018-01-30 10:00:00' order_estimated_delivery_date")
+    t = hot_tables(spark)
+    t = type(t)(**{**t.as_dict(), "orders": orders, "order_items": items})
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+                "spark.sql.adaptive.coalescePartitions.enabled": "false",  # a split is by map tasks, so there must be some
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        side = build_fanout(t).items
+        got = side.select("order_id", "order_item_id", "price", F.spark_partition_id().alias("task"))
+        tasks = [r["task"] for r in got.collect()]
+        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+        assert max(map(tasks.count, set(tasks))) < rows / 3 and len(tasks) == rows
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_master_of_a_hot_order_is_formed_in_cells(spark):
+    t = hot_tables(spark)
+    whole = master_rows(build_fanout(t), t)
+    assert whole.count() == 300 * 20 * 5 + 39 and whole.distinct().count() == whole.count()

@@ -3,7 +3,7 @@ import tempfile
 
 import pytest
 
-from agora.plans.master import build_master, delivered
+from agora.plans.fanout import build_fanout, master_rows
 from agora.sources import read_marketplace_csv, read_marketplace_parquet
 from agora.sources.schemas import COLUMN_TYPES
 from agora.sources.sinks import SUMMARY_SHEETS, export_rfm, export_summaries
@@ -41,7 +41,7 @@ def test_csv_bom_quoted_newline_and_types(spark):
     assert t.category_translation.columns[0] == "product_category_name"
     assert dict(t.payments.dtypes)["payment_value"] == "decimal(18,2)"
     assert dict(t.orders.dtypes)["order_purchase_timestamp"] == "timestamp_ntz"
-    row = delivered(build_master(t)).first()
+    row = master_rows(build_fanout(t), t).first()
     assert row.product_category_name_english == "health_beauty"
     assert row.delivery_days == 3 and float(row.payment_value) == 11.75
 
@@ -62,10 +62,59 @@ def test_parquet_roundtrip_and_sinks(spark):
     t = read_marketplace_parquet(spark, folder)
     assert t.orders.count() == w.tables.orders.count()
     out = tempfile.mkdtemp(prefix="agora-out-")
-    paths = export_summaries(w.delivered, out)  # factorised delivered view
+    paths = export_summaries(w.delivered, w.rfm, out)  # factorised delivered view
     assert set(paths) == set(SUMMARY_SHEETS)
     assert spark.read.parquet(paths["top_sellers"]).count() == 50
     assert spark.read.parquet(paths["category_revenue"]).count() == 15
-    rfm_path = export_rfm(w.delivered, out)
+    rfm_path = export_rfm(w.rfm, out)
     back = spark.read.option("header", True).csv(rfm_path)
     assert back.count() == 1429 and "segment" in back.columns
+
+
+def csv_folder(**rows):
+    folder = tempfile.mkdtemp(prefix="agora-csv-")
+    write_csv_folder(folder, rows)
+    return folder
+
+
+def test_missing_value_strings_are_null(spark):
+    folder = csv_folder(payments=["o1,1,NA,1,nan", "o2,1,null,N/A,2.50", "o3,1,na,2,3.00"])
+    rows = {r.order_id: r for r in read_marketplace_csv(spark, folder).payments.collect()}
+    assert rows["o1"].payment_type is None and rows["o1"].payment_value is None
+    assert rows["o2"].payment_type is None and rows["o2"].payment_installments is None
+    assert rows["o3"].payment_type == "na"
+    kept = read_marketplace_csv(spark, csv_folder(payments=["o1,1,NA,1,2.50"]), missing_values=[""])
+    assert kept.payments.first().payment_type == "NA"
+
+
+@pytest.mark.parametrize("amount", ["10.129", "0.004", "99999999999999999.00"])
+def test_money_is_never_rounded(spark, amount):
+    with pytest.raises(Exception):
+        read_marketplace_csv(spark, csv_folder(payments=[f"o1,1,boleto,1,{amount}"])).payments.collect()
+    assert read_marketplace_csv(spark, csv_folder(payments=["o1,1,boleto,1,10.10"])).payments.first().payment_value is not None
+
+
+def test_every_table_needs_its_columns(spark):
+    folder = csv_folder()
+    with open(os.path.join(folder, "reviews.csv"), "w") as fh:
+        fh.write("order_id,comment\no1,x\n")
+    with pytest.raises(ValueError, match="review_score"):
+        read_marketplace_csv(spark, folder)
+
+
+def test_single_line_csv_is_split(spark):
+    lines = [f"o{i},1,boleto,1,1.50" for i in range(20_000)]
+    folder = csv_folder(payments=lines)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        one = read_marketplace_csv(spark, folder).payments
+        many = read_marketplace_csv(spark, folder, multiline=False).payments
+        assert one.rdd.getNumPartitions() == 1 < many.rdd.getNumPartitions()
+        assert many.count() == one.count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_uris_are_kept(spark):
+    w = tpch_workspace(spark, "file://" + SF001)
+    assert w.tables.orders.count() == tpch_workspace(spark, SF001).tables.orders.count()
