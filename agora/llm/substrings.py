@@ -35,7 +35,10 @@ from agora.llm.common import groups_of_rows, mix, runs_of, stage, texts, utf8
 
 LENGTH, GRAM = 200, 32
 BACK = LENGTH - GRAM  # bytes of a context before its anchor
+PART = 144
+PART_BACK = (0, 56, 112)  # where the parts start, before the anchor: BACK / 3 apart
 HOT = 20_000
+HOLD = 100_000
 SORT_BYTES = 1 << 20
 PIECE = 1 << 18
 _NO_DOC = -(1 << 63)
@@ -55,8 +58,8 @@ def _windows(data: np.ndarray, widest: int, seed: int = 0) -> dict[int, np.ndarr
 
 
 def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For texts ``data[at[i]:at[i + 1]]``: row, anchor place, context start and end (in the
-    text), anchor hash and context hash, of each anchor."""
+    """For texts ``data[at[i]:at[i + 1]]``: row, context start and end (in the text), anchor
+    hash, context hash and part hashes (21 bits each, 0 if the part leaves the text)."""
     columns: list[tuple[np.ndarray, ...]] = []
     for a, b in groups_of_rows(at, PIECE):
         piece, cuts = data[at[a]:at[b]], at[a:b + 1] - at[a]
@@ -91,20 +94,28 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
                 x = h[width]
                 context[which] = mix(x[start[which]] * np.uint64(3) + mix(x[end[which] - width]))
         context = mix(context + (size * 1000 + place - start).astype(np.uint64))
+        # every window that names this anchor covers one of three overlapping parts of PART bytes
+        parts = np.zeros(len(place), np.uint64)
+        for k, back in enumerate(PART_BACK):
+            first = place - back
+            fits = (first >= cuts[row]) & (first + PART <= cuts[row + 1])
+            x = h[128]
+            part = mix(x[first[fits]] * np.uint64(7) + mix(x[first[fits] + PART - 128])) >> np.uint64(44)
+            parts[fits] |= (part | np.uint64(1 << 20)) << np.uint64(21 * k)
         begin = cuts[row]
-        columns.append((row + a, place - begin, start - begin, end - begin, gram[place], context))
+        columns.append((row + a, start - begin, end - begin, gram[place], context, parts))
     if not columns:
-        return tuple(np.empty(0, t) for t in (np.int64,) * 4 + (np.uint64,) * 2)
+        return tuple(np.empty(0, t) for t in (np.int64,) * 3 + (np.uint64,) * 3)
     return tuple(np.concatenate(c) for c in zip(*columns))
 
 
-_FOUND = "kind int, gram bigint, context bigint, doc bigint, text_hash bigint, place int, start int, end int"
+_FOUND = "kind int, gram bigint, context bigint, parts bigint, doc bigint, text_hash bigint, start int, end int"
 _NAMES = [c.split()[0] for c in _FOUND.split(", ")]
 _SPAN, _ONE, _MANY = 0, 1, 2  # a repeated stretch; a context seen once; a context seen more often
 
 
 def _batch(*columns: np.ndarray) -> pa.RecordBatch:
-    kinds = [np.int32, np.int64, np.int64, np.int64, np.int64, np.int32, np.int32, np.int32]
+    kinds = [np.int32, np.int64, np.int64, np.int64, np.int64, np.int64, np.int32, np.int32]
     return pa.RecordBatch.from_arrays(
         [pa.array(c.view(np.int64).astype(k, copy=False) if c.dtype == np.uint64 else c.astype(k, copy=False))
          for c, k in zip(columns, kinds)], _NAMES)
@@ -117,17 +128,17 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         doc, text_hash = (batch.column(i).to_numpy() for i in (1, 2))
-        row, place, start, end, gram, context = anchors(*utf8(batch.column(3)))
+        row, start, end, gram, context, parts = anchors(*utf8(batch.column(3)))
         if not len(row):
             continue
         order = np.lexsort((context, gram))
-        row, place, start, end, gram, context = (c[order] for c in (row, place, start, end, gram, context))
+        row, start, end, gram, context, parts = (c[order] for c in (row, start, end, gram, context, parts))
         first = np.ones(len(row), bool)
         first[1:] = (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])
         size = np.diff(np.append(np.flatnonzero(first), len(row)))
         many = np.repeat(size > 1, size)
         kind = np.where(size > 1, _MANY, _ONE)
-        yield _batch(kind, gram[first], context[first], doc[row[first]], text_hash[row[first]], place[first], start[first], end[first])
+        yield _batch(kind, gram[first], context[first], parts[first], doc[row[first]], text_hash[row[first]], start[first], end[first])
         if many.any():
             spans = many & (end - start >= LENGTH)
             yield _united(doc[row[spans]], text_hash[row[spans]], start[spans], end[spans])
@@ -145,120 +156,175 @@ def _united(doc: np.ndarray, text_hash: np.ndarray, start: np.ndarray, end: np.n
     zero = np.zeros(len(begin), np.int64)
     # spread by document in the shuffle by gram
     spread = mix(doc[begin].astype(np.uint64) ^ text_hash[begin].view(np.uint64))
-    return _batch(zero + _SPAN, spread, zero, doc[begin], text_hash[begin], zero, start[begin], end[last])
+    return _batch(zero + _SPAN, spread, zero, zero, doc[begin], text_hash[begin], start[begin], end[last])
+
+
+def _contexts_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows sorted by (gram, context): the first row of each context, whether the context
+    occurs more than once, and the rows of those that do."""
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:, 1] != rows[:-1, 1]) | (rows[1:, 2] != rows[:-1, 2])
+    which = np.cumsum(new) - 1
+    many = (np.bincount(which) > 1) | (np.bincount(which, rows[:, 0] == _MANY) > 0)
+    first = rows[new].copy()
+    first[:, 0] = np.where(many, _MANY, _ONE)
+    return first, many, rows[many[which]]
+
+
+def _stretches(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if len(rows):
+        yield _batch(np.zeros(len(rows), np.int64) + _SPAN, *rows[:, 1:].T)
+
+
+def _alike(first: np.ndarray) -> np.ndarray:
+    """Those contexts that share a part with another context of their group."""
+    group = np.cumsum(np.concatenate(([True], first[1:, 1] != first[:-1, 1])))
+    keep = np.zeros(len(first), bool)
+    for k in range(len(PART_BACK)):
+        part = first[:, 3] >> 21 * k & ((1 << 21) - 1)
+        at = np.flatnonzero(part)
+        key = group[at] << 21 | part[at]
+        order = np.argsort(key, kind="stable")
+        same = np.zeros(len(at), bool)
+        equal = key[order][1:] == key[order][:-1]
+        same[1:] |= equal
+        same[:-1] |= equal
+        keep[at[order[same]]] = True
+    return first[keep]
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (gram, context): emit repeated stretches, and the contexts (one of each)
-    of anchors that have several. Keeps one row of the last group from batch to batch."""
-    held: np.ndarray | None = None  # the last context: its first row and whether it was seen again
-    held_many = held_out = held_mixed = False
-
-    def rows_of(batch: pa.RecordBatch) -> np.ndarray:
-        return np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1)
+    """Rows sorted by (gram, context): emit repeated stretches and, of groups with several
+    contexts, one row of each context that shares a part with another one. A group of more than
+    ``HOLD`` contexts is not held back for that: all its contexts are given out."""
+    held = np.empty((0, 8), np.int64)
+    given_out: int | None = None  # the group whose contexts are given out as they come
+
+    def finish(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(rows):
+            first, _, repeated = _contexts_of(rows)
+            yield from _stretches(repeated)
+            found = _alike(first)
+            if len(found):
+                yield _batch(*found.T)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = rows_of(batch)
-        spans = rows[rows[:, 0] == _SPAN]
-        if len(spans):
-            yield _batch(*spans.T)
-        rows = rows[rows[:, 0] != _SPAN]
+        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1)
+        yield from _stretches(rows[rows[:, 0] == _SPAN])
+        rows = np.vstack([held, rows[rows[:, 0] != _SPAN]])
         if not len(rows):
             continue
-        prior = held is not None
-        if prior:
-            rows = np.vstack([held[None], rows])
-        new_gram = np.ones(len(rows), bool)
-        new_gram[1:] = rows[1:, 1] != rows[:-1, 1]
-        new_context = new_gram.copy()
-        new_context[1:] |= rows[1:, 2] != rows[:-1, 2]
-        group = np.cumsum(new_gram) - 1
-        which = np.cumsum(new_context) - 1
-        count = np.bincount(which)
-        many = np.bincount(which, rows[:, 0] == _MANY) > 0
-        many |= count > 1
-        mixed = np.bincount(group[new_context]) > 1
-        if prior:
-            many[0] |= held_many
-            mixed[0] |= held_mixed
-        # repeated contexts: each row of them is a stretch; the held row was given out if held_out
-        repeated = many[which] & (rows[:, 7] - rows[:, 6] >= LENGTH)
-        if prior and held_out:
-            repeated[0] = False
-        first = np.flatnonzero(new_context)
-        wanted = mixed[group[first]]
-        if prior and held_mixed:
-            wanted[0] = False  # already given out
-        open_ = np.zeros(len(first), bool)
-        open_[-1] = True  # the last context may go on in the next batch
-        if repeated.any():
-            s = rows[repeated]
-            yield _batch(np.zeros(len(s), np.int64), *s[:, 1:].T)
-        give = first[wanted & ~open_] if not mixed[-1] else first[wanted]
-        if len(give):
-            out = rows[give].copy()
-            out[:, 0] = np.where(many[which[give]], _MANY, _ONE)
-            yield _batch(*out.T)
-        # carry the last context; in a group known as mixed its row has been given out now
-        held = rows[first[-1]].copy()
-        held_many = bool(many[-1])
-        held_out = bool(repeated[first[-1]]) or (held_out and len(first) == 1)
-        held_mixed = bool(mixed[-1])
-        if held_many:
-            held[0] = _MANY
-
-
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Two-stage order of all suffixes of ``text`` (bytes from 1 on; 0 ends a part) that start
-    at a non-zero byte, by their bytes up to the next 0 or up to ``depth`` of them."""
+        last = int(np.argmax(rows[:, 1] == rows[-1, 1]))
+        if given_out is not None:
+            begin = int(np.argmax(np.append(rows[:, 1] != given_out, True)))
+            first, _, repeated = _contexts_of(rows[:begin])
+            yield from _stretches(repeated)
+            if begin == len(rows):  # its last context may go on
+                if len(first) > 1:
+                    yield _batch(*first[:-1].T)
+                held = first[-1:]
+                continue
+            yield _batch(*first.T)
+            given_out = None
+            yield from finish(rows[begin:last])
+        else:
+            yield from finish(rows[:last])
+        held, _, repeated = _contexts_of(rows[last:])
+        yield from _stretches(repeated)
+        if len(held) > HOLD:
+            given_out = int(held[0, 1])
+            yield _batch(*held[:-1].T)
+            held = held[-1:]
+    if given_out is not None:
+        yield _batch(*held.T)
+    else:
+        yield from finish(held)
+
+
+def _eights(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The eight bytes from each place as a big-endian number, 0 after the first 0, and whether
+    none of them is 0; eight more places of 0 follow the text."""
     n = len(text)
-    change = np.flatnonzero(text[1:] != text[:-1])
-    run_end = change[np.minimum(np.searchsorted(change, np.arange(n)), len(change) - 1)] if len(change) else np.zeros(n, np.int64)
-    after = text[np.minimum(run_end + 1, n - 1)]
-    smaller = (text < after) & (text > 0)  # smaller than the suffix one to the right
-    # eight bytes at once, big-endian; nothing counts after a 0
-    padded = np.concatenate((text, np.zeros(8, np.uint8)))
-    eight = np.zeros(n, np.uint64)
-    alive = np.ones(n, bool)
+    padded = np.concatenate((text, np.zeros(16, np.uint8)))
+    eight, alive = np.zeros(n + 8, np.uint64), np.ones(n + 8, bool)
     for k in range(8):
-        byte = padded[k:k + n]
+        byte = padded[k:k + n + 8]
         alive &= byte > 0
         eight = eight << np.uint64(8) | np.where(alive, byte, 0).astype(np.uint64)
-    # stage 1: sort the smaller ones directly, eight more bytes of the tied ones a round
-    direct = np.flatnonzero(smaller)
-    direct = direct[np.argsort(eight[direct], kind="stable")]
-    key = eight[direct]
-    first = np.ones(len(direct), bool)
-    first[1:] = key[1:] != key[:-1]
-    group = np.maximum.accumulate(np.where(first, np.arange(len(direct)), 0))
-    open_ = alive[direct]
-    done = 8
-    while done < depth + 1:
-        alone = first & np.append(first[1:], True) if len(first) else first
-        tied = np.flatnonzero(open_ & ~alone)
+    return eight, alive
+
+
+def _smaller(text: np.ndarray) -> np.ndarray:
+    """Which suffixes are smaller than the one to their right."""
+    n = len(text)
+    change = np.flatnonzero(text[1:] != text[:-1])
+    if not len(change):
+        return np.zeros(n, bool)
+    run_end = change[np.minimum(np.searchsorted(change, np.arange(n)), len(change) - 1)]
+    return (text < text[np.minimum(run_end + 1, n - 1)]) & (text > 0)
+
+
+def _sort_directly(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
+    """``places`` in the order of their suffixes, at least to ``depth`` bytes: eight bytes a
+    round among the tied ones; ties that go on for 128 or 32 equal bytes skip those."""
+    n = len(text)
+    eight, alive = _eights(text)
+    skips = {w: h for w, h in _windows(text, 128).items() if w in (32, 128)}
+    places = places[np.argsort(eight[places], kind="stable")]
+    first = np.ones(len(places), bool)
+    first[1:] = eight[places[1:]] != eight[places[:-1]]
+    group = np.maximum.accumulate(np.where(first, np.arange(len(places)), 0))
+    done = np.full(len(places), 8)
+    open_ = alive[places]
+    while True:
+        tied = np.flatnonzero(open_ & (done <= depth) & ~(first & np.append(first[1:], True)))
         if not len(tied):
-            break
-        ahead = direct[tied] + done
-        key = np.where(ahead < n, eight[np.minimum(ahead, n - 1)], 0)
-        more = np.where(ahead < n, alive[np.minimum(ahead, n - 1)], False)
+            return places
+        own = group[tied]
+        heads = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        size = np.diff(np.append(heads, len(tied)))
+        ahead = places[tied] + done[tied]
+        skipped = np.zeros(len(heads), bool)
+        for width, hashes in sorted(skips.items(), reverse=True):
+            fits = ahead < len(hashes)
+            value = hashes[np.minimum(ahead, len(hashes) - 1)]
+            same = fits & (value == np.repeat(value[heads], size))
+            whole = np.logical_and.reduceat(same, heads) & ~skipped
+            done[tied[np.repeat(whole, size)]] += width
+            skipped |= whole
+        rest = np.repeat(~skipped, size)
+        tied, own, ahead = tied[rest], own[rest], np.minimum(ahead[rest], n)
+        if not len(tied):
+            continue
+        key = eight[ahead]
         by_key = np.argsort(key)
         rank = np.empty(len(tied), np.int64)
-        sorted_key = key[by_key]
-        rank[by_key] = np.cumsum(np.concatenate(([0], sorted_key[1:] != sorted_key[:-1])))
-        order = np.argsort(group[tied] << 32 | rank)
-        direct[tied], rank, more = direct[tied][order], rank[order], more[order]
+        rank[by_key] = np.cumsum(np.concatenate(([0], key[by_key][1:] != key[by_key][:-1])))
+        order = np.argsort(own << 32 | rank)
+        places[tied], rank = places[tied][order], rank[order]
+        open_[tied] = alive[ahead][order]
         again = np.ones(len(tied), bool)
-        again[1:] = (rank[1:] != rank[:-1]) | (group[tied][1:] != group[tied][:-1])
+        again[1:] = (rank[1:] != rank[:-1]) | (own[1:] != own[:-1])
         first[tied] = again
         group[tied] = np.maximum.accumulate(np.where(again, tied, 0))
-        open_[tied] = more
-        done += 8
+        done[tied] += 8
+
+
+def suffix_order(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Two-stage order of the suffixes of ``text`` (bytes from 1 on; 0 ends a part) that start
+    at a non-zero byte, by their bytes up to the next 0 or up to ``depth`` of them. ``wanted``
+    limits the places; with a place that is larger than its successor it must hold that one."""
+    n = len(text)
+    smaller = _smaller(text)
+    larger = (text > 0) & ~smaller
+    if wanted is not None:
+        smaller, larger = smaller & wanted, larger & wanted
+    # stage 1: sort the smaller ones directly
+    direct = _sort_directly(text, np.flatnonzero(smaller), depth)
     # stage 2: scan the buckets from left to right; a suffix puts the one to its left, if that is
     # larger than it, at the front of its bucket's free room
-    before = np.concatenate(([0], text[:-1]))
-    larger = (text > 0) & ~smaller
     prior_larger = np.concatenate(([False], larger[:-1]))  # the suffix one to the left is induced
     waiting: list[list[np.ndarray]] = [[] for _ in range(257)]
     edges = np.searchsorted(text[direct], np.arange(257)) if len(direct) else np.zeros(257, np.int64)
@@ -296,30 +362,27 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
     """Common prefix of each suffix with the one before it in ``order``, up to a 0 or ``cap``."""
+    eight, alive = _eights(text)
     n = len(text)
-    padded = np.concatenate((text, np.zeros(cap + 8, np.uint8)))
     out = np.zeros(len(order), np.int64)
-    going = np.arange(1, len(order))
-    while len(going):
-        k = out[going[0]]
-        x, y = padded[order[going] + k], padded[order[going - 1] + k]
-        if k % 8 == 0 and k + 8 <= cap:  # eight at once while they are equal
-            wide = np.lib.stride_tricks.sliding_window_view(padded, 8)
-            x8, y8 = wide[order[going] + k], wide[order[going - 1] + k]
-            whole = ((x8 == y8) & (x8 > 0)).all(1)
-            rest = going[~whole]
-            if len(rest):
-                equal = (x8[~whole] == y8[~whole]) & (x8[~whole] > 0)
-                out[rest] = k + np.argmin(equal, axis=1)
-            going = going[whole]
-            out[going] = k + 8
-        else:
-            equal = (x == y) & (x > 0)
-            going = going[equal]
-            out[going] = k + 1
-        if len(going) and out[going[0]] >= cap:
-            break
-    return out
+    one, other, going = order[1:], order[:-1], np.arange(1, len(order))
+    done = 0
+    while len(going) and done < cap:
+        x, y = eight[np.minimum(one + done, n)], eight[np.minimum(other + done, n)]
+        whole = (x == y) & alive[np.minimum(one + done, n)]
+        ended = ~whole
+        if ended.any():
+            # equal leading bytes: those before the first different one, or before the common 0
+            differ, value = (x ^ y)[ended], x[ended]
+            shared = np.zeros(len(differ), np.int64)
+            for k in range(1, 8):
+                low = np.uint64(8 * (8 - k))
+                shared += ((differ >> low) == 0) & (((value >> low) & np.uint64(255)) > 0)
+            out[going[ended]] = done + shared
+        one, other, going = one[whole], other[whole], going[whole]
+        done += 8
+    out[going] = cap
+    return np.minimum(out, cap)
 
 
 def repeated_windows(contexts: list[bytes], doc: np.ndarray, text_hash: np.ndarray, start: np.ndarray) -> list[tuple[int, int, int]]:
@@ -328,19 +391,25 @@ def repeated_windows(contexts: list[bytes], doc: np.ndarray, text_hash: np.ndarr
     sizes = np.array([len(c) for c in contexts])
     begin = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
     text = np.frombuffer(b"".join(c.translate(_SHIFT) + b"\0" for c in contexts), np.uint8)
-    order = suffix_order(text, LENGTH)
-    prefix = common_prefixes(text, order, LENGTH)
-    cluster = np.cumsum(prefix < LENGTH) - 1  # neighbours with equal windows
+    # the places where a window starts, and on from the last one to the next directly sorted place
+    last = begin + sizes - LENGTH
+    stops = np.flatnonzero(_smaller(text) | (text == 0))
+    edge = np.zeros(len(text) + 1, np.int8)
+    edge[begin] += 1
+    edge[stops[np.searchsorted(stops, last)] + 1] -= 1
+    order = suffix_order(text, LENGTH, np.cumsum(edge[:-1]) > 0)
+    at = np.searchsorted(begin, order, "right") - 1
+    room = order <= last[at]
+    order, at = order[room], at[room]
     if not len(order):
         return []
+    prefix = common_prefixes(text, order, LENGTH)
+    bounds = np.flatnonzero(np.concatenate(([True], prefix[1:] < LENGTH)))  # neighbours with equal windows
     # different places within a cluster; copies of one place in two contexts are no repeat
-    at = np.searchsorted(begin, order, "right") - 1
     source = mix(mix(doc.astype(np.uint64) + mix(text_hash.view(np.uint64)))[at] + (start[at] + order - begin[at]).astype(np.uint64))
-    bounds = np.flatnonzero(np.concatenate(([True], cluster[1:] != cluster[:-1])))
     differs = np.minimum.reduceat(source, bounds) != np.maximum.reduceat(source, bounds)
     flagged = np.zeros(len(text) + LENGTH, bool)
-    hit = order[differs[cluster]]
-    flagged[hit] = True
+    flagged[order[np.repeat(differs, np.diff(np.append(bounds, len(order))))]] = True
     s, e = runs_of(flagged)
     which = np.searchsorted(begin, s, "right") - 1
     return list(zip(which.tolist(), (s - begin[which]).tolist(), (e - begin[which] - 1 + LENGTH).tolist()))

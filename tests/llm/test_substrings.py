@@ -69,3 +69,28 @@ def test_small_batches_of_groups(spark, corpus, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert substrings.BACK + substrings.GRAM == substrings.LENGTH
+
+
+def test_groups_across_batches_and_over_the_hold(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    rows = np.stack([rng.choice([1, 2], 400, p=[0.9, 0.1]), rng.integers(0, 9, 400), rng.integers(0, 60, 400),
+                     rng.integers(0, 5, 400) | 1 << 20, np.arange(400), np.zeros(400), np.zeros(400), np.full(400, 250)], 1).astype(np.int64)
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1]))]
+
+    def run(step, hold):
+        monkeypatch.setattr(substrings, "HOLD", hold)
+        out = list(substrings._grouped(substrings._batch(*rows[i:i + step].T) for i in range(0, len(rows), step)))
+        table = pa.Table.from_batches(out).to_pydict()
+        got = list(zip(*table.values()))
+        return {r[4] for r in got if r[0] == 0}, {r[1:3] for r in got if r[0] != 0}
+
+    spans, contexts = run(400, 1000)
+    count = collections.Counter((r[1], r[2]) for r in rows.tolist())
+    many = {(r[1], r[2]) for r in rows.tolist() if r[0] == 2}
+    assert spans == {r[4] for r in rows.tolist() if count[r[1], r[2]] > 1 or (r[1], r[2]) in many}
+    for step in (1, 7, 100):
+        assert run(step, 1000) == (spans, contexts)
+        more = run(step, 10)
+        assert more[0] == spans and contexts <= more[1] <= set(count)
