@@ -5,7 +5,8 @@ each character they write, the source range it came from:
 
 1. characters: homoglyphs, full-width and other digit forms, dashes and spaces become ASCII,
    invisible characters vanish;
-2. digits spelled as words (three or more in a row) become digits, a leading "plus" becomes "+";
+2. digits spelled as words (three or more in a row, also among written ones) become digits, a
+   leading "plus" becomes "+" and a "dot" between them ".";
 3. "(at)", "[dot]" and the like, and "name at host dot tld", become "@" and ".".
 
 The same detectors run over the rewritten text, and their spans are mapped back to the source. A
@@ -150,8 +151,8 @@ class _Tables:
         self.odd = frozenset(map(chr, self.ascii)) | frozenset(INVISIBLE)
         self.digit = {w: str(d) for words in DIGIT_WORDS for d, w in enumerate(words.split())}
         word = "(?:" + "|".join(sorted(self.digit, key=len, reverse=True)) + ")"
-        gap = r"[\s,.–-]{1,3}"
-        self.spelled = re.compile(rf"(?<!\w)(?:plus{gap}|\+\s?)?(?:{word}|[0-9])(?:{gap}(?:{word}|[0-9])(?!\w))*(?:{gap}{word}(?!\w))", re.I)
+        gap, item = r"[\s,.()–-]{1,3}", rf"(?:{word}|[0-9]+)(?!\w)"
+        self.spelled = re.compile(rf"(?<!\w)(?:plus{gap}|\+\s?\(?)?{item}(?:(?:{gap}(?:dot|point))?{gap}{item})+", re.I)
         self.tokens = frozenset(w + mark for w in self.digit for mark in ("", ",", ".", ";", "-"))
 
 
@@ -166,7 +167,7 @@ def tables() -> _Tables:
 
 
 #: Last labels that make "name at host dot tld" an address without brackets (fixed values).
-ENDINGS = "com org net edu gov mil int info biz io co ai dev app me tv uk us de fr es it nl ch at eu ca au jp cn in br test example"
+ENDINGS = "com org net edu gov mil int info biz io co ai dev app me tv uk us de fr es it nl ch at eu ca au jp cn in br ru pl se no fi dk be gr pt ie nz za mx ar xyz online site shop club store tech test example"
 _OPEN, _CLOSE = r"\s?[\[({<]\s?", r"\s?[\])}>]\s?"
 _AT_WORD, _DOT_WORD = r"(?:at|@|arroba)", r"(?:dot|\.|punkt|punto|point)"
 _BARE_HOST = rf"[A-Za-z0-9-]+(?:(?:[ _]dot[ _]|\.)[A-Za-z0-9-]+)*(?:[ _]dot[ _]|{_OPEN}{_DOT_WORD}{_CLOSE})(?:{'|'.join(ENDINGS.split())})(?![\w-])"
@@ -239,8 +240,11 @@ def deobfuscate(text: str) -> Mapped | None:
             for w in tokens:
                 a, b = m.start() + w.start(), m.start() + w.end()
                 word = w[0].lower()
-                value = "+" if word in ("plus", "+") else t.digit.get(word, word)
-                if word in t.digit:
+                value = "+" if word in ("plus", "+") else "." if word in ("dot", "point") else t.digit.get(word, word)
+                if value == ".":
+                    start.append(out.start[a])
+                    end.append(out.end[b - 1])
+                elif word in t.digit:
                     out.spelled.add(out.start[a])
                     start.append(out.start[a])
                     end.append(out.end[b - 1])

@@ -49,6 +49,11 @@ def test_base_spans_equal_the_patterns(corpus):
     ("pay ４１１１ １１１１ １１１１ １１１１.", "card",
      "４１１１ １１１１ １１１１ １１１１"),
     ("four one one one one one one one one one one one one one one one", "card", "four" + " one" * 15),
+    ("dial +1 (four nine nine) 555-6503 now", "phone", "+1 (four nine nine) 555-6503"),
+    ("dial plus one (four nine nine) five five five, six five zero three", "phone",
+     "plus one (four nine nine) five five five, six five zero three"),
+    ("host one nine two dot one six eight dot one dot one zero up", "ip", "one nine two dot one six eight dot one dot one zero"),
+    ("THAT.92 AT MAIL2 DOT EXAMPLE DOT COM", "email", "THAT.92 AT MAIL2 DOT EXAMPLE DOT COM"),
     ("host 192[.]168[.]0[.]1 up", "ip", "192[.]168[.]0[.]1"),
     ("host 192 dot 168 dot 1 dot 10 up", "ip", "192 dot 168 dot 1 dot 10"),
 ])
