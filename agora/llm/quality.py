@@ -33,6 +33,7 @@ from agora.llm.common import groups_of_rows, hash_tokens, segments, texts, utf8
 ROWS, DIM, ACTIVE, WINDOW = 8192, 32, 2, 2
 STRIPE = 512  # rows of the table in one record while it is summed
 FEATURES = 3 * DIM
+PIECE = 1 << 18  # bytes worked on at once: a token takes a few hundred bytes of vectors
 
 # byte classes: 0 white space, 1 letter, digit or non-ASCII, 2 punctuation
 _CLASS = np.full(256, 2, np.uint8)
@@ -60,7 +61,7 @@ def _context_table(columns: Iterator[pa.Array]) -> np.ndarray:
     table = np.zeros(ROWS * DIM)
     for column in columns:
         data, at = utf8(column)
-        for a, b in groups_of_rows(at):
+        for a, b in groups_of_rows(at, PIECE):
             rows, starts = token_rows(data[at[a]:at[b]], at[a:b] - at[a])
             doc = np.searchsorted(at[a:b + 1] - at[a], starts, "right")
             for gap in range(1, WINDOW + 1):
@@ -107,7 +108,7 @@ def pool(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
     """One feature row per text of an Arrow column."""
     data, at = utf8(column)
     out = np.zeros((len(column), FEATURES), np.float32)
-    for a, b in groups_of_rows(at):
+    for a, b in groups_of_rows(at, PIECE):
         rows, starts = token_rows(data[at[a]:at[b]], at[a:b] - at[a])
         first = np.searchsorted(starts, at[a:b + 1] - at[a])
         count = np.diff(first)

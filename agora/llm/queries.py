@@ -44,7 +44,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame, encoder: bpe.BytePairEncoder) -> DataFrame:
     """Number and hash of each document's ids, and the hash of the text decoded from them."""
-    tokens = bpe.decode(bpe.encode(docs, encoder), encoder)
+    tokens = bpe.round_trip(docs, encoder)
     return tokens.select("doc_id", F.expr("octet_length(ids) div 4").cast("bigint").alias("n_tokens"),
                          F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 

@@ -70,3 +70,5 @@ def test_query_and_edges(library, encoder, edge_df, empty_df):
                  for r in bpe_digests(edge_df, encoder).collect())
     assert got == sorted((-1 if d is None else d, *digest(t)) for d, t in EDGE_ROWS)
     assert bpe_digests(empty_df, encoder).count() == 0
+    apart = bpe.decode(bpe.encode(edge_df, encoder), encoder)
+    assert apart.exceptAll(bpe.round_trip(edge_df, encoder)).count() == 0 and apart.count() == 13
