@@ -154,7 +154,8 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
         if high is not None:
             part = part.where(F.col("doc") < high)
         runs.add(part)
-    repeated = runs.counts().where(F.col("n_docs") >= min_docs)
+    # written, so that its join with the lines is one that AQE can split at a very common line
+    repeated = stage(runs.counts().where(F.col("n_docs") >= min_docs).select(*KEY, "keeper"))
     dropped = (lines.join(repeated, KEY).where(F.col("doc") != F.col("keeper"))
                .select("doc", "text_hash", F.explode("line_nos").alias("line_no")).distinct()
                .groupBy("doc", "text_hash").agg(F.collect_list("line_no").alias("gone")))
