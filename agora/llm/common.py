@@ -6,7 +6,6 @@ operator names are read, so extra columns never clash; an empty table gives an e
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,20 +13,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.session import checkpoint_dir
+from agora.session import application_scratch
 
 #: Chunks of this many bytes are worked on at once in numpy, so that temporaries stay small.
 CHUNK_BYTES = 1 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    return checkpoint_dir(spark).rstrip("/")
-
-
 def stage(df: DataFrame, compression: str | None = None) -> DataFrame:
-    """Write ``df`` below the shared checkpoint folder and return a scan of it (cuts the lineage)."""
+    """Write ``df`` to the application's scratch folder in the shared checkpoint folder and return
+    a scan of it (cuts the lineage)."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/agora-llm-{uuid.uuid4().hex}"
+    path = application_scratch(spark).new_path("llm")
     writer = df.write if compression is None else df.write.option("compression", compression)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

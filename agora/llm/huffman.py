@@ -21,8 +21,9 @@ of more than ``BLOCK_IDS`` ids is a block of its own.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-import uuid
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.llm.common import cut_points, shared_folder, stage, texts
+from agora.llm.common import cut_points, stage, texts
+from agora.session import application_scratch
 
 LIMIT = 16
 STRIDE = 256
 BLOCK_IDS = 1 << 18
 CACHE_ENTRIES = 250_000
+STEP_WORDS = 4096
 STEP_TEXTS = 512
 ROWS_PER_PART = 4096
 MAX_PARTS = 20_000
@@ -44,11 +47,27 @@ _NO_DOC = -(1 << 63)
 
 # ------------------------------------------------------------------------ ids
 
+_LATIN_END = "\u0250"
+_ODD_MARK = re.compile(r"(?:\A|[\W\d_])[.,][ \n]")
+
+
+def _prepared(text: str) -> str:
+    """A text with the same ids whose words recur more often: Latin text in lower case (as the
+    tokenizer makes it anyway), and a space between a word and the mark that ends it (the two are
+    pretokens of their own) if every such mark follows a letter. Texts that may hold a special token stay as they are."""
+    if "<|" in text or not (text.isascii() or max(text) < _LATIN_END):
+        return text
+    text = text.lower()
+    if _ODD_MARK.search(text):
+        return text
+    return text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n").replace(",\n", " ,\n")
+
+
 class LibraryEncoder:
     """The tokenizers library behind a bounded cache of white-space separated pieces.
 
-    Valid for tokenizers that drop white space (no token crosses a space or line feed), so a
-    text's ids are the ids of its pieces one after the other."""
+    Valid for tokenizers that lower-case, split marks from letters and drop white space (no
+    token crosses a space or line feed), so a text's ids are those of its pieces in turn."""
 
     def __init__(self, spec: str):
         self.spec = spec
@@ -71,24 +90,47 @@ class LibraryEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.width = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        vocabulary = self.library.get_vocab()
+        suffix = json.loads(self.spec)["model"].get("end_of_word_suffix") or "\0"
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
+    def _words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Words of letters only: encoded in one go, cut at the tokens that end a word."""
+        for a in range(0, len(words), STEP_WORDS):
+            part = words[a:a + STEP_WORDS]
+            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, self.width)
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * ids.itemsize
+            if len(ends) != len(part):
+                yield from self._pieces(part)
+                continue
+            flat, begin = ids.tobytes(), 0
+            for word, end in zip(part, ends.tolist()):
+                yield word, flat[begin:end]
+                begin = end
+
+    def _pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        for piece, got in zip(pieces, self.library.encode_batch(pieces, add_special_tokens=False)):
+            yield piece, np.array(got.ids, self.width).tobytes()
+
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of new pieces."""
+        words = [p for p in missing if p.isalpha() and (p.isascii() or max(p) < _LATIN_END)]
+        known = dict(self._words(words))
+        known.update(self._pieces(list(missing.difference(known))))
+        return known
+
     def encode_texts(self, column: list[str], end: int) -> list[bytes]:
         """Ids of each text and the end id, as little-endian integers of type ``width``."""
         if self.library is None:
             self._open()
-        pieces = [text.replace("\n", " ").split(" ") for text in column]
+        pieces = [_prepared(text).replace("\n", " ").split(" ") for text in column]
         wanted = set().union(*pieces)
         missing = wanted.difference(self.young)
-        found = {}
-        for piece in missing:
-            ids = self.old.get(piece)
-            if ids is not None:
-                found[piece] = ids
-        missing = list(missing.difference(found))
-        for piece, got in zip(missing, self.library.encode_batch(missing, add_special_tokens=False)):
-            found[piece] = np.array(got.ids, self.width).tobytes()
+        found = {p: ids for p in missing if (ids := self.old.get(p)) is not None}
+        found.update(self._learn(missing.difference(found)))
         if len(self.young) + len(found) > CACHE_ENTRIES:
             kept = {p: self.young[p] for p in wanted if p in self.young}
             self.old, self.young = self.young, {"": b"", **kept}
@@ -335,4 +377,5 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def new_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
+    """A folder of this application's own for files that only it needs."""
+    return application_scratch(spark).new_path("ids")

@@ -93,7 +93,9 @@ def test_edges(spark, edge_df, empty_df):
 
 
 def test_pieces_and_cache(monkeypatch):
-    texts = ["", " ", "İx Σας ΣΑΣ", "a<|endoftext|>b", "é ́x\n̈y", "tab\tnb\xa0sp\x1cx", "don't 12 it's!", " z"] * 3
+    texts = ["", " ", "İx Σας ΣΑΣ", "a<|endoftext|>b", "é ́x\n̈y", "tab\tnb\xa0sp\x1cx", "don't 12 it's!", "\u2028z", " z",
+             "Word, word. WORD!? .,; Größe, ÉTÉ. naïve;x İstanbul. ŉa, ªº. ẞ ΑΣ. ǅx, a1, x.y z...", "ab" * 300 + ",",
+             "A, b. c,\nd.\n", "One, Two, three. é, <|ENDOFTEXT|> x, ...", "1, 2. ., a"] * 3
     library = tokenizers.Tokenizer.from_file(PATH)
     monkeypatch.setattr(huffman, "CACHE_ENTRIES", 4)
     encoder = LibraryEncoder.load(PATH)
