@@ -1,8 +1,9 @@
 """Main text of web pages by tree scoring (operator 10).
 
 The page is read into a tree (raw-text elements, comments, void elements, implied ends of
-paragraphs and list items, missing end tags). Elements that hold no article text by their tag,
-role, class or id are cut out. Every paragraph, and every other element with text of its own,
+paragraphs and list items, missing end tags). Elements that hold no article text by their tag are
+cut out, and those that have a noise word in their role, class or id, unless they hold the page's
+largest article/main or, as measured before any of them is cut, too much of its text. Every paragraph, and every other element with text of its own,
 gives points to its ancestors: one, one per comma and up to three for its length; all of them to
 the parent, half to the next ancestor, a third to the one after. A container's points are
 discounted by its link density. The best container is kept, with those siblings that score at
@@ -47,6 +48,28 @@ _NOISE = re.compile(
     r"cookies?|consent|gdpr|notice|notification|alert|modal|popup|overlay|footer|foot|header|masthead|menu\w*|nav|navbar|"
     r"navigation|pager|pagination|promo\w*|recommend\w*|related|share|sharing|shoutbox|sidebar\w*|skip\w*|social|sponsor\w*|"
     r"subscribe|newsletter|toolbar|widget|complementary|contentinfo|search|login|signup)(?:$|[\s_-])", re.I)
+#: Names that tell of the layout around the article: what it has or lacks, or a wrapper of it.
+_LAYOUT = re.compile(
+    r"(?:no|has|with|without|hide|hides)[_-].*|"
+    r"(?:.*[_-])?(?:content|main|page|site|layout|body|article|post|entry|story)[_-](?:.*[_-])?(?:wrap|wrapper|wrapping|layout)", re.I)
+#: Noise words of what readers add, and those that can also be a text's subject.
+_READERS = re.compile(r"(?:^|[_-])(?:comments?|commentlist|disqus|respond|replies)(?:$|[_-])", re.I)
+_SUBJECT = re.compile(r"(?:community|related|recommend\w*|share|sharing|social|search|alert|notice|notification|consent|promo\w*)", re.I)
+NAMED, BY_SUBJECT, BY_READERS = 1, 2, 3
+
+
+def _noise_kind(value: str) -> int:
+    """Kind of the noise words in a class, id or role; 0 if there are none."""
+    kind = 0
+    for name in value.split() if _NOISE.search(value) else ():
+        found = [w for w in re.split("[_-]", name) if _NOISE.search(w)]
+        if not found and not _NOISE.search(name) or _LAYOUT.fullmatch(name):
+            continue
+        if _READERS.search(name):
+            return BY_READERS
+        if kind != NAMED:
+            kind = BY_SUBJECT if found and all(_SUBJECT.fullmatch(w) for w in found) else NAMED
+    return kind
 
 
 @dataclass
@@ -54,8 +77,10 @@ class Node:
     name: str
     parent: Node | None
     noise: bool = False
+    named: int = 0
     parts: list[Node | str] = field(default_factory=list)
     points: float = 0.0
+    own: float = 0.0
 
 
 def parse(page: str) -> Node:
@@ -91,8 +116,10 @@ def parse(page: str) -> Node:
         new = Node(name, node)
         for key, *values in _ATTR.findall(m[2]):
             value = "".join(values)
-            if key.lower() == "hidden" or _NOISE.search(value):
+            if key.lower() == "hidden":
                 new.noise = True
+            elif kind := _noise_kind(value):
+                new.named = kind if kind == BY_READERS or new.named in (0, BY_SUBJECT) else new.named
         node.parts.append(new)
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, place)
@@ -138,7 +165,7 @@ def _measure(root: Node) -> dict[int, tuple[int, int, int]]:
             links = chars
         sizes[id(node)] = chars, links, commas
         if chars and (node.name == "p" or own) and node.name not in INLINE:
-            points = (1 + commas + min(chars / 100, 3)) * (1 - links / chars)
+            points = node.own = (1 + commas + min(chars / 100, 3)) * (1 - links / chars)
             up, share = (node if node.name != "p" else node.parent), 1
             while up is not None and share <= 3:
                 if up.name not in INLINE:
@@ -148,6 +175,64 @@ def _measure(root: Node) -> dict[int, tuple[int, int, int]]:
     return sizes
 
 
+def _mark_noise(root: Node) -> None:
+    """Mark the elements with noise words that are to be cut out. Kept are those around the largest
+    article or main; those named by a subject, with few links and at least a tenth of the text
+    points; others with more than half of them; readers' additions if there is hardly anything else."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [p for p in reversed(node.parts) if isinstance(p, Node) and not _dropped(p)]
+    if not any(n.named for n in order):
+        return
+    sizes = _measure(root)
+    for node in order:
+        node.points = 0.0
+
+    def below(without: set[int]) -> dict[int, float]:
+        """Text points of each node and all below it."""
+        sums: dict[int, float] = {}
+        for node in reversed(order):
+            inner = sum(sums[id(p)] for p in node.parts if isinstance(p, Node) and id(p) in sums)
+            sums[id(node)] = 0.0 if id(node) in without else inner + node.own
+        return sums
+
+    every = below(set())
+    around: set[int] = set()
+    inside, least = root, 0.0
+    while True:  # the largest article or main, the largest one in it, and so on
+        stack, within = [inside], []
+        while stack:
+            node = stack.pop()
+            if node is not inside and node.name in ("article", "main"):
+                within.append(node)
+            stack += [p for p in reversed(node.parts) if isinstance(p, Node) and id(p) in every]
+        within = [n for n in within if not n.named] or (within if inside is root else [])
+        largest = max(within, key=lambda n: every[id(n)], default=None)
+        if largest is None or every[id(largest)] <= least:
+            break
+        at: Node | None = largest
+        while at is not None:
+            around.add(id(at))
+            at = at.parent
+        inside, least = largest, every[id(largest)] / 4
+    readers = {id(n) for n in order if n.named == BY_READERS and id(n) not in around}
+    plain = below({id(n) for n in order if n.named and id(n) not in around})[id(root)]
+    if plain <= every[id(root)] / 20 and any(every[i] > every[id(root)] * 3 / 4 for i in readers):
+        readers = set()
+    rest = below(readers)
+    total = rest[id(root)]
+    for node in order:
+        if not node.named or id(node) in around:
+            continue
+        chars, links, _ = sizes[id(node)]
+        if node.named == BY_SUBJECT:
+            node.noise = rest[id(node)] < total / 10 or links > chars / 4
+        else:
+            node.noise = id(node) in readers or rest[id(node)] <= total / 2
+
+
 def _collect(node: Node, blocks: list[list[str]]) -> None:
     stack: list[Node | str | None] = [node]
     while stack:
@@ -169,6 +254,7 @@ def _collect(node: Node, blocks: list[list[str]]) -> None:
 def main_text(page: str) -> str:
     """The text of the best container and its kept siblings, blocks joined by one space."""
     root = parse(page)
+    _mark_noise(root)
     sizes = _measure(root)
 
     def score(node: Node) -> float:

@@ -51,3 +51,33 @@ def test_query_and_edges(spark):
     assert len(got) == 5 and got[(1, len(main_text(PAGE)))]["url"] == "u"
     assert got[(2, 0)]["text"] == "" and got[(None, 0)]["url"] == "v" and (3, 219_999) in got
     assert extract_text(pages.limit(0)).count() == 0
+
+
+PROSE = "".join(f"<p>Sentence number {i}, of the main text, which goes on for a while.</p>" for i in range(6))
+
+
+@pytest.mark.parametrize("tag", [
+    'div class="content-sidebar-wrap"', 'div class="page no-sidebar"', 'div class="layout with-share"', 'div id="community-post"',
+    'section class="related-work"', 'div class="sidebar-left"', 'div class="comments-on"'])
+@pytest.mark.parametrize("inner", ["{}", "<article>{}</article>", "<main><h1>Title</h1>{}</main>"])
+def test_wrappers_with_noise_words_keep_their_article(tag, inner):
+    page = f"<body><{tag}>{inner.format(PROSE)}<div class='share'>Tweet, this</div></{tag.split()[0]}><div class='sidebar'><p>Read, more.</p></div></body>"
+    text = main_text(page)
+    assert "number 0" in text and text.endswith("number 5, of the main text, which goes on for a while.")
+
+
+def test_section_named_by_its_subject_is_kept():
+    page = f"<article><section>{PROSE}</section><section class='related-work'><p>Others, too, wrote.</p><p>So, they did.</p></section></article>"
+    assert "Others, too, wrote." in main_text(page)
+
+
+def test_noise_is_cut_beside_the_article():
+    reader = "<p>I, the reader, say so, at length, again, and again.</p>"
+    cards = "".join(f"<article><a href='{i}'>Another story of the day</a><p>A teaser.</p></article>" for i in range(3))
+    page = (f"<div class='has-sidebar'><article>{PROSE}</article><div id='comments'>{reader * 12}</div>"
+            f"<div class='related-posts'>{cards}</div><div class='ad-wrap'><p>Buy, now.</p></div></div>")
+    text = main_text(page)
+    assert text.startswith("Sentence number 0") and text.endswith("for a while.")
+    inside = main_text(f"<main>{PROSE}<div id='comments'><article>{reader}</article></div><div class='related-posts'>{cards}</div></main>")
+    assert inside == text
+    assert main_text(f"<body><div id='comments'>{reader}</div></body>").startswith("I, the reader")
