@@ -6,8 +6,10 @@ cut out, and those that have a noise word in their role, class or id, unless the
 largest article/main or, as measured before any of them is cut, too much of its text. Every paragraph, and every other element with text of its own,
 gives points to its ancestors: one, one per comma and up to three for its length; all of them to
 the parent, half to the next ancestor, a third to the one after. A container's points are
-discounted by its link density. The best container is kept, with those siblings that score at
-least a fifth of it or are paragraphs with few links.
+discounted by its link density. The points choose the region only: the outermost article/main
+around the best container, or else its highest ancestor that adds a heading, a paragraph, bare
+text, any text beside the container itself, or blocks of ``LEAST`` text points in all. All of the
+region is kept that is neither cut out nor, outside the best container, a list of links.
 
 Defined results: null and empty pages, and pages without text outside the parts cut out, give
 the empty text. Nothing of a kept container is capped.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from agora.llm.common import map_batches
 
 #: Element names by their role in a page (fixed by the HTML standard).
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s "
@@ -81,6 +85,8 @@ class Node:
     parts: list[Node | str] = field(default_factory=list)
     points: float = 0.0
     own: float = 0.0
+    links: int = 0
+    titled: bool = False
 
 
 def parse(page: str) -> Node:
@@ -152,8 +158,12 @@ def _measure(root: Node) -> dict[int, tuple[int, int, int]]:
             continue
         chars = links = commas = 0
         own = False
+        text = [0, 0, 0]  # the same without the blocks in it
+        node.links, node.titled = 0, node.name == "h1"
         for part in node.parts:
             if isinstance(part, Node):
+                if id(part) in sizes:
+                    node.links, node.titled = node.links + part.links, node.titled or part.titled
                 c, k, s = sizes.get(id(part), (0, 0, 0))
                 own = own or part.name in INLINE and c > k
             else:
@@ -161,11 +171,16 @@ def _measure(root: Node) -> dict[int, tuple[int, int, int]]:
                 c, k, s = sum(map(len, words)) + max(len(words) - 1, 0), 0, part.count(",")
                 own = own or c > 0
             chars, links, commas = chars + c, links + k, commas + s
+            if isinstance(part, str) or part.name in INLINE:
+                text = [text[0] + c, text[1] + k, text[2] + s]
         if node.name == "a":
             links = chars
+            node.links += chars > 0
         sizes[id(node)] = chars, links, commas
         if chars and (node.name == "p" or own) and node.name not in INLINE:
-            points = node.own = (1 + commas + min(chars / 100, 3)) * (1 - links / chars)
+            if text[0]:
+                node.own = (1 + text[2] + min(text[0] / 100, 3)) * (1 - text[1] / text[0])
+            points = (1 + commas + min(chars / 100, 3)) * (1 - links / chars)
             up, share = (node if node.name != "p" else node.parent), 1
             while up is not None and share <= 3:
                 if up.name not in INLINE:
@@ -199,27 +214,29 @@ def _mark_noise(root: Node) -> None:
         return sums
 
     every = below(set())
-    around: set[int] = set()
+    articles = [n for n in order if n.name in ("article", "main")]
+    plain = {id(n) for n in articles if not n.named} or set(map(id, articles))
+    nearest: dict[int, Node] = {}
+    within: dict[int, list[Node]] = {}
+    for node in order:
+        outer = nearest.get(id(node.parent), root)
+        nearest[id(node)] = node if id(node) in plain else outer
+        if id(node) in plain:
+            within.setdefault(id(outer), []).append(node)
     inside, least = root, 0.0
-    while True:  # the largest article or main, the largest one in it, and so on
-        stack, within = [inside], []
-        while stack:
-            node = stack.pop()
-            if node is not inside and node.name in ("article", "main"):
-                within.append(node)
-            stack += [p for p in reversed(node.parts) if isinstance(p, Node) and id(p) in every]
-        within = [n for n in within if not n.named] or (within if inside is root else [])
-        largest = max(within, key=lambda n: every[id(n)], default=None)
-        if largest is None or every[id(largest)] <= least:
+    while id(inside) in within:  # the largest article or main, the largest one in it, and so on
+        largest = max(within[id(inside)], key=lambda n: every[id(n)])
+        if every[id(largest)] <= least:
             break
-        at: Node | None = largest
-        while at is not None:
-            around.add(id(at))
-            at = at.parent
         inside, least = largest, every[id(largest)] / 4
+    around: set[int] = set()
+    at: Node | None = inside
+    while at is not None:
+        around.add(id(at))
+        at = at.parent
     readers = {id(n) for n in order if n.named == BY_READERS and id(n) not in around}
-    plain = below({id(n) for n in order if n.named and id(n) not in around})[id(root)]
-    if plain <= every[id(root)] / 20 and any(every[i] > every[id(root)] * 3 / 4 for i in readers):
+    unnamed = below({id(n) for n in order if n.named and id(n) not in around})[id(root)]
+    if unnamed <= every[id(root)] / 20 and any(every[i] > every[id(root)] * 3 / 4 for i in readers):
         readers = set()
     rest = below(readers)
     total = rest[id(root)]
@@ -233,26 +250,89 @@ def _mark_noise(root: Node) -> None:
             node.noise = id(node) in readers or rest[id(node)] <= total / 2
 
 
-def _collect(node: Node, blocks: list[list[str]]) -> None:
-    stack: list[Node | str | None] = [node]
+#: Text points of the blocks beside a region that make their parent the region (fixed value).
+LEAST = 2
+
+
+def _length(text: str) -> int:
+    words = text.split()
+    return sum(map(len, words)) + max(len(words) - 1, 0)
+
+
+def _beside(node: Node, path: set[int], sizes: dict[int, tuple[int, int, int]]) -> Iterator[list[Node | str]]:
+    """The blocks and the runs of inline parts of ``node`` that are not cut out and no lists of
+    links (without other text, or several links with half of the text); ``path`` always stays."""
+    run: list[Node | str] = []
+    for part in [*node.parts, None]:
+        alone = isinstance(part, Node) and (part.name not in INLINE or id(part) in path)
+        if part is not None and not alone:
+            if isinstance(part, str) or part.name == "br" or id(part) in sizes:
+                run.append(part)
+            continue
+        for group in (run, [part] if alone else []):
+            nodes = [p for p in group if isinstance(p, Node) and id(p) in sizes]
+            chars = sum(sizes[id(p)][0] for p in nodes) + sum(_length(p) for p in group if isinstance(p, str))
+            links, count = sum(sizes[id(p)][1] for p in nodes), sum(p.links for p in nodes)
+            if any(id(p) in path or p.titled or p.name in HEADINGS for p in nodes) or chars and not (
+                    links >= chars or count > 1 and links * 2 >= chars):
+                yield group
+            elif not chars or group is run:
+                yield [" "]
+        run = []
+
+
+def _region(best: Node, sizes: dict[int, tuple[int, int, int]]) -> Node:
+    region, at = None, best
+    while at is not None:
+        if at.name in ("article", "main"):
+            region = at
+        at = at.parent
+    if region is not None:
+        return region
+    region, below, alone = best, best, True
+    while below.parent is not None and below.name != "body":
+        up = below.parent
+        beside = [p for group in _beside(up, {id(below)}, sizes) for p in group if p is not below]
+        beside = [p for p in beside if (p.strip() if isinstance(p, str) else sizes.get(id(p), (0,))[0])]
+        points, stack = 0.0, [p for p in beside if isinstance(p, Node)]
+        while stack:
+            node = stack.pop()
+            points += node.own
+            stack += [p for p in node.parts if isinstance(p, Node) and id(p) in sizes]
+        if points >= LEAST or beside and alone and up.name != "body" or any(
+                isinstance(p, str) or p.name == "p" or p.name in HEADINGS or p.name in INLINE for p in beside):
+            region = up
+        alone = alone and not beside
+        below = up
+    return region
+
+
+def _collect(region: Node, best: Node, sizes: dict[int, tuple[int, int, int]], blocks: list[list[str]]) -> None:
+    path, at = {id(best)}, best
+    while at is not region:
+        at = at.parent
+        path.add(id(at))
+    stack: list[tuple[Node | str | None, bool]] = [(region, region is not best)]
     while stack:
-        part = stack.pop()
+        part, sift = stack.pop()
         if part is None:
             blocks.append([])
         elif isinstance(part, str):
             blocks[-1].append(html.unescape(part))
         elif part.name == "br":
             blocks[-1].append(" ")
-        elif part is node or not _dropped(part):
+        elif part is region or not _dropped(part):
             block = part.name not in INLINE
             if block:
                 blocks.append([])
-                stack.append(None)
-            stack += reversed(part.parts)
+                stack.append((None, False))
+            sift = sift and part is not best and part.name not in HEADINGS and (block or id(part) in path)
+            parts = [p for group in _beside(part, path, sizes) for p in group] if sift else part.parts
+            stack += [(p, sift) for p in reversed(parts)]
 
 
 def main_text(page: str) -> str:
-    """The text of the best container and its kept siblings, blocks joined by one space."""
+    """The text of the region of the best container, blocks joined by one space."""
     root = parse(page)
     _mark_noise(root)
     sizes = _measure(root)
@@ -271,13 +351,7 @@ def main_text(page: str) -> str:
     if best is None:
         return ""
     blocks: list[list[str]] = [[]]
-    for part in best.parent.parts if best.parent is not None else [best]:
-        if part is best:
-            _collect(best, blocks)
-        elif isinstance(part, Node) and id(part) in sizes and best.name not in ("article", "main", "body"):
-            chars, links, _ = sizes[id(part)]
-            if chars and (score(part) >= max(1, most / 5) or part.name == "p" and links < chars / 4):
-                _collect(part, blocks)
+    _collect(_region(best, sizes), best, sizes, blocks)
     joined = (" ".join("".join(b).split()) for b in blocks)
     return " ".join(b for b in joined if b)
 

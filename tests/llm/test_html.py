@@ -80,4 +80,30 @@ def test_noise_is_cut_beside_the_article():
     assert text.startswith("Sentence number 0") and text.endswith("for a while.")
     inside = main_text(f"<main>{PROSE}<div id='comments'><article>{reader}</article></div><div class='related-posts'>{cards}</div></main>")
     assert inside == text
+    bare = main_text(f"<body>x<div>y<div>z<div class='sidebar-left'>{PROSE}</div></div></div></body>")
+    assert "Sentence number 5" in bare
     assert main_text(f"<body><div id='comments'>{reader}</div></body>").startswith("I, the reader")
+
+
+def long(n, name="long"):
+    return "".join(f"<p>Paragraph {i} of {name}, with some, commas, and words, as many, as make it long, enough, to count, in all.</p>" for i in range(n))
+
+
+def test_short_parts_of_a_long_article_are_kept():
+    text = main_text(f"<body><article><h1>Title</h1><div class=body>{long(10)}</div><ul><li>A point<li>Another, too</ul>"
+                     "<ul><li><a href=1>More one</a><li><a href=2>More two</a></ul></article></body>")
+    assert text.startswith("Title Paragraph 0") and text.endswith("in all. A point Another, too")
+    text = main_text(f"<article><section>{long(30)}</section><section>{long(5, 'short')}</section></article>")
+    assert "Paragraph 29 of long" in text and "Paragraph 4 of short" in text
+    text = main_text(f"<main><div>Bare lead.<div>{long(10)}</div>Bare end.</div></main>")
+    assert text.startswith("Bare lead. Paragraph") and text.endswith("in all. Bare end.")
+
+
+def test_region_without_article():
+    text = main_text("<body><div><a href=0>Home</a> <a href=1>News</a><div id=page><h1><a href=2>Title</a></h1>"
+                     f"<div><div>{long(30)}</div></div><div><div><p>Short, end.</p></div></div><div>Last.</div></div></div><div>Site</div></body>")
+    assert text.startswith("Title Paragraph 0") and text.endswith("in all. Short, end. Last.")
+    text = main_text(f"<body><div><div><div>{long(30)}</div></div><div><div>{long(2, 'second')}</div></div></div></body>")
+    assert "Paragraph 1 of second" in text
+    page = f"<body><h1>Title</h1><div>{long(30)}</div>{'<div>' * 2000}<a href=1>x</a></body>"
+    assert main_text(page).startswith("Title Paragraph 0")
