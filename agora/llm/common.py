@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agora.session import application_scratch
@@ -39,6 +39,19 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
                        F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def text_hash(docs: DataFrame) -> Column:
+    """Hash of the text (null: empty); with doc_id it is the key by which a row is judged."""
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+
+
+def without_rows(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id and text are those of ``bad`` (doc_id, text_hash);
+    null ids match each other."""
+    gone = bad.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_text")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("bigint").eqNullSafe(gone["_gone_id"])
+                     & (text_hash(docs) == gone["_gone_text"]), "left_anti")
+
+
 def cut_points(df: DataFrame, column: str, parts: int, error: float) -> list[int]:
     """At most ``parts - 1`` ascending values that cut the integer ``column`` into parts of
     about equal size."""

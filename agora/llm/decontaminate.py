@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agora.llm.common import groups_of_rows, hash_tokens, segments, stage, texts, utf8
+from agora.llm.common import groups_of_rows, hash_tokens, segments, stage, text_hash, texts, utf8, without_rows
 
 SHARD_BYTES = 8 << 20
 BLOCK_BYTES = 8 << 20
@@ -208,18 +208,19 @@ _MATCH = "array<struct<item_id: bigint, item_word: bigint, doc_word: bigint, n_w
 _MATCH_ARROW = pa.list_(pa.struct([(n, pa.int64()) for n in ("item_id", "item_word", "doc_word", "n_words")]))
 
 
-def _scanned(docs: DataFrame, key: str, bench: Benchmark) -> DataFrame:
+def _scanned(docs: DataFrame, keys: list[str], bench: Benchmark) -> DataFrame:
+    """Per row the bigint columns ``keys`` and what ``scan`` finds in ``text``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, got in scan(batch.column(1), bench):
+            for a, b, got in scan(batch.column(0), bench):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], pa.array(got["n_words"], pa.int64()), pa.array(got["n_hit"], pa.int64()),
+                    [*(c[a:b] for c in batch.columns[1:]), pa.array(got["n_words"], pa.int64()), pa.array(got["n_hit"], pa.int64()),
                      pa.array(got["items"], pa.list_(pa.int64())), pa.array(got["matches"], _MATCH_ARROW),
                      pa.array(got["hits"], pa.list_(pa.int64()))],
-                    [key, "n_words", "n_hit", "items", "matches", "hits"])
+                    [*keys, "n_words", "n_hit", "items", "matches", "hits"])
 
-    return docs.select(key, "text").mapInArrow(
-        run, f"{key} bigint, n_words bigint, n_hit bigint, items array<bigint>, matches {_MATCH}, hits array<bigint>")
+    return docs.select("text", *keys).mapInArrow(
+        run, "".join(f"{k} bigint, " for k in keys) + f"n_words bigint, n_hit bigint, items array<bigint>, matches {_MATCH}, hits array<bigint>")
 
 
 @F.pandas_udf(T.LongType())
@@ -236,7 +237,7 @@ def _covered(hits: pd.Series) -> pd.Series:
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10,
                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """For every row of ``docs``: ``doc_id``, ``n_words``, ``n_hit`` (words inside an occurrence
+    """For every row of ``docs``: ``doc_id``, ``text_hash``, ``n_words``, ``n_hit`` (words inside an occurrence
     of a window), ``items`` (sorted ids of the items found) and ``matches`` (the longest
     verbatim matches: item_id, first word in the item and in the document, length in words)."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where(
@@ -247,17 +248,17 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     for k in range(n_blocks):
         part = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
         blocks.append(Benchmark.of([tuple(r) for r in part.collect()], window))
-    base = texts(docs)
+    base = texts(docs, text_hash(docs).alias("text_hash"))
     if n_blocks == 1:
-        return _scanned(base, "doc_id", blocks[0]).drop("hits")
+        return _scanned(base, ["doc_id", "text_hash"], blocks[0]).drop("hits")
     rows = stage(base.withColumn("row_id", F.monotonically_increasing_id()))
-    found = _scanned(rows, "row_id", blocks[0])
+    found = _scanned(rows, ["row_id"], blocks[0])
     for bench in blocks[1:]:
-        found = found.unionByName(_scanned(rows, "row_id", bench))
+        found = found.unionByName(_scanned(rows, ["row_id"], bench))
     merged = found.groupBy("row_id").agg(
         F.max("n_words").alias("n_words"), _flat("items"), _flat("matches"), _flat("hits"))
-    return rows.select("row_id", "doc_id").join(merged, "row_id").select(
-        "doc_id", "n_words", _covered("hits").alias("n_hit"),
+    return rows.select("row_id", "doc_id", "text_hash").join(merged, "row_id").select(
+        "doc_id", "text_hash", "n_words", _covered("hits").alias("n_hit"),
         F.array_sort(F.array_distinct("items")).alias("items"), "matches")
 
 
@@ -266,6 +267,5 @@ def _flat(name: str):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """``docs`` without the documents that hold a window of the benchmark (all columns)."""
-    bad = find_overlaps(docs, benchmark, window).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """``docs`` without the rows that hold a window of the benchmark (all columns)."""
+    return without_rows(docs, find_overlaps(docs, benchmark, window).where("n_hit > 0"))

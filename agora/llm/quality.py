@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agora.llm.common import groups_of_rows, hash_tokens, segments, texts, utf8
+from agora.llm.common import groups_of_rows, hash_tokens, segments, text_hash, texts, utf8
 
 ROWS, DIM, ACTIVE, WINDOW = 8192, 32, 2, 2
 STRIPE = 512  # rows of the table in one record while it is summed
@@ -198,18 +198,19 @@ class QualityModel:
     network: Network
 
     def score(self, docs: DataFrame, threshold: float = 0.3) -> DataFrame:
-        """``doc_id, score, predicted`` for every row of ``docs``, and its other columns named
-        in ``docs`` are not read."""
+        """``doc_id, text_hash, score, predicted`` for every row of ``docs``, and its other columns
+        named in ``docs`` are not read."""
         model = self
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 score = model.network.score(pool(batch.column(1), model.vectors))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(score, pa.float64()),
-                     pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+                    [batch.column(0), batch.column(2), pa.array(score, pa.float64()),
+                     pa.array((score >= threshold).astype(np.int32))], ["doc_id", "text_hash", "score", "predicted"])
 
-        return texts(docs).mapInArrow(run, "doc_id bigint, score double, predicted int")
+        return texts(docs, text_hash(docs).alias("text_hash")).mapInArrow(
+            run, "doc_id bigint, text_hash bigint, score double, predicted int")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 16_000,

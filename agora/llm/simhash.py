@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.llm.common import map_batches, stage, texts
+from agora.llm.common import map_batches, stage, text_hash, texts
 from agora.llm.components import connected_components
 
 BUCKET = 2048
@@ -64,12 +64,13 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint as a signed 64-bit integer) for every row."""
+    """``doc_id, text_hash, fp`` (the fingerprint as a signed 64-bit integer) for every row."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(_signed(fps))], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(_signed(fps))],
+                                          ["doc_id", "text_hash", "fp"])
 
-    return map_batches(texts(docs), run, "doc_id bigint, fp bigint")
+    return map_batches(texts(docs, text_hash(docs).alias("text_hash")), run, "doc_id bigint, text_hash bigint, fp bigint")
 
 
 def _forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +179,7 @@ def near_pairs(fps: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFra
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """``doc_id, fingerprint`` (16 hex digits) and ``component_id`` (the smallest doc_id
     reachable over links of at most ``radius`` differing bits) for every row."""
-    rows = stage(fingerprints(docs, shingle))
+    rows = stage(fingerprints(docs, shingle).drop("text_hash"))
     least = stage(rows.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("least")))
     pairs = near_pairs(least, radius)
     edges = (pairs.join(least.select(F.col("fp").alias("x"), F.col("least").alias("a")), "x")
@@ -189,3 +190,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     return rows.join(ids, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def near_copies(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
+    """``doc_id, text_hash`` of the rows that are near duplicates of one with a smaller doc_id.
+    Texts are linked, not ids: other texts of the same doc_id neither link nor go."""
+    rows = stage(fingerprints(docs, shingle).where(F.col("doc_id").isNotNull()))
+    least = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    linked = connected_components(near_pairs(least, radius).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    groups = least.join(linked, least["fp"] == linked["node"], "left").select(
+        "fp", "least", F.coalesce("component", "fp").alias("component"))
+    first = groups.groupBy("component").agg(F.min("least").alias("first"))
+    return (rows.join(groups.join(first, "component").select("fp", "first"), "fp")
+            .where(F.col("doc_id") != F.col("first")).select("doc_id", "text_hash"))

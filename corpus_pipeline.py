@@ -4,10 +4,10 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run`` writ
 below the shared checkpoint folder and reads it again as the next stage's ``docs``. The first
 four return the columns of ``docs``, the last one the tokens.
 
-Defined results: a null doc_id is kept by the quality and decontamination stages if its text is
-good and clean, and by the near-duplicate stage always; rows that repeat a doc_id are judged
-together (any rejected, duplicate or contaminated row of an id removes the id), and of repeated
-rows with one doc_id all stay unless the id goes; extra columns are carried along unread.
+Defined results: rows are judged by their text, not by their doc_id, so a row stays if its own
+text is good and clean whatever other rows with its doc_id hold; a null doc_id is kept by the
+near-duplicate stage always; of repeated rows with one doc_id and near-equal texts all stay or
+all go; extra columns are carried along unread.
 """
 
 from __future__ import annotations
@@ -16,23 +16,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agora.llm import bpe, decontaminate
-from agora.llm.common import read_table, stage
+from agora.llm.common import read_table, stage, without_rows
 from agora.llm.linededup import drop_repeated_lines
 from agora.llm.quality import fit_quality, fold
 from agora.llm.queries import bpe_digests, tokenizer_path
-from agora.llm.simhash import near_duplicates
-
-
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids``; null ids match each other."""
-    gone = ids.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("bigint").eqNullSafe(gone["_gone"]), "left_anti")
+from agora.llm.simhash import near_copies
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject (score of at least 0.3)."""
     model = fit_quality(docs, read_table(spark, sf_dir, "labels"), train=fold(F.col("doc_id")) != 0)
-    return _without(docs, model.score(docs).where("predicted = 0"))
+    return without_rows(docs, model.score(docs).where("predicted = 0"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,14 +38,12 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the smallest doc_id stays. Texts without words (empty
     ones too) share one fingerprint and thus one group."""
-    groups = near_duplicates(docs)
-    return _without(docs, groups.where("doc_id <> component_id"))
+    return without_rows(docs, near_copies(docs))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    found = decontaminate.find_overlaps(docs, read_table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("n_hit > 0"))
+    return decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,3 +68,28 @@ def test_edges(spark, edge_df, empty_df):
             assert out.count() <= df.count(), name
     kept = corpus_pipeline.drop_near_copies(spark, edge_df, SF)
     assert kept.where("doc_id is null").count() == 1 and kept.where("doc_id = 4").count() == 2
+
+
+def test_rows_are_judged_not_ids(spark, tmp_path):
+    prose = texts(read_table(spark, SF, "documents"))
+    labels = {r["doc_id"]: r["quality"] for r in read_table(spark, SF, "labels").collect()}
+    good = [prose[d] for d in sorted(prose) if labels.get(d) == 1 and len(prose[d]) > 400][:6]
+    junk = [prose[d] for d in sorted(prose) if labels.get(d) == 0][:2]
+    rows = [(d, t) for d, t in prose.items() if d in labels]
+    mixed = [(None, good[0]), (None, good[1]), (None, junk[0]), (10 ** 9, good[2]), (10 ** 9, junk[1])]
+    docs = spark.createDataFrame(rows + mixed, "doc_id bigint, text string")
+
+    def left(df):
+        return {(r["doc_id"], r["text"]) for r in df.where("doc_id is null or doc_id >= 1000000000").collect()}
+
+    assert left(corpus_pipeline.keep_good(spark, docs, SF)) == {(None, good[0]), (None, good[1]), (10 ** 9, good[2])}
+
+    spark.createDataFrame([(1, good[3])], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    mixed = [(None, good[0]), (None, good[1]), (None, "x " + good[3]), (10 ** 9, good[2]), (10 ** 9, good[3] + " x")]
+    docs = spark.createDataFrame(mixed, "doc_id bigint, text string")
+    assert left(corpus_pipeline.drop_leaks(spark, docs, str(tmp_path))) == {(None, good[0]), (None, good[1]), (10 ** 9, good[2])}
+
+    mixed = [(5, good[0]), (10 ** 9, good[0]), (10 ** 9, good[1]), (10 ** 9 + 1, good[1]), (10 ** 9 + 1, good[2]), (None, good[0])]
+    docs = spark.createDataFrame(mixed, "doc_id bigint, text string")
+    assert left(corpus_pipeline.drop_near_copies(spark, docs, SF)) == {
+        (None, good[0]), (10 ** 9, good[1]), (10 ** 9 + 1, good[2])}
