@@ -7,7 +7,8 @@ each character they write, the source range it came from:
    invisible characters vanish;
 2. digits spelled as words (three or more in a row, also among written ones) become digits, a
    leading "plus" becomes "+" and a "dot" between them ".";
-3. "(at)", "[dot]" and the like, and "name at host dot tld", become "@" and ".".
+3. "(at)", "[dot]" and the like, and "name at host dot tld", become "@" and "."; words of the
+   corpus's other languages count too ("arroba", "punto", "punkt", "point").
 
 The same detectors run over the rewritten text, and their spans are mapped back to the source. A
 mapped span is added if its source differs from what it was rewritten to (so clean text gains
@@ -23,7 +24,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -166,13 +167,116 @@ def tables() -> _Tables:
     return _tables
 
 
-#: Last labels that make "name at host dot tld" an address without brackets (fixed values).
-ENDINGS = "com org net edu gov mil int info biz io co ai dev app me tv uk us de fr es it nl ch at eu ca au jp cn in br ru pl se no fi dk be gr pt ie nz za mx ar xyz online site shop club store tech test example"
+#: Last labels of hosts (fixed values): general and country ones, and those that are words as well.
+ENDINGS = frozenset((
+    "com org net edu gov mil int info biz aero coop example io ai tv xyz test "
+    "ac ad ae af ag al ao aq ar au aw ax az ba bb bd bf bg bh bi bj bm bn bo br bs bt bw bz ca cc cd cf cg ch ci ck cl cm "
+    "cn co cr cu cv cw cx cy cz de dj dk dm dz ec ee eg er es et eu fi fj fk fm fo fr ga gd ge gf gg gh gi gl gm gn gp gq gr "
+    "gs gt gu gw gy hk hm hn hr ht hu ie il im iq ir je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu "
+    "lv ly ma mc md mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx mz na nc ne nf ng ni nl np nr nu nz om pa pe pf pg ph pk "
+    "pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sk sl sm sn sr ss st su sv sx sy sz tc td tf tg th tj "
+    "tk tl tm tn tr tt tw tz ua ug uk uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw").split())
+WORDY = frozenset((
+    "in it is to at be me no so am my us as do by id academy accountant accountants actor adult africa agency amsterdam "
+    "apartments app art asia associates auction audio auto autos baby band bank bar barcelona bargains bayern beauty beer "
+    "berlin best bet bid bike bingo bio black blog blue boats bond book boutique broker brussels build builders business buzz "
+    "cab cafe cam camera camp capital car cards care careers cars casa cash casino cat catering center ceo chat cheap "
+    "christmas church city claims cleaning click clinic clothing cloud club coach codes coffee college cologne community "
+    "company computer condos construction consulting contact contractors cooking cool country coupons courses credit "
+    "creditcard cricket cruises dance data date dating day deals degree delivery democrat dental dentist design dev diamonds "
+    "diet digital direct directory discount doctor dog domains download earth eco education email energy engineer engineering "
+    "enterprises equipment estate events exchange expert exposed express fail faith family fan fans farm fashion finance "
+    "financial fish fishing fit fitness flights florist flowers football forex forsale forum foundation fun fund furniture "
+    "futbol fyi gallery game games garden gay gent gifts gives glass global gmbh gold golf graphics gratis green gripe group "
+    "guide guitars guru hair hamburg haus health healthcare help hiphop hockey holdings holiday homes horse hospital host "
+    "hosting hotel house how immo immobilien inc industries ink institute insurance insure international investments irish "
+    "istanbul jetzt jewelry jobs juegos kaufen kim kitchen kiwi koeln land lat law lawyer lease legal life lighting limited "
+    "limo link live llc loan loans lol london love ltd luxe luxury madrid maison management market marketing markets mba media "
+    "melbourne memorial men menu miami mobi moda moe mom money monster mortgage moscow movie museum music name navy network "
+    "new news ngo ninja nyc one ong online organic page paris partners parts party pet pharmacy phd photo photography photos "
+    "physio pics pictures pink pizza place plumbing plus poker porn post press pro productions promo properties property pub "
+    "quebec racing realty recipes red rehab reise reisen rent rentals repair report republican rest restaurant review reviews "
+    "rich rio rip rocks rodeo run saarland sale salon sarl school schule science security services sex shoes shop shopping "
+    "show singles site ski skin soccer social software solar solutions soy space sport storage store stream studio study style "
+    "supplies supply support surf surgery swiss sydney systems tattoo tax taxi team tech technology tel tennis theater theatre "
+    "tickets tienda tips tires tirol today tokyo tools top tours town toys trade trading training travel tube university uno "
+    "vacations vegas ventures vet viajes video villas vin vip vision vodka vote voting voto voyage wales wang watch webcam "
+    "website wedding wien wiki win wine work works world wtf yachts yoga yokohama zone").split())
+#: Words that are no host before a last label that is a word, and no names in front of "at".
+_NO_HOST = frozenset("the a an this that these those some any one what which each every no my your his her its our their".split())
+_NO_NAME = frozenset("us me him her them it you me uns mich nous moi nos".split())
+_ROLE = frozenset("info webmaster postmaster kontakt contacto noreply admin hello".split())
+_CUE = re.compile(r"(?:\be-?mail|\bmail(?:to)?|\bcontact|\bkontakt|\bcorreo|\bcourriel|\bwrite to)\s?:?\s?$", re.I)
 _OPEN, _CLOSE = r"\s?[\[({<]\s?", r"\s?[\])}>]\s?"
-_AT_WORD, _DOT_WORD = r"(?:at|@|arroba)", r"(?:dot|\.|punkt|punto|point)"
-_BARE_HOST = rf"[A-Za-z0-9-]+(?:(?:[ _]dot[ _]|\.)[A-Za-z0-9-]+)*(?:[ _]dot[ _]|{_OPEN}{_DOT_WORD}{_CLOSE})(?:{'|'.join(ENDINGS.split())})(?![\w-])"
-_AT_SIGN = re.compile(rf"{_OPEN}{_AT_WORD}{_CLOSE}|(?<=[A-Za-z0-9])[ _]at[ _](?={_BARE_HOST})", re.I)
-_DOT_SIGN = re.compile(rf"{_OPEN}{_DOT_WORD}{_CLOSE}|(?<=[A-Za-z0-9])[ _]dot[ _](?=[A-Za-z0-9])", re.I)
+_GAP = r"(?:\s{1,3}|_)"
+_AT_WORD, _DOT_WORD = r"(?:at|@|arroba|arobase?)", r"(?:dot|\.|punkt|punto|point)"
+_SEPARATOR = rf"(?:\.|{_GAP}(?:dot|punkt|punto|point){_GAP}|{_OPEN}{_DOT_WORD}{_CLOSE})"
+_LABEL = "[A-Za-z0-9-]{1,63}"
+_SPLIT = re.compile(_SEPARATOR, re.I)
+#: "at" as a sign, in brackets or bare; the latter and "@" with what can be a host behind them.
+_AT_SIGN = re.compile(
+    rf"(?P<sign>{_OPEN}{_AT_WORD}{_CLOSE}|@)(?P<host>{_LABEL}(?:{_SEPARATOR}{_LABEL}){{1,7}})?|"
+    rf"(?<=[A-Za-z0-9])(?P<bare>{_GAP}(?:at|arroba|arobase?){_GAP})(?P<to>{_LABEL}(?:{_SEPARATOR}{_LABEL}){{1,7}})", re.I)
+_BRACKETS = re.compile(rf"{_OPEN}(?:{_AT_WORD}|{_DOT_WORD}){_CLOSE}", re.I)
+_BARE = re.compile(rf"(?<=[A-Za-z0-9]){_GAP}(?:at|arroba|arobase?){_GAP}{_LABEL}{_SEPARATOR}[A-Za-z]|@{_LABEL}{_GAP}(?:punkt|punto|point)\b", re.I)
+_DOT_SIGN = re.compile(rf"{_OPEN}{_DOT_WORD}{_CLOSE}|(?<=[A-Za-z0-9]){_GAP}dot{_GAP}(?=[A-Za-z0-9])", re.I)
+_SPOKEN = re.compile(rf"{_GAP}dot{_GAP}", re.I)
+_NAME = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+_SPOKEN_NAME = re.compile(rf"[A-Za-z0-9]{_GAP}(?:dot|punkt|punto){_GAP}[A-Za-z0-9-]+\Z", re.I)
+_MIXED = re.compile(r"[a-z][0-9]|[0-9][a-z]", re.I)
+
+
+def _is_host(before: str, separators: list[str], labels: list[str], sign: bool) -> bool:
+    """Whether "at" between ``before`` and these labels makes an address; ``sign``: it is in
+    brackets or "@". The endings known are enough for a host with a disguised dot. Others need a
+    name or host that looks like an address; real dots need such a name, or a word for mail."""
+    host, end = [x.lower() for x in labels[:-1]], labels[-1].lower()
+    if not (2 <= len(end) <= 24 and end.isalpha()) or host[0] == "www":
+        return False
+    found = _NAME.search(before)
+    name = found[0].strip(".") if found else ""
+    dotted = any(c in name for c in "._+") or bool(_SPOKEN_NAME.search(before))
+    like = dotted or bool(_MIXED.search(name))
+    known = end in ENDINGS or end in WORDY
+    if all(x == "." for x in separators):
+        cue = name.lower() not in _NO_NAME and _CUE.search(before[:found.start()]) if found else None
+        return known and (labels[-1].islower() or labels[-1].isupper()) and bool(like or name.lower() in _ROLE or cue)
+    if end in ENDINGS:
+        return True
+    if len(host) == 1 and host[0] in _NO_HOST:
+        return False
+    if any("point" in x.lower() for x in separators):
+        return known and (dotted or sign or len(host) > 1)
+    return known or like or sign or len(host) > 1 or any("-" in x or _MIXED.search(x) for x in host)
+
+
+def _signs(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, new) of the "at" that are signs and of the dots in words of their hosts."""
+    place = 0
+    while m := _AT_SIGN.search(text, place):
+        sign = m["bare"] is None
+        here, host = ("sign", "host") if sign else ("bare", "to")
+        place = m.end(here)
+        dots: list[tuple[int, int]] = []
+        if m[host] is not None:
+            dots = [(m.start(host) + d.start(), m.start(host) + d.end()) for d in _SPLIT.finditer(m[host])]
+            marks = [m.start(host), *(x for d in dots for x in d), m.end(host)]
+            labels = [text[x:y] for x, y in zip(marks[0::2], marks[1::2])]
+            before = text[max(0, m.start() - 100):m.start()]
+            while dots:  # the longest host that makes an address
+                end = marks[2 * len(dots) + 1]
+                after = text[end:end + 1]
+                if not (after == "-" or after.isalnum() or after == "_" and len(dots) == len(labels) - 1) and _is_host(
+                        before, [text[x:y] for x, y in dots], labels[:len(dots) + 1], sign):
+                    break
+                dots.pop()
+        if sign and m["sign"] != "@" or dots:
+            if m[here] != "@":
+                yield m.start(here), m.end(here), "@"
+            for x, y in dots:
+                if y - x > 1:
+                    yield x, y, "."
+                place = y
 
 
 class Mapped:
@@ -184,15 +288,18 @@ class Mapped:
         self.end = list(range(1, len(text) + 1))
         self.spelled: set[int] = set()  # source places of spelled digits
 
-    def rewrite(self, pattern: re.Pattern, to: Callable[[re.Match], str]) -> None:
-        """Replace every match; all characters of a replacement come from the whole match."""
+    def rewrite(self, pattern: re.Pattern, new: str) -> None:
+        """Replace every match by ``new``."""
+        self.edit((*m.span(), new) for m in pattern.finditer(self.text))
+
+    def edit(self, edits: Iterable[tuple[int, int, str]]) -> None:
+        """Replace ascending ranges (start, end, new); all of ``new`` comes from the whole range."""
         pieces, start, end, last = [], [], [], 0
-        for m in pattern.finditer(self.text):
-            new = to(m)
-            pieces += (self.text[last:m.start()], new)
-            start += self.start[last:m.start()] + [self.start[m.start()]] * len(new)
-            end += self.end[last:m.start()] + [self.end[m.end() - 1]] * len(new)
-            last = m.end()
+        for a, b, new in edits:
+            pieces += (self.text[last:a], new)
+            start += self.start[last:a] + [self.start[a]] * len(new)
+            end += self.end[last:a] + [self.end[b - 1]] * len(new)
+            last = b
         if last:
             self.text = "".join(pieces) + self.text[last:]
             self.start, self.end = start + self.start[last:], end + self.end[last:]
@@ -215,8 +322,8 @@ def deobfuscate(text: str) -> Mapped | None:
     odd = _has_odd(text, t.odd)
     plain = text.translate(t.ascii) if odd else text
     low = plain.lower()
-    brackets = any(c in low for c in "[({<") and (_AT_SIGN.search(low) or _DOT_SIGN.search(low))
-    spoken = " dot " in low or "_dot_" in low
+    brackets = any(c in low for c in "[({<") and _BRACKETS.search(low)
+    spoken = "dot" in low and _SPOKEN.search(low) or _BARE.search(low)
     words = set(low.split())
     some = not words.isdisjoint(t.tokens) or "-" in low and any("-" in w and not t.tokens.isdisjoint(w.split("-")) for w in words)
     spelled = some and t.spelled.search(low)
@@ -225,7 +332,7 @@ def deobfuscate(text: str) -> Mapped | None:
     out = Mapped(text)
     if odd:
         out.text = plain  # one character for one
-        out.rewrite(re.compile(f"[{INVISIBLE}]+"), lambda m: "")
+        out.rewrite(re.compile(f"[{INVISIBLE}]+"), "")
 
     # each spelled digit keeps its own range: first the separators go, then the words
     if spelled:
@@ -256,8 +363,8 @@ def deobfuscate(text: str) -> Mapped | None:
         if last:
             out.text = "".join(pieces) + out.text[last:]
             out.start, out.end = start + out.start[last:], end + out.end[last:]
-    out.rewrite(_AT_SIGN, lambda m: "@")
-    out.rewrite(_DOT_SIGN, lambda m: ".")
+    out.edit(_signs(out.text))
+    out.rewrite(_DOT_SIGN, ".")
     return out
 
 

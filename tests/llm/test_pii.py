@@ -92,3 +92,35 @@ def test_query_and_edges(spark, edge_df, empty_df):
     assert pii.find_pii(empty_df).count() == 0
     (row,) = pii.find_pii(spark.createDataFrame([(1, "x a@b.co (at) q")], "doc_id bigint, text string")).collect()
     assert (row["n_email"], row["base"], row["n_phone"]) == (1, "email:2:8", 0)
+
+
+@pytest.mark.parametrize("source", [
+    "anna.berg at example.org", "a_b at mail.firma.de", "info at example.org", "max2 at firma.cz", "anna at firma dot cloud",
+    "anna at firma dot cz", "anna at firma dot photography", "ana arroba correo punto es", "max at firma punkt de",
+    "anne arobase courrier point fr", "anne at courrier point fr", "anna  at  firma  dot  de", "anna\tat\tfirma\tdot\tcom",
+    "anna\nat firma dot\ncom", "a.berg at firma dot newending", "ana (arroba) correo punto es", "ana@correo punto es",
+    "john dot doe at mail dot firma dot ua", "anna at mail.firma dot kr"])
+def test_bare_signs_are_found(source):
+    text = "é to " + source + ", now. Then"
+    base, spans = pii.find(text)
+    assert (5, 5 + len(source), "email") in spans and not base
+
+
+def test_word_for_mail_before_a_bare_name():
+    assert pii.find("email: anna at example.org now")[1] == [(7, 26, "email")]
+
+
+@pytest.mark.parametrize("text", [
+    "look at example.org", "email us at example.org", "visit us at www.example.com", "we met at home.It was", "at this point in time",
+    "look at this point in time", "be at some point to me", "look at the dot in it", "look at the dot online", "stay at home. De facto",
+    "he was at home.In the end", "une fois at ce point là", "a kilo, una arroba de trigo y punto", "met at noon point blank",
+    "we stayed at 5 dot on the map", "self.look_at_obj.method", "at boiling point is"])
+def test_places_are_no_addresses(text):
+    assert pii.find(text) == ([], [])
+
+
+@pytest.mark.parametrize("part", ["a at ", "a at b.", "a at b dot ", "@a punto ", "a arroba b-", "\n\n at", "a.b at c.d dot ", " punto "])
+def test_long_bare_signs_take_linear_time(part):
+    began = time.process_time()
+    pii.find(part * (200_000 // len(part)))
+    assert time.process_time() - began < 20
