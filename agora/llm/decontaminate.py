@@ -7,12 +7,13 @@ prefix doubling, and binary-searches every suffix of every benchmark item in it,
 deeper at a time.  The interval at the window's depth holds all occurrences of the window; each
 is then lengthened to the longest verbatim match at that place.
 
-The benchmark is sent to the tasks in blocks of at most ``BLOCK_BYTES`` of text (an item longer
-than that is a block of its own); with several blocks the hits of a document are merged
+The benchmark is cut by running byte totals into blocks of at most ``BLOCK_BYTES`` of text (an
+item longer than that is a block of its own).  One block at a time is brought to the driver, sent
+to the tasks and its hits written; with several blocks the hits of a document are merged
 afterwards.  Words are compared by 64-bit hashes.
 
-Defined results: null and empty texts have no words and no hits; items without words and items
-without an id match nothing; rows that repeat an item_id are one item; repeated documents are
+Defined results: null and empty texts have no words and no hits; items without words match
+nothing; items without an id match nothing or, with ``unnamed``, hit but are not listed; rows that repeat an item_id are one item; repeated documents are
 judged alike, row by row.
 """
 
@@ -24,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,16 +62,17 @@ class Benchmark:
     ids: np.ndarray
     at: np.ndarray
     item_id: np.ndarray
+    named: np.ndarray
     window: int
 
     @staticmethod
-    def of(rows: list[tuple[int, str]], window: int) -> Benchmark:
+    def of(rows: list[tuple[int | None, str]], window: int) -> Benchmark:
         raw = [(text or "").encode() for _, text in rows]
         at = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
         hashes, counts = word_hashes(np.frombuffer(b"".join(raw), np.uint8), at)
         vocabulary, ids = np.unique(hashes, return_inverse=True)
         return Benchmark(vocabulary, ids.astype(np.int32) + 1, np.concatenate(([0], np.cumsum(counts))),
-                         np.array([i for i, _ in rows], np.int64), window)
+                         np.array([i or 0 for i, _ in rows], np.int64), np.array([i is not None for i, _ in rows], bool), window)
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
         """Word ids of ``hashes``, 0 for words that no item has."""
@@ -192,9 +195,12 @@ def scan(column: pa.Array, bench: Benchmark) -> Iterator[tuple[int, int, dict[st
         doc = np.searchsorted(begin, w, "right") - 1
         items: list[list[int]] = [[] for _ in range(b - a)]
         matches: list[list[dict]] = [[] for _ in range(b - a)]
-        for d, k in np.unique(np.stack([np.searchsorted(begin, where, "right") - 1, bench.item_id[item]], 1), axis=0).tolist():
+        listed = bench.named[item]
+        owner = np.searchsorted(begin, where[listed], "right") - 1
+        for d, k in np.unique(np.stack([owner, bench.item_id[item[listed]]], 1), axis=0).tolist():
             items[d].append(k)
-        for d, k, q, x, n in zip(doc.tolist(), bench.item_id[i].tolist(), p.tolist(), (w - begin[doc]).tolist(), length.tolist()):
+        ids = np.where(bench.named[i], bench.item_id[i].astype(object), None)
+        for d, k, q, x, n in zip(doc.tolist(), ids.tolist(), p.tolist(), (w - begin[doc]).tolist(), length.tolist()):
             matches[d].append({"item_id": k, "item_word": q, "doc_word": x, "n_words": n})
         runs = np.flatnonzero(np.diff(np.concatenate(([0], covered.view(np.int8)))))
         owner = np.searchsorted(begin, runs[0::2], "right") - 1
@@ -235,26 +241,50 @@ def _covered(hits: pd.Series) -> pd.Series:
     return hits.map(lambda x: one(list(x)))
 
 
+def _blocks(items: DataFrame, size: int, block_bytes: int) -> Iterator[list[tuple[int | None, str]]]:
+    """The rows of ``items`` (item_id, text), ``size`` bytes in all, in blocks by running totals."""
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, block, total = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            numbers = []
+            for length in batch.column(2).to_pylist():
+                if total and total + length > block_bytes:
+                    block, total = block + 1, 0
+                total += length
+                numbers.append(block)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([part] * len(numbers), pa.int64()),
+                                              pa.array(numbers, pa.int64())], ["item_id", "text", "part", "block"])
+
+    if size <= block_bytes:
+        yield [tuple(r) for r in items.collect()]
+        return
+    sized = items.select("item_id", "text", F.octet_length("text").alias("size")).coalesce(max(1, size // (4 * block_bytes)))
+    staged = stage(sized.mapInArrow(numbered, "item_id bigint, text string, part bigint, block bigint"))
+    for part, blocks in sorted(map(tuple, staged.groupBy("part").agg(F.max("block") + 1).collect())):
+        for block in range(blocks):
+            rows = staged.where((F.col("part") == part) & (F.col("block") == block))
+            yield [tuple(r) for r in rows.select("item_id", "text").collect()]
+
+
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10,
-                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                  block_bytes: int = BLOCK_BYTES, unnamed: bool = False) -> DataFrame:
     """For every row of ``docs``: ``doc_id``, ``text_hash``, ``n_words``, ``n_hit`` (words inside an occurrence
     of a window), ``items`` (sorted ids of the items found) and ``matches`` (the longest
-    verbatim matches: item_id, first word in the item and in the document, length in words)."""
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where(
-        F.col("item_id").isNotNull() & F.col("text").isNotNull())
+    verbatim matches: item_id, first word in the item and in the document, length in words).
+    With ``unnamed``, items without an id count too, but for ``items``."""
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where(F.col("text").isNotNull())
+    if not unnamed:
+        items = items.where(F.col("item_id").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
-    blocks = []
-    for k in range(n_blocks):
-        part = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
-        blocks.append(Benchmark.of([tuple(r) for r in part.collect()], window))
     base = texts(docs, text_hash(docs).alias("text_hash"))
-    if n_blocks == 1:
-        return _scanned(base, ["doc_id", "text_hash"], blocks[0]).drop("hits")
+    if size <= block_bytes:
+        (block,) = _blocks(items, size, block_bytes)
+        return _scanned(base, ["doc_id", "text_hash"], Benchmark.of(block, window)).drop("hits")
     rows = stage(base.withColumn("row_id", F.monotonically_increasing_id()))
-    found = _scanned(rows, ["row_id"], blocks[0])
-    for bench in blocks[1:]:
-        found = found.unionByName(_scanned(rows, ["row_id"], bench))
+    found = None
+    for block in _blocks(items, size, block_bytes):  # the first has every row, the others those they hit
+        part = _scanned(rows, ["row_id"], Benchmark.of(block, window))
+        found = stage(part) if found is None else found.unionByName(stage(part.where("n_hit > 0")))
     merged = found.groupBy("row_id").agg(
         F.max("n_words").alias("n_words"), _flat("items"), _flat("matches"), _flat("hits"))
     return rows.select("row_id", "doc_id", "text_hash").join(merged, "row_id").select(
@@ -266,6 +296,6 @@ def _flat(name: str):
     return F.flatten(F.collect_list(name)).alias(name)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, unnamed: bool = False) -> DataFrame:
     """``docs`` without the rows that hold a window of the benchmark (all columns)."""
-    return without_rows(docs, find_overlaps(docs, benchmark, window).where("n_hit > 0"))
+    return without_rows(docs, find_overlaps(docs, benchmark, window, unnamed=unnamed).where("n_hit > 0"))

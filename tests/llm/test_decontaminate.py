@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from agora.llm.decontaminate import decontaminate, find_overlaps, suffix_array
+from agora.llm.decontaminate import _blocks, decontaminate, find_overlaps, suffix_array
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -87,3 +87,22 @@ def test_edges(spark, edge_df, empty_df):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert {r["n_hit"] for r in find_overlaps(edge_df, none).collect()} == {0}
     assert decontaminate(edge_df, bench).columns == edge_df.columns
+
+
+def test_items_without_an_id_hit(spark, corpus, corpus_df):
+    items = items_for(corpus)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = [(*r[:3], [i for i in r[3] if i != 99]) for r in brute(corpus, [(99 if i is None else i, t) for i, t in items])]
+    assert want != brute(corpus, items)
+    assert rows_of(find_overlaps(corpus_df, bench, unnamed=True)) == want
+    assert rows_of(find_overlaps(corpus_df, bench, block_bytes=100, unnamed=True)) == want
+    clean = {r["doc_id"] for r in decontaminate(corpus_df, bench, unnamed=True).collect()}
+    assert clean == {r[0] for r in want if not r[2]}
+
+
+def test_blocks_are_bounded(spark):
+    items = [(i, "w" * (1 + i * 37 % 90)) for i in range(200)] + [(None, "long " * 100)]
+    df = spark.createDataFrame(items, "item_id bigint, text string").repartition(3)
+    got = list(_blocks(df, sum(len(t) for _, t in items), 100))
+    assert all(sum(len(t) for _, t in b) <= 100 or len(b) == 1 for b in got)
+    assert sorted((r for b in got for r in b), key=str) == sorted(items, key=str)
