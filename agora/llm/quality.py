@@ -8,11 +8,12 @@
 2. *Pooling.*  A document is the mean and the spread of its tokens' unit vectors, and the mean
    change from one token to the next (repetition makes it small).
 3. *Network.*  tanh hidden layer and a logistic output, fitted with numpy on at most
-   ``max_labelled`` labelled rows (the bound is a parameter; the rows are those with the
-   smallest hash of doc_id).  A fifth of them is set aside to fit the temperature.
+   ``max_labelled`` labelled texts (the bound is a parameter; the texts are those with the
+   smallest hash of doc_id and text).  A fifth of them is set aside to fit the temperature.
 
 Only the text is an input of a score.  Null and empty texts pool to zero and get the score the
-network gives to that vector.  A doc_id labelled several times counts once per label row; rows
+network gives to that vector.  A text of a doc_id counts once per different label of that doc_id,
+however often the label or the row is repeated; rows
 with a null label or doc_id are not used for fitting.  Without any usable label, or with
 labels of one kind only, the score is the (smoothed) share of label 1.
 """
@@ -215,14 +216,16 @@ class QualityModel:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 16_000,
                 train: Column | None = None) -> QualityModel:
-    """Context vectors from all of ``docs``; the network from at most ``max_labelled`` rows of
-    ``labels`` (doc_id, quality) that satisfy ``train``."""
+    """Context vectors from all of ``docs``; the network from at most ``max_labelled`` texts with
+    a row of ``labels`` (doc_id, quality) that satisfies ``train``."""
     usable = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     usable = usable.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
     if train is not None:
         usable = usable.where(train)
-    # at most max_labelled rows of two numbers, so the broadcast is bounded
-    sample = F.broadcast(usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_labelled))
+    keyed = texts(docs, text_hash(docs).alias("text_hash"))
+    found = keyed.select("doc_id", "text_hash").join(usable.distinct(), "doc_id").distinct()
+    # at most max_labelled rows of three numbers, so the broadcast is bounded
+    sample = F.broadcast(found.orderBy(F.xxhash64("doc_id", "text_hash"), "doc_id", "text_hash", "quality").limit(max_labelled))
     vectors = context_vectors(docs)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +235,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 16_000,
                     [batch.column(0), pa.array([x.tobytes() for x in pool(batch.column(1), vectors)], pa.binary())],
                     ["quality", "x"])
 
-    rows = (texts(docs).join(sample, "doc_id").select("quality", "text")
+    rows = (keyed.join(sample, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash", "quality"]).select("quality", "text")
             .mapInArrow(features, "quality int, x binary").toPandas())
     x = np.array([np.frombuffer(b, np.float32) for b in rows["x"]], np.float32).reshape(-1, FEATURES)
     y = rows["quality"].to_numpy(np.float64)

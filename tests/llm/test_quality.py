@@ -56,3 +56,16 @@ def test_edges(spark, edge_df, empty_df):
     none = fit_quality(edge_df, labels.limit(0))
     assert none.network.score(np.zeros((2, FEATURES))).tolist() == [0.5, 0.5]
     assert fit_quality(empty_df, labels).score(edge_df).count() == 13
+
+
+def test_rows_for_fitting_are_bounded(spark, monkeypatch):
+    from agora.llm import quality
+
+    fitted = []
+    monkeypatch.setattr(quality, "fit_network", lambda x, y: fitted.append(y.tolist()))
+    rows = [(1, f"good text number {i}") for i in range(40)] + [(2, "bad ### text")] * 30 + [(3, "one more text")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1)] * 50 + [(2, 0)] * 9 + [(3, 1), (4, 1)], "doc_id bigint, quality int")
+    fit_quality(docs, labels, max_labelled=10)
+    fit_quality(docs, labels)
+    assert len(fitted[0]) == 10 and sorted(fitted[1]) == [0.0] + [1.0] * 41
