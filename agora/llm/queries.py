@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.llm import bpe, decontaminate, digest, html, huffman, pii, substrings
+from agora.llm import bpe, decontaminate, digest, fim, html, huffman, pii, substrings
 from agora.llm.common import read_table
 from agora.llm.linededup import drop_repeated_lines
+from agora.llm.oracle import ORACLE_SQL as ORACLE_SQL
 from agora.llm.quality import fit_quality, fold
 from agora.llm.simhash import near_duplicates
 
@@ -82,8 +83,11 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_digest, op2_decontaminate, op3_pii, op4_simhash, op5_bpe, op6_line_dedup,
-                                   op7_substrings, op8_quality, op9_huffman, op10_html)}
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.fill_in_middle(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fim.restored(), 256).alias("restored_sha256"))
+
 
-#: DuckDB SQL over the same tables, where SQL can express the result.
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_digest, op2_decontaminate, op3_pii, op4_simhash, op5_bpe, op6_line_dedup,
+                                   op7_substrings, op8_quality, op9_huffman, op10_html, op12_fim)}
