@@ -27,4 +27,19 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form,
 FROM pieces
 """
 
-ORACLE_SQL: dict[str, str] = {"op12_fim": OP12}
+# base32 of the 160 bits of a SHA-1: four times 40 bits, eight letters of 5 bits each
+OP13 = r"""
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+firsts AS (
+  SELECT *, min(page_id) OVER (PARTITION BY body) AS first FROM payloads)
+SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+         (CAST('0x' || substr(h, CAST(1 + 10 * (i // 8) AS BIGINT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INTEGER)) & 31 AS BIGINT) + 1, 1)),
+         'string_agg', '') AS payload_digest,
+       CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id OR page_id IS NULL THEN first END AS refers_to
+FROM firsts
+"""
+
+ORACLE_SQL: dict[str, str] = {"op12_fim": OP12, "op13_warc": OP13}

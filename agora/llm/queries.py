@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.llm import bpe, decontaminate, digest, fim, html, huffman, pii, substrings
+from agora.llm import bpe, decontaminate, digest, fim, html, huffman, pii, substrings, warc
 from agora.llm.common import read_table
 from agora.llm.linededup import drop_repeated_lines
 from agora.llm.oracle import ORACLE_SQL as ORACLE_SQL
@@ -89,5 +89,12 @@ def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(fim.restored(), 256).alias("restored_sha256"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.new_folder(spark)
+    warc.write_warc(read_table(spark, sf_dir, "pages"), folder)
+    found = warc.read_warc(spark, folder, payload=False).where("gap is null")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {f.__name__: f for f in (op1_digest, op2_decontaminate, op3_pii, op4_simhash, op5_bpe, op6_line_dedup,
-                                   op7_substrings, op8_quality, op9_huffman, op10_html, op12_fim)}
+                                   op7_substrings, op8_quality, op9_huffman, op10_html, op12_fim, op13_warc)}
