@@ -2,6 +2,37 @@
 
 from __future__ import annotations
 
+OP11 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+worded AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]'), lambda w: w <> '') AS w FROM pieces),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM starts, (VALUES (1), (2), (3), (4)) AS lengths(k) WHERE i + k - 1 <= len(w) GROUP BY 1, 2, 3),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE k = 1 GROUP BY lang),
+often AS (SELECT *, string_split(phrase, ' ') AS w FROM grams WHERE k > 1 AND f >= 30),
+inner_parts AS (
+  SELECT o.lang, array_to_string(o.w[i:i + m - 1], ' ') AS phrase, max(o.f) AS longer
+  FROM (SELECT *, unnest(range(2, k)) AS m FROM often) o, range(1, 5) AS r(i) WHERE i + m - 1 <= o.k GROUP BY 1, 2),
+candidates AS (
+  SELECT o.lang, o.phrase, o.k, o.w, o.f AS a FROM often o LEFT JOIN inner_parts p ON o.lang = p.lang AND o.phrase = p.phrase
+  WHERE p.longer IS NULL OR 100 * p.longer < 80 * o.f),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM candidates),
+sides AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, x.f AS l, y.f AS r, CAST((CAST(2000000 AS HUGEINT) * c.a) // (x.f + y.f) AS BIGINT) AS score
+  FROM cuts c JOIN grams x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.cut], ' ')
+  JOIN grams y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.cut + 1:], ' ')),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS pick FROM sides),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest WHERE pick = 1)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score FROM ranked r JOIN totals t ON r.lang = t.lang WHERE r.rank <= 2000
+"""
+
 OP12 = r"""
 WITH drawn AS (
   SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
@@ -42,4 +73,4 @@ SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
 FROM firsts
 """
 
-ORACLE_SQL: dict[str, str] = {"op12_fim": OP12, "op13_warc": OP13}
+ORACLE_SQL: dict[str, str] = {"op11_phrases": OP11, "op12_fim": OP12, "op13_warc": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.llm import bpe, decontaminate, digest, fim, html, huffman, pii, substrings, warc
+from agora.llm import bpe, decontaminate, digest, fim, html, huffman, phrases, pii, substrings, warc
 from agora.llm.common import read_table
 from agora.llm.linededup import drop_repeated_lines
 from agora.llm.oracle import ORACLE_SQL as ORACLE_SQL
@@ -83,6 +83,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(read_table(spark, sf_dir, "pages"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fim.fill_in_middle(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
@@ -97,4 +101,4 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_digest, op2_decontaminate, op3_pii, op4_simhash, op5_bpe, op6_line_dedup,
-                                   op7_substrings, op8_quality, op9_huffman, op10_html, op12_fim, op13_warc)}
+                                   op7_substrings, op8_quality, op9_huffman, op10_html, op11_phrases, op12_fim, op13_warc)}
