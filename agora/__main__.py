@@ -29,7 +29,7 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--file", action="append", default=[],
                     help="TABLE=FILENAME for a CSV file not named <table>.csv")
     ap.add_argument("--single-line", action="store_true",
-                    help="no CSV field holds a line break: files are split and read by many tasks")
+                    help="no CSV field holds a line break: saves the scan for open quotes")
     ap.add_argument("--out", required=True, help="output folder")
     ap.add_argument("--format", choices=["parquet", "csv"], default="parquet")
     ap.add_argument("--skip-master", action="store_true",

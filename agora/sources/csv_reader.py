@@ -6,10 +6,11 @@ ANSI mode, so a malformed date or number fails the job instead of turning
 into NULL.  Spark's CSV reader drops a UTF-8 byte-order mark on the header.
 
 ``multiline=True`` (the default) keeps quoted newlines (free-text fields)
-inside one record.  A multi-line CSV file cannot be split, so each file is
-parsed by one task: exports should then come as many files.  For large
-exports known to have no embedded newlines, ``multiline=False`` lets Spark
-split every file into many tasks.
+inside one record and still reads every file by many tasks: the files are
+scanned once for the quotes that are open at the start of each byte range
+(``csv_ranges``).  ``multiline=False`` saves that scan for files known to
+have no embedded newlines; ``multiline="whole"`` parses each file in one
+task with Spark's multi-line reader.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from agora.sources.csv_ranges import read_csv_ranges
 from agora.sources.schemas import COLUMN_TYPES, typed
 from agora.tables import MarketplaceTables
 
@@ -29,14 +31,17 @@ MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
 
 
 def read_typed_csv(spark: SparkSession, path: str, table: str,
-                   multiline: bool = True, missing_values: Sequence[str] = MISSING) -> DataFrame:
+                   multiline: bool | str = True, missing_values: Sequence[str] = MISSING) -> DataFrame:
     """One table; a field that equals one of ``missing_values`` is NULL in every column."""
-    raw = (spark.read
-           .option("header", True)
-           .option("multiLine", multiline)
-           .option("escape", '"')
-           .option("mode", "FAILFAST")
-           .csv(path))
+    if multiline is True:
+        raw = read_csv_ranges(spark, path)
+    else:
+        raw = (spark.read
+               .option("header", True)
+               .option("multiLine", multiline == "whole")
+               .option("escape", '"')
+               .option("mode", "FAILFAST")
+               .csv(path))
     types = COLUMN_TYPES[table]
     missing = [c for c in types if c not in raw.columns]
     if missing:
@@ -50,7 +55,7 @@ def read_typed_csv(spark: SparkSession, path: str, table: str,
 
 def read_marketplace_csv(spark: SparkSession, folder: str,
                          files: dict[str, str] | None = None,
-                         multiline: bool = True,
+                         multiline: bool | str = True,
                          missing_values: Sequence[str] = MISSING) -> MarketplaceTables:
     """Read the eight tables from ``folder``.
 

@@ -107,10 +107,12 @@ def test_single_line_csv_is_split(spark):
     folder = csv_folder(payments=lines)
     spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
     try:
-        one = read_marketplace_csv(spark, folder).payments
+        one = read_marketplace_csv(spark, folder, multiline="whole").payments
         many = read_marketplace_csv(spark, folder, multiline=False).payments
+        ranges = read_marketplace_csv(spark, folder).payments
         assert one.rdd.getNumPartitions() == 1 < many.rdd.getNumPartitions()
-        assert many.count() == one.count() == 20_000
+        assert ranges.rdd.getNumPartitions() == many.rdd.getNumPartitions()
+        assert ranges.count() == many.count() == one.count() == 20_000
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
