@@ -1,5 +1,9 @@
 """Global ranking and NTILE without funnelling rows through one task.
 
+NTILE needs no rank of every row: ``ntile_cuts`` selects the rows at which
+tiles begin (``operators.selection``). ``global_rank`` is for results that do
+need every row's position.
+
 ``ROW_NUMBER() / NTILE() OVER (ORDER BY ...)`` with no PARTITION BY makes
 Spark move every row into a single partition.  Here the rank is built from
 pieces that all scale out:
@@ -25,6 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agora.operators.selection import rows_at_ranks
 from agora.session import checkpoint_dir, stage
 
 _PART, _POS, _MID, _OFFSET, _TOTAL = "_rk_part", "_rk_pos", "_rk_mid", "_rk_offset", "_rk_total"
@@ -64,14 +69,13 @@ def global_rank(df: DataFrame, order_by: Sequence[Column], rank_col: str = "rank
 
 def ntile_cuts(df: DataFrame, value: Column, id_col: str, tiles: int) -> list[tuple[Column, Column]]:
     """The (value, id) literals where tiles 2 .. ``tiles`` of ``NTILE(tiles) OVER (ORDER BY value,
-    id)`` begin.  Only the two columns are ranked; at most ``tiles - 1`` rows reach the driver."""
-    narrow = df.select(value.alias("_v"), F.col(id_col).alias("_id"))
-    ranked = global_rank(narrow, [F.asc("_v"), F.asc("_id")], "_rank", "_total")
-    size, rest = F.floor(F.col("_total") / tiles), F.col("_total") % tiles
-    starts = F.array(*[F.lit(k) * size + F.least(F.lit(k), rest) for k in range(1, tiles)])
-    rows = ranked.where(F.array_contains(starts, F.col("_rank"))).collect()
-    types = narrow.schema["_v"].dataType, narrow.schema["_id"].dataType
-    return [(F.lit(r["_v"]).cast(types[0]), F.lit(r["_id"]).cast(types[1])) for r in sorted(rows, key=lambda r: r["_rank"])]
+    id)`` begin, found by selection: nothing is sorted or written."""
+    def starts(n: int) -> list[int]:
+        return [k * (n // tiles) + min(k, n % tiles) for k in range(1, tiles)]
+
+    types = df.select(value.alias("v"), F.col(id_col).alias("i")).schema
+    _, rows = rows_at_ranks(df, value, starts, id_col)
+    return [(F.lit(v).cast(types["v"].dataType), F.lit(i).cast(types["i"].dataType)) for _, (v, i) in sorted(rows.items())]
 
 
 def tile_of(value: Column, row_id: Column, cuts: list[tuple[Column, Column]]) -> Column:

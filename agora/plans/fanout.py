@@ -129,15 +129,25 @@ def rev_rows_on_items() -> Column:
     return F.col("rev_cnt") * F.col("n_pays") * F.col("n_oc")
 
 
+def ratio_of_totals(value: Column | str, rows: Column | str) -> Column:
+    """Mean from an exact total and its number of rows; NULL without rows."""
+    value, rows = (F.col(c) if isinstance(c, str) else c for c in (value, rows))
+    return value.cast("double") / F.when(rows != 0, rows).cast("double")
+
+
 def weighted_mean(value_sum: Column, value_rows: Column) -> Column:
     """Mean over master rows from exact weighted sum and weighted count."""
-    rows = F.sum(value_rows)
-    return F.sum(value_sum).cast("double") / F.when(rows != 0, rows).cast("double")
+    return ratio_of_totals(F.sum(value_sum), F.sum(value_rows))
+
+
+def total_or_zero(total: Column | str) -> Column:
+    """A total over master rows; 0 when there is no value (pandas semantics)."""
+    return F.coalesce(F.col(total) if isinstance(total, str) else total, F.lit(0)).cast("double")
 
 
 def fan_sum(value_sum: Column) -> Column:
     """Sum over master rows; 0 when there is no value (pandas semantics)."""
-    return F.coalesce(F.sum(value_sum), F.lit(0)).cast("double")
+    return total_or_zero(F.sum(value_sum))
 
 
 # ------------------------------------------------------------------- build

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.functions import calendar_days, field_position, half_up, month_period, weekday_name
+from agora.operators.distinct import sums_with_distincts
 from agora.operators.ranking import ntile_cuts, tile_of
 from agora.session import stage
 from agora.tables import MarketplaceTables
@@ -67,25 +68,28 @@ def paid_orders(t: MarketplaceTables) -> DataFrame:
     return delivered_orders(t).join(payments_by_order(t), "order_id")
 
 
+PAID = {"paid": F.sum("paid"), "paid_n": F.sum("paid_n")}
+
+
 def kpi_overview(t: MarketplaceTables) -> DataFrame:
     rows = paid_orders(t).join(reviews_by_order(t), "order_id", "left")
     w = review_weight()
-    return rows.agg(
-        F.countDistinct("order_id").alias("total_orders"),
-        F.countDistinct("customer_id").alias("total_customers"),
-        money(F.sum(F.col("paid") * w)).alias("total_revenue"),
-        mean_money(F.sum(F.col("paid") * w), F.sum(F.col("paid_n") * w)).alias("avg_order_value"),
-        half_up(F.sum(F.col("score") * F.col("pay_rows")), F.sum(F.col("score_n") * F.col("pay_rows")), 2)
-        .alias("avg_review_score"))
+    found = sums_with_distincts(rows, [], ("order_id", "total_orders"), ("customer_id", "total_customers"), {
+        "paid": F.sum(F.col("paid") * w), "paid_n": F.sum(F.col("paid_n") * w),
+        "score": F.sum(F.col("score") * F.col("pay_rows")), "score_n": F.sum(F.col("score_n") * F.col("pay_rows"))}, null_a=False)
+    return found.select(
+        "total_orders", "total_customers", money(F.col("paid")).alias("total_revenue"),
+        mean_money(F.col("paid"), F.col("paid_n")).alias("avg_order_value"),
+        half_up(F.col("score"), F.col("score_n"), 2).alias("avg_review_score"))
 
 
 def monthly_revenue(t: MarketplaceTables) -> DataFrame:
     rows = paid_orders(t).join(t.customers.select("customer_id", "customer_unique_id"), "customer_id")
-    return (rows.groupBy(month_period("order_purchase_timestamp").alias("order_month"))
-            .agg(F.countDistinct("order_id").alias("total_orders"),
-                 F.countDistinct("customer_unique_id").alias("unique_customers"),
-                 money(F.sum("paid")).alias("revenue"),
-                 mean_money(F.sum("paid"), F.sum("paid_n")).alias("avg_order_value"))
+    rows = rows.withColumn("order_month", month_period("order_purchase_timestamp"))
+    found = sums_with_distincts(rows, ["order_month"], ("order_id", "total_orders"), ("customer_unique_id", "unique_customers"),
+                                PAID, null_a=False)
+    return (found.select("order_month", "total_orders", "unique_customers", money(F.col("paid")).alias("revenue"),
+                         mean_money(F.col("paid"), F.col("paid_n")).alias("avg_order_value"))
             .orderBy("order_month"))
 
 
@@ -109,11 +113,10 @@ def top_categories(t: MarketplaceTables) -> DataFrame:
 
 def state_revenue(t: MarketplaceTables) -> DataFrame:
     rows = paid_orders(t).join(t.customers.select("customer_id", "customer_unique_id", "customer_state"), "customer_id")
-    return (rows.groupBy("customer_state")
-            .agg(F.countDistinct("customer_unique_id").alias("total_customers"),
-                 F.countDistinct("order_id").alias("total_orders"),
-                 money(F.sum("paid")).alias("total_revenue"),
-                 mean_money(F.sum("paid"), F.sum("paid_n")).alias("avg_order_value"))
+    found = sums_with_distincts(rows, ["customer_state"], ("order_id", "total_orders"), ("customer_unique_id", "total_customers"),
+                                PAID, null_a=False)
+    return (found.select("customer_state", "total_customers", "total_orders", money(F.col("paid")).alias("total_revenue"),
+                         mean_money(F.col("paid"), F.col("paid_n")).alias("avg_order_value"))
             .orderBy(F.desc("total_revenue"), "customer_state"))
 
 

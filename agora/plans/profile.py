@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from agora.operators.joins import join_on_key
 from agora.operators.stats import correlation_from_moments
 from agora.plans.fanout import Fanout, w_items, w_orders, w_pays, w_revs
+from agora.session import stage
 from agora.tables import MarketplaceTables
 
 # Measures of the correlation study, in report order; the side each lives on.
@@ -55,19 +56,19 @@ def missing_values(fa: Fanout) -> DataFrame:
             .select("column", F.col("nulls").cast("bigint").alias("nulls")))
 
 
-def _per_order(fd: Fanout, centre: Column | None) -> DataFrame:
-    """One row per order that has complete rows on every side: rows (c_<side>), sums of the
-    measures less their centre (s_<measure>) and, with a centre, of their products."""
+def _per_order(fd: Fanout) -> DataFrame:
+    """One row per order that has complete rows on every side: per side its rows (c_<side>), the
+    means of its measures (m_<measure>) and their co-moments about these (q_<a>__<b>). Spark's
+    covariance buffers are merged by (n, means, co-moment), so one pass gives them without
+    cancellation."""
     frames = {"i": fd.items, "o": fd.orders, "p": fd.payments, "r": fd.reviews}
     parts = []
     for s, side in frames.items():
         measures = [c for c in CORRELATION_COLUMNS if _SIDE_OF[c] == s]
-        src = side.dropna(subset=measures).select("order_id", *[
-            (F.col(c).cast("double") - (centre[c] if centre is not None else F.lit(0.0))).alias(c) for c in measures])
-        aggs = [F.count(F.lit(1)).alias(f"c_{s}"), *[F.sum(c).alias(f"s_{c}") for c in measures]]
-        if centre is not None:
-            aggs += [F.sum(F.col(a) * F.col(b)).alias(f"p_{a}__{b}")
-                     for a, b in combinations_with_replacement(measures, 2)]
+        src = side.dropna(subset=measures).select("order_id", *[F.col(c).cast("double").alias(c) for c in measures])
+        rows = F.count(F.lit(1))
+        aggs = [rows.alias(f"c_{s}"), *[F.avg(c).alias(f"m_{c}") for c in measures]]
+        aggs += [(F.covar_pop(a, b) * rows).alias(f"q_{a}__{b}") for a, b in combinations_with_replacement(measures, 2)]
         parts.append(src.groupBy("order_id").agg(*aggs))
     return reduce(lambda a, b: join_on_key(a, b, "order_id"), parts)
 
@@ -82,26 +83,27 @@ def correlation(fd: Fanout, digits: int | None = 10) -> DataFrame:
     no NULL among them (listwise), long form, to ``digits`` decimals (None: unrounded).
 
     A master row combines one row of each side, and the row survives iff
-    each side's own measures are non-NULL, so per order the co-moments are
-    products of per-side sums: e.g. sum(price * payment) =
-    sum_items(price) * sum_pays(payment) * rows_reviews * rows_orders; nothing
-    of size items x payments is formed.  A first pass gives the means; the
-    co-moments are taken about them in DOUBLE, so neither large values nor
-    small differences cancel.  The last bits depend on the order of summation,
-    which is why the reported figures are rounded.
+    each side's own measures are non-NULL, so an order's master rows are the
+    product of its side rows: their number is the product of the sides' rows,
+    measures of different sides have no co-moment within an order, and those
+    of one side have that side's times the other sides' rows; nothing of size
+    items x payments is formed.  The sides are read and joined once, into one
+    buffer (rows, means, co-moments) per order, which is written; the buffers
+    are then merged about the mean of all rows in two passes over this table
+    alone.  Everything is taken about means in DOUBLE, so neither large values
+    nor small differences cancel.  The last bits depend on the order of
+    summation, which is why the reported figures are rounded.
     """
     cols = CORRELATION_COLUMNS
-    rows = F.sum(_others())
-    means = _per_order(fd, None).agg(F.struct(*[
-        F.coalesce(F.sum(F.col(f"s_{c}") * _others(_SIDE_OF[c])) / F.when(rows != 0, rows), F.lit(0.0)).alias(c)
-        for c in cols]).alias("means")).scalar()
-    sums = [rows.alias("n"), *[F.sum(F.col(f"s_{c}") * _others(_SIDE_OF[c])).alias(f"s_{c}") for c in cols]]
-    centred = _per_order(fd, means)
+    orders = stage(_per_order(fd).withColumn("rows", _others()))
+    n = F.sum("rows")
+    centre = orders.agg(F.struct(*[
+        F.coalesce(F.sum(F.col(f"m_{c}") * F.col("rows")) / F.when(n != 0, n), F.lit(0.0)).alias(c) for c in cols])).scalar()
+    off = {c: F.col(f"m_{c}") - F.col("centre")[c] for c in cols}
+    sums = [n.alias("n"), *[F.sum(off[c] * F.col("rows")).alias(f"s_{c}") for c in cols]]
     for a, b in combinations_with_replacement(cols, 2):
-        sa, sb = _SIDE_OF[a], _SIDE_OF[b]
-        if sa == sb:
-            product = F.col(f"p_{a}__{b}") * _others(sa)
-        else:
-            product = F.col(f"s_{a}") * F.col(f"s_{b}") * _others(sa, sb)
-        sums.append(F.sum(product).alias(f"p_{a}__{b}"))
-    return correlation_from_moments(centred.agg(*sums), cols, digits)
+        between = off[a] * off[b] * F.col("rows")
+        side = _SIDE_OF[a]
+        within = F.col(f"q_{a}__{b}") * _others(side) if side == _SIDE_OF[b] else F.lit(0.0)
+        sums.append(F.sum(between + within).alias(f"p_{a}__{b}"))
+    return correlation_from_moments(orders.withColumn("centre", centre).agg(*sums), cols, digits)

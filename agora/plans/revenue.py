@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.functions import null_if_zero
+from agora.operators.distinct import sums_with_distincts
 from agora.operators.reshape import reindex
-from agora.plans.fanout import (Fanout, fan_sum, pay_on_orders, pay_rows_on_orders,
-                                rev_on_orders, rev_rows_on_orders, weighted_mean)
+from agora.plans.fanout import (Fanout, fan_sum, pay_on_orders, pay_rows_on_orders, ratio_of_totals,
+                                rev_on_orders, rev_rows_on_orders, total_or_zero)
 
 # Weekday order of the weekday report.
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
@@ -25,12 +26,11 @@ def kpis(fd: Fanout) -> DataFrame:
     customer_unique_id), avg_order_value (revenue / orders),
     avg_review_score, total_products_sold (distinct products)."""
     products = fd.items.select(F.countDistinct("product_id")).scalar()
-    row = fd.orders.agg(
-        fan_sum(pay_on_orders()).alias("total_revenue"),
-        F.countDistinct("order_id").alias("total_orders"),
-        F.countDistinct("customer_unique_id").alias("total_customers"),
-        weighted_mean(rev_on_orders(), rev_rows_on_orders()).alias("avg_review_score"),
-    )
+    row = sums_with_distincts(
+        fd.orders, [], ("order_id", "total_orders"), ("customer_unique_id", "total_customers"),
+        {"pay": F.sum(pay_on_orders()), "rev": F.sum(rev_on_orders()), "rev_rows": F.sum(rev_rows_on_orders())})
+    row = row.select(total_or_zero("pay").alias("total_revenue"), "total_orders", "total_customers",
+                     ratio_of_totals("rev", "rev_rows").alias("avg_review_score"))
     return row.select(
         "total_revenue", "total_orders", "total_customers",
         (F.col("total_revenue") / null_if_zero(F.col("total_orders"))).alias("avg_order_value"),
@@ -39,11 +39,10 @@ def kpis(fd: Fanout) -> DataFrame:
 
 def monthly_revenue(fd: Fanout) -> DataFrame:
     """Per ``yyyy-MM``: revenue, distinct orders, distinct customers."""
-    return (fd.orders.where(F.col("order_year_month").isNotNull())
-            .groupBy("order_year_month")
-            .agg(fan_sum(pay_on_orders()).alias("revenue"),
-                 F.countDistinct("order_id").alias("orders"),
-                 F.countDistinct("customer_unique_id").alias("customers"))
+    found = sums_with_distincts(
+        fd.orders.where(F.col("order_year_month").isNotNull()), ["order_year_month"],
+        ("order_id", "orders"), ("customer_unique_id", "customers"), {"pay": F.sum(pay_on_orders())})
+    return (found.select("order_year_month", total_or_zero("pay").alias("revenue"), "orders", "customers")
             .orderBy("order_year_month"))
 
 
@@ -69,11 +68,10 @@ def revenue_by_hour(fd: Fanout) -> DataFrame:
 
 def revenue_by_state(fd: Fanout) -> DataFrame:
     """Per customer state: distinct customers, revenue, distinct orders."""
-    return (fd.orders.where(F.col("customer_state").isNotNull())
-            .groupBy("customer_state")
-            .agg(F.countDistinct("customer_unique_id").alias("customers"),
-                 fan_sum(pay_on_orders()).alias("revenue"),
-                 F.countDistinct("order_id").alias("orders"))
+    found = sums_with_distincts(
+        fd.orders.where(F.col("customer_state").isNotNull()), ["customer_state"],
+        ("order_id", "orders"), ("customer_unique_id", "customers"), {"pay": F.sum(pay_on_orders())})
+    return (found.select("customer_state", "customers", total_or_zero("pay").alias("revenue"), "orders")
             .orderBy(F.desc("revenue"), "customer_state"))
 
 

@@ -11,8 +11,8 @@ Plan: one shuffle by customer over the order side of the factorised master
 builds the per-customer table (monetary = sum of pay_sum * n_items * n_revs),
 which is written once (``session.stage``) because several passes read it;
 recency quintiles use Spark's exact ``percentile`` (day counts: a bounded
-number of distinct values), monetary quintiles use the scalable rank-based
-quantile operator.  The edge arrays are scalar subqueries bound once.
+number of distinct values), monetary quintiles are selected by histograms
+of narrowing ranges (no sort).  The edge arrays are bound once.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from agora.functions import elapsed_days, exact_mean
 from agora.operators.binning import bin_by_edges, qcut
-from agora.operators.quantiles import quantiles_by_rank, quantiles_percentile
+from agora.operators.quantiles import quantiles_percentile
+from agora.operators.selection import quantiles_by_selection
 from agora.plans.fanout import Fanout, pay_on_orders
 from agora.session import checkpoint_dir, stage
 
@@ -63,8 +64,7 @@ def rfm_scored(fd: Fanout) -> DataFrame:
     base = stage(base)  # read by three passes
 
     r_edges = quantiles_percentile(base, "recency", QUINTILES)
-    m_edges = quantiles_by_rank(base.withColumn("_m", F.col("monetary_exact").cast("double")),
-                                "_m", QUINTILES, tie_break="customer_unique_id")
+    m_edges = quantiles_by_selection(base, F.col("monetary_exact").cast("double"), QUINTILES)
     # bind each edge array once; the scores then refer to the column, so the
     # quantile subqueries appear once in the plan however often they are used
     scored = (base.withColumns({"_r_edges": r_edges, "_m_edges": m_edges})

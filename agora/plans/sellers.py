@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agora.functions import pct_of
-from agora.operators.ranking import global_rank
+from agora.operators.selection import top_sum
 from agora.plans.fanout import (Fanout, fan_sum, pay_on_items, rev_on_items, rev_rows_on_items,
                                 weighted_mean)
 from agora.session import checkpoint_dir, stage
@@ -46,21 +46,20 @@ def seller_concentration(fd: Fanout, top_fraction: float = 0.1) -> DataFrame:
     first ``floor(sellers * top_fraction)`` sellers by revenue) and
     top_decile_pct of the KPI revenue (which includes rows without seller).
 
-    The top-k sum is tie-independent; k grows with the data, so the sellers
-    are ranked with the scalable global rank, not a single-partition sort.
+    The top-k sum is tie-independent; k grows with the data, so the k-th
+    largest revenue is selected by histograms and the larger ones are summed;
+    no seller is ranked.
     """
     checkpoint_dir(fd.items.sparkSession)
     per_seller = (fd.items.groupBy("seller_id")
                   .agg(F.coalesce(F.sum(pay_on_items()), F.lit(0)).alias("revenue")))
-    per_seller = stage(per_seller)  # read by the total and by the ranking
+    per_seller = stage(per_seller)  # read by the total and by the passes of the selection
     total = per_seller.select(F.sum("revenue")).scalar()
-    ranked = global_rank(per_seller.where(F.col("seller_id").isNotNull()),
-                         [F.desc("revenue"), F.asc("seller_id")], "rank0", "sellers_n")
-    k = F.floor(F.col("sellers_n") * F.lit(top_fraction))
-    top = F.coalesce(F.sum(F.when(F.col("rank0") < k, F.col("revenue"))), F.lit(0))
-    row = ranked.agg(F.count(F.lit(1)).alias("sellers"),
-                     F.max("revenue").cast("double").alias("top_seller_revenue"),
-                     top.alias("_top"))
+    sellers = per_seller.where(F.col("seller_id").isNotNull())
+    _, top = top_sum(sellers, F.col("revenue"), lambda n: int(n * top_fraction))
+    row = sellers.agg(F.count(F.lit(1)).alias("sellers"),
+                      F.max("revenue").cast("double").alias("top_seller_revenue"),
+                      F.lit(top if top is not None else 0).alias("_top"))
     return row.select("sellers", "top_seller_revenue",
                       F.col("_top").cast("double").alias("top_decile_revenue"),
                       pct_of(F.col("_top"), total).alias("top_decile_pct"))
