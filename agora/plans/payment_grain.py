@@ -68,7 +68,8 @@ def paid_orders(t: MarketplaceTables) -> DataFrame:
     return delivered_orders(t).join(payments_by_order(t), "order_id")
 
 
-PAID = {"paid": F.sum("paid"), "paid_n": F.sum("paid_n")}
+def paid_sums() -> dict[str, Column]:
+    return {"paid": F.sum("paid"), "paid_n": F.sum("paid_n")}
 
 
 def kpi_overview(t: MarketplaceTables) -> DataFrame:
@@ -87,7 +88,7 @@ def monthly_revenue(t: MarketplaceTables) -> DataFrame:
     rows = paid_orders(t).join(t.customers.select("customer_id", "customer_unique_id"), "customer_id")
     rows = rows.withColumn("order_month", month_period("order_purchase_timestamp"))
     found = sums_with_distincts(rows, ["order_month"], ("order_id", "total_orders"), ("customer_unique_id", "unique_customers"),
-                                PAID, null_a=False)
+                                paid_sums(), null_a=False)
     return (found.select("order_month", "total_orders", "unique_customers", money(F.col("paid")).alias("revenue"),
                          mean_money(F.col("paid"), F.col("paid_n")).alias("avg_order_value"))
             .orderBy("order_month"))
@@ -114,7 +115,7 @@ def top_categories(t: MarketplaceTables) -> DataFrame:
 def state_revenue(t: MarketplaceTables) -> DataFrame:
     rows = paid_orders(t).join(t.customers.select("customer_id", "customer_unique_id", "customer_state"), "customer_id")
     found = sums_with_distincts(rows, ["customer_state"], ("order_id", "total_orders"), ("customer_unique_id", "total_customers"),
-                                PAID, null_a=False)
+                                paid_sums(), null_a=False)
     return (found.select("customer_state", "total_customers", "total_orders", money(F.col("paid")).alias("total_revenue"),
                          mean_money(F.col("paid"), F.col("paid_n")).alias("avg_order_value"))
             .orderBy(F.desc("total_revenue"), "customer_state"))
