@@ -23,7 +23,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.llm.common import cut_points, stage, texts
+from agora.llm.common import cut_points, groups_of_rows, segments, stage, texts, utf8
 from agora.session import application_scratch
 
 LIMIT = 16
@@ -39,7 +38,6 @@ STRIDE = 256
 BLOCK_IDS = 1 << 18
 CACHE_ENTRIES = 250_000
 STEP_WORDS = 4096
-STEP_TEXTS = 512
 ROWS_PER_PART = 4096
 MAX_PARTS = 20_000
 _NO_DOC = -(1 << 63)
@@ -47,27 +45,46 @@ _NO_DOC = -(1 << 63)
 
 # ------------------------------------------------------------------------ ids
 
+#: The text steps for which :class:`LibraryEncoder` holds (fixed values of the tokenizer's file).
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LATIN_END = "\u0250"
-_ODD_MARK = re.compile(r"(?:\A|[\W\d_])[.,][ \n]")
-
-
-def _prepared(text: str) -> str:
-    """A text with the same ids whose words recur more often: Latin text in lower case (as the
-    tokenizer makes it anyway), and a space between a word and the mark that ends it (the two are
-    pretokens of their own) if every such mark follows a letter. Texts that may hold a special token stay as they are."""
-    if "<|" in text or not (text.isascii() or max(text) < _LATIN_END):
-        return text
-    text = text.lower()
-    if _ODD_MARK.search(text):
-        return text
-    return text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n").replace(",\n", " ,\n")
+#: Lead bytes from here on belong to characters that are not Latin or may combine with others.
+_BEYOND_LATIN = 0xC9
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_GAP = np.zeros(256, bool)
+_GAP[[0x20, 0x0A]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[*b".,"]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+STEP_BYTES = 4 << 20
+
+
+def _steps_hold(spec: dict) -> bool:
+    """Whether a tokenizer lower-cases, drops white space and takes words and marks apart as
+    ``PRETOKENS`` does, with no steps behind it."""
+    normal, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    kinds = [n["type"] for n in normal.get("normalizers", [])]
+    spaces = [n for n in normal.get("normalizers", []) if n["type"] == "Replace"]
+    parts = pre.get("pretokenizers", [])
+    return (kinds == NORMALIZERS and spaces[0]["pattern"] == {"Regex": r"\s+"} and spaces[0]["content"] == " "
+            and [p["type"] for p in parts] == ["Split", "ByteLevel"] and parts[0]["pattern"] == {"Regex": PRETOKENS}
+            and parts[0]["behavior"] == "Removed" and parts[0]["invert"] and not parts[1]["add_prefix_space"] and not parts[1]["use_regex"]
+            and spec.get("post_processor") is None and bool(spec["model"].get("end_of_word_suffix"))
+            and all(" " not in t["content"] and "\n" not in t["content"] and t["content"].startswith("<|") and not t["normalized"]
+                    and not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in spec.get("added_tokens", [])))
 
 
 class LibraryEncoder:
-    """The tokenizers library behind a bounded cache of white-space separated pieces.
+    """The tokenizers library behind a bounded cache of pieces of text.
 
-    Valid for tokenizers that lower-case, split marks from letters and drop white space (no
-    token crosses a space or line feed), so a text's ids are those of its pieces in turn."""
+    Texts are cut, as byte arrays, at spaces and line feeds and before a full stop or comma that
+    ends a word: no token crosses these places, so a text's ids are those of its pieces in turn.
+    Latin texts are lower-cased before, as the tokenizer does it anyway, so that pieces recur.
+    Only the distinct pieces of a stretch of text are looked up; their ids are then gathered for
+    all pieces at once. Raises for a tokenizer with other steps than :func:`_steps_hold` knows."""
 
     def __init__(self, spec: str):
         self.spec = spec
@@ -77,7 +94,10 @@ class LibraryEncoder:
     @staticmethod
     def load(path: str) -> LibraryEncoder:
         with open(path, encoding="utf-8") as f:
-            return LibraryEncoder(f.read())
+            encoder = LibraryEncoder(f.read())
+        if not _steps_hold(json.loads(encoder.spec)):
+            raise ValueError(f"{path}: not a tokenizer that lower-cases and drops white space")
+        return encoder
 
     def __reduce__(self):
         return _encoder, (self.name, self.spec)
@@ -91,13 +111,13 @@ class LibraryEncoder:
         self.library.no_padding()
         self.width = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         vocabulary = self.library.get_vocab()
-        suffix = json.loads(self.spec)["model"].get("end_of_word_suffix") or "\0"
+        suffix = json.loads(self.spec)["model"]["end_of_word_suffix"]
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
-    def _words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+    def _words(self, words: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """Words of letters only: encoded in one go, cut at the tokens that end a word."""
         for a in range(0, len(words), STEP_WORDS):
             part = words[a:a + STEP_WORDS]
@@ -108,35 +128,96 @@ class LibraryEncoder:
                 continue
             flat, begin = ids.tobytes(), 0
             for word, end in zip(part, ends.tolist()):
-                yield word, flat[begin:end]
+                yield word.encode(), flat[begin:end]
                 begin = end
 
-    def _pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+    def _pieces(self, pieces: list[str]) -> Iterator[tuple[bytes, bytes]]:
         for piece, got in zip(pieces, self.library.encode_batch(pieces, add_special_tokens=False)):
-            yield piece, np.array(got.ids, self.width).tobytes()
+            yield piece.encode(), np.array(got.ids, self.width).tobytes()
 
-    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+    def _learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
         """Ids of new pieces."""
-        words = [p for p in missing if p.isalpha() and (p.isascii() or max(p) < _LATIN_END)]
-        known = dict(self._words(words))
-        known.update(self._pieces(list(missing.difference(known))))
+        pieces = [p.decode() for p in missing]
+        plain = [p.isalpha() and (p.isascii() or max(p) < _LATIN_END) for p in pieces]
+        known = dict(self._words([p for p, x in zip(pieces, plain) if x]))
+        known.update(self._pieces([p for p, x in zip(pieces, plain) if not x]))
         return known
 
-    def encode_texts(self, column: list[str], end: int) -> list[bytes]:
-        """Ids of each text and the end id, as little-endian integers of type ``width``."""
-        if self.library is None:
-            self._open()
-        pieces = [_prepared(text).replace("\n", " ").split(" ") for text in column]
-        wanted = set().union(*pieces)
-        missing = wanted.difference(self.young)
+    def _ids_of(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of distinct pieces, through the cache."""
+        missing = [p for p in pieces if p not in self.young]
         found = {p: ids for p in missing if (ids := self.old.get(p)) is not None}
-        found.update(self._learn(missing.difference(found)))
+        found.update(self._learn([p for p in missing if p not in found]))
         if len(self.young) + len(found) > CACHE_ENTRIES:
-            kept = {p: self.young[p] for p in wanted if p in self.young}
-            self.old, self.young = self.young, {"": b"", **kept}
+            kept = {p: self.young[p] for p in pieces if p in self.young}
+            self.old, self.young = self.young, kept
         self.young.update(found)
-        get, last = self.young.__getitem__, np.array([end], self.width).tobytes()
-        return [b"".join(map(get, p)) + last for p in pieces]
+        return [self.young[p] for p in pieces]
+
+    def _stretch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the rows of ``data``, back to back, and how many each row has."""
+        gap = _GAP[data]
+        last = np.concatenate((gap[1:], [True]))
+        last[offsets[1:][np.diff(offsets) > 0] - 1] = True  # the end of a row is like a gap
+        kind = np.where(gap, np.uint8(0), np.uint8(1))
+        kind[1:][_MARK[data[1:]] & _LETTER[data[:-1]] & last[1:]] = 2
+        starts, lengths = segments(kind, offsets[1:-1])
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        names = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(data[~gap])])
+        coded = names.dictionary_encode()
+        known = self._ids_of(coded.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(known), self.width)
+        size = np.fromiter(map(len, known), np.int64, len(known)) // np.dtype(self.width).itemsize
+        first = np.concatenate(([0], np.cumsum(size)[:-1])) if len(size) else size
+        place = coded.indices.to_numpy()
+        sizes = size[place]
+        done = np.concatenate(([0], np.cumsum(sizes)))
+        ids = flat[np.repeat(first[place] - done[:-1], sizes) + np.arange(done[-1])]
+        return ids, np.diff(done[np.searchsorted(starts, offsets)])
+
+    def _long(self, data: np.ndarray) -> np.ndarray:
+        """Ids of one long text, in stretches that end at gaps."""
+        gaps, ids, a = np.flatnonzero(_GAP[data]), [], 0
+        while a < len(data):
+            at = np.searchsorted(gaps, a + STEP_BYTES)
+            b = int(gaps[at]) + 1 if at < len(gaps) else len(data)
+            ids.append(self._stretch(data[a:b], np.array([0, b - a]))[0])
+            a = b
+        return np.concatenate(ids)
+
+    def encode_column(self, column: pa.Array, end: int) -> Iterator[pa.Array]:
+        """Ids of each text and the end id, as little-endian integers of type ``width``: binary
+        arrays that follow each other."""
+        if self.library is None:
+            self._open()
+        data, offsets = utf8(column)
+        unit = np.dtype(self.width).itemsize
+        for a, b in groups_of_rows(offsets, STEP_BYTES):
+            rows, at = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
+            full = at[:-1][np.diff(at) > 0]
+            plain = np.zeros(b - a, bool)
+            if len(full):
+                special = np.zeros(len(rows), bool)
+                special[:-1] = (rows[:-1] == 0x3C) & (rows[1:] == 0x7C)
+                odd = special | (rows >= _BEYOND_LATIN)
+                plain[np.diff(at) > 0] = ~np.logical_or.reduceat(odd, full)
+            rows = np.where(np.repeat(plain, np.diff(at)), _LOWER[rows], rows)
+            if len(rows) > 2 * STEP_BYTES:  # one long row
+                ids = self._long(rows)
+                sizes = np.array([len(ids)])
+            else:
+                ids, sizes = self._stretch(rows, at) if len(rows) else (np.empty(0, self.width), np.zeros(b - a, np.int64))
+            ends = np.cumsum(sizes + 1)
+            out = np.empty(int(ends[-1]), self.width)
+            here = np.ones(len(out), bool)
+            here[ends - 1] = False
+            out[here], out[ends - 1] = ids, end
+            yield pa.Array.from_buffers(pa.binary(), b - a, [
+                None, pa.py_buffer(np.concatenate(([0], ends * unit)).astype(np.int32)), pa.py_buffer(out)])
+
+    def encode_texts(self, column: list[str], end: int) -> list[bytes]:
+        """:meth:`encode_column` for lists."""
+        return [x for part in self.encode_column(pa.array(column, pa.string()), end) for x in part.to_pylist()]
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
@@ -248,13 +329,12 @@ def _in_order(docs: DataFrame, encoder: LibraryEncoder, end: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = pa.array(np.searchsorted(cuts, batch.column(0).to_numpy(), "right"), pa.int32())
-            for a in range(0, batch.num_rows, STEP_TEXTS):
-                rows = batch.slice(a, STEP_TEXTS)
-                yield pa.RecordBatch.from_arrays(
-                    [part.slice(a, STEP_TEXTS), rows.column(0), rows.column(1),
-                     pa.array(encoder.encode_texts(rows.column(2).to_pylist(), end), pa.binary())],
-                    ["part", "key", "doc_id", "ids"])
+            part, a = pa.array(np.searchsorted(cuts, batch.column(0).to_numpy(), "right"), pa.int32()), 0
+            for ids in encoder.encode_column(batch.column(2), end):
+                rows = batch.slice(a, len(ids))
+                yield pa.RecordBatch.from_arrays([part.slice(a, len(ids)), rows.column(0), rows.column(1), ids],
+                                                 ["part", "key", "doc_id", "ids"])
+                a += len(ids)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, size = None, 0, 0

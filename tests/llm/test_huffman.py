@@ -102,3 +102,32 @@ def test_pieces_and_cache(monkeypatch):
     for text in texts:
         (got,) = encoder.encode_texts([text], 1)
         assert np.frombuffer(got, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids + [1], text
+
+
+def test_pieces_of_random_texts_and_long_rows(monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    odd = [" ", " ", "\n", ".", ",", ", ", ". ", "a", "Word", "it's", "\u00e9", "\u0130", "J", "\u030c", "\u03a3", "\t", "\xa0", "1", "<|", "<|endoftext|>",
+           "<|ENDOFTEXT|>", "\u65e5", "\u2028", "\u00b7", "!?", "\u0345"]
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    library = tokenizers.Tokenizer.from_file(PATH)
+    want = [library.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    for step in (huffman.STEP_BYTES, 64, 7):
+        monkeypatch.setattr(huffman, "STEP_BYTES", step)
+        got = [np.frombuffer(x, "<u2").tolist() for x in LibraryEncoder.load(PATH).encode_texts(texts, 1)]
+        assert got == want
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
+def test_other_tokenizers_are_refused(name, tmp_path):
+    import json
+
+    with pytest.raises(ValueError, match="lower-cases"):
+        LibraryEncoder.load(tokenizer_path(name))
+    spec = json.load(open(PATH))
+    spec["normalizer"]["normalizers"].pop()  # keeps case
+    with open(f"{tmp_path}/cased.json", "w") as f:
+        json.dump(spec, f)
+    with pytest.raises(ValueError, match="lower-cases"):
+        LibraryEncoder.load(f"{tmp_path}/cased.json")
