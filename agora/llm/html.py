@@ -1,9 +1,12 @@
 """Main text of web pages by tree scoring (operator 10).
 
-The page is read into a tree (raw-text elements, comments, void elements, implied ends of
-paragraphs and list items, missing end tags). Elements that hold no article text by their tag are
-cut out, and those that have a noise word in their role, class or id, unless they hold the page's
-largest article/main or, as measured before any of them is cut, too much of its text. Every paragraph, and every other element with text of its own,
+The page is read into a tree in linear time (raw-text elements, comments, void elements, implied
+ends of paragraphs and list items, missing end tags; attributes are scanned as the HTML standard
+has it, and a tag that never ends takes the rest of the page). Elements that hold no article text
+by their tag are cut out. Navigation, forms, headers, footers and asides, and what has a noise word
+in its role, class or id, are measured first: they stay if they hold the page's largest
+article/main or too much of its text. A header with a heading belongs to the article if it lies in
+an article/main, in a container named like a post, or in the best container. Every paragraph, and every other element with text of its own,
 gives points to its ancestors: one, one per comma and up to three for its length; all of them to
 the parent, half to the next ancestor, a third to the one after. A container's points are
 discounted by its link density. The points choose the region only: the outermost article/main
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,8 +38,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s "
                    "samp small span strike strong sub sup time tt u var wbr img".split())
-NEVER = frozenset("head script style noscript iframe template textarea title nav footer aside form button select "
+NEVER = frozenset("head script style noscript iframe template textarea title button select "
                   "option input svg canvas object embed menu dialog".split())
+#: Elements that are cut out unless they turn out to hold the article.
+MEASURED = frozenset("nav footer aside form header".split())
 #: Open elements that a new element of the given name ends.
 ENDS = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"),
         "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
@@ -44,8 +50,12 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 #: An implied end does not reach past these.
 SCOPE = frozenset("article aside body div footer header html main nav section table td th ul ol dl form".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: Rest of a tag after its name: attributes by name, with a quoted or plain value, up to ">".
+_ATTRIBUTE = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]++)?+)?+"""
+_TAG = re.compile(rf"</?([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_ATTRIBUTE})*+)>")
+_ATTR = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|((?!["'])[^\s>]++))?+)?+""")
+#: Names of a container of one article (fixed values).
+_POST = re.compile(r"(?:^|[\s_-])(?:post|article|entry|story|hentry|blogpost)(?:$|[\s_-])", re.I)
 #: Words in a class, id or role that mark what is not the article (fixed values).
 _NOISE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|banner|breadcrumbs?|combx|comments?|commentlist|disqus|respond|replies|community|"
@@ -59,7 +69,7 @@ _LAYOUT = re.compile(
 #: Noise words of what readers add, and those that can also be a text's subject.
 _READERS = re.compile(r"(?:^|[_-])(?:comments?|commentlist|disqus|respond|replies)(?:$|[_-])", re.I)
 _SUBJECT = re.compile(r"(?:community|related|recommend\w*|share|sharing|social|search|alert|notice|notification|consent|promo\w*)", re.I)
-NAMED, BY_SUBJECT, BY_READERS = 1, 2, 3
+NAMED, BY_SUBJECT, BY_READERS, BY_TAG = 1, 2, 3, 4
 
 
 def _noise_kind(value: str) -> int:
@@ -80,6 +90,10 @@ def _noise_kind(value: str) -> int:
 class Node:
     name: str
     parent: Node | None
+    #: nearest ancestor that is a block, whether an article or main is around, a post container
+    block: Node | None = None
+    inside: bool = False
+    post: bool = False
     noise: bool = False
     named: int = 0
     parts: list[Node | str] = field(default_factory=list)
@@ -89,60 +103,107 @@ class Node:
     titled: bool = False
 
 
+class _Open:
+    """The open elements of a page: in frames that begin at elements an implied end cannot pass."""
+
+    def __init__(self, root: Node):
+        self.top = root
+        self.names: Counter[str] = Counter()
+        self.frames: list[tuple[str, Counter[str]]] = [("#page", Counter())]
+
+    def push(self, node: Node) -> None:
+        self.top = node
+        self.names[node.name] += 1
+        if node.name in SCOPE:
+            self.frames.append((node.name, Counter()))
+        else:
+            self.frames[-1][1][node.name] += 1
+
+    def pop(self) -> str:
+        name = self.top.name
+        self.top = self.top.parent
+        self.names[name] -= 1
+        if name in SCOPE:
+            self.frames.pop()
+        else:
+            self.frames[-1][1][name] -= 1
+        return name
+
+    def end(self, name: str) -> None:
+        """An end tag: closes the innermost element of its name, if one is open."""
+        if self.names[name]:
+            while self.pop() != name:
+                pass
+
+    def end_implied(self, ended: tuple[str, ...]) -> None:
+        """Closes the open elements of these names, as far as their frames reach."""
+        while True:
+            scope, counts = self.frames[-1]
+            if scope not in ended and not any(counts[name] for name in ended):
+                return
+            self.pop()
+
+
+def _attributes(node: Node, text: str) -> None:
+    for key, *values in _ATTR.findall(text):
+        key = key.lower()
+        if key == "hidden":
+            node.noise = True
+        elif key in ("class", "id", "role"):
+            value = "".join(values)
+            node.post = node.post or key != "role" and _POST.search(value) is not None
+            if kind := _noise_kind(value):
+                node.named = kind if kind == BY_READERS or node.named in (0, BY_SUBJECT) else node.named
+
+
 def parse(page: str) -> Node:
-    root = node = Node("#page", None)
-    place = 0
-    while True:
-        m = _TAG.search(page, place)
-        if m is None:
-            node.parts.append(page[place:])
-            return root
-        if m.start() > place:
-            node.parts.append(page[place:m.start()])
-        place = m.end()
-        if m[1] is None:
+    root = Node("#page", None)
+    now = _Open(root)
+    place = begin = 0  # the text from ``begin`` on has not been added
+    while (at := page.find("<", place)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 2)
+            end = end + 3 if end >= 0 else len(page)
+            tag = None
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at)
+            end = end + 1 if end >= 0 else len(page)
+            tag = None
+        elif page[at + 1:at + 2].isalpha() and page[at + 1].isascii() or page[at + 1:at + 2] == "/" and page[at + 2:at + 3].isalpha() and page[at + 2].isascii():
+            tag = _TAG.match(page, at)
+            end = tag.end() if tag else len(page)
+        else:
+            place = at + 1
             continue
-        name = m[1].lower()
-        if m[0][1] == "/":
-            at = node
-            while at.parent is not None and at.name != name:
-                at = at.parent
-            if at.parent is not None:
-                node = at.parent
+        if at > begin:
+            now.top.parts.append(page[begin:at])
+        place = begin = end
+        if tag is None:
             continue
-        ended = ENDS.get(name, ("p",) if name in CLOSES_P else ())
-        if ended:
-            at, last = node, None
-            while at.parent is not None and (at.name in ended or at.name not in SCOPE):
-                if at.name in ended:
-                    last = at
-                at = at.parent
-            if last is not None:
-                node = last.parent
-        new = Node(name, node)
-        for key, *values in _ATTR.findall(m[2]):
-            value = "".join(values)
-            if key.lower() == "hidden":
-                new.noise = True
-            elif kind := _noise_kind(value):
-                new.named = kind if kind == BY_READERS or new.named in (0, BY_SUBJECT) else new.named
-        node.parts.append(new)
+        name = tag[1].lower()
+        if page[at + 1] == "/":
+            now.end(name)
+            continue
+        if ended := ENDS.get(name, ("p",) if name in CLOSES_P else ()):
+            now.end_implied(ended)
+        up = now.top
+        new = Node(name, up, up if up.name not in INLINE else up.block, up.inside or up.name in ("article", "main"))
+        _attributes(new, tag[2])
+        if name in MEASURED and new.named != BY_READERS and not (name == "header" and (new.inside or up.post)):
+            new.named = BY_TAG
+        up.parts.append(new)
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, place)
-            place = end.end() if end else len(page)
-        elif name not in VOID and not m[0].endswith("/>"):
-            node = new
+            stop = re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I).search(page, place)
+            place = begin = stop.end() if stop else len(page)
+        elif name not in VOID and not tag[0].endswith("/>"):
+            now.push(new)
+    if begin < len(page):
+        now.top.parts.append(page[begin:])
+    return root
 
 
 def _dropped(node: Node) -> bool:
-    if node.name in NEVER:
-        return True
-    inside = node.parent
-    if node.name == "header":  # of the page; an article's own header holds its title
-        while inside is not None and inside.name not in ("article", "main"):
-            inside = inside.parent
-        return inside is None
-    return node.noise and node.name not in ("html", "body", "article", "main")
+    return node.name in NEVER or node.noise and node.name not in ("html", "body", "article", "main")
 
 
 def _measure(root: Node) -> dict[int, tuple[int, int, int]]:
@@ -181,19 +242,18 @@ def _measure(root: Node) -> dict[int, tuple[int, int, int]]:
             if text[0]:
                 node.own = (1 + text[2] + min(text[0] / 100, 3)) * (1 - text[1] / text[0])
             points = (1 + commas + min(chars / 100, 3)) * (1 - links / chars)
-            up, share = (node if node.name != "p" else node.parent), 1
+            up, share = (node if node.name != "p" else node.block), 1
             while up is not None and share <= 3:
-                if up.name not in INLINE:
-                    up.points += points / share
-                    share += 1
-                up = up.parent
+                up.points += points / share
+                up, share = up.block, share + 1
     return sizes
 
 
 def _mark_noise(root: Node) -> None:
-    """Mark the elements with noise words that are to be cut out. Kept are those around the largest
-    article or main; those named by a subject, with few links and at least a tenth of the text
-    points; others with more than half of them; readers' additions if there is hardly anything else."""
+    """Mark the elements with noise words or tags that are to be cut out. Kept are those around the
+    largest article or main; those named by a subject, with few links and at least a tenth of the
+    text points; others with more than half of them, by tag of those of the article; readers'
+    additions if there is hardly anything else."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -240,16 +300,26 @@ def _mark_noise(root: Node) -> None:
         readers = set()
     rest = below(readers)
     total = rest[id(root)]
+    article: set[int] = set()
+    stack = [inside]
+    while stack:
+        node = stack.pop()
+        article.add(id(node))
+        stack += [p for p in node.parts if isinstance(p, Node)]
     for node in order:
         if not node.named or id(node) in around:
             continue
         chars, links, _ = sizes[id(node)]
-        if node.named == BY_SUBJECT:
+        if node.named == BY_TAG:
+            node.noise = id(node) not in article or rest[id(node)] <= max(rest[id(inside)] / 2, HOLDS)
+        elif node.named == BY_SUBJECT:
             node.noise = rest[id(node)] < total / 10 or links > chars / 4
         else:
             node.noise = id(node) in readers or rest[id(node)] <= total / 2
 
 
+#: Text points that an element cut out by its tag must exceed to be taken for the article.
+HOLDS = 5
 #: Text points of the blocks beside a region that make their parent the region (fixed value).
 LEAST = 2
 
@@ -331,6 +401,20 @@ def _collect(region: Node, best: Node, sizes: dict[int, tuple[int, int, int]], b
             stack += [(p, sift) for p in reversed(parts)]
 
 
+def _restore_title(header: Node, sizes: dict[int, tuple[int, int, int]]) -> None:
+    """Keep the best container's own header if it holds a heading."""
+    if not header.noise:
+        return
+    header.noise = False
+    sizes.update(_measure(header))
+    stack, heading = [header], False
+    while stack:
+        node = stack.pop()
+        heading = heading or node.name in HEADINGS
+        stack += [p for p in node.parts if isinstance(p, Node)]
+    header.noise = not heading
+
+
 def main_text(page: str) -> str:
     """The text of the region of the best container, blocks joined by one space."""
     root = parse(page)
@@ -350,6 +434,9 @@ def main_text(page: str) -> str:
         stack += [p for p in reversed(node.parts) if isinstance(p, Node) and id(p) in sizes]
     if best is None:
         return ""
+    for part in best.parts:
+        if isinstance(part, Node) and part.name == "header" and part.named == BY_TAG and best.name not in ("body", "html", "#page"):
+            _restore_title(part, sizes)
     blocks: list[list[str]] = [[]]
     _collect(_region(best, sizes), best, sizes, blocks)
     joined = (" ".join("".join(b).split()) for b in blocks)

@@ -107,3 +107,81 @@ def test_region_without_article():
     assert "Paragraph 1 of second" in text
     page = f"<body><h1>Title</h1><div>{long(30)}</div>{'<div>' * 2000}<a href=1>x</a></body>"
     assert main_text(page).startswith("Title Paragraph 0")
+
+
+WHOLE = " ".join(f"Sentence number {i}, of the main text, which goes on for a while." for i in range(6))
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<body><form id="aspnetForm"><div>{}</div></form></body>', WHOLE),
+    ('<body><div data-title="a hidden gem">{}</div><div><p>x, y</p></div></body>', WHOLE + " x, y"),
+    ('<div>{}<p title="the hidden truth">One more, not hidden.</p></div>', WHOLE + " One more, not hidden."),
+    ("<body><div title=it's>{}<p>They don't, it seems.</p></div></body>", WHOLE + " They don't, it seems."),
+    ('<body><nav><ul><li><a href=1>Home</a><li><a href=2>News</a></ul><div>{}</div></body>', WHOLE),
+    ('<body><header><h1>Site</h1></header><div class="post"><header><h1>Title</h1></header><div>{}</div></div></body>', "Title " + WHOLE),
+    ('<body><header><h1>Site</h1></header><div><header><h1>Title</h1><a href=1>by Ann</a></header>{}</div></body>', "Title by Ann " + WHOLE),
+    ('<body><article><form>{}</form></article></body>', WHOLE),
+    ('<body><article>{}</article><form><p>Write to us, please, at length, and often, all of you, today.</p></form></body>', WHOLE),
+    ('<body><article><p>Short, text.</p></article><footer>{}</footer></body>', "Short, text."),
+    ('<body><p hidden>No, not this.</p><div class=x hidden=""><p>Nor this, one.</p></div>{}</body>', WHOLE),
+    ('<body><a title="x > y" href=\'z">\'>link</a><div>{}</div></body>', None)])
+def test_articles_that_were_lost(page, text):
+    got = main_text(page.format(PROSE))
+    assert got == text if text else got.endswith(WHOLE)
+
+
+@pytest.mark.parametrize("unit, then", [("<b>", "<p>x" * 16_000), ("<div>", "<header>" * 16_000), ('<a "x ', ""), ("<a", ""), ("<div>", "</x>" * 16_000),
+                                        ('<a x="', ""), ("<!--", ""), ("<p><b>", ""), ("<li><span>", ""), ("<td>", ""), ("<script ", ""), ("<nav><a>x", "")])
+def test_hostile_pages_take_linear_time(unit, then):
+    import time
+
+    start = time.process_time()
+    main_text(unit * 16_000 + then)
+    small = time.process_time() - start
+    assert small < 3  # quadratic work takes far longer
+
+
+def article_pages():
+    """Pages whose article is known, by many layouts."""
+    menu = "<ul>" + "".join(f"<li><a href='/{i}'>Menu entry {i}</a>" for i in range(8)) + "</ul>"
+    legal = "<p>All rights reserved, of course, by us, and by others, too, in all places.</p>" * 3
+    side = "<div class='sidebar'><h3>Most read</h3><p>Another story, teased here, in short.</p></div>"
+    talk = "<div id='comments'>" + "<p>I, the reader, say so, at length, again, and again.</p>" * 4 + "</div>"
+    for paragraphs in (1, 3, 12):
+        body = "".join(f"<p>Paragraph {i} tells, in plain words, of a <b>matter</b> with <a href=x>a link</a> in it, and ends.</p>" for i in range(paragraphs))
+        extra = "<h2>Part two</h2><ul><li>One point, made<li>Another one</ul><blockquote>Said, she said, it was.</blockquote><table><tr><td>Cell, one<td>two</table>"
+        parts = ["<h1>The title</h1>", body, extra, body.replace("tells", "repeats")]
+        text = " ".join(parts)
+        for wrap in ("<article>{}</article>", "<main><div>{}</div></main>", "<div class='post'>{}</div>", "<div id='content'><div class='entry'>{}</div></div>",
+                     "<form id='page'><div>{}</div></form>", "<section><div class='content-wrap'>{}</div></section>", "<table><tr><td>{}</td></tr></table>"):
+            yield (f"<html><head><title>T</title></head><body><header><h1>Site</h1><nav>{menu}</nav></header><div class='cookie-notice'>We use, cookies.</div>"
+                   f"{wrap.format(text)}{side}{talk}<footer>{legal}</footer></body></html>"), text
+            yield f"<body><div id='wrapper'><nav>{menu}</nav><div class='ad'>Buy, now.</div>{wrap.format(text)}{side}</div><footer>{legal}</footer></body>", text
+
+
+def test_recall_and_precision_on_pages_with_a_known_article():
+    import re
+    from collections import Counter
+
+    hit = wanted = got = 0
+    for page, article in article_pages():
+        want = Counter(re.sub("<[^>]*>", " ", article).split())
+        found = Counter(main_text(page).split())
+        hit, wanted, got = hit + (want & found).total(), wanted + want.total(), got + found.total()
+    print(f"recall {hit / wanted:.4f}, precision {hit / got:.4f}")
+    assert hit / wanted > 0.97 and hit / got > 0.97
+
+
+def test_recall_on_the_given_pages(spark):
+    import html
+    import re
+
+    hit = wanted = got = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect():
+        inner = re.search(r"<article[^>]*>(.*?)(?:</article>|<footer|\Z)", r.html, re.S)
+        if inner:
+            want = html.unescape(re.sub(r"<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>", " ", inner[1], flags=re.S)).split()
+            found = main_text(r.html).split()
+            hit, wanted, got = hit + len(set(want) & set(found)), wanted + len(set(want)), got + len(set(found))
+    print(f"recall {hit / wanted:.4f}, precision {hit / got:.4f}")
+    assert wanted and hit / wanted > 0.95 and hit / got > 0.95
