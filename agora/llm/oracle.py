@@ -2,6 +2,45 @@
 
 from __future__ import annotations
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# a window is looked up among all word sequences of its length in the documents
+OP2 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(LOWERED, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT row_number() OVER () AS iid, item_id, regexp_extract_all(LOWERED, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT iid, item_id, size, array_to_string(w[i:i + size - 1], ' ') AS gram
+  FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM (SELECT *, least(len(w), 10) AS size FROM items WHERE len(w) > 0))),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM docs),
+grams AS (
+  SELECT rid, i, size, array_to_string(w[i:i + size - 1], ' ') AS gram FROM places, sizes WHERE i + size - 1 <= len(w)),
+found AS (SELECT g.rid, g.i, g.size, v.item_id FROM grams g JOIN windows v ON g.size = v.size AND g.gram = v.gram),
+hits AS (
+  SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT rid, i, size FROM found)) GROUP BY rid),
+named AS (
+  SELECT rid, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names
+  FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS name FROM found WHERE item_id IS NOT NULL) GROUP BY rid)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(m.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(m.names, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hits h ON d.rid = h.rid LEFT JOIN named m ON d.rid = m.rid
+""".replace("LOWERED", _LOWER.format("coalesce(text, '')"))
+
+OP6 = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (SELECT rid, doc_id, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS i FROM docs),
+keyed AS (
+  SELECT *, LOWERED AS k FROM lines),
+often AS (
+  SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT a.*, o.k IS NOT NULL AND a.doc_id <> o.keeper AS gone FROM keyed a LEFT JOIN often o ON a.k = o.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY rid, doc_id
+""".replace("LOWERED", _LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"))
+
 OP11 = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang,
@@ -73,4 +112,4 @@ SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
 FROM firsts
 """
 
-ORACLE_SQL: dict[str, str] = {"op11_phrases": OP11, "op12_fim": OP12, "op13_warc": OP13}
+ORACLE_SQL: dict[str, str] = {"op2_decontaminate": OP2, "op6_line_dedup": OP6, "op11_phrases": OP11, "op12_fim": OP12, "op13_warc": OP13}
