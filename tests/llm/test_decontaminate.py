@@ -1,9 +1,14 @@
 import collections
 import re
 
+import random
+import time
+
 import numpy as np
+import pyarrow as pa
 
-from agora.llm.decontaminate import _blocks, decontaminate, find_overlaps, suffix_array
+from agora.llm import decontaminate as module
+from agora.llm.decontaminate import Benchmark, _blocks, decontaminate, find_overlaps, scan, suffix_array
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -103,6 +108,62 @@ def test_items_without_an_id_hit(spark, corpus, corpus_df):
 def test_blocks_are_bounded(spark):
     items = [(i, "w" * (1 + i * 37 % 90)) for i in range(200)] + [(None, "long " * 100)]
     df = spark.createDataFrame(items, "item_id bigint, text string").repartition(3)
-    got = list(_blocks(df, sum(len(t) for _, t in items), 100))
-    assert all(sum(len(t) for _, t in b) <= 100 or len(b) == 1 for b in got)
+    got = list(_blocks(df, sum(len(t) + module.ROW_BYTES for _, t in items), 300))
+    assert all(sum(len(t) + module.ROW_BYTES for _, t in b) <= 300 or len(b) == 1 for b in got)
     assert sorted((r for b in got for r in b), key=str) == sorted(items, key=str)
+
+
+def scanned(rows, items, **change):
+    """What ``scan`` finds, without Spark."""
+    (found,) = [got for _, _, got in scan(pa.array([t for _, t in rows]), Benchmark.of(items, 10))] if rows else [None]
+    return [(d, n, h, list(i)) for (d, _), n, h, i in zip(rows, found["n_words"], found["n_hit"], found["items"])], found["matches"]
+
+
+def test_equal_items_and_copies_make_no_pairs():
+    passage = " ".join(f"w{i}" for i in range(60))
+    docs = [(i, f"start{i} {passage} end") for i in range(1000)]
+    items = [(i, passage) for i in range(2000)] + [(5000 + i, f"q{i} " + passage[:100]) for i in range(2000)]
+    begin = time.process_time()
+    got, matches = scanned(docs, items)
+    assert time.process_time() - begin < 20
+    assert all(r[1:3] == (62, 60) and r[3] == [*range(2000), *range(5000, 7000)] for r in got)
+    assert all(m == [{"item_id": 0, "item_word": 0, "doc_word": 1, "n_words": 60}] for m in matches)
+
+
+def test_random_words_against_brute_force():
+    for seed in range(25):
+        rng = random.Random(seed)
+        letters = "abcd"[:rng.randint(2, 4)]
+        items = [(i, " ".join(rng.choices(letters, k=rng.choice([1, 2, 5, 9, 10, 11, 14, 30])))) for i in range(rng.randint(1, 8))]
+        docs = [(i, " ".join(rng.choices(letters, k=rng.randint(0, 200)))) for i in range(6)] + [(7, items[0][1] + " " + items[-1][1])]
+        got, matches = scanned(docs, items)
+        assert got == brute(docs, items)
+        for (_, text), found in zip(docs, matches):
+            w, ends = words(text), 0
+            for m in found:  # verbatim, cannot be longer, inside no other
+                item = words(dict(items)[m["item_id"]])
+                piece = w[m["doc_word"]:m["doc_word"] + m["n_words"]]
+                assert piece == item[m["item_word"]:m["item_word"] + m["n_words"]] and m["doc_word"] + m["n_words"] > ends
+                ends = m["doc_word"] + m["n_words"]
+                more = " ".join(w[m["doc_word"]:ends + 1]) + " "
+                assert ends == len(w) or not any(f" {more}" in f" {t} " for _, t in items)
+
+
+def test_words_that_share_a_hash_do_not_hit(monkeypatch):
+    real = module.hash_tokens
+    items = [(1, "alpha beta gamma delta"), (2, "one two three four five six seven eight nine ten eleven")]
+    for bits in range(6, 12):
+        monkeypatch.setattr(module, "hash_tokens", lambda s, n, bits=bits: real(s, n) % np.uint64(1 << bits))
+        rng = random.Random(bits)
+        docs = [(i, " ".join(rng.choice(["beta", "gamma", "alpha", "delta", f"x{rng.randint(0, 99)}"]) for _ in range(400)) + " " + items[i % 2][1])
+                for i in range(20)]
+        try:
+            got, _ = scanned(docs, items)
+        except RuntimeError:  # two words of the benchmark itself share one
+            continue
+        assert got == brute(docs, items)
+
+
+def test_items_of_no_words_are_bounded_too(spark):
+    df = spark.createDataFrame([(i, "") for i in range(1000)], "item_id bigint, text string")
+    assert max(len(b) for b in _blocks(df, 1000 * module.ROW_BYTES, 6400)) <= 101
