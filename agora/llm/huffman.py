@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.llm.common import cut_points, groups_of_rows, segments, stage, texts, utf8
+from agora.llm.common import cut_points, groups_of_rows, runs_of, segments, stage, texts, utf8
 from agora.session import application_scratch
 
 LIMIT = 16
 STRIDE = 256
 BLOCK_IDS = 1 << 18
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 400_000
 STEP_WORDS = 4096
 ROWS_PER_PART = 4096
 MAX_PARTS = 20_000
@@ -55,8 +55,9 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, 0x0A]] = True
+#: ASCII marks but for the apostrophe (it opens endings such as 's) and those of special tokens.
 _MARK = np.zeros(256, bool)
-_MARK[[*b".,"]] = True
+_MARK[[*b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 STEP_BYTES = 4 << 20
@@ -80,8 +81,8 @@ def _steps_hold(spec: dict) -> bool:
 class LibraryEncoder:
     """The tokenizers library behind a bounded cache of pieces of text.
 
-    Texts are cut, as byte arrays, at spaces and line feeds and before a full stop or comma that
-    ends a word: no token crosses these places, so a text's ids are those of its pieces in turn.
+    Texts are cut, as byte arrays, at spaces and line feeds and before the marks that end a word:
+    no token crosses these places, so a text's ids are those of its pieces in turn.
     Latin texts are lower-cased before, as the tokenizer does it anyway, so that pieces recur.
     Only the distinct pieces of a stretch of text are looked up; their ids are then gathered for
     all pieces at once. Raises for a tokenizer with other steps than :func:`_steps_hold` knows."""
@@ -159,8 +160,13 @@ class LibraryEncoder:
         gap = _GAP[data]
         last = np.concatenate((gap[1:], [True]))
         last[offsets[1:][np.diff(offsets) > 0] - 1] = True  # the end of a row is like a gap
-        kind = np.where(gap, np.uint8(0), np.uint8(1))
-        kind[1:][_MARK[data[1:]] & _LETTER[data[:-1]] & last[1:]] = 2
+        letter = _LETTER[data]
+        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] < 0xC0) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        begin, end = runs_of(_MARK[data])
+        apart = (begin > 0) & letter[begin - 1] & last[end - 1]
+        edges = np.zeros(len(data) + 1, np.int8)
+        edges[begin[apart]], edges[end[apart]] = 1, -1
+        kind = np.where(gap, 0, 1 + np.cumsum(edges[:-1], dtype=np.int8))
         starts, lengths = segments(kind, offsets[1:-1])
         ends = np.concatenate(([0], np.cumsum(lengths)))
         names = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(data[~gap])])

@@ -109,7 +109,7 @@ def test_pieces_of_random_texts_and_long_rows(monkeypatch):
 
     rng = random.Random(6)
     odd = [" ", " ", "\n", ".", ",", ", ", ". ", "a", "Word", "it's", "\u00e9", "\u0130", "J", "\u030c", "\u03a3", "\t", "\xa0", "1", "<|", "<|endoftext|>",
-           "<|ENDOFTEXT|>", "\u65e5", "\u2028", "\u00b7", "!?", "\u0345"]
+           "<|ENDOFTEXT|>", "\u65e5", "\u2028", "\u00b7", "!?", "\u0345", "%%%", "\u00d7", "'", "|", ">", "\u00df", "-", "é"]
     texts = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
     library = tokenizers.Tokenizer.from_file(PATH)
     want = [library.encode(t, add_special_tokens=False).ids + [1] for t in texts]
