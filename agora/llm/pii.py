@@ -8,7 +8,8 @@ each character they write, the source range it came from:
 2. digits spelled as words (three or more in a row, also among written ones) become digits, a
    leading "plus" becomes "+" and a "dot" between them ".";
 3. "(at)", "[dot]" and the like, and "name at host dot tld", become "@" and "."; words of the
-   corpus's other languages count too ("arroba", "punto", "punkt", "point").
+   corpus's other languages count too ("arroba", "punto", "punkt", "point"). A disguised host has
+   at most 127 labels of at most 63 characters, the limits of DNS; names have no limit.
 
 The same detectors run over the rewritten text, and their spans are mapped back to the source. A
 mapped span is added if its source differs from what it was rewritten to (so clean text gains
@@ -26,11 +27,16 @@ import sys
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from agora.llm.common import map_batches, texts
 
+#: Code points of a text whose words are looked through at a time.
+WINDOW = 1 << 20
+#: Pieces of a rewritten text that are held singly.
+EDITS = 1 << 16
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
 
@@ -121,6 +127,8 @@ LOOKALIKES = {
 }
 #: Characters that show nothing (fixed values): soft hyphen, zero-width ones, word joiner, BOM.
 INVISIBLE = "­​‌‍⁠﻿"
+#: The characters of Latin-1 that are rewritten; its letters and other signs are ordinary text.
+LATIN_1 = "\xa0²³¹"
 #: Words for the digits 0 to 9 in the corpus's languages (fixed values).
 DIGIT_WORDS = (
     "zero one two three four five six seven eight nine",
@@ -133,7 +141,7 @@ DIGIT_WORDS = (
 def _to_ascii() -> dict[int, str]:
     """One ASCII character for each look-alike and each character whose compatibility form is one."""
     table = {ord(c): a for a, others in LOOKALIKES.items() for c in others}
-    for code in range(0xA0, sys.maxunicode + 1):
+    for code in (*map(ord, LATIN_1), *range(0x100, sys.maxunicode + 1)):
         if 0xAC00 <= code <= 0xDFFF or code in table:
             continue
         char = chr(code)
@@ -208,6 +216,8 @@ _NO_NAME = frozenset("us me him her them it you me uns mich nous moi nos".split(
 _ROLE = frozenset("info webmaster postmaster kontakt contacto noreply admin hello".split())
 _CUE = re.compile(r"(?:\be-?mail|\bmail(?:to)?|\bcontact|\bkontakt|\bcorreo|\bcourriel|\bwrite to)\s?:?\s?$", re.I)
 _OPEN, _CLOSE = r"\s?[\[({<]\s?", r"\s?[\])}>]\s?"
+#: Characters before a name in which a word for mail or the start of a spoken name is looked for.
+NEARBY = 48
 _GAP = r"(?:\s{1,3}|_)"
 _AT_WORD, _DOT_WORD = r"(?:at|@|arroba|arobase?)", r"(?:dot|\.|punkt|punto|point)"
 _SEPARATOR = rf"(?:\.|{_GAP}(?:dot|punkt|punto|point){_GAP}|{_OPEN}{_DOT_WORD}{_CLOSE})"
@@ -215,8 +225,8 @@ _LABEL = "[A-Za-z0-9-]{1,63}"
 _SPLIT = re.compile(_SEPARATOR, re.I)
 #: "at" as a sign, in brackets or bare; the latter and "@" with what can be a host behind them.
 _AT_SIGN = re.compile(
-    rf"(?P<sign>{_OPEN}{_AT_WORD}{_CLOSE}|@)(?P<host>{_LABEL}(?:{_SEPARATOR}{_LABEL}){{1,7}})?|"
-    rf"(?<=[A-Za-z0-9])(?P<bare>{_GAP}(?:at|arroba|arobase?){_GAP})(?P<to>{_LABEL}(?:{_SEPARATOR}{_LABEL}){{1,7}})", re.I)
+    rf"(?P<sign>{_OPEN}{_AT_WORD}{_CLOSE}|@)(?P<host>{_LABEL}(?:{_SEPARATOR}{_LABEL}){{1,126}})?|"
+    rf"(?<=[A-Za-z0-9])(?P<bare>{_GAP}(?:at|arroba|arobase?){_GAP})(?P<to>{_LABEL}(?:{_SEPARATOR}{_LABEL}){{1,126}})", re.I)
 _BRACKETS = re.compile(rf"{_OPEN}(?:{_AT_WORD}|{_DOT_WORD}){_CLOSE}", re.I)
 _BARE = re.compile(rf"(?<=[A-Za-z0-9]){_GAP}(?:at|arroba|arobase?){_GAP}{_LABEL}{_SEPARATOR}[A-Za-z]|@{_LABEL}{_GAP}(?:punkt|punto|point)\b", re.I)
 _DOT_SIGN = re.compile(rf"{_OPEN}{_DOT_WORD}{_CLOSE}|(?<=[A-Za-z0-9]){_GAP}dot{_GAP}(?=[A-Za-z0-9])", re.I)
@@ -262,7 +272,10 @@ def _signs(text: str) -> Iterator[tuple[int, int, str]]:
             dots = [(m.start(host) + d.start(), m.start(host) + d.end()) for d in _SPLIT.finditer(m[host])]
             marks = [m.start(host), *(x for d in dots for x in d), m.end(host)]
             labels = [text[x:y] for x, y in zip(marks[0::2], marks[1::2])]
-            before = text[max(0, m.start() - 100):m.start()]
+            name = m.start()
+            while name and text[name - 1] in _LOCAL:
+                name -= 1
+            before = text[max(0, name - NEARBY):m.start()]
             while dots:  # the longest host that makes an address
                 end = marks[2 * len(dots) + 1]
                 after = text[end:end + 1]
@@ -280,13 +293,13 @@ def _signs(text: str) -> Iterator[tuple[int, int, str]]:
 
 
 class Mapped:
-    """A rewritten text; character i came from source[start[i]:end[i]]."""
+    """A rewritten text; character i came from source[start[i]:end[i]]. The maps are integer arrays."""
 
     def __init__(self, text: str):
         self.text = text
-        self.start = list(range(len(text)))
-        self.end = list(range(1, len(text) + 1))
-        self.spelled: set[int] = set()  # source places of spelled digits
+        self.start = np.arange(len(text), dtype=np.int32)
+        self.end = self.start + np.int32(1)
+        self.spelled = np.zeros(0, bool)  # whether a source place begins a spelled digit
 
     def rewrite(self, pattern: re.Pattern, new: str) -> None:
         """Replace every match by ``new``."""
@@ -294,26 +307,66 @@ class Mapped:
 
     def edit(self, edits: Iterable[tuple[int, int, str]]) -> None:
         """Replace ascending ranges (start, end, new); all of ``new`` comes from the whole range."""
-        pieces, start, end, last = [], [], [], 0
+        pieces, kept, last = [], [], 0
         for a, b, new in edits:
-            pieces += (self.text[last:a], new)
-            start += self.start[last:a] + [self.start[a]] * len(new)
-            end += self.end[last:a] + [self.end[b - 1]] * len(new)
+            if last < a:
+                pieces.append(self.text[last:a])
+                kept.append((self.start[last:a], self.end[last:a]))
+            if new:
+                pieces.append(new)
+                kept.append((np.full(len(new), self.start[a]), np.full(len(new), self.end[b - 1])))
             last = b
+            if len(kept) > EDITS and len(pieces) > EDITS:  # many small pieces become one
+                pieces, kept = ["".join(pieces)], [tuple(np.concatenate(x) for x in zip(*kept))]
         if last:
-            self.text = "".join(pieces) + self.text[last:]
-            self.start, self.end = start + self.start[last:], end + self.end[last:]
+            pieces.append(self.text[last:])
+            kept.append((self.start[last:], self.end[last:]))
+            self.text = "".join(pieces)
+            self.start, self.end = (np.concatenate(x) for x in zip(*kept))
 
 
 def _has_odd(text: str, odd: frozenset[str]) -> bool:
-    """Whether a transducer of characters applies; Latin-1 letters and signs are left alone."""
+    """Whether a transducer of characters applies."""
     if text.isascii():
         return False
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
         return not odd.isdisjoint(text)
-    return "\xa0" in text or "\xad" in text
+    return any(c in text for c in LATIN_1 + "\xad")
+
+
+def _has_digit_word(low: str, tokens: frozenset[str]) -> bool:
+    """Whether a digit is spelled anywhere; looked for in overlapping windows of the text."""
+    for a in range(0, max(len(low), 1), WINDOW):
+        part = low[a:a + WINDOW + 64]
+        words = set(part.split())
+        if not words.isdisjoint(tokens) or "-" in part and any("-" in w and not tokens.isdisjoint(w.split("-")) for w in words):
+            return True
+    return False
+
+
+_TOKEN = re.compile(r"\w+|\+")
+
+
+def _spelled_digits(out: Mapped, t: _Tables) -> Iterator[tuple[int, int, str]]:
+    """Edits that write digits for digit words: each word keeps its own range, separators go."""
+    for m in t.spelled.finditer(out.text):
+        if sum(1 for w in _TOKEN.finditer(m[0]) if w[0].lower() in t.digit) < 3:
+            continue
+        last = m.start()
+        for w in _TOKEN.finditer(m[0]):
+            a, b, word = m.start() + w.start(), m.start() + w.end(), w[0].lower()
+            if last < a:
+                yield last, a, ""
+            if word in t.digit:
+                out.spelled[out.start[a]] = True
+            new = "+" if word in ("plus", "+") else "." if word in ("dot", "point") else t.digit.get(word)
+            if new is not None and new != out.text[a:b]:
+                yield a, b, new
+            last = b
+        if last < m.end():
+            yield last, m.end(), ""
 
 
 def deobfuscate(text: str) -> Mapped | None:
@@ -324,9 +377,8 @@ def deobfuscate(text: str) -> Mapped | None:
     low = plain.lower()
     brackets = any(c in low for c in "[({<") and _BRACKETS.search(low)
     spoken = "dot" in low and _SPOKEN.search(low) or _BARE.search(low)
-    words = set(low.split())
-    some = not words.isdisjoint(t.tokens) or "-" in low and any("-" in w and not t.tokens.isdisjoint(w.split("-")) for w in words)
-    spelled = some and t.spelled.search(low)
+    spelled = _has_digit_word(low, t.tokens) and t.spelled.search(low)
+    del low
     if not (odd or brackets or spoken or spelled):
         return None
     out = Mapped(text)
@@ -334,35 +386,9 @@ def deobfuscate(text: str) -> Mapped | None:
         out.text = plain  # one character for one
         out.rewrite(re.compile(f"[{INVISIBLE}]+"), "")
 
-    # each spelled digit keeps its own range: first the separators go, then the words
     if spelled:
-        pieces, start, end, last = [], [], [], 0
-        for m in t.spelled.finditer(out.text):
-            tokens = list(re.finditer(r"\w+|\+", m[0]))
-            if sum(w[0].lower() in t.digit for w in tokens) < 3:
-                continue
-            pieces.append(out.text[last:m.start()])
-            start += out.start[last:m.start()]
-            end += out.end[last:m.start()]
-            for w in tokens:
-                a, b = m.start() + w.start(), m.start() + w.end()
-                word = w[0].lower()
-                value = "+" if word in ("plus", "+") else "." if word in ("dot", "point") else t.digit.get(word, word)
-                if value == ".":
-                    start.append(out.start[a])
-                    end.append(out.end[b - 1])
-                elif word in t.digit:
-                    out.spelled.add(out.start[a])
-                    start.append(out.start[a])
-                    end.append(out.end[b - 1])
-                else:
-                    start += out.start[a:a + len(value)]
-                    end += out.end[a:b] if len(value) == b - a else [out.end[b - 1]] * len(value)
-                pieces.append(value)
-            last = m.end()
-        if last:
-            out.text = "".join(pieces) + out.text[last:]
-            out.start, out.end = start + out.start[last:], end + out.end[last:]
+        out.spelled = np.zeros(len(text), bool)
+        out.edit(_spelled_digits(out, t))
     out.edit(_signs(out.text))
     out.rewrite(_DOT_SIGN, ".")
     return out
@@ -378,15 +404,17 @@ def find(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, st
     if seen is None:
         return base, base
     got = detect(seen.text)
-    if seen.spelled:
-        taken = {i for s, e, _ in got for i in range(s, e)}
+    if len(seen.spelled):
+        taken = np.zeros(len(seen.text), bool)
+        for s, e, _ in got:
+            taken[s:e] = True
         for m in _DIGIT_RUN.finditer(seen.text):
-            if (10 <= m.end() - m.start() <= 15 and m.start() not in taken and len(set(m[0])) > 2
-                    and any(seen.start[i] in seen.spelled for i in range(*m.span()))):
+            if (10 <= m.end() - m.start() <= 15 and not taken[m.start()] and len(set(m[0])) > 2
+                    and seen.spelled[seen.start[m.start():m.end()]].any()):
                 got.append((*m.span(), "phone"))
     known, more = set(base), []
     for s, e, kind in got:
-        span = (seen.start[s], seen.end[e - 1], kind)
+        span = (int(seen.start[s]), int(seen.end[e - 1]), kind)
         alike = kind in ("card", "phone") and len(set(_DIGIT.findall(seen.text[s:e]))) < 2  # one word again and again
         if span not in known and not alike and text[span[0]:span[1]] != seen.text[s:e]:
             known.add(span)
@@ -405,8 +433,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts: list[list[int]] = [[] for _ in KINDS]
         base_texts, span_texts, added = [], [], []
-        for text in batch.column(1).to_pylist():
-            base, spans = find(text)
+        for text in batch.column(1):
+            base, spans = find(text.as_py())
             for kind, column in zip(KINDS, counts):
                 column.append(sum(k == kind for _, _, k in base))
             base_texts.append(written(base))
