@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agora.llm.common import groups_of_rows, hash_tokens, segments, stage, text_hash, texts, utf8, without_rows
+from agora.llm.common import groups_of_rows, hash_tokens, keep_rows, segments, stage, text_hash, texts, utf8
 
 SHARD_BYTES = 8 << 20
 BLOCK_BYTES = 8 << 20
@@ -373,6 +373,14 @@ def _blocks(items: DataFrame, size: int, block_bytes: int) -> Iterator[list[tupl
             yield [tuple(r) for r in rows.select("item_id", "text").collect()]
 
 
+def _items(benchmark: DataFrame, unnamed: bool) -> tuple[DataFrame, int]:
+    """The items that count, and what they weigh."""
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where(F.col("text").isNotNull())
+    if not unnamed:
+        items = items.where(F.col("item_id").isNotNull())
+    return items, items.agg(F.sum(F.octet_length("text") + ROW_BYTES)).first()[0] or 0
+
+
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10,
                   block_bytes: int = BLOCK_BYTES, unnamed: bool = False) -> DataFrame:
     """For every row of ``docs``: ``doc_id``, ``text_hash``, ``n_words``, ``n_hit`` (words inside an occurrence
@@ -380,10 +388,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     verbatim matches that lie in no other: first word in the document, length in words, and one item
     that holds it, of equal ones the smallest id, with its first word there).
     With ``unnamed``, items without an id count too, but for ``items``."""
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where(F.col("text").isNotNull())
-    if not unnamed:
-        items = items.where(F.col("item_id").isNotNull())
-    size = items.agg(F.sum(F.octet_length("text") + ROW_BYTES)).first()[0] or 0
+    items, size = _items(benchmark, unnamed)
     base = texts(docs, text_hash(docs).alias("text_hash"))
     if size <= block_bytes:
         (block,) = _blocks(items, size, block_bytes)
@@ -404,6 +409,15 @@ def _flat(name: str):
     return F.flatten(F.collect_list(name)).alias(name)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, unnamed: bool = False) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, unnamed: bool = False,
+                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the rows that hold a window of the benchmark (all columns)."""
-    return without_rows(docs, find_overlaps(docs, benchmark, window, unnamed=unnamed).where("n_hit > 0"))
+    items, size = _items(benchmark, unnamed)
+    for i, block in enumerate(_blocks(items, size, block_bytes)):
+        bench = Benchmark.of(block, window)
+
+        def clean(column: pa.Array, bench: Benchmark = bench) -> np.ndarray:
+            return np.array([n for _, _, got in scan(column, bench) for n in got["n_hit"]]) == 0
+
+        docs = keep_rows(stage(docs) if i else docs, clean)
+    return docs

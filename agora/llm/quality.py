@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agora.llm.common import groups_of_rows, hash_tokens, segments, text_hash, texts, utf8
+from agora.llm.common import groups_of_rows, hash_tokens, keep_rows, segments, text_hash, texts, utf8
 
 ROWS, DIM, ACTIVE, WINDOW = 8192, 32, 2, 2
 STRIPE = 512  # rows of the table in one record while it is summed
@@ -214,6 +214,12 @@ class QualityModel:
             run, "doc_id bigint, text_hash bigint, score double, predicted int")
 
 
+    def keep(self, docs: DataFrame, threshold: float = 0.3) -> DataFrame:
+        """The rows of ``docs`` that score ``threshold`` at least, with all columns."""
+        model = self
+        return keep_rows(docs, lambda column: model.network.score(pool(column, model.vectors)) >= threshold)
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 16_000,
                 train: Column | None = None) -> QualityModel:
     """Context vectors from all of ``docs``; the network from at most ``max_labelled`` texts with

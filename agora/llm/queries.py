@@ -44,11 +44,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-def bpe_digests(docs: DataFrame, encoder: bpe.BytePairEncoder) -> DataFrame:
-    """Number and hash of each document's ids, and the hash of the text decoded from them."""
+def bpe_digests(docs: DataFrame, encoder: bpe.BytePairEncoder, keep_ids: bool = False) -> DataFrame:
+    """Number and hash of each document's ids, and the hash of the text decoded from them; with
+    ``keep_ids`` the ids as well."""
     tokens = bpe.round_trip(docs, encoder)
     return tokens.select("doc_id", F.expr("octet_length(ids) div 4").cast("bigint").alias("n_tokens"),
-                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"), *["ids"] * keep_ids)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
@@ -69,7 +70,8 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
     model = fit_quality(docs, labels, train=fold(F.col("doc_id")) != 0)
-    return model.score(docs).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+    held_out = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False))  # a row without id is in no fold
+    return model.score(docs).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op9_huffman(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:

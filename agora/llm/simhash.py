@@ -15,7 +15,7 @@ with those not reached yet and emits one edge per newly reached fingerprint: a s
 and not all pairs.  Components are then found over smallest doc_ids.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other;
-rows with a null doc_id get a fingerprint and component null and link nothing; repeated rows
+rows with a null doc_id link like any other, and their component is NULL if it has no id; repeated rows
 share one component.  Words are split at ASCII white space; only A-Z are lower-cased.
 """
 
@@ -178,28 +178,28 @@ def near_pairs(fps: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFra
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """``doc_id, fingerprint`` (16 hex digits) and ``component_id`` (the smallest doc_id
-    reachable over links of at most ``radius`` differing bits) for every row."""
+    reachable over links of at most ``radius`` differing bits; NULL if no row reached has an id)
+    for every row."""
     rows = stage(fingerprints(docs, shingle).drop("text_hash"))
-    least = stage(rows.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("least")))
-    pairs = near_pairs(least, radius)
-    edges = (pairs.join(least.select(F.col("fp").alias("x"), F.col("least").alias("a")), "x")
-             .join(least.select(F.col("fp").alias("y"), F.col("least").alias("b")), "y").select("a", "b"))
-    linked = connected_components(edges)
-    ids = least.join(linked, least["least"] == linked["node"], "left").select(
-        "fp", F.coalesce("component", "least").alias("component_id"))
-    return rows.join(ids, "fp", "left").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    groups = _components(rows, radius)
+    return rows.join(groups.select("fp", F.col("first").alias("component_id")), "fp", "left").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _components(rows: DataFrame, radius: int) -> DataFrame:
+    """``fp, first`` of ``rows`` (doc_id, fp): the smallest doc_id of each fingerprint's component.
+    Fingerprints are linked, not ids, so a row without an id links others all the same."""
+    least = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    linked = connected_components(near_pairs(least, radius).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    groups = stage(least.join(linked, least["fp"] == linked["node"], "left").select(
+        "fp", "least", F.coalesce("component", "fp").alias("component")))
+    first = groups.groupBy("component").agg(F.min("least").alias("first"))
+    return groups.join(first, "component").select("fp", "first")
 
 
 def near_copies(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """``doc_id, text_hash`` of the rows that are near duplicates of one with a smaller doc_id.
     Texts are linked, not ids: other texts of the same doc_id neither link nor go."""
     rows = stage(fingerprints(docs, shingle).where(F.col("doc_id").isNotNull()))
-    least = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    linked = connected_components(near_pairs(least, radius).select(F.col("x").alias("a"), F.col("y").alias("b")))
-    groups = least.join(linked, least["fp"] == linked["node"], "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component"))
-    first = groups.groupBy("component").agg(F.min("least").alias("first"))
-    return (rows.join(groups.join(first, "component").select("fp", "first"), "fp")
+    return (rows.join(_components(rows, radius), "fp")
             .where(F.col("doc_id") != F.col("first")).select("doc_id", "text_hash"))

@@ -1,3 +1,5 @@
+import hashlib
+
 import corpus_pipeline
 import pytest
 
@@ -56,6 +58,11 @@ def test_leaks(spark, steps):
     assert set(after) == {r[0] for r in leaks(before.items(), items) if not r[2]}
 
 
+def test_tokens_are_kept(steps):
+    for r in steps[-1][1].collect():
+        assert len(r["ids"]) == 4 * r["n_tokens"] and hashlib.sha256(r["ids"]).hexdigest() == r["ids_sha256"]
+
+
 def test_run_equals_the_stages(spark, steps):
     want = sorted(map(tuple, steps[-1][1].collect()))
     assert want and sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == want

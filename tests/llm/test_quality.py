@@ -69,3 +69,12 @@ def test_rows_for_fitting_are_bounded(spark, monkeypatch):
     fit_quality(docs, labels, max_labelled=10)
     fit_quality(docs, labels)
     assert len(fitted[0]) == 10 and sorted(fitted[1]) == [0.0] + [1.0] * 41
+
+
+def test_a_row_without_an_id_is_in_no_fold(spark, tmp_path, edge_df):
+    from agora.llm.queries import op8_quality
+
+    edge_df.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = op8_quality(spark, str(tmp_path)).collect()
+    assert {r["held_out"] for r in got} <= {True, False} and [r["held_out"] for r in got if r["doc_id"] is None] == [False]

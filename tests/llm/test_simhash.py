@@ -82,3 +82,11 @@ def test_edges(edge_df, empty_df):
     assert [r["component_id"] for r in rows if r["doc_id"] is None] == [None]
     assert {r["component_id"] for r in rows if r["doc_id"] == 4} == {4}
     assert near_duplicates(empty_df).count() == 0
+
+
+def test_a_row_without_an_id_links_others(spark):
+    from agora.llm.simhash import _components
+
+    rows = [(1, 0b0), (None, 0b111), (3, 0b111111), (None, 1 << 40 | 0xFFFFFF00), (9, -1)]
+    got = {r["fp"]: r["first"] for r in _components(spark.createDataFrame(rows, "doc_id bigint, fp bigint"), 3).collect()}
+    assert got == {0: 1, 0b111: 1, 0b111111: 1, 1 << 40 | 0xFFFFFF00: None, -1: 9}
