@@ -26,7 +26,7 @@ from agora.llm.simhash import near_copies
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject (score of at least 0.3)."""
     model = fit_quality(docs, read_table(spark, sf_dir, "labels"), train=fold(F.col("doc_id")) != 0)
-    return without_rows(docs, model.score(docs).where("predicted = 0"))
+    return model.keep(docs)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +47,9 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of each document and of its decoded text, as the BPE query has them."""
-    return bpe_digests(docs, bpe.BytePairEncoder.load(tokenizer_path("byte_bpe_50k.json")))
+    """Per document its ``ids`` (little-endian unsigned 32-bit integers), with their number and hash
+    and that of the decoded text, as the BPE query has them."""
+    return bpe_digests(docs, bpe.BytePairEncoder.load(tokenizer_path("byte_bpe_50k.json")), keep_ids=True)
 
 
 STAGES = [("quality classifier", keep_good), ("line dedup", drop_lines), ("simhash near dedup", drop_near_copies),
