@@ -166,10 +166,14 @@ _LOCK = threading.Lock()
 
 
 def _folder_state(spark: SparkSession, folder: str) -> tuple:
-    """Size and modification time of the folder's entries, whatever its file system."""
+    """Path, size and modification time of all files below the folder, whatever its file system
+    (a table may be a folder itself, and object stores have no times of folders)."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+    found, files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while found.hasNext():
+        f = found.next()
+        files.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(files))
 
 
 def tpch_workspace(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Workspace:

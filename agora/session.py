@@ -78,10 +78,39 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def delete_folder(spark: SparkSession, path: str) -> bool:
-    """Delete a folder of whatever file system its path names."""
+def _file_system(spark: SparkSession, path: str):
+    """A path and the file system it names, whatever that is."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete_folder(spark: SparkSession, path: str) -> bool:
+    """Delete a folder or file."""
+    target, system = _file_system(spark, path)
+    return system.delete(target, True)
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    target, system = _file_system(spark, path)
+    return system.exists(target)
+
+
+def move_folder(spark: SparkSession, source: str, path: str) -> None:
+    """Put a folder in the place of another one, which is deleted."""
+    target, system = _file_system(spark, path)
+    system.delete(target, True)
+    if not system.rename(spark._jvm.org.apache.hadoop.fs.Path(source), target):
+        raise OSError(f"{source} cannot be moved to {path}")
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file."""
+    target, system = _file_system(spark, path)
+    out = system.create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
 
 
 class Scratch:

@@ -8,10 +8,13 @@ round trip).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 from agora.plans import payments, products, revenue, rfm, sellers
 from agora.plans.fanout import Fanout
+from agora.session import delete_folder, folder_exists, move_folder, write_text
 
 # Summary names and row limits of the summary export.
 SUMMARY_SHEETS = {
@@ -23,6 +26,8 @@ SUMMARY_SHEETS = {
     "top_sellers": "Top Sellers",
 }
 TOP_CATEGORIES = 15
+#: File that holds the id of the run that a folder's six summaries come from.
+MARKER = "_EXPORTED"
 
 
 def summary_frames(delivered: Fanout, scored: DataFrame) -> dict[str, DataFrame]:
@@ -51,13 +56,28 @@ def export_rfm(scored: DataFrame, out_dir: str, mode: str = "overwrite") -> str:
 
 def export_summaries(delivered: Fanout, scored: DataFrame, out_dir: str, fmt: str = "parquet",
                      mode: str = "overwrite") -> dict[str, str]:
-    """Write each summary to ``out_dir/<name>`` as Parquet (default) or CSV."""
-    paths = {}
-    for name, df in summary_frames(delivered, scored).items():
-        path = f"{out_dir.rstrip('/')}/{name}"
-        if fmt == "csv":
-            write_csv(df, path, mode)
-        else:
-            df.write.mode(mode).parquet(path)
-        paths[name] = path
+    """Write each summary to ``out_dir/<name>`` as Parquet (default) or CSV.
+
+    All six are written aside first and then moved into place, so a run that fails while it computes
+    leaves the former export whole. ``out_dir/_EXPORTED`` names the run that all six are of; it is
+    taken away before the moves and written after them. With a ``mode`` other than "overwrite" an
+    existing summary is an error."""
+    spark, out = scored.sparkSession, out_dir.rstrip("/")
+    run = uuid.uuid4().hex
+    aside, marker = f"{out}/_export-{run}", f"{out}/{MARKER}"
+    paths = {name: f"{out}/{name}" for name in SUMMARY_SHEETS}
+    if mode != "overwrite" and (there := [p for p in paths.values() if folder_exists(spark, p)]):
+        raise FileExistsError(", ".join(there))
+    try:
+        for name, df in summary_frames(delivered, scored).items():
+            if fmt == "csv":
+                write_csv(df, f"{aside}/{name}", "error")
+            else:
+                df.write.parquet(f"{aside}/{name}")
+        delete_folder(spark, marker)
+        for name, path in paths.items():
+            move_folder(spark, f"{aside}/{name}", path)
+        write_text(spark, marker, run)
+    finally:
+        delete_folder(spark, aside)
     return paths

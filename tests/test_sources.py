@@ -120,3 +120,36 @@ def test_single_line_csv_is_split(spark):
 def test_uris_are_kept(spark):
     w = tpch_workspace(spark, "file://" + SF001)
     assert w.tables.orders.count() == tpch_workspace(spark, SF001).tables.orders.count()
+
+
+def test_a_failed_export_leaves_the_former_one_whole(spark, tmp_path, monkeypatch):
+    from agora.sources import sinks
+
+    w, out = tpch_workspace(spark, "/root/testdata/sf0.001"), str(tmp_path)
+    paths = export_summaries(w.delivered, w.rfm, out)
+    run = open(f"{out}/{sinks.MARKER}").read()
+    before = {name: spark.read.parquet(p).count() for name, p in paths.items()}
+    frames = sinks.summary_frames(w.delivered, w.rfm)
+    broken = {**frames, "top_sellers": frames["top_sellers"].selectExpr("raise_error('no')")}
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "summary_frames", lambda *a: broken)
+        with pytest.raises(Exception, match="no"):
+            export_summaries(w.delivered, w.rfm, out)
+    assert open(f"{out}/{sinks.MARKER}").read() == run
+    assert {name: spark.read.parquet(p).count() for name, p in paths.items()} == before
+    assert sorted(f for f in os.listdir(out) if not f.startswith(".")) == sorted([*paths, sinks.MARKER])
+    with pytest.raises(FileExistsError):
+        export_summaries(w.delivered, w.rfm, out, mode="error")
+    export_summaries(w.delivered, w.rfm, out, fmt="csv")
+    assert open(f"{out}/{sinks.MARKER}").read() != run
+    assert spark.read.option("header", True).csv(paths["top_sellers"]).count() == before["top_sellers"]
+
+
+def test_a_changed_file_inside_a_table_folder_is_noticed(spark, tmp_path):
+    from agora.plans.catalog import _folder_state
+
+    spark.range(3).write.parquet(f"{tmp_path}/x.parquet")
+    state = _folder_state(spark, str(tmp_path))
+    assert _folder_state(spark, str(tmp_path)) == state
+    spark.range(4).write.mode("append").parquet(f"{tmp_path}/x.parquet")
+    assert _folder_state(spark, str(tmp_path)) != state
