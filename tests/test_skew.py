@@ -1,10 +1,11 @@
 """A hot order: the factorised plan stays O(input) and exact."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from agora.plans import payments, products, revenue, reviews
-from agora.plans.fanout import build_fanout
-from agora.plans.fanout import master_rows
+from agora.plans.fanout import build_fanout, master_rows, materialize_fanout
+from agora.session import Scratch
 from tests.handmade import money, order, tables
 from tests.reference import literal_rows
 
@@ -48,10 +49,7 @@ def test_hot_order_sides_are_linear_and_exact(spark):
                    .agg(F.sum("payment_value")).collect()}
 
 
-def test_a_hot_order_is_split_by_the_plan_that_runs(spark):
-    """Two thirds of the items belong to one order; with small thresholds the executed plan of
-    the item side has a skew join, and no join of the side's rows is without a split."""
-    rows = 30_000
+def two_thirds_in_one_order(spark, rows):
     items = spark.range(rows).selectExpr(
         "if(id % 3 < 2, 'hot', concat('o', id)) order_id", "cast(id as int) order_item_id", "concat('p', id % 7) product_id",
         "concat('s', id % 5) seller_id", "cast(10 as decimal(18,2)) price", "cast(1 as decimal(18,2)) freight_value").repartition(8)
@@ -60,7 +58,11 @@ def test_a_hot_order_is_split_by_the_plan_that_runs(spark):
         "timestamp_ntz'2018-01-01 10:00:00' order_approved_at", "timestamp_ntz'2018-01-01 10:00:00' order_delivered_carrier_date",
         "timestamp_ntz'2018-01-04 10:00:00' order_delivered_customer_date", "timestamp_ntz'2018-01-30 10:00:00' order_estimated_delivery_date")
     t = hot_tables(spark)
-    t = type(t)(**{**t.as_dict(), "orders": orders, "order_items": items})
+    return type(t)(**{**t.as_dict(), "orders": orders, "order_items": items})
+
+
+@pytest.fixture
+def small_thresholds(spark):
     settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
                 "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
                 "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
@@ -69,15 +71,30 @@ def test_a_hot_order_is_split_by_the_plan_that_runs(spark):
     old = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
-    try:
-        side = build_fanout(t).items
-        got = side.select("order_id", "order_item_id", "price", F.spark_partition_id().alias("task"))
-        tasks = [r["task"] for r in got.collect()]
-        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
-        assert max(map(tasks.count, set(tasks))) < rows / 3 and len(tasks) == rows
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_hot_order_is_split_by_the_plan_that_runs(spark, small_thresholds):
+    """Two thirds of the items belong to one order; with small thresholds the executed plan of
+    the item side has a skew join, and no join of the side's rows is without a split."""
+    rows = 30_000
+    side = build_fanout(two_thirds_in_one_order(spark, rows)).items
+    got = side.select("order_id", "order_item_id", "price", F.spark_partition_id().alias("task"))
+    tasks = [r["task"] for r in got.collect()]
+    assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    assert max(map(tasks.count, set(tasks))) < rows / 3 and len(tasks) == rows
+
+
+def test_a_hot_order_is_split_where_the_sides_are_written(spark, small_thresholds):
+    """The same for the one job that writes all four sides: a task writes one file of the item
+    side, and no file holds a third of its rows."""
+    rows, scratch = 30_000, Scratch(spark)
+    items = materialize_fanout(two_thirds_in_one_order(spark, rows), scratch).items
+    files = [r["count"] for r in items.groupBy(F.input_file_name()).count().collect()]
+    assert sum(files) == rows and max(files) < rows / 3
+    scratch.close()
 
 
 def test_master_of_a_hot_order_is_formed_in_cells(spark):
