@@ -1,5 +1,8 @@
+import base64
 import hashlib
+import math
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -73,3 +76,84 @@ def test_edges(edge_df, empty_df):
     got = check(edge_df, EDGE_ROWS)
     assert {r["fingerprint"] for r in got if r["doc_id"] in (1, 2)} == {""}
     assert fingerprints(empty_df).count() == 0
+
+
+# ---------------------------------------------------------------- the whole operator, plainly
+
+MASK = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & MASK
+    return x ^ x >> 31
+
+
+def plain_windows(text):
+    data = bytes(63) + text.encode()
+    return [data[i:i + 64] for i in range(len(data) - 63)]
+
+
+def plain_bin(window):
+    part = lambda c: round(c * math.log2(c) * 65536)
+    return (part(64) - sum(part(c) for c in Counter(window).values())) * 1000 // part(64)
+
+
+def plain_chain(text, rank):
+    """Filters as whole numbers, bit 0 first, by the definition in the module's docstring."""
+    windows = plain_windows(text)
+    keys = [(rank[plain_bin(w)], i) for i, w in enumerate(windows)]
+    points = Counter(min(keys[max(p, 0):p + 64])[1] for p in range(-63, len(keys)) if keys)
+    chosen = [w for i, w in enumerate(windows) if points[i] >= 16 or len(windows) <= 64]
+    features = list(dict.fromkeys(chosen))
+    chain = []
+    for a in range(0, len(features), 160):
+        bits = 0
+        for window in features[a:a + 160]:
+            h = 0
+            for k in range(8):
+                word = int.from_bytes(window[8 * k:8 * k + 8], "little")
+                h = plain_mix(h * 0x9E3779B97F4A7C15 + word + k + 1 & MASK)
+            for k in range(5):
+                bits |= 1 << (h >> 11 * k & 2047)
+        chain.append(bits)
+    return chain
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(a == b)
+    if a == b:
+        return 1.0
+
+    def overlap(x, y):
+        p, q, common = x.bit_count(), y.bit_count(), (x & y).bit_count()
+        chance = p * q / 2048
+        return min(max((common - chance) / max((p + q) / 2 - chance, 1e-9), 0), 1)
+
+    total = sum(max(overlap(x, y) for y in b) * x.bit_count() for x in a) + sum(max(overlap(y, x) for x in a) * y.bit_count() for y in b)
+    return total / sum(x.bit_count() for x in a + b)
+
+
+def plain_text(chain):
+    return base64.b64encode(b"".join(bytes(sum((bits >> 8 * i + j & 1) << 7 - j for j in range(8)) for i in range(256)) for bits in chain)).decode()
+
+
+def test_against_brute_force(spark, corpus):
+    rng = random.Random(8)
+    rows = [(i, t[:1500]) for i, t in corpus[:30]] + [(10_001, None), (10_002, "x"), (10_003, "ab" * 32), (10_004, "é" * 33), (10_005, "a" * 300)]
+    rows += [(20_000, "".join(rng.choice("abcdefgh ijklm,nop") for _ in range(9000))), (20_001, rows[3][1]), (20_002, rows[3][1][:900] + "and other words")]
+    order = sorted(rows)
+    texts = [t or "" for _, t in order]
+    counts = Counter(plain_bin(w) for t in texts for w in plain_windows(t))
+    rank = {b: i for i, b in enumerate(sorted(range(1001), key=lambda b: (counts[b], b)))}
+    chain = {t: plain_chain(t, rank) for t in texts}
+    got = {r["doc_id"]: r for r in fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    assert len(got) == len(rows) and max(map(len, chain.values())) > 1
+    for i, (d, _) in enumerate(order):
+        following = texts[(i + 1) % len(texts)]
+        new = texts[i][:len(texts[i]) - len(texts[i]) // 4] + following[:len(texts[i]) // 4]
+        new_chain, r = plain_chain(new, rank), got[d]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (plain_text(chain[texts[i]]), plain_text(new_chain)), d
+        assert abs(r["near_edited"] - plain_likeness(chain[texts[i]], new_chain)) < 1e-12
+        assert abs(r["near_next"] - plain_likeness(chain[texts[i]], chain[following])) < 1e-12
