@@ -47,11 +47,11 @@ def rows_of(df):
 def test_equals_the_multi_line_reader(spark, tmp_path, small_ranges, seed, line_end, size, share):
     for k in range(2):
         with open(f"{tmp_path}/f{k}.csv", "wb") as f:
-            f.write((b"\xef\xbb\xbf" if k else b"") + random_csv(seed + 10 * k, 200, line_end, share).encode())
+            f.write((b"\xef\xbb\xbf" if k else b"") + random_csv(seed + 10 * k, 70, line_end, share).encode())
     want = rows_of(whole_files(spark, str(tmp_path)))
     small_ranges(size)
     got = read_csv_ranges(spark, str(tmp_path))
-    assert got.columns == ["id", "b", "c", "d"] and len(want) == 400
+    assert got.columns == ["id", "b", "c", "d"] and len(want) == 140
     assert rows_of(got) == want
 
 
@@ -71,7 +71,7 @@ def test_one_file_is_read_by_many_tasks(spark, tmp_path, small_ranges):
 
 
 def test_a_record_over_many_ranges(spark, tmp_path, small_ranges):
-    long = "\n".join(f"line {i}, of a long field" for i in range(400))
+    long = "\n".join(f"line {i}, of a long field" for i in range(120))
     with open(f"{tmp_path}/x.csv", "w") as f:
         f.write(f'a,b\n1,"{long}"\n2,x\n3,"{long}"\n4,"y"')
     small_ranges(200)

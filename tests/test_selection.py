@@ -14,8 +14,8 @@ from agora.operators.selection import quantiles_by_selection, rows_at_ranks, top
 
 @pytest.fixture
 def few_bins(monkeypatch):
-    monkeypatch.setattr(selection, "BINS", 5)
-    monkeypatch.setattr(selection, "LEAF", 2)
+    monkeypatch.setattr(selection, "BINS", 16)
+    monkeypatch.setattr(selection, "LEAF", 3)
 
 
 def key(row):
@@ -34,13 +34,13 @@ TEXTS = ["", "a", "ab", "abcdef", "abcdefg", "abcdef\x00", "é", "customer#0001"
 def test_rows_at_all_ranks(spark, few_bins, value_type, make, id_type):
     rng = random.Random(value_type + id_type)
     ids = TEXTS if id_type == "string" else [None, 0, 7, -(1 << 63), (1 << 63) - 1, *range(20, 30)]
-    rows = [(make(rng), rng.choice(ids)) for _ in range(60)]
+    rows = [(make(rng), rng.choice(ids)) for _ in range(40)]
     df = spark.createDataFrame(rows, f"v {value_type}, i {id_type}")
     want = sorted(rows, key=key)
-    n, got = rows_at_ranks(df, F.col("v"), lambda n: [-1, *range(0, n, 7), n - 1, n], "i")
-    assert n == 60 and got == {k: want[k] for k in [*range(0, 60, 7), 59]}
-    n, alone = rows_at_ranks(df, F.col("v"), lambda n: [0, 30, 59])
-    assert alone == {k: (want[k][0], None) for k in (0, 30, 59)}
+    n, got = rows_at_ranks(df, F.col("v"), lambda n: [-1, *range(0, n, 9), n - 1, n], "i")
+    assert n == 40 and got == {k: want[k] for k in [*range(0, 40, 9), 39]}
+    n, alone = rows_at_ranks(df, F.col("v"), lambda n: [0, 20, 39])
+    assert alone == {k: (want[k][0], None) for k in (0, 20, 39)}
 
 
 def test_a_value_of_a_third_of_all_rows(spark, few_bins):
