@@ -58,7 +58,7 @@ class _Range:
     chunk: int | None = None
 
     def rows_in(self) -> Column:
-        return self.inside & self.key.between(F.lit(self.low), F.lit(self.high))
+        return self.inside if self.low is None else self.inside & self.key.between(F.lit(self.low), F.lit(self.high))
 
 
 def _bin(r: _Range) -> Column:
@@ -160,19 +160,24 @@ def rows_at_ranks(df: DataFrame, value: Column, ranks: Callable[[int], Sequence[
 
 
 def _fetched(df: DataFrame, leaves: list[_Range]) -> dict[int, tuple[Any, Any]]:
-    """Values at the ranks of small ranges, and of ranges whose rows are all alike (of which the
-    distinct rows are fetched)."""
-    answers = {}
-    for r in leaves:
-        inside = r.inside if r.low is None else r.rows_in()
-        rows = df.where(inside).groupBy(_V, _ID).agg(F.count(F.lit(1)).alias("n")).collect()  # at most LEAF rows
-
-        def order(row):
-            v, i = row[_V], row[_ID]
-            return v is not None, v if v is not None else 0, i is not None, i.encode() if isinstance(i, str) else i or 0
+    """Values at the ranks of small ranges, and of ranges whose rows are all alike: the distinct
+    rows of all of them in one scan."""
+    if not leaves:
+        return {}
+    number = reduce(lambda c, i: c.when(leaves[i].rows_in(), F.lit(i)), range(1, len(leaves)), F.when(leaves[0].rows_in(), F.lit(0)))
+    rows: dict[int, list] = {}
+    cells = df.select(number.alias("r"), _V, _ID).where("r is not null").groupBy("r", _V, _ID).agg(F.count(F.lit(1)).alias("n"))
+    for row in cells.collect():  # at most len(leaves) * LEAF rows
+        rows.setdefault(row["r"], []).append(row)
+
+    def order(row):
+        v, i = row[_V], row[_ID]
+        return v is not None, v if v is not None else 0, i is not None, i.encode() if isinstance(i, str) else i or 0
 
+    answers = {}
+    for i, r in enumerate(leaves):
         before = 0
-        for row in sorted(rows, key=order):
+        for row in sorted(rows[i], key=order):
             answers.update({k: (row[_V], row[_ID]) for k, rank in r.ranks.items() if before <= rank < before + row["n"]})
             before += row["n"]
     return answers
