@@ -23,7 +23,7 @@ COUNTED = ("SinglePartition", "Window", "BroadcastExchange", "Subquery", "Expand
 
 def main() -> int:
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    import __spark_entry__ as entry
+    from agora.plans.catalog import registry
     from agora.session import build_session
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
@@ -31,10 +31,7 @@ def main() -> int:
     os.makedirs(out_dir, exist_ok=True)
     spark = build_session("local[8]", shuffle_partitions=8)
     bad = []
-    workload = entry.oracle_sql()  # the operators of agora.llm use Python on purpose
-    for name, query in entry.queries().items():
-        if name not in workload:
-            continue
+    for name, query in registry().items():  # not the operators of agora.llm, which use Python on purpose
         df = query(spark, sf_dir)
         buf = io.StringIO()
         with contextlib.redirect_stdout(buf):
