@@ -38,7 +38,9 @@ without an id keeps its master row.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import threading
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,26 +53,56 @@ from agora.tables import MarketplaceTables
 CATEGORY = "product_category_name_english"
 
 
-@dataclass(frozen=True)
 class Fanout:
     """Factorised master frame (see module docstring).
 
-    In the view returned by :meth:`delivered`, ``n_oc`` counts only delivered
-    order rows and sides of orders without a delivered row are dropped.
+    ``per_order`` holds one row per order id with the row counts and sums of its sides.  Each
+    part is built when it is first read, so an analysis pays for the sides it uses only.  In the
+    view returned by :meth:`delivered`, ``n_oc`` counts only delivered order rows and sides of
+    orders without a delivered row are dropped.
     """
 
-    orders: DataFrame
-    items: DataFrame
-    payments: DataFrame
-    reviews: DataFrame
+    def __init__(self, build: Callable[[str], DataFrame], written: Callable[[DataFrame], DataFrame]):
+        self._build = build
+        self.written = written  # writes a frame where this one's parts are written
+        self._lock = threading.RLock()
+        self._parts: dict[str, DataFrame] = {}
+
+    def _part(self, name: str) -> DataFrame:
+        with self._lock:
+            if name not in self._parts:
+                self._parts[name] = self._build(name)
+            return self._parts[name]
+
+    @property
+    def orders(self) -> DataFrame:
+        return self._part("orders")
+
+    @property
+    def items(self) -> DataFrame:
+        return self._part("items")
+
+    @property
+    def payments(self) -> DataFrame:
+        return self._part("payments")
+
+    @property
+    def reviews(self) -> DataFrame:
+        return self._part("reviews")
+
+    @property
+    def per_order(self) -> DataFrame:
+        return self._part("per_order")
 
     def delivered(self) -> Fanout:
-        def keep(side: DataFrame) -> DataFrame:
-            return side.where(F.col("has_delivered")).withColumn("n_oc", F.col("n_oc_del"))
+        def keep(name: str) -> DataFrame:
+            part = self._part(name)
+            if name == "orders":
+                return part.where(F.col("has_delivered"))
+            delivered = F.col("n_oc_del") > 0 if name == "per_order" else F.col("has_delivered")
+            return part.where(delivered).withColumn("n_oc", F.col("n_oc_del"))
 
-        return Fanout(
-            orders=self.orders.where(F.col("has_delivered")),
-            items=keep(self.items), payments=keep(self.payments), reviews=keep(self.reviews))
+        return Fanout(keep, self.written)
 
     def delivery_rows(self) -> DataFrame:
         """Order rows with both day counts and a positive delivery time (call on
@@ -158,32 +190,59 @@ def _at_least_one(c: str) -> Column:
 
 @dataclass(frozen=True)
 class _Rows:
+    """De-duplicated rows of each side; ``bare_orders`` and ``bare_items`` are the rows before
+    their customers and products are joined, which ``customers`` and ``products`` hold."""
+
     orders: DataFrame
     items: DataFrame
     payments: DataFrame
     reviews: DataFrame
+    bare_orders: DataFrame
+    bare_items: DataFrame
+    customers: DataFrame
+    products: DataFrame
 
 
 def _side_rows(t: MarketplaceTables) -> _Rows:
     """De-duplicated rows of each side (lazy)."""
-    orders = join_on_key(with_order_attributes(distinct_rows(t.orders)),
-                         distinct_rows(t.customers), "customer_id", "left")
-    items = join_on_key(distinct_rows(t.order_items), distinct_rows(t.products), "product_id", "left")
-    items = join_on_key(items, distinct_rows(t.category_translation), "product_category_name", "left")
-    return _Rows(orders, items, distinct_rows(t.payments),
-                 distinct_rows(t.reviews.select("order_id", "review_score")))
+    bare_orders, bare_items = with_order_attributes(distinct_rows(t.orders)), distinct_rows(t.order_items)
+    customers, products = distinct_rows(t.customers), distinct_rows(t.products)
+    translation = distinct_rows(t.category_translation)
+    items = join_on_key(bare_items, products, "product_id", "left")
+    return _Rows(
+        orders=join_on_key(bare_orders, customers, "customer_id", "left"),
+        items=join_on_key(items, translation, "product_category_name", "left"),
+        payments=distinct_rows(t.payments), reviews=distinct_rows(t.reviews.select("order_id", "review_score")),
+        bare_orders=bare_orders, bare_items=bare_items, customers=customers,
+        products=join_on_key(products, translation, "product_category_name", "left"))
 
 
-def _order_stats(rows: _Rows) -> DataFrame:
+COPIES = "_copies"
+
+
+def _with_copies(rows: DataFrame, dimension: DataFrame, key: str, written: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` with the number of rows that a left join with ``dimension`` makes of each.
+
+    Only keys that the dimension repeats are joined.  They are few as a rule, and written, so
+    Spark knows their size and need not shuffle ``rows`` for them."""
+    repeated = dimension.groupBy(key).agg(F.count(F.lit(1)).alias(COPIES)).where(F.col(COPIES) > 1)
+    return (join_on_key(rows, written(repeated), key, "left")
+            .withColumn(COPIES, F.coalesce(F.col(COPIES), F.lit(1)).cast("bigint")))
+
+
+def _order_stats(rows: _Rows, written: Callable[[DataFrame], DataFrame] = stage) -> DataFrame:
     """One row per order id (NULL is an id of its own): side row counts (NULL-extended: at
     least 1) and the per-order sums the analyses weight with."""
-    delivered = F.col("order_status") == "delivered"
-    oc_stats = rows.orders.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("n_oc"),
-        F.count_if(delivered).alias("n_oc_del"),
-        F.sum(F.when(delivered, F.col("delivery_days"))).alias("dd_sum_del"),
-        F.count(F.when(delivered, F.col("delivery_days"))).alias("dd_cnt_del"))
-    item_stats = rows.items.groupBy("order_id").agg(F.count(F.lit(1)).alias("_ni"))
+    delivered, days, copies = F.col("order_status") == "delivered", F.col("delivery_days"), F.col(COPIES)
+    orders = _with_copies(rows.bare_orders.select("order_id", "customer_id", "order_status", "delivery_days"),
+                          rows.customers, "customer_id", written)
+    items = _with_copies(rows.bare_items.select("order_id", "product_id"), rows.products, "product_id", written)
+    oc_stats = orders.groupBy("order_id").agg(
+        F.sum(copies).alias("n_oc"),
+        F.sum(F.when(delivered, copies).otherwise(0)).alias("n_oc_del"),
+        F.sum(F.when(delivered, days * copies)).alias("dd_sum_del"),
+        F.sum(F.when(delivered & days.isNotNull(), copies).otherwise(0)).alias("dd_cnt_del"))
+    item_stats = items.groupBy("order_id").agg(F.sum(copies).alias("_ni"))
     pay_stats = rows.payments.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("_np"), F.sum("payment_value").alias("pay_sum"),
         F.count("payment_value").alias("pay_cnt"))
@@ -208,8 +267,8 @@ def _order_stats(rows: _Rows) -> DataFrame:
 SIDE_COUNTS = ["n_oc", "n_items", "n_pays", "n_revs"]
 
 
-def _assemble(rows: _Rows, stats: DataFrame) -> Fanout:
-    """``stats`` should be a written table: a join of two scans is one that AQE can split."""
+def _assemble(rows: _Rows, stats: DataFrame, name: str) -> DataFrame:
+    """One side.  ``stats`` should be a written table: a join of two scans is one that AQE can split."""
     def side(side_rows: DataFrame, keep: list[str], has_rows: str) -> DataFrame:
         # rows of order ids absent from ``orders`` never reach the master, so the match is an
         # INNER join of this side with the per-order table.  Orders without rows on this side
@@ -220,14 +279,26 @@ def _assemble(rows: _Rows, stats: DataFrame) -> Fanout:
         return (matched.unionByName(empty, allowMissingColumns=True).drop(has_rows)
                 .withColumn("has_delivered", F.col("n_oc_del") > 0))
 
-    items = side(rows.items, ["pay_sum", "pay_cnt", "rev_sum", "rev_cnt", "dd_sum_del", "dd_cnt_del"], "has_items")
-    items = items.withColumn(CATEGORY, F.coalesce(F.col(CATEGORY), F.lit("unknown")))
-    orders = join_on_key(rows.orders, stats.select("order_id", *SIDE_COUNTS, "pay_sum", "pay_cnt", "rev_sum", "rev_cnt"), "order_id")
-    return Fanout(
-        orders=orders.withColumn("has_delivered", F.coalesce(F.col("order_status") == "delivered", F.lit(False))),
-        items=items,
-        payments=side(rows.payments, [], "has_pays"),
-        reviews=side(rows.reviews, [], "has_revs"))
+    if name == "orders":
+        orders = join_on_key(rows.orders, stats.select("order_id", *SIDE_COUNTS, "pay_sum", "pay_cnt", "rev_sum", "rev_cnt"), "order_id")
+        return orders.withColumn("has_delivered", F.coalesce(F.col("order_status") == "delivered", F.lit(False)))
+    if name == "items":
+        items = side(rows.items, ["pay_sum", "pay_cnt", "rev_sum", "rev_cnt", "dd_sum_del", "dd_cnt_del"], "has_items")
+        return items.withColumn(CATEGORY, F.coalesce(F.col(CATEGORY), F.lit("unknown")))
+    return side(rows.payments, [], "has_pays") if name == "payments" else side(rows.reviews, [], "has_revs")
+
+
+def _fanout(t: MarketplaceTables, written: Callable[[DataFrame], DataFrame], write_sides: bool) -> Fanout:
+    rows = _side_rows(t)
+
+    def build(name: str) -> DataFrame:
+        if name == "per_order":
+            return written(_order_stats(rows, written))
+        side = _assemble(rows, fan.per_order, name)
+        return written(side) if write_sides else side
+
+    fan = Fanout(build, written)
+    return fan
 
 
 def build_fanout(t: MarketplaceTables, scratch: Scratch | None = None) -> Fanout:
@@ -236,54 +307,93 @@ def build_fanout(t: MarketplaceTables, scratch: Scratch | None = None) -> Fanout
     The narrow per-order statistics are written once (to ``scratch``, else to the application's
     scratch folder), so that each side's match is a join of its rows with a scan: AQE splits an
     order that holds a large part of a side's rows."""
-    rows = _side_rows(t)
-    written = (scratch.stage if scratch else stage)(_order_stats(rows))
-    return _assemble(rows, written)
-
-
-def master_rows(fan: Fanout, t: MarketplaceTables) -> DataFrame:
-    """The literal master frame from the sides: every side already holds its
-    NULL row for an order without rows there, so inner joins on ``order_id``
-    give exactly the LEFT-join fan-out (orders x items x payments x reviews).
-    Only the query that returns the master frame itself uses this; an order
-    with many rows is formed in cells (``salted_product``)."""
-    def rest(df: DataFrame, *keys: str) -> list[str]:
-        return [c for c in df.columns if c not in keys]
-
-    items = fan.items.select("order_id", *SIDE_COUNTS, *rest(t.order_items, "order_id"),
-                             *rest(t.products, "product_id"), CATEGORY)
-    pays = fan.payments.select("order_id", *SIDE_COUNTS, *rest(t.payments, "order_id"))
-    revs = fan.reviews.select("order_id", *SIDE_COUNTS, "review_score")
-    orders = fan.orders.select("order_id", *SIDE_COUNTS, *rest(t.orders, "order_id"),
-                               *rest(t.customers, "customer_id"), *DERIVED_COLUMNS)
-    joined = salted_product("order_id", [(orders, "n_oc"), (items, "n_items"), (pays, "n_pays"), (revs, "n_revs")])
-    columns = (t.orders.columns + rest(t.order_items, "order_id") + rest(t.products, "product_id")
-               + rest(t.customers, "customer_id") + rest(t.payments, "order_id")
-               + rest(t.category_translation, "product_category_name") + ["review_score"])
-    return joined.select(*columns, *DERIVED_COLUMNS)
+    return _fanout(t, scratch.stage if scratch else stage, False)
 
 
-# --------------------------------------------------------- materialisation
-
 def materialize_fanout(t: MarketplaceTables, scratch: Scratch) -> Fanout:
-    """Write the four sides to ``scratch`` and return scans of them.
+    """The same with each side written to ``scratch`` when it is first read.
 
     About thirty analyses read these sides; planning the joins for each would
     shuffle every input thirty times.  The sides are written as Parquet under
     the shared checkpoint folder (surviving executor loss and cutting the
-    lineage).  All four go into one table partitioned by ``_side`` and
-    ``has_delivered``, so reading a side and the ``delivered`` filter of the
-    analyses are partition pruning, and each analysis reads only its columns.
+    lineage).  Each is a table of its own, without partition columns: no
+    analysis pays for the rows of a side it does not read, nor for the sort
+    by partition that Spark puts before such a write.
     """
-    fan = build_fanout(t, scratch)
-    names = ("orders", "items", "payments", "reviews")
-    # one job writes all four sides as one table, so AQE reuses the exchanges they share
-    union = None
-    for n in names:
-        tagged = getattr(fan, n).withColumn("_side", F.lit(n))
-        union = tagged if union is None else union.unionByName(tagged, allowMissingColumns=True)
-    path = scratch.new_path("sides")
-    union.write.partitionBy("_side", "has_delivered").parquet(path)
-    table = t.orders.sparkSession.read.schema(union.schema).parquet(path)
-    # partition pruning on the side (and on has_delivered in the delivered view)
-    return Fanout(**{n: table.where(F.col("_side") == n).select(*getattr(fan, n).columns) for n in names})
+    return _fanout(t, scratch.stage, True)
+
+
+# ------------------------------------------------------------- literal rows
+
+#: Orders with more rows than this on a side are formed in cells.
+CELL = 256
+
+
+def _large_orders(t: MarketplaceTables, rows: _Rows, written: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Order ids that may have more than ``CELL`` rows on a side: rows are counted before
+    de-duplication, which shuffles only counts."""
+    orders = _with_copies(t.orders.select("order_id", "customer_id"), rows.customers, "customer_id", written)
+    items = _with_copies(t.order_items.select("order_id", "product_id"), rows.products, "product_id", written)
+    one = F.lit(1).cast("bigint")
+    sides = [orders, items, *[s.select("order_id", one.alias(COPIES)) for s in (t.payments, t.reviews)]]
+    large = None
+    for side in sides:
+        ids = side.groupBy("order_id").agg(F.sum(COPIES).alias(COPIES)).where(F.col(COPIES) > CELL).select("order_id")
+        large = ids if large is None else large.unionByName(ids)
+    return large.distinct()
+
+
+def _of_orders(t: MarketplaceTables, ids: DataFrame, how: str) -> MarketplaceTables:
+    """The tables with the rows of these orders only (``left_semi``) or without them (``left_anti``)."""
+    ids = ids.select(F.col("order_id").alias("__id"))
+
+    def match(df: DataFrame) -> DataFrame:
+        return df.join(ids, df["order_id"].eqNullSafe(ids["__id"]), how)
+
+    return replace(t, orders=match(t.orders), order_items=match(t.order_items),
+                   payments=match(t.payments), reviews=match(t.reviews))
+
+
+def _rest(df: DataFrame, *keys: str) -> list[str]:
+    return [c for c in df.columns if c not in keys]
+
+
+def _master_columns(t: MarketplaceTables) -> list[str]:
+    return (t.orders.columns + _rest(t.order_items, "order_id") + _rest(t.products, "product_id")
+            + _rest(t.customers, "customer_id") + _rest(t.payments, "order_id")
+            + _rest(t.category_translation, "product_category_name") + ["review_score", *DERIVED_COLUMNS])
+
+
+def _joined(t: MarketplaceTables) -> DataFrame:
+    """The master frame of tables whose orders have at most ``CELL`` rows on every side."""
+    rows = _side_rows(t)
+    master = rows.orders
+    for side in (rows.items, rows.payments, rows.reviews):
+        master = join_on_key(master, side, "order_id", "left")
+    return master.withColumn(CATEGORY, F.coalesce(F.col(CATEGORY), F.lit("unknown"))).select(*_master_columns(t))
+
+
+def _formed_in_cells(fan: Fanout, t: MarketplaceTables) -> DataFrame:
+    """The master frame from its sides: every side holds its NULL row for an order without rows
+    there, so inner joins on ``order_id`` give the LEFT-join fan-out."""
+    items = fan.items.select("order_id", *SIDE_COUNTS, *_rest(t.order_items, "order_id"),
+                             *_rest(t.products, "product_id"), CATEGORY)
+    pays = fan.payments.select("order_id", *SIDE_COUNTS, *_rest(t.payments, "order_id"))
+    revs = fan.reviews.select("order_id", *SIDE_COUNTS, "review_score")
+    orders = fan.orders.select("order_id", *SIDE_COUNTS, *_rest(t.orders, "order_id"),
+                               *_rest(t.customers, "customer_id"), *DERIVED_COLUMNS)
+    joined = salted_product("order_id", [(orders, "n_oc"), (items, "n_items"), (pays, "n_pays"), (revs, "n_revs")], CELL)
+    return joined.select(*_master_columns(t))
+
+
+def master_rows(fan: Fanout, t: MarketplaceTables) -> DataFrame:
+    """The literal master frame (orders x items x payments x reviews, LEFT joins).  Only the query
+    that returns the master frame itself uses this.  Orders with more than ``CELL`` rows on a
+    side, if there are any, are formed in cells (``salted_product``) from sides of their own; all
+    others are joined as they are, each input shuffled once more for it and nothing written."""
+    large = fan.written(_large_orders(t, _side_rows(t), fan.written))
+    if large.isEmpty():
+        return _joined(t)
+    own = _of_orders(t, large, "left_semi")
+    return _joined(_of_orders(t, large, "left_anti")).unionByName(
+        _formed_in_cells(_fanout(own, fan.written, False), own))

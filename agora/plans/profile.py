@@ -27,14 +27,14 @@ HELPER_COLUMNS = {"n_oc", "n_oc_del", "dd_sum_del", "dd_cnt_del", "n_items", "n_
 
 def dataset_counts(t: MarketplaceTables, fa: Fanout) -> DataFrame:
     """(dataset, rows) for six raw tables, the master frame and its delivered
-    part; master rows are counted from the factorised sides."""
+    part; master rows are the products of the per-order row counts, so no side is built."""
     named = [("orders", t.orders), ("order_items", t.order_items), ("products", t.products),
              ("customers", t.customers), ("payments", t.payments), ("reviews", t.reviews)]
     counts = [df.agg(F.count(F.lit(1)).alias("rows"))
                 .select(F.lit(name).alias("dataset"), F.col("rows").cast("bigint"))
               for name, df in named]
-    for name, side in (("master", fa.orders), ("delivered", fa.delivered().orders)):
-        counts.append(side.agg(F.coalesce(F.sum(w_orders()), F.lit(0)).alias("rows"))
+    for name, per_order in (("master", fa.per_order), ("delivered", fa.delivered().per_order)):
+        counts.append(per_order.agg(F.coalesce(F.sum(F.col("n_oc") * w_orders()), F.lit(0)).alias("rows"))
                       .select(F.lit(name).alias("dataset"), F.col("rows").cast("bigint")))
     return reduce(DataFrame.unionByName, counts)
 
