@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ LIMIT = 16
 STRIDE = 256
 BLOCK_IDS = 1 << 18
 CACHE_ENTRIES = 400_000
-STEP_WORDS = 4096
+STEP_WORDS = 512
 ROWS_PER_PART = 4096
 MAX_PARTS = 20_000
 _NO_DOC = -(1 << 63)
@@ -48,7 +49,6 @@ _NO_DOC = -(1 << 63)
 #: The text steps for which :class:`LibraryEncoder` holds (fixed values of the tokenizer's file).
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_LATIN_END = "\u0250"
 #: Lead bytes from here on belong to characters that are not Latin or may combine with others.
 _BEYOND_LATIN = 0xC9
 _LETTER = np.zeros(256, bool)
@@ -60,7 +60,7 @@ _MARK = np.zeros(256, bool)
 _MARK[[*b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-STEP_BYTES = 4 << 20
+STEP_BYTES = 8 << 20
 
 
 def _steps_hold(spec: dict) -> bool:
@@ -115,45 +115,65 @@ class LibraryEncoder:
         suffix = json.loads(self.spec)["model"]["end_of_word_suffix"]
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _words(self, words: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """Words of letters only: encoded in one go, cut at the tokens that end a word."""
+        # the cache: pieces, their ids back to back, how many each has, and when it was last used
+        self.names = pa.array([], pa.large_binary())
+        self.flat, self.sizes, self.used = np.empty(0, self.width), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.now = 0
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of letters only: encoded many at once, cut at the tokens that end a word."""
+        flat, sizes = [np.empty(0, self.width)], [np.empty(0, np.int64)]
         for a in range(0, len(words), STEP_WORDS):
             part = words[a:a + STEP_WORDS]
-            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, self.width)
-            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * ids.itemsize
-            if len(ends) != len(part):
-                yield from self._pieces(part)
-                continue
-            flat, begin = ids.tobytes(), 0
-            for word, end in zip(part, ends.tolist()):
-                yield word.encode(), flat[begin:end]
-                begin = end
-
-    def _pieces(self, pieces: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        for piece, got in zip(pieces, self.library.encode_batch(pieces, add_special_tokens=False)):
-            yield piece.encode(), np.array(got.ids, self.width).tobytes()
-
-    def _learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of new pieces."""
-        pieces = [p.decode() for p in missing]
-        plain = [p.isalpha() and (p.isascii() or max(p) < _LATIN_END) for p in pieces]
-        known = dict(self._words([p for p, x in zip(pieces, plain) if x]))
-        known.update(self._pieces([p for p, x in zip(pieces, plain) if not x]))
-        return known
-
-    def _ids_of(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of distinct pieces, through the cache."""
-        missing = [p for p in pieces if p not in self.young]
-        found = {p: ids for p in missing if (ids := self.old.get(p)) is not None}
-        found.update(self._learn([p for p in missing if p not in found]))
-        if len(self.young) + len(found) > CACHE_ENTRIES:
-            kept = {p: self.young[p] for p in pieces if p in self.young}
-            self.old, self.young = self.young, kept
-        self.young.update(found)
-        return [self.young[p] for p in pieces]
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.width)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            some = (ids, np.diff(ends, prepend=0)) if len(ends) == len(part) else self._pieces(part)
+            flat.append(some[0])
+            sizes.append(some[1])
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [x.ids for x in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter((i for ids in got for i in ids), self.width, int(sizes.sum())), sizes
+
+    def _learn(self, missing: pa.Array) -> np.ndarray:
+        """Put new pieces into the cache; their places there."""
+        pieces = missing.cast(pa.large_string())
+        plain = pc.and_(pc.utf8_is_alpha(pieces), pc.less(pc.utf8_length(pieces), 1 << 16)).to_numpy(zero_copy_only=False)
+        data, offsets = utf8(pieces)
+        if len(data):
+            beyond = np.flatnonzero(data >= _BEYOND_LATIN)
+            plain[np.searchsorted(offsets, beyond, "right") - 1] = False
+        parts = [(self._words, pieces.filter(pa.array(plain))), (self._pieces, pieces.filter(pa.array(~plain)))]
+        new = [encode(part.to_pylist()) for encode, part in parts]
+        places = np.empty(len(missing), np.int64)
+        places[np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))] = len(self.names) + np.arange(len(missing))
+        self.names = pa.concat_arrays([self.names, *[part.cast(pa.large_binary()) for _, part in parts]])
+        self.flat = np.concatenate([self.flat, *[flat for flat, _ in new]])
+        self.sizes = np.concatenate([self.sizes, *[sizes for _, sizes in new]])
+        self.used = np.concatenate([self.used, np.full(len(missing), self.now)])
+        return places
+
+    def _forget(self) -> None:
+        """Keep the half of the cache that was used last."""
+        kept = np.sort(np.argsort(self.used, kind="stable")[-(CACHE_ENTRIES // 2):])
+        flags = np.zeros(len(self.used), bool)
+        flags[kept] = True
+        self.flat = self.flat[np.repeat(flags, self.sizes)]
+        self.names, self.sizes, self.used = self.names.take(pa.array(kept)), self.sizes[kept], self.used[kept]
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Places of distinct pieces in the cache, which learns those it lacks."""
+        self.now += 1
+        if len(self.names) > CACHE_ENTRIES:
+            self._forget()
+        found = pc.index_in(pieces, self.names)
+        places = found.fill_null(-1).to_numpy().astype(np.int64)
+        if found.null_count:
+            places[places < 0] = self._learn(pieces.filter(found.is_null()))
+        self.used[places] = self.now
+        return places
 
     def _stretch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the rows of ``data``, back to back, and how many each row has."""
@@ -171,14 +191,11 @@ class LibraryEncoder:
         ends = np.concatenate(([0], np.cumsum(lengths)))
         names = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(data[~gap])])
         coded = names.dictionary_encode()
-        known = self._ids_of(coded.dictionary.to_pylist())
-        flat = np.frombuffer(b"".join(known), self.width)
-        size = np.fromiter(map(len, known), np.int64, len(known)) // np.dtype(self.width).itemsize
-        first = np.concatenate(([0], np.cumsum(size)[:-1])) if len(size) else size
-        place = coded.indices.to_numpy()
-        sizes = size[place]
+        place = self._places(coded.dictionary)[coded.indices.to_numpy()]
+        first = np.cumsum(self.sizes) - self.sizes
+        sizes = self.sizes[place]
         done = np.concatenate(([0], np.cumsum(sizes)))
-        ids = flat[np.repeat(first[place] - done[:-1], sizes) + np.arange(done[-1])]
+        ids = self.flat[np.repeat(first[place] - done[:-1], sizes) + np.arange(done[-1])]
         return ids, np.diff(done[np.searchsorted(starts, offsets)])
 
     def _long(self, data: np.ndarray) -> np.ndarray:

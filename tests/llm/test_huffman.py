@@ -131,3 +131,19 @@ def test_other_tokenizers_are_refused(name, tmp_path):
         json.dump(spec, f)
     with pytest.raises(ValueError, match="lower-cases"):
         LibraryEncoder.load(f"{tmp_path}/cased.json")
+
+
+def test_the_cache_forgets_old_pieces_and_gives_the_same_ids(monkeypatch):
+    """Pieces are learned as arrays, many to a call of the library; forgotten ones are learned again."""
+    monkeypatch.setattr(huffman, "CACHE_ENTRIES", 8)
+    encoder, calls = LibraryEncoder.load(PATH), []
+    encoder._open()
+    words = encoder._words
+    encoder._words = lambda part: calls.append(list(part)) or words(part)
+    texts = [" ".join(f"{a}{b}word" for a in "bcdf" for b in "aeio"), "Bawo, bawo! naïve it's <|x", "", "的 caWORD ɐ́ 42nd", "bawo fuword"]
+    for text in [*texts, *texts]:
+        got = np.frombuffer(encoder.encode_texts([text], 1)[0], encoder.width)
+        assert got.tolist() == [*encoder.library.encode(text, add_special_tokens=False).ids, 1]
+        assert len(encoder.names) == len(encoder.sizes) == len(encoder.used) <= 8 + 16 and len(encoder.flat) == encoder.sizes.sum()
+    assert max(map(len, calls)) == 16 and not hasattr(encoder, "young")
+    assert sum(part.count("baword") for part in calls) == 2  # forgotten in between
