@@ -191,7 +191,9 @@ def _at_least_one(c: str) -> Column:
 @dataclass(frozen=True)
 class _Rows:
     """De-duplicated rows of each side; ``bare_orders`` and ``bare_items`` are the rows before
-    their customers and products are joined, which ``customers`` and ``products`` hold."""
+    their customers and products are joined, which ``customers`` and ``products`` hold.  Order
+    rows come without their derived columns: whoever needs these adds them behind the joins, so
+    that no join shuffles them."""
 
     orders: DataFrame
     items: DataFrame
@@ -205,7 +207,7 @@ class _Rows:
 
 def _side_rows(t: MarketplaceTables) -> _Rows:
     """De-duplicated rows of each side (lazy)."""
-    bare_orders, bare_items = with_order_attributes(distinct_rows(t.orders)), distinct_rows(t.order_items)
+    bare_orders, bare_items = distinct_rows(t.orders), distinct_rows(t.order_items)
     customers, products = distinct_rows(t.customers), distinct_rows(t.products)
     translation = distinct_rows(t.category_translation)
     items = join_on_key(bare_items, products, "product_id", "left")
@@ -234,27 +236,32 @@ def _order_stats(rows: _Rows, written: Callable[[DataFrame], DataFrame] = stage)
     """One row per order id (NULL is an id of its own): side row counts (NULL-extended: at
     least 1) and the per-order sums the analyses weight with."""
     delivered, days, copies = F.col("order_status") == "delivered", F.col("delivery_days"), F.col(COPIES)
-    orders = _with_copies(rows.bare_orders.select("order_id", "customer_id", "order_status", "delivery_days"),
+    orders = _with_copies(with_order_attributes(rows.bare_orders).select("order_id", "customer_id", "order_status", "delivery_days"),
                           rows.customers, "customer_id", written)
     items = _with_copies(rows.bare_items.select("order_id", "product_id"), rows.products, "product_id", written)
-    oc_stats = orders.groupBy("order_id").agg(
-        F.sum(copies).alias("n_oc"),
+
+    def per_order(side: DataFrame, *sums: Column) -> DataFrame:
+        # grouped by the columns that the join is on, so it takes the groups where they are; a
+        # null-safe join of groups by order_id would shuffle each side once more
+        order_id = F.col("order_id")
+        return (side.groupBy(F.coalesce(order_id, F.lit(0).cast(side.schema["order_id"].dataType)).alias("_id"),
+                             order_id.isNull().alias("_no_id")).agg(*sums))
+
+    # every input is one row per order id, so these joins are 1:1 (no skew)
+    stats = per_order(
+        orders, F.sum(copies).alias("n_oc"),
         F.sum(F.when(delivered, copies).otherwise(0)).alias("n_oc_del"),
         F.sum(F.when(delivered, days * copies)).alias("dd_sum_del"),
         F.sum(F.when(delivered & days.isNotNull(), copies).otherwise(0)).alias("dd_cnt_del"))
-    item_stats = items.groupBy("order_id").agg(F.sum(copies).alias("_ni"))
-    pay_stats = rows.payments.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("_np"), F.sum("payment_value").alias("pay_sum"),
-        F.count("payment_value").alias("pay_cnt"))
-    rev_stats = rows.reviews.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("_nr"), F.sum("review_score").alias("rev_sum"),
-        F.count("review_score").alias("rev_cnt"))
-    # every input is one row per order id, so these joins are 1:1 (no skew)
-    stats = oc_stats
-    for other in (item_stats, pay_stats, rev_stats):
-        stats = join_on_key(stats, other, "order_id", "left")
+    for other in (
+            per_order(items, F.sum(copies).alias("_ni")),
+            per_order(rows.payments, F.count(F.lit(1)).alias("_np"), F.sum("payment_value").alias("pay_sum"),
+                      F.count("payment_value").alias("pay_cnt")),
+            per_order(rows.reviews, F.count(F.lit(1)).alias("_nr"), F.sum("review_score").alias("rev_sum"),
+                      F.count("review_score").alias("rev_cnt"))):
+        stats = stats.join(other, ["_id", "_no_id"], "left")
     return stats.select(
-        "order_id", "n_oc", "n_oc_del", "dd_sum_del", "dd_cnt_del",
+        F.when(~F.col("_no_id"), F.col("_id")).alias("order_id"), "n_oc", "n_oc_del", "dd_sum_del", "dd_cnt_del",
         _at_least_one("_ni").alias("n_items"), _at_least_one("_np").alias("n_pays"),
         _at_least_one("_nr").alias("n_revs"),
         "pay_sum", F.coalesce("pay_cnt", F.lit(0)).alias("pay_cnt"),
@@ -281,7 +288,7 @@ def _assemble(rows: _Rows, stats: DataFrame, name: str) -> DataFrame:
 
     if name == "orders":
         orders = join_on_key(rows.orders, stats.select("order_id", *SIDE_COUNTS, "pay_sum", "pay_cnt", "rev_sum", "rev_cnt"), "order_id")
-        return orders.withColumn("has_delivered", F.coalesce(F.col("order_status") == "delivered", F.lit(False)))
+        return with_order_attributes(orders).withColumn("has_delivered", F.coalesce(F.col("order_status") == "delivered", F.lit(False)))
     if name == "items":
         items = side(rows.items, ["pay_sum", "pay_cnt", "rev_sum", "rev_cnt", "dd_sum_del", "dd_cnt_del"], "has_items")
         return items.withColumn(CATEGORY, F.coalesce(F.col(CATEGORY), F.lit("unknown")))
@@ -367,7 +374,7 @@ def _master_columns(t: MarketplaceTables) -> list[str]:
 def _joined(t: MarketplaceTables) -> DataFrame:
     """The master frame of tables whose orders have at most ``CELL`` rows on every side."""
     rows = _side_rows(t)
-    master = rows.orders
+    master = with_order_attributes(rows.orders)
     for side in (rows.items, rows.payments, rows.reviews):
         master = join_on_key(master, side, "order_id", "left")
     return master.withColumn(CATEGORY, F.coalesce(F.col(CATEGORY), F.lit("unknown"))).select(*_master_columns(t))

@@ -1,5 +1,7 @@
 """What an analysis writes: the sides it reads, and no others."""
 
+import pytest
+
 from agora.plans import fanout, profile, reviews
 from agora.plans.catalog import Workspace
 from agora.plans.fanout import master_rows, materialize_fanout
@@ -81,3 +83,41 @@ def test_master_with_orders_above_the_cell(spark, monkeypatch):
     with Workspace(spark, t, materialize=True) as w:
         got, expect = w.master.toPandas(), pandas_master(t)
     assert as_set(got, list(got.columns)) == as_set(expect, list(got.columns))
+
+
+@pytest.fixture
+def whole_plans(spark):
+    """Joins by shuffle, and plans printed with all their columns."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.debug.maxToStringFields": "1000"}
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_order_statistics_shuffle_each_side_once_for_the_order(spark, whole_plans):
+    """Four DISTINCTs, two joins with repeated keys, four groups; the groups are joined in place."""
+    t = some_tables(spark)
+    stats = fanout._order_stats(fanout._side_rows(t))
+    assert stats._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 4 + 2 * 2 + 4
+    got = {r.order_id: r for r in stats.collect()}
+    # o8 has items but no order row; o3 has no side row at all
+    assert set(got) == {"o1", "o2", "o3", None}
+    o1, o3, none = got["o1"], got["o3"], got[None]
+    assert (o1.n_oc, o1.n_oc_del, o1.n_items, o1.n_pays, o1.n_revs) == (3, 2, 15, 3, 2)
+    assert (o1.pay_sum, o1.pay_cnt, o1.rev_sum, o1.rev_cnt, o1.dd_sum_del, o1.dd_cnt_del) == (money(3), 3, 9, 2, 6, 2)
+    assert (o3.n_oc, o3.n_items, o3.n_pays, o3.n_revs, o3.pay_sum, o3.pay_cnt, o3.rev_sum) == (1, 1, 1, 1, None, 0, None)
+    assert not (o3.has_items or o3.has_pays or o3.has_revs)
+    assert (none.n_items, none.n_pays, none.n_revs, none.pay_sum, none.rev_sum, none.rev_cnt) == (1, 1, 2, money(4), 3, 1)
+
+
+def derived_below_a_join(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS order_year_month" in plan
+    return "AS order_year_month" in plan[plan.index("Join "):]
+
+
+def test_joins_of_the_order_side_shuffle_no_derived_column(spark, whole_plans):
+    assert not derived_below_a_join(fanout.build_fanout(some_tables(spark)).orders)
