@@ -374,10 +374,10 @@ def _master_columns(t: MarketplaceTables) -> list[str]:
 def _joined(t: MarketplaceTables) -> DataFrame:
     """The master frame of tables whose orders have at most ``CELL`` rows on every side."""
     rows = _side_rows(t)
-    master = with_order_attributes(rows.orders)
+    master = rows.orders
     for side in (rows.items, rows.payments, rows.reviews):
         master = join_on_key(master, side, "order_id", "left")
-    return master.withColumn(CATEGORY, F.coalesce(F.col(CATEGORY), F.lit("unknown"))).select(*_master_columns(t))
+    return with_order_attributes(master).withColumn(CATEGORY, F.coalesce(F.col(CATEGORY), F.lit("unknown"))).select(*_master_columns(t))
 
 
 def _formed_in_cells(fan: Fanout, t: MarketplaceTables) -> DataFrame:

@@ -121,3 +121,9 @@ def derived_below_a_join(df):
 
 def test_joins_of_the_order_side_shuffle_no_derived_column(spark, whole_plans):
     assert not derived_below_a_join(fanout.build_fanout(some_tables(spark)).orders)
+
+
+def test_joins_of_the_master_shuffle_no_derived_column(spark, whole_plans):
+    t, scratch = some_tables(spark), Scratch(spark)
+    assert not derived_below_a_join(master_rows(fanout.build_fanout(t, scratch), t))
+    scratch.close()
